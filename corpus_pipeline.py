@@ -7,6 +7,7 @@ written as Parquet and read again. ``run`` applies them to the documents of sf_d
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkloom.llm import near_dup, packing, pii, quality, repeats
 from linkloom.llm._run import settle
@@ -25,12 +26,12 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 400 bytes that repeat are cut out of the texts."""
-    return repeats.kept_rows(docs)
+    return repeats.kept_rows(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets."""
-    return pii.redacted(docs)
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
