@@ -82,12 +82,13 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def slices(column: pa.Array, limit: int = 1 << 22):
-    """Consecutive (first row, end row, bytes, offsets) of at most ``limit`` bytes, or one row."""
+def slices(column: pa.Array, limit: int = 1 << 22, most: int = 8192):
+    """Consecutive (first row, end row, bytes, offsets) of at most ``limit`` bytes, or one row, and ``most`` rows."""
     buf, offs = raw(column)
     row, n = 0, len(offs) - 1
     while row < n:
         stop = max(row + 1, int(np.searchsorted(offs, offs[row] + limit, "right")) - 1)
+        stop = min(stop, row + most)
         yield row, stop, buf[offs[row] : offs[stop]], offs[row : stop + 1] - offs[row]
         row = stop
 

@@ -9,10 +9,10 @@ same dart at a coordinate with the probability of their weighted Jaccard similar
 document whose darts miss a coordinate is thrown again up to a rank twice as high.
 
 Documents with the same elements are one text class from the start. Signature bands deal the
-classes into buckets; in each bucket every class is held against the bucket's least class,
-then, until all are placed, those that did not fit against the least of them, and at last the
-classes of one bucket that no chain of links joins yet are held against each other. Every
-candidate pair's similarity (of element sets) is worked out exactly. Classes are the
+classes into buckets; in each bucket every class is held against the bucket's pivot, the class
+that meets most others. Classes of one bucket that no chain of links joins yet are then held
+against each other, but for pairs that what they have in common with the pivot rules out. Every candidate
+pair's distance (of element sets) is worked out exactly. Classes are the
 connected components of the links, found by label spreading over tables.
 
 Defined results: texts of one to four words have one element, the whole text; texts without
@@ -22,11 +22,9 @@ rows with one key are one document; extra columns are not read or, in ``kept_row
 
 from __future__ import annotations
 
-from typing import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm import _text as tx
@@ -55,10 +53,10 @@ def elements(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tuple[np.
     short = np.flatnonzero((size > 0) & (size < words))
     rows = np.concatenate([doc[at], short])
     runs = np.concatenate([prefix.spans(at, at + words), prefix.spans(first[short], first[short] + size[short])])
-    order = np.lexsort((runs, rows))
-    rows, runs = rows[order], runs[order]
-    new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (runs[1:] != runs[:-1])]) if len(rows) else np.zeros(0, np.int64)
-    return rows[new], runs[new], np.diff(np.r_[new, len(rows)])
+    # one sort of (row, upper 50 bits of the hash); slices have under 2**14 rows
+    both = np.sort(rows.astype(U64) << U64(50) | runs >> U64(14))
+    new = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+    return (both[new] >> U64(50)).astype(np.int64), both[new] << U64(14), np.diff(np.r_[new, len(both)])
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -74,7 +72,7 @@ def _throw(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rank: np.nd
     """
     out = []
     top_strip = int(np.ceil(np.log2(max(1.0, weight.max(initial=1.0)))))
-    low, high = -12, int(np.ceil(np.log2(max(rank.max(initial=1.0), 2.0**-11))))
+    low, high = -3, int(np.ceil(np.log2(max(rank.max(initial=0.25), 0.25))))
     for strip in range(top_strip + 1):
         left, width = (0.0, 1.0) if strip == 0 else (2.0 ** (strip - 1), 2.0 ** (strip - 1))
         own = np.flatnonzero(weight > left)
@@ -126,9 +124,9 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
     while todo.any():
         use = todo[row]
         r, j, y, dart = _throw(row[use], element[use], weight[use].astype(float), limit[row[use]], k)
-        slot = r * k + j
-        order = np.lexsort((dart, y, slot))
-        slot, dart = slot[order], dart[order]
+        # by slot, then rank: the bits of positive floats order like their values
+        order = np.argsort((r * k + j).astype(U64) << U64(40) | y.view(U64) >> U64(23) & U64((1 << 40) - 1))
+        slot, dart = (r * k + j)[order], dart[order]
         first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
         full = np.bincount(slot[first] // k, minlength=n) == k
         done = todo & full
@@ -166,25 +164,23 @@ def _signed(docs: DataFrame, key: str, text: str, k: int, band: int) -> DataFram
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, content long, bands array<long>, runs binary")
 
 
-def _similar(pairs: DataFrame, runs: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) of classes whose element sets have that Jaccard similarity at least."""
+def _distances(pairs: DataFrame, runs: DataFrame) -> DataFrame:
+    """For every pair (a, b) of classes the Jaccard distance d of their element sets, the number i of common elements, and their sizes na, nb."""
     wide = pairs.join(runs.select(F.col("c").alias("a"), F.col("runs").alias("ra")), "a").join(runs.select(F.col("c").alias("b"), F.col("runs").alias("rb")), "b")
 
     def run(batches):
         for batch in batches:
-            keep = []
+            far, common, na, nb = [], [], [], []
             for x, y in zip(batch.column("ra"), batch.column("rb")):
                 x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                least, most = sorted((len(x), len(y)))
-                if least < similar * most:
-                    keep.append(False)
-                    continue
                 both = len(np.intersect1d(x, y))
-                keep.append(both >= similar * (least + most - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+                far.append(1.0 - both / (len(x) + len(y) - both))
+                common.append(both)
+                na.append(len(x))
+                nb.append(len(y))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far, pa.float64()), *(pa.array(v, pa.int64()) for v in (common, na, nb))], names=["a", "b", "d", "i", "na", "nb"])
 
-    return wide.mapInArrow(run, "a long, b long")
+    return wide.mapInArrow(run, "a long, b long, d double, i long, na long, nb long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,29 +213,21 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     kept = least.select(F.col("content").alias("c"), F.col("k0").alias(key))
     unique = signed.select(key, "content", "bands").join(kept, key, "left_semi").select(F.col("content").alias("c"), "bands").dropDuplicates(["c"])
     buckets = unique.select("c", F.posexplode("bands").alias("i", "band")).select("c", "band")
-    shared = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("m")).filter("n > 1")
-    members = settle(buckets.join(shared, "band").select("band", "c", "m"), "buckets")
+    shared = settle(buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
+    # a bucket's pivot: the class that meets most others in all its buckets
+    weight = buckets.join(shared, "band").groupBy("c").agg(F.sum("n").alias("w"))
+    members = settle(buckets.join(shared.select("band"), "band", "left_semi").join(weight, "c"), "buckets")
+    pivots = members.groupBy("band").agg(F.max(F.struct("w", "c"))["c"].alias("m"))
+    members = settle(members.join(pivots, "band").select("band", "c", "m"), "members")
     runs = signed.select(F.col("content").alias("c"), "runs", key).join(members.select("c").distinct(), "c", "left_semi")
     runs = settle(runs.join(kept.select(key), key, "left_semi").select("c", "runs").dropDuplicates(["c"]), "runs")
-    links = None
-    label = None
-    open_ = members
-    tried = None
-    while True:
-        # every class of a bucket against the least of those not joined to it yet
-        pairs = open_.filter("c != m").select(F.greatest("c", "m").alias("a"), F.least("c", "m").alias("b")).distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
-        pairs = settle(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        found = settle(_similar(pairs, runs, similar), "similar")
-        tried = settle(tried.union(pairs), "tried") if tried is not None else pairs
-        links = links.union(found) if links is not None else found
-        label = components(links)
-        open_ = _next(members, label, tried)
-    numbered = signed.select(key, "content").join(least, "content", "left")
-    if links is None:
-        return numbered.select(key, F.coalesce("k0", key).alias("class_id"), F.lit(0).cast("long").alias("n_links")).groupBy(key).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    limit = 1.0 - similar + 1e-9
+    pairs = members.filter("c != m").select(F.greatest("c", "m").alias("a"), F.least("c", "m").alias("b")).distinct()
+    tried = settle(_distances(pairs, runs), "distances")
+    label = components(tried.filter(F.col("d") <= limit))
+    rest = settle(_distances(_apart(members, label, tried, runs, similar), runs), "distances")
+    links = tried.union(rest).filter(F.col("d") <= limit)
+    label = components(links)
     groups = least.select(F.col("content").alias("node"), "k0").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = groups.groupBy("label").agg(F.min("k0").alias("class_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -249,18 +237,41 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     return out.groupBy(key).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
 
 
-def _next(members: DataFrame, label: DataFrame, tried: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, each with the least class of another component that it was not held against.
+def _apart(members: DataFrame, label: DataFrame, tried: DataFrame, runs: DataFrame, similar: float) -> DataFrame:
+    """The untried pairs of classes of one pivot that are in different components and may be similar.
 
-    Buckets whose classes are all joined are done: more links would join nothing new.
+    If x and y have no element in common outside the pivot, they have at most as many in
+    common as the smaller of their own counts of elements in common with the pivot; sizes then
+    bound their similarity. The other pairs are found by the elements outside the pivot.
     """
-    named = members.drop("m").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    several = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band")
-    rest = settle(named.join(several, "band", "left_semi"), "rest")
-    # against each class of the bucket in turn: the k-th turn takes the least untried one of other components
-    other = rest.select("band", F.col("c").alias("m"), F.col("label").alias("ml"))
-    far = rest.join(other, "band").filter("label != ml").select("band", "c", "m", F.greatest("c", "m").alias("a"), F.least("c", "m").alias("b"))
-    return far.join(tried, ["a", "b"], "left_anti").select("band", "c", "m")
+    star = members.select("m", "c").distinct().withColumns({"a": F.greatest("c", "m"), "b": F.least("c", "m")}).join(tried, ["a", "b"], "left")
+    size = F.when(F.col("c") == F.col("a"), F.col("na")).otherwise(F.col("nb"))
+    star = star.select("m", "c", F.col("i"), size.alias("n")).join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    several = star.groupBy("m").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("m")
+    star = settle(star.filter("c != m").join(several, "m", "left_semi"), "stars")  # every class was held against its pivot itself
+    fit = star.filter(F.col("i") >= similar * F.col("n") - 1e-9)
+    x = fit.select("m", F.col("c").alias("a"), F.col("i").alias("ia"), F.col("n").alias("na"), F.col("label").alias("la"))
+    y = fit.select("m", F.col("c").alias("b"), F.col("i").alias("ib"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    enough = (1 + similar) * F.least("ia", "ib") >= similar * (F.col("na") + F.col("nb")) - 1e-9
+    inside = x.join(y, "m").filter((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & enough).select("a", "b")
+
+    def outside(batches):
+        for batch in batches:
+            rows, found = [], []
+            for k, (x, y) in enumerate(zip(batch.column("rc"), batch.column("rm"))):
+                more = np.setdiff1d(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4"), assume_unique=True)
+                rows.append(np.full(len(more), k))
+                found.append(more.astype(np.int64))
+            rows = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("m").take(rows), batch.column("c").take(rows), batch.column("label").take(rows), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["m", "c", "label", "element"])
+
+    both = star.join(runs.select("c", F.col("runs").alias("rc")), "c").join(runs.select(F.col("c").alias("m"), F.col("runs").alias("rm")), "m")
+    extra = settle(both.mapInArrow(outside, "m long, c long, label long, element long"), "outside")
+    shared = extra.groupBy("m", "element").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("m", "element")
+    extra = settle(extra.join(shared, ["m", "element"], "left_semi"), "outside")
+    met = extra.select("m", "element", F.col("c").alias("a"), F.col("label").alias("la")).join(extra.select("m", "element", F.col("c").alias("b"), F.col("label").alias("lb")), ["m", "element"])
+    met = met.filter((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b")
+    return inside.union(met).distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
