@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm import _text as tx
@@ -242,7 +242,7 @@ def _apart(members: DataFrame, label: DataFrame, tried: DataFrame, runs: DataFra
 
     If x and y have no element in common outside the pivot, they have at most as many in
     common as the smaller of their own counts of elements in common with the pivot; sizes then
-    bound their similarity. The other pairs are found by the elements outside the pivot.
+    bound their similarity. The other pairs are found by their rarest elements outside the pivot.
     """
     star = members.select("m", "c").distinct().withColumns({"a": F.greatest("c", "m"), "b": F.least("c", "m")}).join(tried, ["a", "b"], "left")
     size = F.when(F.col("c") == F.col("a"), F.col("na")).otherwise(F.col("nb"))
@@ -267,8 +267,15 @@ def _apart(members: DataFrame, label: DataFrame, tried: DataFrame, runs: DataFra
 
     both = star.join(runs.select("c", F.col("runs").alias("rc")), "c").join(runs.select(F.col("c").alias("m"), F.col("runs").alias("rm")), "m")
     extra = settle(both.mapInArrow(outside, "m long, c long, label long, element long"), "outside")
-    shared = extra.groupBy("m", "element").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("m", "element")
-    extra = settle(extra.join(shared, ["m", "element"], "left_semi"), "outside")
+    # similar classes of sizes n have at least t elements outside the pivot in common, so they meet among the
+    # rarest |outside| - t + 1 of each, in any one order; elements of one component only come first
+    known = extra.groupBy("m", "element").agg(F.count("*").alias("often"), (F.min("label") != F.max("label")).alias("joins"))
+    sizes = star.join(star.groupBy("m").agg(F.min("n").alias("least")), "m")
+    t = F.ceil(similar / (1 + similar) * (F.col("n") + F.greatest(similar * F.col("n"), F.col("least"))) - F.col("i") - 1e-9)
+    sizes = sizes.select("m", "c", F.greatest(t, F.lit(1)).alias("t"))
+    own = Window.partitionBy("m", "c")
+    ranked = extra.join(known, ["m", "element"]).withColumns({"rank": F.row_number().over(own.orderBy("joins", "often", "element")), "all": F.count("*").over(own)})
+    extra = settle(ranked.join(sizes, ["m", "c"]).filter(F.col("joins") & (F.col("rank") <= F.col("all") - F.col("t") + 1)).select("m", "element", "c", "label"), "outside")
     met = extra.select("m", "element", F.col("c").alias("a"), F.col("label").alias("la")).join(extra.select("m", "element", F.col("c").alias("b"), F.col("label").alias("lb")), ["m", "element"])
     met = met.filter((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b")
     return inside.union(met).distinct().join(tried, ["a", "b"], "left_anti")
