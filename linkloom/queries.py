@@ -1,11 +1,460 @@
-"""Registered queries of the link engine."""
+"""Registered queries of the link engine, each with the SQL that says the same.
+
+The tables hold no HTTP observations; where a query needs one, its columns follow from the row's
+key by plain arithmetic, in Spark and in SQL alike.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from linkloom.functions import text as tx
+from linkloom.functions import urls as ux
+from linkloom.operators import cache as cx
+from linkloom.operators import extract, fixes, local
+from linkloom.operators import verdicts as vx
+from linkloom.plans import report
+from linkloom.sources import files
+
+Q: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages")
+
+
+def _hrefs(spark, sf_dir) -> DataFrame:
+    """page_id, page url, href: one row an occurrence."""
+    return _pages(spark, sf_dir).select("page_id", F.col("url").alias("page_url"), F.explode(extract.hrefs(F.col("html"))).alias("href"))
+
+
+HREF = "SELECT page_id, url AS page_url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages"
+
+
+def page_link_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links per page: all, different ones, and those to a path that no page has."""
+    links = _hrefs(spark, sf_dir)
+    catalogue = _pages(spark, sf_dir).select(ux.path(F.col("url")).alias("href")).distinct()
+    distinct = links.groupBy("page_id", "href").agg(F.count("*").alias("n"))
+    broken = distinct.join(catalogue.withColumn("there", F.lit(True)), "href", "left")
+    return broken.groupBy("page_id").agg(F.sum("n").alias("n_links"), F.count("*").alias("n_unique"), F.count_if(F.col("there").isNull()).alias("n_missing"))
+
+
+PATH = "CASE WHEN regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END"
+HOST = "nullif(lower(regexp_replace(regexp_replace(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '')"
+Q["page_link_report"] = page_link_report
+SQL["page_link_report"] = f"WITH h AS ({HREF}), d AS (SELECT page_id, href, count(*) n FROM h GROUP BY 1, 2), c AS (SELECT DISTINCT {PATH.format('url')} AS p FROM pages) SELECT page_id, sum(n)::BIGINT AS n_links, count(*) AS n_unique, count(*) FILTER (p IS NULL) AS n_missing FROM d LEFT JOIN c ON href = p GROUP BY 1"
+
+
+@query(HREF)
+def html_links(spark, sf_dir):
+    """The fast path of HTML extraction, for quoted attributes."""
+    return _hrefs(spark, sf_dir)
+
+
+@query("""WITH p AS (SELECT page_id, html, string_split(html, 'href="') AS s FROM pages), e AS (SELECT page_id, html, s, unnest(range(2, len(s) + 1)) AS i FROM p),
+x AS (SELECT page_id, array_to_string(s[1:i - 1], 'href="') || 'href="' AS prefix, string_split(s[i], '"')[1] AS href FROM e)
+SELECT page_id, href, length(prefix) - length(replace(prefix, chr(10), '')) + 1 AS line, length(list_last(string_split(prefix, chr(10)))) + 1 AS col, strlen(prefix) AS start_byte, strlen(prefix) + strlen(href) AS end_byte FROM x""")
+def link_positions(spark, sf_dir):
+    """Location and byte span of every link, by the extractor itself."""
+    docs = _pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("format"), F.encode("html", "utf-8").alias("content"))
+    return extract.links(docs).select(F.col("path").cast("long").alias("page_id"), F.col("url").alias("href"), F.col("location.line").alias("line"), F.col("location.column").alias("col"), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"))
+
+
+@query(f"WITH l AS (SELECT href AS u FROM ({HREF}) UNION ALL SELECT url FROM pages) SELECT CASE WHEN regexp_matches(u, '^https?://') THEN 'http' WHEN starts_with(u, '#') THEN 'anchor' WHEN NOT regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'local' ELSE 'other' END AS kind, count(*) AS n FROM l GROUP BY 1")
+def link_kinds(spark, sf_dir):
+    """All links, and the pages' own URLs, by kind."""
+    both = _hrefs(spark, sf_dir).select(F.col("href").alias("u")).unionByName(_pages(spark, sf_dir).select(F.col("url").alias("u")))
+    return both.groupBy(ux.link_kind(F.col("u")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH h AS ({HREF}) SELECT (SELECT count(*) FROM h) AS n_links, (SELECT count(*) FROM (SELECT DISTINCT page_id, href FROM h)) AS n_local_groups, (SELECT count(DISTINCT href) FROM h) AS n_unique")
+def unique_links(spark, sf_dir):
+    """Occurrences, groups that local checks run on, and distinct links."""
+    return _hrefs(spark, sf_dir).agg(F.count("*").alias("n_links"), F.countDistinct("page_id", "href").alias("n_local_groups"), F.countDistinct("href").alias("n_unique"))
+
+
+@query("SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, 'utm_[a-z]+=') AND NOT regexp_matches(url, '[.]html$')")
+def url_regex_exclude(spark, sf_dir):
+    return _pages(spark, sf_dir).filter(~ux.excluded_by_pattern(F.col("url"), ["utm_[a-z]+=", "[.]html$"])).select("page_id", "url")
+
+
+@query(f"SELECT page_id, url FROM pages WHERE {HOST.format('url')} IS NULL OR NOT ({HOST.format('url')} = 'example.net' OR ends_with({HOST.format('url')}, '.example.net'))")
+def domain_exclude(spark, sf_dir):
+    return _pages(spark, sf_dir).filter(~ux.excluded_by_domain(F.col("url"), ["Example.net"])).select("page_id", "url")
+
+
+@query("SELECT page_id, lower(regexp_extract(u, '^[a-z]+://[^/?]*')) || CASE WHEN regexp_matches(u, '^[a-z]+://[^/?]*/') THEN '' ELSE '/' END || substr(u, length(regexp_extract(u, '^[a-z]+://[^/?]*')) + 1) AS normalised FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages)")
+def normalised_urls(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", ux.normalised(F.col("url")).alias("normalised"))
+
+
+@query(f"SELECT {HOST.format('url')} || CASE WHEN starts_with(url, 'https') THEN ':443' ELSE ':80' END AS host_key, count(*) AS n FROM pages GROUP BY 1")
+def host_keys(spark, sf_dir):
+    """URLs of each host, whose requests are limited together."""
+    return _pages(spark, sf_dir).groupBy(ux.host_key(F.col("url")).alias("host_key")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id, 'https://' || {HOST.format('url')} || '/api/v' || (page_id % 9 + 1) || '/x' AS upgraded FROM pages")
+def version_upgrades(spark, sf_dir):
+    """Synthetic: a versioned URL of each host."""
+    u = F.concat(F.lit("https://"), ux.host(F.col("url")), F.lit("/api/v"), (F.col("page_id") % 9).cast("string"), F.lit("/x"))
+    return _pages(spark, sf_dir).select("page_id", ux.version_upgrade(u).alias("upgraded"))
+
+
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> ''))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, source, {_WORDS} AS w FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS common, len(a.w) AS na, len(b.w) AS nb
+FROM d a JOIN d b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id AND len(a.w) >= 3 AND len(b.w) >= 3) SELECT a, b, common::BIGINT AS common, (na + nb - common)::BIGINT AS all_words FROM p WHERE common * 10 >= 9 * (na + nb - common)""")
+def soft_404_pairs(spark, sf_dir):
+    """Documents of one source and language whose word sets have a similarity of 0.9 at least.
+
+    The first tenth of a document's words, rarest first, must meet the other's: only such pairs
+    are compared, so that a large source is not paired with itself.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", tx.words(F.col("text")).alias("w")).filter(F.size("w") >= 3)
+    each = d.select("doc_id", "lang", "source", F.size("w").alias("n"), F.explode("w").alias("word"))
+    often = each.groupBy("lang", "source", "word").agg(F.count("*").alias("often"))
+    place = Window.partitionBy("doc_id").orderBy("often", "word")
+    prefix = each.join(often, ["lang", "source", "word"]).withColumn("r", F.row_number().over(place)).filter(F.col("r") <= F.col("n") - F.ceil(0.9 * F.col("n") - 1e-9) + 1)
+    left = prefix.select("lang", "source", "word", F.col("doc_id").alias("a"), F.col("n").alias("na"))
+    right = prefix.select("lang", "source", "word", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    pairs = left.join(right, ["lang", "source", "word"]).filter((F.col("a") < F.col("b")) & (10 * F.least("na", "nb") >= 9 * F.greatest("na", "nb"))).select("a", "b").distinct()
+    both = pairs.join(d.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").join(d.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b")
+    common = F.size(F.array_intersect("wa", "wb")).cast("long")
+    out = both.select("a", "b", common.alias("common"), (F.size("wa") + F.size("wb") - common).cast("long").alias("all_words"))
+    return out.filter(10 * F.col("common") >= 9 * F.col("all_words"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'this page is deprecated' WHEN 2 THEN 'this page has been archived' WHEN 3 THEN 'has been superseded' END AS phrase FROM documents""")
+def staleness_banner(spark, sf_dir):
+    """Synthetic: a phrase in capitals behind some documents."""
+    said = F.when(F.col("doc_id") % 5 == 1, "THIS PAGE IS DEPRECATED").when(F.col("doc_id") % 5 == 2, "This Page Has Been Archived").when(F.col("doc_id") % 5 == 3, "it HAS BEEN superseded").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.staleness(F.concat_ws(" ", "text", said)).alias("phrase"))
+
+
+@query("SELECT event_id, ts < TIMESTAMP '2027-01-01' - INTERVAL 730 DAY AS old FROM events")
+def far_past(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", vx.far_past(F.col("ts"), F.lit("2027-01-01").cast("timestamp")).alias("old"))
+
+
+_STATUS = "[200, 404, 403, 500, 301, 410, 451, 401, 429, 204][(o_orderkey % 10)::INT + 1]"
+
+
+def _status(key: str = "o_orderkey", shift: int = 0):
+    return F.element_at(F.array(*(F.lit(x) for x in (200, 404, 403, 500, 301, 410, 451, 401, 429, 204))), ((F.col(key) + shift) % 10 + 1).cast("int"))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'network-error' WHEN s NOT BETWEEN 200 AND 299 THEN 'http-status' END AS reason,
+CASE WHEN o_orderkey % 13 = 0 THEN 'likely-dead' WHEN s BETWEEN 200 AND 299 THEN NULL WHEN s IN (401, 403) THEN 'auth-walled' WHEN s IN (404, 410, 451) THEN 'dead-certain' ELSE 'suspect' END AS confidence FROM (SELECT o_orderkey, {_STATUS} AS s FROM orders)""")
+def status_verdicts(spark, sf_dir):
+    """Synthetic status and errors by order key."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", _status().alias("s"), F.when(F.col("o_orderkey") % 13 == 0, "timeout").alias("e"))
+    reason = vx.outcome(F.col("s"), F.lit(None).cast("string"), F.col("e"))
+    return o.select("o_orderkey", reason.alias("reason"), vx.confidence(reason, F.col("s")).alias("confidence"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN s IN (403, 405, 501) THEN g ELSE s END AS status FROM (SELECT o_orderkey, {_STATUS} AS s, {_STATUS.replace('o_orderkey % 10', '(o_orderkey + 3) % 10')} AS g FROM orders)")
+def head_get_fallback(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", vx.final_status(_status(), _status(shift=3)).alias("status"))
+
+
+_EDGES = "SELECT 'u' || k AS url, 'u' || CASE WHEN k % 40 = 39 THEN k - 1 WHEN k % 40 = 0 THEN k + 1000000 ELSE k + 1 END AS target FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 4 <> 3)"
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), walk AS (SELECT url AS start, 0 AS hop, url, [url] AS seen, false AS looped FROM e UNION ALL
+SELECT w.start, w.hop + 1, e.target, list_append(w.seen, e.target), list_contains(w.seen, e.target) FROM walk w JOIN e ON w.url = e.url WHERE w.hop < 11 AND NOT w.looped),
+l AS (SELECT *, max(hop) OVER (PARTITION BY start) AS last FROM walk) SELECT start, hop, url, CASE WHEN hop = last THEN CASE WHEN looped THEN 'loop' WHEN hop > 10 THEN 'limit' ELSE 'terminal' END END AS "end" FROM l""")
+def redirect_closure(spark, sf_dir):
+    """Synthetic redirects along order keys."""
+    k = F.col("o_orderkey")
+    e = table(spark, sf_dir, "orders").filter(k % 4 != 3).select(F.concat(F.lit("u"), k.cast("string")).alias("url"), F.concat(F.lit("u"), F.when(k % 40 == 39, k - 1).when(k % 40 == 0, k + 1000000).otherwise(k + 1).cast("string")).alias("target"))
+    return vx.closures(e)
+
+
+def _chains(spark, sf_dir):
+    """Synthetic: page_id, status, hops of two redirects."""
+    p = _pages(spark, sf_dir)
+    code = lambda k: F.when((F.col("page_id") + k) % 3 == 0, 302).otherwise(301)
+    where = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://sso."), ux.host(F.col("url")), F.lit("/x"))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://h.test/SignIn?p="), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("https://h.test/p/"), F.col("page_id").cast("string")))
+    hop = lambda s, u: F.struct(s.cast("int").alias("status"), u.alias("url"))
+    return p.select("page_id", F.when(F.col("page_id") % 5 == 0, 404).otherwise(200).alias("status"), F.array(hop(code(0), where), hop(code(F.col("page_id") % 2), F.lit("https://h.test/end"))).alias("hops"))
+
+
+@query("SELECT page_id, page_id % 5 <> 0 AND page_id % 3 <> 0 AND (page_id + page_id % 2) % 3 <> 0 AS permanent FROM pages")
+def permanent_redirects(spark, sf_dir):
+    return _chains(spark, sf_dir).select("page_id", vx.permanent_redirect(F.col("status"), F.col("hops")).alias("permanent"))
+
+
+@query("SELECT page_id, page_id % 4 IN (0, 1) AS wall FROM pages")
+def login_walls(spark, sf_dir):
+    return _chains(spark, sf_dir).select("page_id", vx.login_wall(F.col("hops")).alias("wall"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 4 IN (0, 1) THEN 'login-wall' WHEN page_id % 5 <> 0 AND page_id % 3 <> 0 AND (page_id + page_id % 2) % 3 <> 0 THEN 'permanent-redirect' WHEN page_id % 5 = 0 THEN NULL
+WHEN page_id % 7 = 0 THEN 'far-past' WHEN page_id % 11 = 0 THEN 'staleness-banner' WHEN page_id % 2 = 0 THEN 'version-drift' WHEN page_id % 3 = 0 THEN 'soft-404' END AS reason FROM pages""")
+def rule_cascade(spark, sf_dir):
+    """All heuristics in order, on synthetic observations."""
+    c = _chains(spark, sf_dir)
+    k = F.col("page_id")
+    now = F.lit("2027-01-01").cast("timestamp")
+    modified = F.when(k % 7 == 0, F.lit("2020-01-01").cast("timestamp"))
+    body = F.when(k % 11 == 0, "This page is DEPRECATED").otherwise("text")
+    reason = vx.cascade(F.concat(F.lit("https://h.test/v1/"), k.cast("string")), F.col("status"), F.col("hops"), modified, body, F.when(k % 2 == 0, 200).otherwise(404), F.when(k % 3 == 0, 200).otherwise(404), F.lit(1.0), now)
+    return c.select("page_id", reason.alias("reason"))
+
+
+@query(f"""SELECT o_orderkey, a AS attempt, CASE WHEN s = 429 THEN greatest(least(30000, (o_orderkey % 50) * 1000), least(30000, 1000 * pow(2, a))) ELSE least(30000, 1000 * pow(2, a)) END::BIGINT AS wait_ms
+FROM (SELECT o_orderkey, {_STATUS} AS s, unnest(range(0, 6))::INT AS a FROM orders) WHERE s >= 500 OR s IN (408, 429)""")
+def retry_schedule(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", _status().alias("s")).filter(vx.retryable(F.col("s")))
+    each = o.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    return each.select("o_orderkey", "attempt", vx.wait_ms(F.col("s"), F.col("attempt"), F.col("o_orderkey") % 50).alias("wait_ms"))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN NOT (s IN (401, 403) OR o_orderkey % 17 = 0 OR (s IN (429, 503) AND o_orderkey % 3 = 0)) THEN 1 WHEN s IN (401, 403) OR (s IN (403, 429, 503) AND o_orderkey % 6 = 0) THEN 3 ELSE 2 END AS tier FROM (SELECT o_orderkey, {_STATUS} AS s FROM orders)""")
+def tier_escalation(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", _status().alias("s"))
+    up = vx.escalates_to_cookies(F.col("s"), F.when(k % 17 == 0, "login-wall"), F.when(k % 3 == 0, "github.com").otherwise("h.test"))
+    more = vx.escalates_to_browser(vx.confidence(F.when(F.col("s") != 429, "http-status"), F.col("s")), F.col("s"), F.when(k % 6 == 0, "a CAPTCHA"))
+    return o.select("o_orderkey", F.when(~up, 1).when(more, 3).otherwise(2).alias("tier"))
+
+
+_COOKIES = [("example.net", False, "/", False, None, "a", "1"), (".example.org", False, "/en", False, None, "b", "2"), ("example.com", True, "/", False, None, "c", "3"), ("example.com", False, "/de/", True, None, "d", "4"), ("example.net", False, "/", False, 5, "old", "x")]
+_VALUES = ", ".join("(" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, (bool, int)) else f"'{v}'" for v in c) + ")" for c in _COOKIES)
+
+
+@query(f"""WITH c AS (SELECT * FROM (VALUES {_VALUES}) t(domain, host_only, p, secure, expires, name, v)), u AS (SELECT page_id, url, {HOST.format('url')} AS h, {PATH.format('url')} AS path FROM pages)
+SELECT page_id, string_agg(name || '=' || v, '; ' ORDER BY name) AS cookie FROM u JOIN c ON (h = ltrim(domain, '.') OR (NOT host_only AND ends_with(h, '.' || ltrim(domain, '.')))) AND (path = p OR (starts_with(path, p) AND (ends_with(p, '/') OR substr(path, length(p) + 1, 1) = '/')))
+AND (NOT secure OR starts_with(url, 'https:')) AND (expires IS NULL OR expires > 1000) GROUP BY page_id""")
+def cookie_headers(spark, sf_dir):
+    """The Cookie header of each page from a short list of cookies (a setting, so broadcast), joined on domain suffixes."""
+    c = spark.createDataFrame(_COOKIES, "domain string, host_only boolean, cookie_path string, secure boolean, expires long, name string, v string")
+    u = _pages(spark, sf_dir).select("page_id", ux.host(F.col("url")).alias("h"), ux.path(F.col("url")).alias("path"), (ux.scheme(F.col("url")) == "https").alias("https"))
+    labels = F.split("h", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    each = u.select("*", F.explode(suffixes).alias("d"))
+    fit = each.join(F.broadcast(c.withColumn("d", F.ltrim(F.lower("domain"), F.lit(".")))), "d").filter(vx.cookie_applies(F.col("h"), F.col("path"), F.col("https"), F.lit(1000)))
+    return fit.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "v"))), lambda x: F.concat(x["name"], F.lit("="), x["v"])), "; ").alias("cookie"))
+
+
+@query("SELECT page_id, (n % 4)::INT AS slot FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS n FROM pages WHERE page_id % 3 = 0) WHERE n < 25")
+def browser_budget(spark, sf_dir):
+    """The first 25 escalations of a run, dealt to four slots; a top-k of the run."""
+    top = _pages(spark, sf_dir).filter("page_id % 3 = 0").select("page_id").orderBy("page_id").limit(25)
+    return top.select("page_id", ((F.row_number().over(Window.orderBy("page_id")) - 1) % 4).alias("slot"))
+
+
+def _cache(spark, sf_dir):
+    """Synthetic cache rows for two of three pages."""
+    k = F.col("page_id")
+    verdict = F.when(k % 5 == 0, "{bad").when(k % 5 == 1, '{"confidence":"auth-walled"}').when(k % 5 == 2, '{"confidence":"suspect"}')
+    return _pages(spark, sf_dir).filter(k % 3 != 0).select(F.concat(ux.normalised(F.col("url")), F.lit("|"), k.cast("string")).alias("url"), verdict.alias("verdict_json"), (100000 - (k % 10) * 10).alias("checked_at"), (k % 3).cast("int").alias("tier"))
+
+
+def _looked(spark, sf_dir):
+    urls = _pages(spark, sf_dir).select("page_id", F.concat(ux.normalised(F.col("url")), F.lit("|"), F.col("page_id").cast("string")).alias("url"))
+    return cx.lookup(urls, _cache(spark, sf_dir), now=100000, ttl=60, cap=2)
+
+
+_HIT = "page_id % 3 <> 0 AND (page_id % 10) * 10 <= 60 AND page_id % 5 <> 0 AND (page_id % 5 <> 1 OR page_id % 3 >= 2)"
+
+
+@query(f"SELECT page_id, {_HIT} AS hit FROM pages")
+def cache_lookup(spark, sf_dir):
+    return _looked(spark, sf_dir).select("page_id", "hit")
+
+
+@query(f"SELECT count(*) FILTER ({_HIT}) AS hits, count(*) FILTER (NOT ({_HIT})) AS misses, count(*) FILTER (page_id % 3 <> 0) AS entries FROM pages")
+def cache_stats(spark, sf_dir):
+    return cx.stats(_looked(spark, sf_dir), _cache(spark, sf_dir))
+
+
+@query("SELECT page_id % 100 AS k, max(page_id) AS checked_at FROM pages GROUP BY 1")
+def cache_upsert(spark, sf_dir):
+    """Pages as cache rows of 100 URLs: the newest stays."""
+    rows = _pages(spark, sf_dir).select((F.col("page_id") % 100).cast("string").alias("url"), F.lit(None).cast("string").alias("verdict_json"), F.col("page_id").alias("checked_at"), F.lit(1).alias("tier"))
+    return cx.upsert(rows.filter("checked_at % 2 = 0"), rows.filter("checked_at % 2 = 1")).select(F.col("url").cast("long").alias("k"), "checked_at")
+
+
+@query(f"WITH h AS ({HREF}), c AS (SELECT DISTINCT {PATH.format('url')} AS p FROM pages) SELECT page_id, href FROM (SELECT DISTINCT page_id, href FROM h) ANTI JOIN c ON href = p")
+def local_missing(spark, sf_dir):
+    """Rooted links to a path that no page has."""
+    links = _hrefs(spark, sf_dir).select(F.concat(F.lit("/#"), F.col("page_id").cast("string")).alias("path"), F.col("href").alias("url"))
+    catalogue = _pages(spark, sf_dir).select(ux.path(F.col("url")).alias("path"))
+    return local.missing(links, catalogue).select(F.substring("path", 3, 20).cast("long").alias("page_id"), F.col("url").alias("href"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(lower('Part #' || p_partkey || ': Über_das  ' || p_partkey % 7), '[^\\p{L}\\p{N}\\s_-]', '', 'g'), '\\s', '-', 'g') AS slug FROM part")
+def heading_slugs(spark, sf_dir):
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", tx.slug(F.concat(F.lit("Part #"), k.cast("string"), F.lit(": Über_das  "), (k % 7).cast("string"))).alias("slug"))
+
+
+@query("SELECT page_id, '/d' || page_id % 20 || '#a' || page_id % 7 AS url FROM pages WHERE page_id % 7 >= 5")
+def anchor_missing(spark, sf_dir):
+    """Synthetic: 20 documents with anchors a0 to a4, and links to a0 to a6."""
+    k = F.col("page_id")
+    links = _pages(spark, sf_dir).select(k.cast("string").alias("path"), F.concat(F.lit("/d"), (k % 20).cast("string"), F.lit("#a"), (k % 7).cast("string")).alias("url"))
+    docs = spark.range(20).select(F.concat(F.lit("/d"), F.col("id").cast("string")).alias("path"))
+    anchors = docs.select("path", F.explode(F.array(*(F.lit(f"a{i}") for i in range(5)))).alias("anchor"))
+    return local.missing(links, docs, anchors).select(F.col("path").cast("long").alias("page_id"), "url")
+
+
+@query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'bad' WHEN 1 THEN 'ok' WHEN 2 THEN 'bad' WHEN 3 THEN 'ok' WHEN 4 THEN 'bad' ELSE 'bad' END AS verdict FROM pages")
+def mailto_tel_syntax(spark, sf_dir):
+    u = F.element_at(F.array(*(F.lit(x) for x in ("mailto:a@b", "MAILTO:a@b.test", "mailto:a b@c.test", "tel:+1 (2) 3-4", "TEL:12x", "mailto:@x.y"))), (F.col("page_id") % 6 + 1).cast("int"))
+    links = _pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("path"), u.alias("url"))
+    bad = local.contacts(links).select(F.col("path").cast("long").alias("page_id"), F.lit("bad").alias("v"))
+    return _pages(spark, sf_dir).select("page_id").join(bad, "page_id", "left").select("page_id", F.coalesce("v", F.lit("ok")).alias("verdict"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://h.test/' || page_id WHEN page_id % 3 = 1 THEN 'https://h.test/v2/' || page_id END AS replacement_url, CASE page_id % 3 WHEN 0 THEN 'redirect-target' WHEN 1 THEN 'version-upgrade' END AS origin FROM pages")
+def suggested_fixes(spark, sf_dir):
+    k = F.col("page_id")
+    e = lambda kind, d: F.struct(F.lit(kind).alias("kind"), d.alias("detail"))
+    evidence = F.array(e("redirect-chain", F.lit("a -> b")), e("redirect-target", F.lit("ftp://x")), e("redirect-target", F.concat(F.lit("https://h.test/"), k.cast("string"))), e("version-upgrade", F.concat(F.lit("https://h.test/v2/"), k.cast("string"))))
+    fix = fixes.suggested(F.when(k % 3 == 0, "permanent-redirect").when(k % 3 == 1, "version-drift").otherwise("far-past"), evidence)
+    return _pages(spark, sf_dir).select("page_id", fix["replacement_url"].alias("replacement_url"), fix["origin"].alias("origin"))
+
+
+@query("SELECT page_id % 10 AS doc, count(*) AS n FROM pages WHERE page_id % 4 >= 2 AND page_id % 10 <> 1 AND page_id % 2 = 0 GROUP BY 1")
+def fix_selection(spark, sf_dir):
+    """Synthetic findings: those certain enough, without PDFs and redirects, by document."""
+    k = F.col("page_id")
+    f = _pages(spark, sf_dir).select(F.col("url").alias("replacement_url"), (k % 10).alias("doc"), F.when(k % 10 == 1, "pdf").otherwise("html").alias("format"), F.when(k % 2 == 0, "version-upgrade").otherwise("redirect-target").alias("origin"), (k % 4).alias("rank"))
+    return fixes.selected(f, 2, ["pdf", "redirect"]).groupBy("doc").agg(F.count("*").alias("n"))
+
+
+@query("SELECT (page_id % 50)::VARCHAR AS path, (page_id % 5)::VARCHAR AS old FROM pages GROUP BY 1, 2 HAVING count(DISTINCT page_id % 3) > 1")
+def fix_conflicts(spark, sf_dir):
+    k = F.col("page_id")
+    return fixes.conflicts(_pages(spark, sf_dir).select((k % 50).cast("string").alias("path"), (k % 5).cast("string").alias("old"), (k % 3).cast("string").alias("new")))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS path, l_linenumber * 10 AS s, l_linenumber * 10 + l_quantity::BIGINT AS e FROM lineitem), w AS (SELECT *, lag(e) OVER (PARTITION BY path ORDER BY s, e) AS b FROM e) SELECT path, s AS start, e AS "end" FROM w WHERE s < b""")
+def edit_overlaps(spark, sf_dir):
+    """Line items as edits of their order."""
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_linenumber").cast("long") * 10).alias("start"), (F.col("l_linenumber").cast("long") * 10 + F.col("l_quantity").cast("long")).alias("end"))
+    return fixes.overlaps(e)
+
+
+def _findings(spark, sf_dir) -> DataFrame:
+    """Synthetic findings of the orders: path, format, url, line, column, reason, detail, confidence."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("doc"), (k % 97).cast("string"), F.lit(".md")).alias("path"), F.lit("markdown").alias("format"), F.concat(F.lit("https://h.test/"), k.cast("string")).alias("url"), (k % 31 + 1).alias("line"), (k % 7 + 1).alias("column"), _status().alias("s"))
+    o = o.withColumn("reason", vx.outcome(F.col("s"), F.lit(None).cast("string"), F.lit(None).cast("string"))).filter("reason is not null")
+    return o.select("path", "format", "url", "line", "column", "reason", F.col("s").cast("string").alias("detail"), vx.confidence(F.col("reason"), F.col("s")).alias("confidence"))
+
+
+_FIND = f"SELECT 'doc' || o_orderkey % 97 || '.md' AS path, 'https://h.test/' || o_orderkey AS url, o_orderkey % 31 + 1 AS line, o_orderkey % 7 + 1 AS col, s, CASE WHEN s IN (401, 403) THEN 'auth-walled' WHEN s IN (404, 410, 451) THEN 'dead-certain' ELSE 'suspect' END AS confidence FROM (SELECT o_orderkey, {_STATUS} AS s FROM orders) WHERE s NOT BETWEEN 200 AND 299"
+
+
+@query(f"SELECT CASE confidence WHEN 'dead-certain' THEN 0 WHEN 'auth-walled' THEN 3 ELSE 4 END AS \"order\", upper(confidence) AS confidence, url, path || ':' || line || ':' || col AS source, 'HTTP ' || s AS reason FROM ({_FIND})")
+def report_rows(spark, sf_dir):
+    return report.rows(_findings(spark, sf_dir))
+
+
+@query(f"SELECT count(*) FILTER (confidence = 'dead-certain') AS dead_certain, 0::BIGINT AS likely_dead, 0::BIGINT AS outdated, count(*) FILTER (confidence = 'auth-walled') AS auth_walled, 0::BIGINT AS suspect FROM ({_FIND})")
+def confidence_counts(spark, sf_dir):
+    """After the least confidence to report."""
+    return report.counts(report.filtered(_findings(spark, sf_dir), "auth-walled"))
+
+
+@query(f"SELECT 1 AS exit_code FROM ({_FIND}) HAVING count(*) FILTER (confidence = 'dead-certain') > 0")
+def exit_codes(spark, sf_dir):
+    return _findings(spark, sf_dir).agg(report.exit_code(_findings(spark, sf_dir), "dead-certain"))
+
+
+@query(f"SELECT DISTINCT 'SL0001' AS id, 'http-status' AS name FROM ({_FIND})")
+def sarif_rules(spark, sf_dir):
+    return report.sarif_rules(_findings(spark, sf_dir))
+
+
+@query(f"SELECT 'SL0001' AS rule_id, CASE confidence WHEN 'dead-certain' THEN 'error' ELSE 'note' END AS level, CASE confidence WHEN 'dead-certain' THEN 100.0 WHEN 'auth-walled' THEN 40.0 ELSE 20.0 END::DOUBLE AS rank, path AS uri, url, line, col AS \"column\" FROM ({_FIND})")
+def sarif_results(spark, sf_dir):
+    return report.sarif_results(_findings(spark, sf_dir))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'flag' WHEN o_orderkey % 3 = 0 THEN 'env' WHEN o_orderkey % 2 = 0 THEN 'toml' ELSE 'default' END AS value FROM orders")
+def config_precedence(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.when(k % 7 == 0, "flag"), F.when(k % 3 == 0, "env"), F.when(k % 2 == 0, "toml"), F.lit("default")).alias("value"))
+
+
+@query("""WITH k AS (SELECT * FROM (VALUES (0, 'retries'), (1, 'timeout'), (2, 'exclude'), (3, 'include')) t(i, name)), b AS (SELECT * FROM (VALUES ('retry'), ('timout'), ('inclde'), ('exlude')) t(bad)) SELECT bad, arg_min(name, levenshtein(bad, name) * 100 + i) AS meant FROM b, k GROUP BY bad""")
+def did_you_mean(spark, sf_dir):
+    """The nearest known setting of each unknown one; two short fixed lists."""
+    bad = spark.createDataFrame([("retry",), ("timout",), ("inclde",), ("exlude",)], "bad string")
+    known = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("name")) for i, n in enumerate(("retries", "timeout", "exclude", "include"))))
+    best = bad.select("bad", F.explode(known).alias("k")).groupBy("bad").agg(F.min_by("k.name", F.struct(F.levenshtein("bad", "k.name"), "k.i")).alias("meant"))
+    return best
+
+
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'markdown' WHEN 2 THEN 'html' WHEN 3 THEN 'text' WHEN 4 THEN 'docx' END AS format FROM pages WHERE page_id % 6 <> 5""")
+def detect_formats(spark, sf_dir):
+    """Synthetic files: magic over extension, extension over content; binaries of no known kind are left out."""
+    k = F.col("page_id") % 6
+    name = F.element_at(F.array(*(F.lit(x) for x in ("a.txt", "b.MD", "c.html", "noext", "d.docx", "e.bin"))), (k + 1).cast("int"))
+    body = F.when(k == 0, F.encode(F.lit("%PDF-1.7"), "utf-8")).when(k == 5, F.unhex(F.lit("000102030405"))).otherwise(F.encode(F.lit("plain text"), "utf-8"))
+    f = _pages(spark, sf_dir).select(F.concat(F.col("page_id").cast("string"), F.lit("/"), name).alias("path"), F.length(body).cast("long").alias("length"), body.alias("content"))
+    return files.detected(f).select(F.substring_index("path", "/", 1).cast("long").alias("page_id"), "format")
+
+
+@query(f"SELECT page_id, href, CASE WHEN length(href) % 2 = 0 THEN 'dead-certain' ELSE 'suspect' END AS confidence FROM ({HREF})")
+def fan_out(spark, sf_dir):
+    """One verdict a distinct link, joined back to every occurrence."""
+    links = _hrefs(spark, sf_dir)
+    verdicts = links.select("href").distinct().withColumn("confidence", F.when(F.length("href") % 2 == 0, "dead-certain").otherwise("suspect"))
+    return links.join(verdicts, "href").select("page_id", "href", "confidence")
+
+
+def _generated(spark, sf_dir, kind: str, body) -> DataFrame:
+    docs = _pages(spark, sf_dir).select(F.concat(F.col("page_id").cast("string"), F.lit("." + kind)).alias("path"), F.lit(kind).alias("format"), F.encode(body, "utf-8").alias("content"))
+    return extract.links(docs).select("path", "url", F.col("location.line").alias("line"), F.col("location.column").alias("col"), "start", "end")
+
+
+@query("SELECT page_id || '.markdown' AS path, CASE i WHEN 1 THEN url ELSE 'https://ref.test/' || page_id END AS url, CASE i WHEN 1 THEN 1 ELSE 3 END::BIGINT AS line, CASE i WHEN 1 THEN 10 ELSE 6 END::BIGINT AS col, CASE i WHEN 1 THEN 9 ELSE 26 + strlen(url) END AS start, CASE i WHEN 1 THEN 9 + strlen(url) ELSE 26 + strlen(url) + strlen('https://ref.test/' || page_id) END AS \"end\" FROM pages, (VALUES (1), (2)) t(i)")
+def markdown_links(spark, sf_dir):
+    """Generated: an inline link, and a reference with its definition."""
+    return _generated(spark, sf_dir, "markdown", F.concat(F.lit("A [link]("), F.col("url"), F.lit(") [Ref][r]\n\n[r]: https://ref.test/"), F.col("page_id").cast("string"), F.lit("\n")))
+
+
+@query("SELECT page_id || '.text' AS path, 'https://t.test/' || page_id AS url, 2::BIGINT AS line, 5::BIGINT AS col, 12::BIGINT AS start, 12 + strlen('https://t.test/' || page_id) AS \"end\" FROM pages")
+def text_links(spark, sf_dir):
+    """Generated: a URL behind letters of two bytes, and before a full stop."""
+    return _generated(spark, sf_dir, "text", F.concat(F.lit("Intro\nüé: https://t.test/"), F.col("page_id").cast("string"), F.lit(". https://. end")).substr(F.lit(1), F.lit(500)))
+
+
+@query()
+def html_documents_scan(spark, sf_dir):
+    """The whole scan of the pages as documents: findings."""
+    from linkloom.plans.scan import scan
+
+    return scan(files.pages_as_documents(_pages(spark, sf_dir)))[0]
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
