@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):"
 _AUTH = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
@@ -106,7 +107,7 @@ def sibling(url: Column) -> Column:
     return F.concat(base, F.lit("missing-"), F.lower(F.hex(F.xxhash64(url))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def joined(base: pd.Series, target: pd.Series) -> pd.Series:
     """A redirect's target against the URL that names it."""
     return pd.Series([None if b is None or t is None else urljoin(b, t) for b, t in zip(base, target)], dtype=object)

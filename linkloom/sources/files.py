@@ -8,6 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Extension to format.
 EXTENSIONS = {"md": "markdown", "markdown": "markdown", "htm": "html", "html": "html", "txt": "text", "text": "text", "pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx"}
@@ -76,7 +77,7 @@ def _cases(ext: Column) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def zip_format(content: pd.Series) -> pd.Series:
     """docx, xlsx or pptx by a ZIP's member folders."""
     out = []
