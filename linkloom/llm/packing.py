@@ -247,13 +247,22 @@ class Search:
                         return True
         return False
 
-    def run(self, least: int) -> list[list[int]]:
-        left = len(self.bins)
-        for b in sorted(self.open, key=lambda b: (-self.gap[b], b)):
-            if left <= least or not self.open:
+    def run(self, least: int, passes: int = 8) -> list[list[int]]:
+        """Takes bins apart, emptiest first, again while exchanges still change any; stops at ``least`` bins."""
+        left = sum(1 for b in self.bins if b)
+        for _ in range(passes):
+            before = sum(g * g for g in self.gap)
+            for b, g in enumerate(self.gap):  # bins that could not be emptied take part again
+                if 0 < g and self.bins[b] and b not in self.open:
+                    self.open.add(b)
+                    self._enter(b)
+            for b in sorted(self.open, key=lambda b: (-self.gap[b], b)):
+                if left <= least or not self.open:
+                    break
+                if b in self.open and self.take_apart(b):
+                    left -= 1
+            if left <= least or sum(g * g for g in self.gap) == before:
                 break
-            if b in self.open and self.take_apart(b):
-                left -= 1
         return [b for b in self.bins if b]
 
 
