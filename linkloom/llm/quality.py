@@ -126,6 +126,7 @@ def _base_failed():
 
 
 P = len(VECTOR)
+SALT = 64
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
@@ -174,8 +175,11 @@ def estimates(rows: DataFrame, core: float = 0.75, steps: int = 3, least: int =
         now = settle(now, "estimates")
         far = settle(_with_distance(usable.join(now.select(keys), keys, "left_semi"), now).select(*keys, *VECTOR, "d2"), "distances")
         edge = far.groupBy(keys).agg(F.percentile_approx("d2", core, 1000).alias("edge"))
-        inner = far.join(edge, keys).filter(F.col("d2") <= F.col("edge"))
-        sums = inner.groupBy(keys).agg(F.count("*").alias("n"), *(F.sum(v).alias(f"s_{i}") for i, v in enumerate(VECTOR)), *(F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"q_{i}_{j}") for i, j in PAIRS))
+        # a group's rows meet its limit in SALT parts, are summed there, and the parts are added up
+        parts = edge.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        inner = far.withColumn("_salt", F.pmod(F.xxhash64(*VECTOR, F.monotonically_increasing_id()), F.lit(SALT)).cast("int")).join(parts, [*keys, "_salt"]).filter(F.col("d2") <= F.col("edge"))
+        part = inner.groupBy(*keys, "_salt").agg(F.count("*").alias("n"), *(F.sum(v).alias(f"s_{i}") for i, v in enumerate(VECTOR)), *(F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"q_{i}_{j}") for i, j in PAIRS))
+        sums = part.groupBy(keys).agg(*(F.sum(c).alias(c) for c in part.columns if c not in (*keys, "_salt")))
         now = sums.mapInPandas(*_inverse(scale))
     return settle(now, "estimates")
 
