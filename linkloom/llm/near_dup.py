@@ -17,7 +17,7 @@ connected components of the links, found by label spreading over tables.
 
 Defined results: texts of one to four words have one element, the whole text; texts without
 words are each a class of their own (they say nothing to compare); null text is empty; repeated
-rows with one key are one document; extra columns are not read or, in ``kept_rows``, kept.
+rows with one key are one document; rows without a key are left out, as nothing can name them; extra columns are not read or, in ``kept_rows``, kept.
 """
 
 from __future__ import annotations
@@ -207,7 +207,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, k: int = COORDINATES, band: int = BAND) -> DataFrame:
     """key, class_id (the least key of the class), n_links (links of the row's text to different texts)."""
-    signed = settle(_signed(docs.select(key, text), key, text, k, band), "signatures")
+    signed = settle(_signed(docs.select(key, text).filter(F.col(key).isNotNull()), key, text, k, band), "signatures")
     # texts with the same elements: c is their least key's number
     least = settle(signed.filter("content is not null").groupBy("content").agg(F.min(key).alias("k0")), "texts")
     kept = least.select(F.col("content").alias("c"), F.col("k0").alias(key))
@@ -282,6 +282,6 @@ def _apart(members: DataFrame, label: DataFrame, tried: DataFrame, runs: DataFra
 
 
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs whose key is its class's least; all columns unchanged."""
+    """The rows of docs whose key is its class's least, and rows without a key; all columns unchanged."""
     kept = classes(docs, key, text, **options).filter(F.col(key) == F.col("class_id")).select(key)
-    return docs.join(kept, key, "left_semi")
+    return docs.join(kept, key, "left_semi").select(docs.columns).unionByName(docs.filter(F.col(key).isNull()))

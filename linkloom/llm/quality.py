@@ -211,7 +211,9 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, key: str = "doc_id", text: s
     return d.select(key, *BASE, "base_failed", kept.alias("kept"), "d2")
 
 
-def kept_rows(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose text is kept, all columns unchanged."""
-    good = judged(docs, key=key, **options).filter("kept").select(key).distinct()
-    return docs.join(good, key, "left_semi")
+def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs whose text is kept, all columns unchanged; rows are told apart by key (null too) and text."""
+    own = "_key_and_text"
+    named = docs.withColumn(own, F.struct(F.col(key).alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h")))
+    good = judged(named, key=own, text=text, **options).filter("kept").select(own).distinct()
+    return named.join(good, own, "left_semi").drop(own)

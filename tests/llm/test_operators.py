@@ -293,3 +293,11 @@ def test_pipeline_stages(spark):
         assert docs.count() > 0
         if name != "packing":
             assert docs.columns == columns
+
+
+def test_rows_without_a_key_stay(spark):
+    clean = " ".join(R.choices(VOCAB, k=80))
+    df = spark.createDataFrame([(None, clean, None, None, 1), (1, "short", "en", None, 2), (1, clean, "en", None, 3), (2, None, None, "s", 4)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.n_chars for r in quality.kept_rows(df).collect()) == [1, 3]
+    assert sorted(r.n_chars for r in near_dup.kept_rows(df.filter("n_chars <> 2")).collect()) == [1, 3, 4]
+    assert repeats.kept_rows(df).count() == 4 and pii.redacted(df).count() == 4
