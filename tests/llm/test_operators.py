@@ -301,3 +301,104 @@ def test_rows_without_a_key_stay(spark):
     assert sorted(r.n_chars for r in quality.kept_rows(df).collect()) == [1, 3]
     assert sorted(r.n_chars for r in near_dup.kept_rows(df.filter("n_chars <> 2")).collect()) == [1, 3, 4]
     assert repeats.kept_rows(df).count() == 4 and pii.redacted(df).count() == 4
+
+
+def _classes(texts, similar=0.8):
+    """Key -> least key of its chain of similar texts."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, t in texts.items() for w in [re.findall(WORD, t.lower())]}
+    head = {i: i for i in texts}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        both = len(sets[a] & sets[b])
+        if both >= similar * (len(sets[a]) + len(sets[b]) - both) and head[a] != head[b]:
+            low, high = sorted((head[a], head[b]))
+            head = {i: low if h == high else h for i, h in head.items()}
+    return head
+
+
+def _robust(texts, core=0.75, steps=3):
+    """Key -> squared distance, for the texts of one group."""
+    def vector(t):
+        words, chars, symbols, again, repeated = _counts(t)
+        lines = sum(1 for x in t.split("\n") if re.search(WORD, x))
+        marks, upper = sum(33 <= ord(c) < 127 and not c.isalnum() for c in t), sum("A" <= c <= "Z" for c in t)
+        return [math.log(chars / words), *(math.sqrt(x) for x in (symbols / chars, marks / chars, upper / chars, repeated / words, again / lines))]
+
+    v = np.array([vector(t) for t in texts.values()])
+    near = np.sqrt([n / (n + quality.HALF) for n in (_counts(t)[0] for t in texts.values())])[:, None]
+    far = lambda m, w: np.einsum("ni,ij,nj->n", (v - m) * near, w, (v - m) * near)
+    m, w = np.sort(v, 0)[math.ceil(len(v) / 2) - 1], np.diag(1 / np.square(quality.FLOOR) / 4)
+    for _ in range(steps):
+        d = far(m, w)
+        inner = v[d <= np.sort(d)[math.ceil(core * len(v)) - 1]]
+        m, w = inner.mean(0), np.linalg.inv(np.cov(inner.T, bias=True) * quality._consistency(core) + np.diag(np.square(quality.FLOOR)))
+    return dict(zip(texts, far(m, w)))
+
+
+def _cut(texts, n=400):
+    """Texts (of one byte a character) without what repeated strings of n cover."""
+    seen = Counter(t[k : k + n] for t in texts.values() for k in range(len(t) - n + 1))
+    out = {}
+    for i, t in texts.items():
+        hit = {x for k in range(len(t) - n + 1) if seen[t[k : k + n]] > 1 for x in range(k, k + n)}
+        out[i] = "".join(c for x, c in enumerate(t) if x not in hit)
+    return out
+
+
+def _marked(t, found=()):
+    spans = sorted([(m.start(), m.end(), k.upper()) for k in pii.KINDS for m in re.finditer(pii.SAYS[k], t) if _ok(k, m[0])] + [(t.find(v), t.find(v) + len(v), k) for k, v in found if v in t])
+    out, at = "", 0
+    for start, end, kind in spans:
+        out += t[at:start] + f"[{kind}]" * (end > at)
+        at = max(at, end)
+    return out + t[at:]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline as cp
+    from tokenizers import Tokenizer
+
+    r = random.Random(5)
+    words = lambda k: " ".join(r.choices(VOCAB, k=k))
+    base = [words(150) for _ in range(30)]
+    changed = base[2].split()
+    changed[40], changed[90] = "other", "another"
+    passage = words(110)
+    card = lambda: next(h + str(k) for h in ["".join(r.choices("0123456789", k=15))] for k in range(10) if _ok("card", h + str(k)))
+    rows = [(i, t, "de", "b") for i, t in enumerate(base)]
+    rows += [(100 + i, " ".join(x + "&%$" for x in words(150).split()), "de", "b") for i in range(2)]  # outliers
+    rows += [(200, base[0], "en", "a"), (201, base[1], "de", "b"), (202, " ".join(changed), "en", "a"), (203, words(10), "en", "a"), (204, " ".join([words(9)] * 9), "en", "a")]
+    rows += [(210, None, "en", None), (211, "", None, "a"), (212, words(4000), None, None)]
+    rows += [(300 + i, f"{words(90)} {passage} {words(60)}", "fr", None) for i in range(3)]
+    rows += [(400 + i, f"{words(60)} please charge member card {card()} now {words(40)}", "es", f"s{i % 3}") for i in range(12)]
+    rows += [(450, f"{words(60)} please charge member card AB-99-1234-Z now {words(40)}", "es", "s0"), (451, f"{words(30)} a.b@c.example {words(9)} 10.0.0.255 {words(9)} +1 (415) 555-0100 {words(30)}", "es", "s1")]
+    spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+
+    fine = lambda c: c[0] >= 20 and 100 * c[4] <= 30 * c[0]
+    texts = {i: t for i, t, *_ in rows if fine(_counts(t))}
+    assert {203, 204, 210, 211}.isdisjoint(texts)
+    large = _robust({i: texts[i] for i, _, lang, _ in rows if lang == "de"})  # the only group of 20 rows
+    assert {i for i, d in large.items() if d > quality.CUTOFF} == {100, 101}
+    texts = {i: t for i, t in texts.items() if large.get(i, 0) <= quality.CUTOFF}
+    head = _classes(texts)
+    assert head[200] == 0 and head[201] == 1 and head[202] == 2
+    texts = _cut({i: t for i, t in texts.items() if head[i] == i})
+    assert not any(passage[20:-20] in t for t in texts.values())
+    texts = {i: _marked(t, [("CARD", "AB-99-1234-Z")]) for i, t in texts.items()}
+    assert sum("[CARD]" in t for t in texts.values()) == 13 and all(f"[{k}]" in texts[451] for k in ("EMAIL", "IP", "PHONE"))
+    t = Tokenizer.from_str(queries.vocabulary("byte_bpe_50k.json").decode())
+    ids = {i: t.encode(x, add_special_tokens=False).ids + [0] for i, x in texts.items()}
+
+    got = cp.run(spark, str(tmp_path)).collect()
+    pieces_, seqs = defaultdict(list), defaultdict(list)
+    for x in got:
+        assert x.ids_crc32 == zlib.crc32(np.array(ids[x.doc_id][x.start : x.start + x.length], "<u4").tobytes())
+        pieces_[x.doc_id].append((x.piece, x.start, x.length))
+        seqs[x.sequence_id].append((x.offset, x.length))
+    assert set(pieces_) == set(ids)
+    for i, v in pieces_.items():
+        first = (len(ids[i]) - 1) % 2048 + 1
+        assert sorted(v) == [(0, 0, first), *((k, first + 2048 * (k - 1), 2048) for k in range(1, (len(ids[i]) - first) // 2048 + 1))]
+    for v in seqs.values():
+        ends = np.cumsum([n for _, n in sorted(v)])
+        assert [a for a, _ in sorted(v)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert len(seqs) <= math.ceil(sum(map(len, ids.values())) / 2048) + 1
