@@ -34,6 +34,16 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str = "table") -> DataFrame:
+    """Like ``settle``, dealt by ``key`` into as many buckets as shuffles have partitions: joins by key read it without shuffling it."""
+    spark = df.sparkSession
+    path = folder(spark, name)
+    table = f"linkloom_{path.rsplit('-', 1)[1]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def mounted(path: str) -> str:
     """The path by which any executor opens the shared folder's files."""
     url = urlparse(path)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm import _text as tx
-from linkloom.llm._run import settle
+from linkloom.llm._run import bucketed, settle
 
 U64 = np.uint64
 WORDS = 5
@@ -208,10 +208,11 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, k: int = COORDINATES, band: int = BAND) -> DataFrame:
     """key, class_id (the least key of the class), n_links (links of the row's text to different texts)."""
     signed = settle(_signed(docs.select(key, text).filter(F.col(key).isNotNull()), key, text, k, band), "signatures")
-    # texts with the same elements: c is their least key's number
-    least = settle(signed.filter("content is not null").groupBy("content").agg(F.min(key).alias("k0")), "texts")
-    kept = least.select(F.col("content").alias("c"), F.col("k0").alias(key))
-    unique = signed.select(key, "content", "bands").join(kept, key, "left_semi").select(F.col("content").alias("c"), "bands").dropDuplicates(["c"])
+    # texts with the same elements are one class c; its least key is k0
+    rows = signed.filter("content is not null").groupBy(F.col("content").alias("c")).agg(F.min(F.struct(F.col(key).alias("k0"), "bands", "runs")).alias("r"))
+    unique = bucketed(rows.select("c", "r.*"), "c", "texts")
+    least = unique.select(F.col("c").alias("content"), "k0")
+    runs = unique.select("c", "runs")
     buckets = unique.select("c", F.posexplode("bands").alias("i", "band")).select("c", "band")
     shared = settle(buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
     # a bucket's pivot: the class that meets most others in all its buckets
@@ -219,8 +220,6 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     members = settle(buckets.join(shared.select("band"), "band", "left_semi").join(weight, "c"), "buckets")
     pivots = members.groupBy("band").agg(F.max(F.struct("w", "c"))["c"].alias("m"))
     members = settle(members.join(pivots, "band").select("band", "c", "m"), "members")
-    runs = signed.select(F.col("content").alias("c"), "runs", key).join(members.select("c").distinct(), "c", "left_semi")
-    runs = settle(runs.join(kept.select(key), key, "left_semi").select("c", "runs").dropDuplicates(["c"]), "runs")
     limit = 1.0 - similar + 1e-9
     pairs = members.filter("c != m").select(F.greatest("c", "m").alias("a"), F.least("c", "m").alias("b")).distinct()
     tried = settle(_distances(pairs, runs), "distances")
