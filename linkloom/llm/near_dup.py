@@ -1,14 +1,14 @@
 """Operator 8: near-duplicate documents by DartMinHash signatures and banded joining.
 
-An element (a run of five words) of weight w (how often it comes) owns the strip [0, w) of a
-plane whose other axis is rank. Darts fall on every element's plane as a fixed Poisson
+An element (a run of five words) of weight w owns the strip [0, w) of a plane whose other axis
+is rank. Links are decided by element sets, so every element of a document is thrown with weight 1. Darts fall on every element's plane as a fixed Poisson
 process, drawn cell by cell from hashes of the element and the cell. The darts of a document
 are those in its strips up to a rank at which enough are expected to reach all coordinates;
 each dart names a coordinate, and the dart of least rank is kept there. Two documents keep the
-same dart at a coordinate with the probability of their weighted Jaccard similarity. A
+same dart at a coordinate with the probability of their (weighted; here: set) Jaccard similarity. A
 document whose darts miss a coordinate is thrown again up to a rank twice as high.
 
-Documents with the same elements are one text class from the start. Signature bands deal the
+Documents with the same elements, however often each comes, are one text class from the start. Signature bands deal the
 classes into buckets; in each bucket every class is held against the bucket's pivot, the class
 that meets most others. Classes of one bucket that no chain of links joins yet are then held
 against each other, but for pairs that what they have in common with the pivot rules out. Every candidate
@@ -145,15 +145,15 @@ def _signed(docs: DataFrame, key: str, text: str, k: int, band: int) -> DataFram
         for batch in batches:
             for at, stop, buf, offs in tx.slices(batch.column(1), 1 << 21):
                 n = stop - at
-                row, element, count = elements(buf, offs)
-                sign = signatures(row, element, count, n, k)
+                row, element, _ = elements(buf, offs)
+                sign = signatures(row, element, np.ones(len(row)), n, k)
                 parts = sign.reshape(n, k // band, band)
                 bands = np.full((n, k // band), 0, U64)
                 for i in range(band):
                     bands = tx.pair(bands + U64(i), parts[:, :, i])
                 bands = tx.pair(bands, np.arange(k // band, dtype=U64)[None, :].repeat(n, 0))
                 first = np.searchsorted(row, np.arange(n + 1))
-                both = tx.Prefix(tx.pair(element, count.astype(U64))).spans(first[:-1], first[1:])
+                both = tx.Prefix(tx.mix(element)).spans(first[:-1], first[1:])
                 has = first[1:] > first[:-1]
                 small = (element >> U64(32)).astype("<u4")
                 yield pa.RecordBatch.from_arrays(

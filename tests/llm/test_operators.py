@@ -255,6 +255,18 @@ def test_near_dup_equals_brute_force(spark, nothing):
     assert near_dup.classes(nothing).count() == 0
 
 
+def test_near_dup_finds_texts_that_repeat_themselves(spark):
+    texts = {}
+    for g in range(12):
+        line = " ".join(R.choices(VOCAB, k=300 if g % 2 else 60))
+        for k, times in enumerate((1, 2, 3, 20)):
+            texts[10 * g + k] = "\n".join([line] * times)
+        texts[10 * g + 5] = " ".join([line] * 4 + ["other"])
+    want = _classes(texts)
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) == 12
+
+
 PAGE = '<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/x">Menu</a></nav><div class="ad">Buy</div>{open}<h1>Title &amp; more</h1><p>First <b>bold</b> text that is long enough to count as an article, with more words in it.<br>Second&nbsp;line of the article, again with enough words to surge over the limit.<ul><li>one item of some length in the list<li>another item of some length in the list</ul><div class="comments"><p>Reader says hello to all of you, this is a comment.</p></div>{close}<form>Name <input></form><footer>&copy; x</footer><script>var a="<p>no</p>";</script></body></html>'
 WANT = "Title & more\nFirst bold text that is long enough to count as an article, with more words in it.\nSecond line of the article, again with enough words to surge over the limit.\none item of some length in the list\nanother item of some length in the list"
 
