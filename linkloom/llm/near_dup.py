@@ -9,10 +9,9 @@ same dart at a coordinate with the probability of their (weighted; here: set) Ja
 document whose darts miss a coordinate is thrown again up to a rank twice as high.
 
 Documents with the same elements, however often each comes, are one text class from the start. Signature bands deal the
-classes into buckets; in each bucket every class is held against the bucket's pivot, the class
-that meets most others. Classes of one bucket that no chain of links joins yet are then held
-against each other, but for pairs that what they have in common with the pivot rules out. Every candidate
-pair's distance (of element sets) is worked out exactly. Classes are the
+classes into buckets; a bucket's pivot is its class that meets most others, and buckets of one
+pivot are one set of candidates. The distance (of element sets) of every pair of a pivot's classes
+is worked out exactly, and links are counted. Classes are the
 connected components of the links, found by label spreading over tables.
 
 Defined results: texts of one to four words have one element, the whole text; texts without
@@ -24,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm import _text as tx
@@ -35,6 +34,8 @@ WORDS = 5
 SIMILAR = 0.8
 COORDINATES = 120
 BAND = 5  # coordinates in a band
+PART, PART_BYTES = 512, 1 << 23  # classes of a pivot, and bytes of their elements, that are compared at once
+COLUMNS = 4096
 
 
 def elements(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,23 +165,93 @@ def _signed(docs: DataFrame, key: str, text: str, k: int, band: int) -> DataFram
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, content long, bands array<long>, runs binary")
 
 
-def _distances(pairs: DataFrame, runs: DataFrame) -> DataFrame:
-    """For every pair (a, b) of classes the Jaccard distance d of their element sets, the number i of common elements, and their sizes na, nb."""
-    wide = pairs.join(runs.select(F.col("c").alias("a"), F.col("runs").alias("ra")), "a").join(runs.select(F.col("c").alias("b"), F.col("runs").alias("rb")), "b")
+def _common(sets: list[np.ndarray], k: int) -> np.ndarray:
+    """How many values each of the first k sets has in common with each of the others (k = 0: all with all)."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    use = often[at] > 1
+    row, at = row[use], (np.cumsum(often > 1) - 1)[at[use]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((k or len(sets), len(sets) - k), np.float32)
+    edges = np.arange(0, at[-1] + 1 + COLUMNS, COLUMNS) if len(at) else np.zeros(0, np.int64)
+    cuts = np.searchsorted(at, edges)
+    for low, begin, end in zip(edges[:-1], cuts[:-1], cuts[1:]):
+        have = np.zeros((len(sets), min(COLUMNS, at[end - 1] + 1 - low)), np.float32)
+        have[row[begin:end], at[begin:end] - low] = 1
+        out += have[: k or len(sets)] @ have[k:].T
+    return out
+
+
+def _roots(near: np.ndarray) -> np.ndarray:
+    """A member of each member's component in a symmetric matrix of links, the same for all of a component."""
+    root = np.full(len(near), -1)
+    for first in range(len(near)):
+        front = np.array([first]) if root[first] < 0 else np.zeros(0, np.int64)
+        while len(front):
+            root[front] = first
+            front = np.flatnonzero(near[front].any(0) & (root < 0))
+    return root
+
+
+def _held(m: int, cross: bool, part: np.ndarray, runs: list[np.ndarray], ms: list[np.ndarray], similar: float) -> np.ndarray:
+    """The links, as a symmetric matrix, among classes of pivot m (cross: only between its two parts) that have no lesser pivot in common."""
+    n, k = len(runs), int((part == part.min()).sum()) if cross else 0
+    size = np.array([len(x) for x in runs], float)
+    both = _common(runs, k)
+    near = 1.0 - both / (size[: k or n, None] + size[None, k:] - both) <= 1.0 - similar + 1e-9
+    if near.any():
+        near &= _common([x[x < m] for x in ms], k) == 0
+    out = np.zeros((n, n), bool)
+    out[: k or n, k:] = near
+    out |= out.T
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _linked(stars: DataFrame, runs: DataFrame, similar: float) -> DataFrame:
+    """(a, b, n): class a has n links that this row stands for, and a chain of links to class b; a table of the shared folder.
+
+    All pairs of classes of a pivot are compared. A pivot's classes are dealt into parts of a bounded
+    size, and each two parts are a task's work, so that no task grows with a pivot. A pair that several
+    pivots hold is counted at the least of them.
+    """
+    sized = stars.groupBy("m").agg(F.greatest(F.ceil(F.count("*") / F.lit(PART)), F.ceil(F.sum("size") / F.lit(PART_BYTES))).cast("int").alias("parts"))
+    pivots = stars.groupBy("c").agg(F.collect_set("m").alias("ms"))
+    each = stars.select("m", "c").join(sized, "m").join(pivots, "c").withColumn("part", F.pmod(F.xxhash64("c"), "parts").cast("int"))
+    each = each.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("m", F.least("part", "to").alias("i"), F.greatest("part", "to").alias("j"), "part", "c", "ms")
+    each = each.join(runs, "c").select("m", "i", "j", "part", "c", "ms", "runs").repartition("m", "i", "j").sortWithinPartitions("m", "i", "j", "part")
+
+    def finish(key, rows):
+        part, c, ms, runs = zip(*rows)
+        near = _held(key[0], key[1] != key[2], np.array(part), list(runs), list(ms), similar) if len(set(part)) == 1 + (key[1] != key[2]) and len(c) > 1 else np.zeros((len(c), len(c)), bool)
+        degree = near.sum(1)
+        has = np.flatnonzero(degree)
+        c = np.array(c)
+        return c[has], c[_roots(near)[has]] if len(has) else c[has], degree[has]
 
     def run(batches):
+        key, rows, out = None, [], []
         for batch in batches:
-            far, common, na, nb = [], [], [], []
-            for x, y in zip(batch.column("ra"), batch.column("rb")):
-                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                both = len(np.intersect1d(x, y))
-                far.append(1.0 - both / (len(x) + len(y) - both))
-                common.append(both)
-                na.append(len(x))
-                nb.append(len(y))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far, pa.float64()), *(pa.array(v, pa.int64()) for v in (common, na, nb))], names=["a", "b", "d", "i", "na", "nb"])
-
-    return wide.mapInArrow(run, "a long, b long, d double, i long, na long, nb long")
+            numbers = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("m", "i", "j", "part", "c")]
+            buf, offs = tx.raw(batch.column("runs"))
+            values, lists = buf.view("<u4"), offs // 4
+            pivot, where = batch.column("ms").flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(batch.column("ms").value_lengths().to_numpy(zero_copy_only=False))]
+            for k in range(batch.num_rows):
+                m, i, j, part, c = (int(x[k]) for x in numbers)
+                if key != (m, i, j):
+                    if rows:
+                        out.append(finish(key, rows))
+                    key, rows = (m, i, j), []
+                rows.append((part, c, pivot[where[k] : where[k + 1]], values[lists[k] : lists[k + 1]]))
+            rows = [(*x[:2], x[2].copy(), x[3].copy()) for x in rows]  # the batch is let go
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["a", "b", "n"])
+                out = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in finish(key, rows)], names=["a", "b", "n"])
+
+    return settle(each.mapInArrow(run, "a long, b long, n long"), "linked")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,11 +277,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, k: int = COORDINATES, band: int = BAND) -> DataFrame:
-    """key, class_id (the least key of the class), n_links (links of the row's text to different texts)."""
+    """key, class_id (the least key of the class), n_links (the different texts, by their elements, that are similar to the row's)."""
     signed = settle(_signed(docs.select(key, text).filter(F.col(key).isNotNull()), key, text, k, band), "signatures")
     # texts with the same elements are one class c; its least key is k0
     rows = signed.filter("content is not null").groupBy(F.col("content").alias("c")).agg(F.min(F.struct(F.col(key).alias("k0"), "bands", "runs")).alias("r"))
-    unique = bucketed(rows.select("c", "r.*"), "c", "texts")
+    unique = bucketed(rows.select("c", "r.*", F.length("r.runs").alias("size")), "c", "texts")
     least = unique.select(F.col("c").alias("content"), "k0")
     runs = unique.select("c", "runs")
     buckets = unique.select("c", F.posexplode("bands").alias("i", "band")).select("c", "band")
@@ -220,66 +291,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     members = settle(buckets.join(shared.select("band"), "band", "left_semi").join(weight, "c"), "buckets")
     pivots = members.groupBy("band").agg(F.max(F.struct("w", "c"))["c"].alias("m"))
     members = settle(members.join(pivots, "band").select("band", "c", "m"), "members")
-    limit = 1.0 - similar + 1e-9
-    pairs = members.filter("c != m").select(F.greatest("c", "m").alias("a"), F.least("c", "m").alias("b")).distinct()
-    tried = settle(_distances(pairs, runs), "distances")
-    label = components(tried.filter(F.col("d") <= limit))
-    rest = settle(_distances(_apart(members, label, tried, runs, similar), runs), "distances")
-    links = tried.union(rest).filter(F.col("d") <= limit)
+    stars = settle(members.select("m", "c").distinct().join(unique.select("c", "size"), "c"), "stars")
+    links = _linked(stars, runs, similar)
     label = components(links)
     groups = least.select(F.col("content").alias("node"), "k0").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = groups.groupBy("label").agg(F.min("k0").alias("class_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     named = groups.join(heads, "label").join(degree, "node", "left").select(F.col("node").alias("content"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = signed.select(key, "content").join(named, "content", "left")
     out = out.select(key, F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out.groupBy(key).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
 
 
-def _apart(members: DataFrame, label: DataFrame, tried: DataFrame, runs: DataFrame, similar: float) -> DataFrame:
-    """The untried pairs of classes of one pivot that are in different components and may be similar.
-
-    If x and y have no element in common outside the pivot, they have at most as many in
-    common as the smaller of their own counts of elements in common with the pivot; sizes then
-    bound their similarity. The other pairs are found by their rarest elements outside the pivot.
-    """
-    star = members.select("m", "c").distinct().withColumns({"a": F.greatest("c", "m"), "b": F.least("c", "m")}).join(tried, ["a", "b"], "left")
-    size = F.when(F.col("c") == F.col("a"), F.col("na")).otherwise(F.col("nb"))
-    star = star.select("m", "c", F.col("i"), size.alias("n")).join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    several = star.groupBy("m").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("m")
-    star = settle(star.filter("c != m").join(several, "m", "left_semi"), "stars")  # every class was held against its pivot itself
-    fit = star.filter(F.col("i") >= similar * F.col("n") - 1e-9)
-    x = fit.select("m", F.col("c").alias("a"), F.col("i").alias("ia"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = fit.select("m", F.col("c").alias("b"), F.col("i").alias("ib"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    enough = (1 + similar) * F.least("ia", "ib") >= similar * (F.col("na") + F.col("nb")) - 1e-9
-    inside = x.join(y, "m").filter((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & enough).select("a", "b")
-
-    def outside(batches):
-        for batch in batches:
-            rows, found = [], []
-            for k, (x, y) in enumerate(zip(batch.column("rc"), batch.column("rm"))):
-                more = np.setdiff1d(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4"), assume_unique=True)
-                rows.append(np.full(len(more), k))
-                found.append(more.astype(np.int64))
-            rows = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("m").take(rows), batch.column("c").take(rows), batch.column("label").take(rows), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["m", "c", "label", "element"])
-
-    both = star.join(runs.select("c", F.col("runs").alias("rc")), "c").join(runs.select(F.col("c").alias("m"), F.col("runs").alias("rm")), "m")
-    extra = settle(both.mapInArrow(outside, "m long, c long, label long, element long"), "outside")
-    # similar classes of sizes n have at least t elements outside the pivot in common, so they meet among the
-    # rarest |outside| - t + 1 of each, in any one order; elements of one component only come first
-    known = extra.groupBy("m", "element").agg(F.count("*").alias("often"), (F.min("label") != F.max("label")).alias("joins"))
-    sizes = star.join(star.groupBy("m").agg(F.min("n").alias("least")), "m")
-    t = F.ceil(similar / (1 + similar) * (F.col("n") + F.greatest(similar * F.col("n"), F.col("least"))) - F.col("i") - 1e-9)
-    sizes = sizes.select("m", "c", F.greatest(t, F.lit(1)).alias("t"))
-    own = Window.partitionBy("m", "c")
-    ranked = extra.join(known, ["m", "element"]).withColumns({"rank": F.row_number().over(own.orderBy("joins", "often", "element")), "all": F.count("*").over(own)})
-    extra = settle(ranked.join(sizes, ["m", "c"]).filter(F.col("joins") & (F.col("rank") <= F.col("all") - F.col("t") + 1)).select("m", "element", "c", "label"), "outside")
-    met = extra.select("m", "element", F.col("c").alias("a"), F.col("label").alias("la")).join(extra.select("m", "element", F.col("c").alias("b"), F.col("label").alias("lb")), ["m", "element"])
-    met = met.filter((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b")
-    return inside.union(met).distinct().join(tried, ["a", "b"], "left_anti")
-
-
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs whose key is its class's least, and rows without a key; all columns unchanged."""
     kept = classes(docs, key, text, **options).filter(F.col(key) == F.col("class_id")).select(key)

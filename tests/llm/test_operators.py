@@ -267,6 +267,29 @@ def test_near_dup_finds_texts_that_repeat_themselves(spark):
     assert got == want and len(set(want.values())) == 12
 
 
+def test_near_dup_counts_all_links(spark, monkeypatch):
+    big = [f"v{i}" for i in range(3000)]
+    texts = {}
+    for g, size in enumerate((3, 5, 40)):
+        base = R.choices(big, k=150)
+        for k in range(size):
+            words = list(base)
+            for i in R.sample(range(150), (g + 1) // 2 + k % 2):
+                words[i] = R.choice(big)
+            texts[100 * g + k] = " ".join(words[: 150 - k % 9])
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts.items() for w in [t.split()]}
+    close = lambda a, b: a != b and len(a & b) >= 0.8 * len(a | b)
+    different = {frozenset(x) for x in sets.values()}
+    want = {i: sum(close(x, y) for y in different) for i, x in sets.items()}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string").cache()
+    assert max(want.values()) > 8
+    for part in (512, 8):
+        monkeypatch.setattr(near_dup, "PART", part, raising=False)
+        got = {r.doc_id: (r.n_links, r.class_id) for r in near_dup.classes(df).collect()}
+        assert {i: x[0] for i, x in got.items()} == want
+        assert {i: x[1] for i, x in got.items()} == _classes(texts)
+
+
 PAGE = '<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/x">Menu</a></nav><div class="ad">Buy</div>{open}<h1>Title &amp; more</h1><p>First <b>bold</b> text that is long enough to count as an article, with more words in it.<br>Second&nbsp;line of the article, again with enough words to surge over the limit.<ul><li>one item of some length in the list<li>another item of some length in the list</ul><div class="comments"><p>Reader says hello to all of you, this is a comment.</p></div>{close}<form>Name <input></form><footer>&copy; x</footer><script>var a="<p>no</p>";</script></body></html>'
 WANT = "Title & more\nFirst bold text that is long enough to count as an article, with more words in it.\nSecond line of the article, again with enough words to surge over the limit.\none item of some length in the list\nanother item of some length in the list"
 
