@@ -9,7 +9,8 @@ estimates stay a table. A text is rejected if its squared Mahalanobis distance i
 ``cutoff``, or by the fixed base rules.
 
 Defined results: a null text has no words and fails the base rules; null language or source
-is a group of its own; groups under ``least`` usable rows have only the base rules; repeated rows
+is a group of its own; a group under ``least`` usable rows is judged by the estimates of its whole
+language, and if that is as small, by those of all documents; repeated rows
 count as often as they come; very short texts' vectors are drawn towards the centre, since
 their shares are chance; an empty table gives no rows; other columns are not read or, in
 ``kept_rows``, returned unchanged.
@@ -127,12 +128,14 @@ def _base_failed():
 
 P = len(VECTOR)
 SALT = 64
+#: What names a group of estimates: level 0 is a language and source, 1 a language, 2 all documents.
+KEYS = ["_level", "_lang", "_source"]
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
 def _inverse(scale: float):
     """Grouped sums -> location and inverse scatter, as columns m_i and w_ij."""
-    names = ["_lang", "_source", *(f"m_{i}" for i in range(P)), *(f"w_{i}_{j}" for i, j in PAIRS)]
+    names = [*KEYS, *(f"m_{i}" for i in range(P)), *(f"w_{i}_{j}" for i, j in PAIRS)]
 
     def run(parts):
         for g in parts:
@@ -143,7 +146,7 @@ def _inverse(scale: float):
             for i, j in PAIRS:
                 cov[:, i, j] = cov[:, j, i] = g[f"q_{i}_{j}"].to_numpy(float) / n - mean[:, i] * mean[:, j]
             back = np.linalg.inv(cov * scale + np.diag(np.square(FLOOR))) if len(g) else cov
-            out = {"_lang": g["_lang"], "_source": g["_source"]}
+            out = {k: g[k] for k in KEYS}
             out |= {f"m_{i}": mean[:, i] for i in range(P)} | {f"w_{i}_{j}": back[:, i, j] for i, j in PAIRS}
             yield pd.DataFrame(out)
 
@@ -152,28 +155,42 @@ def _inverse(scale: float):
 
 def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """The left join with estimates by group; Spark sends them to all executors if their size at run time allows, and splits large groups if not."""
-    d = rows.join(estimates, ["_lang", "_source"], "left")
+    d = rows.join(estimates, KEYS, "left")
     near = F.sqrt(F.col("n_words") / (F.col("n_words") + F.lit(HALF)))
     z = [(F.col(v) - F.col(f"m_{i}")) * near for i, v in enumerate(VECTOR)]
     d2 = sum(((1 if i == j else 2) * z[i] * z[j] * F.col(f"w_{i}_{j}") for i, j in PAIRS), F.lit(0.0))
     return d.withColumn("d2", d2).drop(*(f"m_{i}" for i in range(P)), *(f"w_{i}_{j}" for i, j in PAIRS))
 
 
-def estimates(rows: DataFrame, core: float = 0.75, steps: int = 3, least: int = 20) -> DataFrame:
-    """Location and inverse scatter per (_lang, _source) by concentration steps.
+def _groups(rows: DataFrame, least: int = 20) -> DataFrame:
+    """Per _lang and _source of rows: ``own``, the group of estimates that judges it, and ``feeds``, those that its rows are summed in; a table of the shared folder."""
+    sizes = rows.groupBy("_lang", "_source").agg(F.count(F.when(~_base_failed(), 1)).alias("n"))
+    level = F.when(F.col("n") >= least, "0").when(F.col("n_lang") >= least, "1").otherwise("2")
+    sizes = sizes.join(sizes.groupBy("_lang").agg(F.sum("n").alias("n_lang")), "_lang").withColumn("level", level)
+    wide = sizes.groupBy("_lang").agg(F.max(F.col("level") == "1").alias("by_lang"))
+    group = lambda k, *names: F.struct(F.lit(k).alias("_level"), *(x.alias(y) for x, y in zip(names, KEYS[1:])))
+    one, two, three = group("0", F.col("_lang"), F.col("_source")), group("1", F.col("_lang"), F.lit("")), group("2", F.lit(""), F.lit(""))
+    own = F.when(F.col("level") == "0", one).when(F.col("level") == "1", two).otherwise(three)
+    feeds = F.filter(F.array(F.when(F.col("level") == "0", one), F.when(F.col("by_lang"), two), F.when(F.col("by_all"), three)), lambda x: x.isNotNull())
+    every = sizes.join(wide, "_lang").crossJoin(F.broadcast(sizes.agg(F.max(F.col("level") == "2").alias("by_all"))))
+    return settle(every.select("_lang", "_source", own.alias("own"), feeds.alias("feeds")), "groups")
+
+
+def estimates(rows: DataFrame, groups: DataFrame, core: float = 0.75, steps: int = 3) -> DataFrame:
+    """Location and inverse scatter per group of estimates (KEYS) by concentration steps.
 
     The first core is the rows closest to the group's medians. The scatter of the closest
     ``core`` rows is smaller than all rows' scatter; ``scale`` makes up for it (normal rows).
     """
-    keys = ["_lang", "_source"]
-    usable = rows.filter(~_base_failed())
-    middle = usable.groupBy(keys).agg(F.count("*").alias("n"), *(F.percentile_approx(v, 0.5, 1000).alias(f"m_{i}") for i, v in enumerate(VECTOR))).filter(F.col("n") >= least).drop("n")
+    keys = KEYS
+    usable = rows.filter(~_base_failed()).join(groups, ["_lang", "_source"]).select(F.explode("feeds").alias("g"), "n_words", *VECTOR).select("g.*", "n_words", *VECTOR)
+    now = usable.groupBy(keys).agg(*(F.percentile_approx(v, 0.5, 1000).alias(f"m_{i}") for i, v in enumerate(VECTOR)))
     start = [1 / f**2 / 4 for f in FLOOR]
-    now = middle.withColumns({f"w_{i}_{j}": F.lit(start[i] if i == j else 0.0) for i, j in PAIRS})
+    now = now.withColumns({f"w_{i}_{j}": F.lit(start[i] if i == j else 0.0) for i, j in PAIRS})
     scale = _consistency(core)
     for _ in range(steps):
         now = settle(now, "estimates")
-        far = settle(_with_distance(usable.join(now.select(keys), keys, "left_semi"), now).select(*keys, *VECTOR, "d2"), "distances")
+        far = settle(_with_distance(usable, now).select(*keys, *VECTOR, "d2"), "distances")
         edge = far.groupBy(keys).agg(F.percentile_approx("d2", core, 1000).alias("edge"))
         # a group's rows meet its limit in SALT parts, are summed there, and the parts are added up
         parts = edge.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
@@ -203,10 +220,12 @@ CUTOFF = 43.0
 
 
 def judged(docs: DataFrame, cutoff: float = CUTOFF, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """key, base counts, base_failed, kept, d2 (null: its group has too few rows)."""
+    """key, base counts, base_failed, kept, d2 (null: there is no row that passes the base rules)."""
     grouped = docs.select(F.col(key), F.col(text), F.coalesce(F.col(lang).cast("string"), F.lit("\0")).alias("_lang"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("_source"))
     rows = settle(measured(grouped, [key, "_lang", "_source"], text), "vectors")
-    d = _with_distance(rows, estimates(rows)).withColumn("base_failed", _base_failed())
+    groups = _groups(rows)
+    judging = rows.join(groups.select("_lang", "_source", "own"), ["_lang", "_source"]).drop("_lang", "_source").select("*", "own.*")
+    d = _with_distance(judging, estimates(rows, groups)).withColumn("base_failed", _base_failed())
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= cutoff))
     return d.select(key, *BASE, "base_failed", kept.alias("kept"), "d2")
 

@@ -107,6 +107,16 @@ def test_quality_counts_and_outliers(spark, docs, nothing):
     assert quality.kept_rows(docs).columns == docs.columns
 
 
+def test_quality_judges_small_groups(spark):
+    clean = lambda: " ".join(R.choices(VOCAB, k=200))
+    junk = lambda: " ".join(w + "&%$" for w in R.choices(VOCAB, k=200))
+    rows = [(i, clean(), "en", f"s{i % 10}") for i in range(90)] + [(500 + i, clean(), "fr", "s0") for i in range(3)] + [(600 + i, clean(), "de", "s0") for i in range(30)]
+    bad = [(1000 + i, junk(), "en", f"s{i}") for i in range(4)] + [(1100, junk(), "fr", "s0"), (1101, junk(), None, None), (1102, junk(), "de", "s1")]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows + bad, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r.d2 is not None for r in got.values()) and len(got) == len(rows + bad)
+    assert {i for i, r in got.items() if not r.kept} == {x[0] for x in bad}
+
+
 def test_url_rules(spark):
     cases = {"http://a.example.net/en/x?y": ("example.net/en/", "allow"), "http://b.net/": ("net/", "block"), "https://EXAMPLE.com/de/1#z": ("example.com/de/", "block"), "http://x.org/fr/": ("org/fr/", "allow"), "http://net": (None, "allow"), "http://h.test/login?a": (None, "block"), "http://h.test/login/help/": (None, "allow"), "http://ads.h.test/": (None, "block"), None: (None, "allow"), "no scheme/login/": (None, "allow")}
     df = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string")
