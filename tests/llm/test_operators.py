@@ -312,6 +312,14 @@ def test_main_text(spark):
     assert [(r.page_id, r.n_chars) for r in main_text.extracted(df).collect()] == [(1, 0), (2, 100000)]
 
 
+def test_main_text_searches_in_marked_elements(spark):
+    said = ["This is a sentence of the article that is long enough to count.", "Here is one more sentence of it, with as many words in it again."]
+    body = "".join(f"<p>{x}</p>" for x in said * 2)
+    links = "".join(f'<div class="xq"><a href="/{i}">Another page {i}</a></div>' for i in range(6))
+    for name in ("article", "main"):
+        assert main_text.main_text(f"<body><{name}>{links}{body}{links}</{name}><p>Elsewhere.</p></body>") == "\n".join(said * 2)
+
+
 def test_audio_finds_shifted_and_noisy_recordings(spark):
     g = np.random.default_rng(3)
     tune = [g.normal(size=64) for _ in range(40)]
