@@ -197,3 +197,31 @@ def test_following_a_folder(spark, tmp_path):
     (tmp_path / "in/a.txt").write_text("https://a.test/1")
     follow(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination(60)
     assert [r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["https://a.test/1"]
+
+
+def test_redirect_closures_of_long_chains_and_loops(spark):
+    """Chains of 40 keys that end in a loop or a terminal, more rows than a recursive query may have."""
+    from linkloom.operators import verdicts
+
+    to = {k: k - 1 if k % 40 == 39 else k + 1000000 if k % 40 == 0 else k + 1 for k in range(400)}
+    want = set()
+    for k in to:
+        path, end = [k], None
+        while end is None:
+            if path[-1] in path[:-1]:
+                end = "loop"
+            elif len(path) > 11:
+                end = "limit"
+            elif path[-1] not in to:
+                end = "terminal"
+            else:
+                path.append(to[path[-1]])
+        want |= {(f"u{k}", i, f"u{x}", end if i == len(path) - 1 else None) for i, x in enumerate(path)}
+    assert {x[3] for x in want} == {None, "loop", "limit", "terminal"}
+    edges = spark.createDataFrame([(f"u{a}", f"u{b}") for a, b in to.items()], "url string, target string")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "1000")
+    try:
+        got = [(r.start, r.hop, r.url, r.end) for r in verdicts.closures(edges).collect()]
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert len(got) == len(want) and set(got) == want
