@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as tx
 from linkloom.functions import urls as ux
+from linkloom.tables import settle
 
 #: Confidence of each reason, and ranks (greater: more certain).
 RANK = {"dead-certain": 5, "likely-dead": 4, "outdated": 3, "auth-walled": 2, "suspect": 1}
@@ -105,25 +103,17 @@ def wait_ms(status: Column, attempt: Column, retry_after_s: Column) -> Column:
     return F.when(status == 429, F.greatest(asked, backoff_ms(attempt))).otherwise(backoff_ms(attempt)).cast("long")
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """The rows written to spark.checkpoint.dir (where it is unset, a new folder of this machine) and read from there."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-")
-    path = f"{base}/redirects-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def closures(edges: DataFrame, limit: int = HOPS) -> DataFrame:
     """(start, hop, url, end): the redirect chain of every url of edges (url, target), by a join a hop, ``limit`` + 1 at most, over settled tables.
 
     end: terminal, loop or limit, on the last row of each chain; null before it.
     """
-    edges = _settled(edges.select("url", "target"))
+    edges = settle(edges.select("url", "target"), "redirects")
     walk = edges.select(F.col("url").alias("start"), F.lit(0).alias("hop"), "url", F.array("url").alias("seen"), F.lit(False).alias("looped"))
     walked = walk
     for hop in range(1, limit + 2):
         step = walk.filter("NOT looped").join(edges, "url")
-        walk = _settled(step.select("start", F.lit(hop).alias("hop"), F.col("target").alias("url"), F.array_append("seen", F.col("target")).alias("seen"), F.array_contains("seen", F.col("target")).alias("looped")))
+        walk = settle(step.select("start", F.lit(hop).alias("hop"), F.col("target").alias("url"), F.array_append("seen", F.col("target")).alias("seen"), F.array_contains("seen", F.col("target")).alias("looped")), "redirects")
         if walk.isEmpty():
             break
         walked = walked.unionByName(walk)
