@@ -2,46 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pathlib import Path
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (one machine, tests), a folder of this session."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known
-    own = spark.conf.get("linkloom.shared.dir", None)
-    if not own:
-        own = tempfile.mkdtemp(prefix="linkloom-")
-        spark.conf.set("linkloom.shared.dir", own)
-    return own
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows written to the shared folder and read from there: computed once, and kept if executors are lost."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bucketed(df: DataFrame, key: str, name: str = "table") -> DataFrame:
-    """Like ``settle``, dealt by ``key`` into as many buckets as shuffles have partitions: joins by key read it without shuffling it."""
-    spark = df.sparkSession
-    path = folder(spark, name)
-    table = f"linkloom_{path.rsplit('-', 1)[1]}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
-    return spark.table(table)
+from linkloom.tables import Scratch, folder, remove, settle  # noqa: F401
 
 
 def mounted(path: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import audio, kneser_ney, main_text, near_dup, packing, pieces, pii, quality, repeats, urls
+from linkloom.llm._run import settle
 
 
 def vocabulary(name: str) -> bytes:
@@ -42,7 +43,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no sound: each embedding is played as a melody. Queries: ids divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
-    prints = audio.settle(audio.fingerprints(vectors, audio.RATE, "vec_id", "embedding", audio.melody), "fingerprints")
+    prints = settle(audio.fingerprints(vectors, audio.RATE, "vec_id", "embedding", audio.melody), "fingerprints")
     return audio.aligned(prints, prints.filter(F.col("vec_id") % 50 == 0), "vec_id")
 
 

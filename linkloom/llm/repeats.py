@@ -6,8 +6,8 @@ all the bytes that any such string through it can reach. Contexts that occur twi
 as a whole. For anchors whose gram also occurs in other contexts, one suffix for each context
 is sorted: every task sorts its own into a front-coded run, runs are exchanged by key range,
 and a loser tree combines a range's runs, comparing only behind prefixes known to be common.
-Neighbours that share the gram are then held against each other at every window start, with
-the bytes before the anchor.
+The common prefixes that the merge puts out, and those of the reversed bytes before the anchors,
+tell which suffixes agree over any window that holds the gram, and so the repeated lengths.
 
 Defined results: null and empty texts, and those under ``LENGTH`` bytes, keep all; a repeated
 row repeats as a whole; an empty table gives no rows; extra columns are not read or, in
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm import _text as tx
-from linkloom.llm._run import settle
+from linkloom.llm._run import Scratch
 
 U64 = np.uint64
 LENGTH = 400
@@ -187,35 +187,31 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, bytes, bytes, int]]:
             node //= 2
 
 
-def repeated(keys: list[bytes], lefts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes with the bytes before them: least and greatest number of bytes before the anchor at which a window starts that another one shares; (1, 0) if none."""
-    m = len(keys)
+def repeated(shared: list[int], lefts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted suffixes, given by what each shares with the one before it, and the bytes before them: least and greatest number of bytes before the anchor at which a window starts that another one shares; (1, 0) if none.
+
+    The common prefixes of the sorted order say which suffixes agree over any number of bytes
+    from the anchor on; those of the reversed bytes before it, which agree over any number up to
+    it. A window repeats if two suffixes agree in both parts of it.
+    """
+    m = len(lefts)
     low, high = np.full(m, length, np.int64), np.full(m, -1, np.int64)
-    nr, nl = np.array([len(k) for k in keys]), np.array([len(x) for x in lefts])
-    right = np.zeros((length, m), np.uint8)
-    left = np.zeros((length - gram, m), np.uint8)
-    for i, (k, x) in enumerate(zip(keys, lefts)):
-        right[: len(k), i] = np.frombuffer(k, np.uint8)
-        left[: len(x), i] = np.frombuffer(x, np.uint8)[::-1]
-    base, ahead = U64(tx._BASE), np.zeros(m, U64)
-    power = tx._power(length)[0]
-    for i in range(length):
-        ahead += tx._TABLE[right[i]] * power[i]
-    before = np.zeros(m, U64)
+    ahead = np.array([0, *shared[1:]])
+    after = np.r_[ahead[1:], 0]
+    back = [x[::-1] for x in lefts]
+    order = sorted(range(m), key=back.__getitem__)
+    behind = np.array([0, *(_common(back[a], back[b], 0) for a, b in zip(order, order[1:]))])
+    rank = np.empty(m, np.int64)
+    rank[order] = np.arange(m)
     for j in range(length - gram + 1):  # window: j bytes before the anchor, length - j from it on
-        if j:
-            ahead -= tx._TABLE[right[length - j]] * power[length - j]
-            before += tx._TABLE[left[j - 1]] * power[j - 1]
-        ok = np.flatnonzero((nl >= j) & (nr >= length - j))
-        if len(ok) < 2:
+        need = length - j
+        ok = np.flatnonzero((ahead >= need) | (after >= need))
+        if not len(ok):
             continue
-        h = tx.pair(ahead[ok], before[ok] * base)
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        twice = np.zeros(len(ok), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        hit = ok[twice]
+        both = np.cumsum(ahead < need)[ok] * (m + 1) + np.cumsum(behind < j)[rank[ok]]
+        place = np.argsort(both, kind="stable")
+        same = both[place][1:] == both[place][:-1]
+        hit = ok[np.union1d(place[1:][same], place[:-1][same])]
         low[hit] = np.minimum(low[hit], j)
         high[hit] = j
     return np.where(high >= 0, low, 1), np.where(high >= 0, high, 0)
@@ -224,6 +220,12 @@ def repeated(keys: list[bytes], lefts: list[bytes], length: int = LENGTH, gram:
 def _found(docs: DataFrame, key: str, text: str, length: int, gram: int) -> DataFrame:
     """(key, _h, cuts): the byte intervals to remove of every row that has any; _h is a hash of its text."""
     spark = docs.sparkSession
+    with Scratch(spark) as own:
+        return own.keep(_cuts(own, docs, key, text, length, gram))
+
+
+def _cuts(own: Scratch, docs: DataFrame, key: str, text: str, length: int, gram: int) -> DataFrame:
+    spark = own.spark
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"), F.col(text))
 
@@ -234,10 +236,11 @@ def _found(docs: DataFrame, key: str, text: str, length: int, gram: int) -> Data
                 row = pa.array(row + at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(place), pa.array(g.view(np.int64)), pa.array(c.view(np.int64))], names=[key, "_h", "place", "g", "c"])
 
-    marks = settle(rows.mapInArrow(find, f"`{key}` {kind}, _h long, place long, g long, c long"), "anchors")
-    kinds = settle(marks.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("_h", "place", key)).alias("one")), "contexts")
-    mixed = kinds.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g")
-    ones = settle(kinds.join(mixed, "g", "left_semi").select("one.*", "c"), "suffixes")
+    marks = own.settle(rows.mapInArrow(find, f"`{key}` {kind}, _h long, place long, g long, c long"), "anchors")
+    kinds = own.settle(marks.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("_h", "place", key)).alias("one")), "contexts")
+    # settled, so that the join below reads plain rows by gram and a gram of very many contexts is split at run time
+    mixed = own.settle(kinds.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g"), "grams")
+    ones = own.settle(kinds.join(mixed, "g", "left_semi").select("one.*", "c"), "suffixes")
     wanted = ones.groupBy(key, "_h").agg(F.collect_list(F.struct("place", "c")).alias("at"))
     fetched = rows.join(wanted, F.expr("true") & rows[key].eqNullSafe(wanted[key]) & (rows["_h"] == wanted["_h"])).select(text, "at")
 
@@ -257,7 +260,8 @@ def _found(docs: DataFrame, key: str, text: str, length: int, gram: int) -> Data
             some = [int.from_bytes(k[:7].ljust(7, b"\0"), "big") for i in range(batch.num_rows) for k, _, c in cut(batch, i) if (c & 0xFFFFFF) < share * 0x1000000]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64())], names=["first"])
 
-    texts = settle(fetched, "fetched")
+    texts = own.settle(fetched, "fetched")
+    own.drop(ones, mixed)
     seen = sorted(r.first for r in texts.mapInArrow(sample, "first long").collect())
     splits = sorted({seen[i * len(seen) // ranges] for i in range(1, ranges)}) if seen else []
 
@@ -282,30 +286,31 @@ def _found(docs: DataFrame, key: str, text: str, length: int, gram: int) -> Data
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = [Run.unpack(x.as_py()) for b in batches for x in b.column("run")]
-        keys, lefts, ids = [], [], []
+        common, lefts, ids = [], [], []
 
         def flush() -> pa.RecordBatch:
-            low, high = repeated(keys, lefts, length, gram)
+            low, high = repeated(common, lefts, length, gram)
             hit = high >= low
             out = pa.RecordBatch.from_arrays([pa.array(np.array(ids, U64)[hit].view(np.int64)), pa.array(high[hit]), pa.array(length - low[hit])], names=["c", "back", "ahead"])
-            for x in (keys, lefts, ids):
+            for x in (common, lefts, ids):
                 x.clear()
             return out
 
-        for shared, k, left, i in merge(runs):
-            if shared < gram and len(keys) >= 4_000:  # a new gram
+        for shared, _, left, i in merge(runs):
+            if shared < gram and len(ids) >= 4_000:  # a new gram
                 yield flush()
-            keys.append(k)
+            common.append(shared)
             lefts.append(left)
             ids.append(i)
-        if keys:
+        if ids:
             yield flush()
 
     parts = texts.mapInArrow(sort, "range int, run binary").groupBy("range").applyInArrow(combine, "c long, back long, ahead long")
     whole = kinds.filter("n > 1").select("c", F.lit(length - gram).cast("long").alias("back"), F.lit(length).cast("long").alias("ahead"))
-    cuts = settle(whole.unionByName(parts).groupBy("c").agg(F.max("back").alias("back"), F.max("ahead").alias("ahead")), "repeats")
+    cuts = own.settle(whole.unionByName(parts).groupBy("c").agg(F.max("back").alias("back"), F.max("ahead").alias("ahead")), "repeats")
+    own.drop(texts, kinds)
     spans = marks.join(cuts, "c").select(key, "_h", F.struct((F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end")).alias("cut"))
-    return spans.groupBy(key, "_h").agg(F.collect_set("cut").alias("cuts"))
+    return own.settle(spans.groupBy(key, "_h").agg(F.collect_set("cut").alias("cuts")), "cuts")
 
 
 def _union(cuts, n: int) -> list[tuple[int, int]]:
