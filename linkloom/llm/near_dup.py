@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm import _text as tx
-from linkloom.llm._run import bucketed, settle
+from linkloom.llm._run import Scratch
 
 U64 = np.uint64
 WORDS = 5
@@ -209,7 +209,7 @@ def _held(m: int, cross: bool, part: np.ndarray, runs: list[np.ndarray], ms: lis
     return out
 
 
-def _linked(stars: DataFrame, runs: DataFrame, similar: float) -> DataFrame:
+def _linked(own: Scratch, stars: DataFrame, runs: DataFrame, similar: float) -> DataFrame:
     """(a, b, n): class a has n links that this row stands for, and a chain of links to class b; a table of the shared folder.
 
     All pairs of classes of a pivot are compared. A pivot's classes are dealt into parts of a bounded
@@ -251,25 +251,28 @@ def _linked(stars: DataFrame, runs: DataFrame, similar: float) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in finish(key, rows)], names=["a", "b", "n"])
 
-    return settle(each.mapInArrow(run, "a long, b long, n long"), "linked")
+    return own.settle(each.mapInArrow(run, "a long, b long, n long"), "linked")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, own: Scratch | None = None) -> DataFrame:
     """(node, label): the least node of each connected component of edges (a, b); a table of the shared folder.
 
     Every round links each node's larger neighbours, then its smaller ones, to its least
     neighbour, until nothing changes; long chains shrink by a constant factor a round.
     """
-    edges = settle(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    own = own or Scratch(edges.sparkSession)
+    edges = own.settle(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        large = settle(large, "links")
+        large = own.settle(large, "links")
+        own.drop(edges)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct()
-        edges = settle(small, "links")
+        edges = own.settle(small, "links")
+        own.drop(large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
@@ -278,29 +281,36 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, k: int = COORDINATES, band: int = BAND) -> DataFrame:
     """key, class_id (the least key of the class), n_links (the different texts, by their elements, that are similar to the row's)."""
-    signed = settle(_signed(docs.select(key, text).filter(F.col(key).isNotNull()), key, text, k, band), "signatures")
+    with Scratch(docs.sparkSession) as own:
+        return own.keep(_classes(own, docs, key, text, similar, k, band))
+
+
+def _classes(own: Scratch, docs: DataFrame, key: str, text: str, similar: float, k: int, band: int) -> DataFrame:
+    signed = own.settle(_signed(docs.select(key, text).filter(F.col(key).isNotNull()), key, text, k, band), "signatures")
     # texts with the same elements are one class c; its least key is k0
     rows = signed.filter("content is not null").groupBy(F.col("content").alias("c")).agg(F.min(F.struct(F.col(key).alias("k0"), "bands", "runs")).alias("r"))
-    unique = bucketed(rows.select("c", "r.*", F.length("r.runs").alias("size")), "c", "texts")
+    unique = own.bucketed(rows.select("c", "r.*", F.length("r.runs").alias("size")), "c", "texts")
     least = unique.select(F.col("c").alias("content"), "k0")
     runs = unique.select("c", "runs")
     buckets = unique.select("c", F.posexplode("bands").alias("i", "band")).select("c", "band")
-    shared = settle(buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
+    shared = own.settle(buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
     # a bucket's pivot: the class that meets most others in all its buckets
     weight = buckets.join(shared, "band").groupBy("c").agg(F.sum("n").alias("w"))
-    members = settle(buckets.join(shared.select("band"), "band", "left_semi").join(weight, "c"), "buckets")
+    members = own.settle(buckets.join(shared.select("band"), "band", "left_semi").join(weight, "c"), "buckets")
     pivots = members.groupBy("band").agg(F.max(F.struct("w", "c"))["c"].alias("m"))
-    members = settle(members.join(pivots, "band").select("band", "c", "m"), "members")
-    stars = settle(members.select("m", "c").distinct().join(unique.select("c", "size"), "c"), "stars")
-    links = _linked(stars, runs, similar)
-    label = components(links)
+    stars = members.join(pivots, "band").select("m", "c").distinct()
+    stars = own.settle(stars.join(unique.select("c", "size"), "c"), "stars")
+    own.drop(members, shared)
+    links = _linked(own, stars, runs, similar)
+    own.drop(stars)
+    label = components(links, own)
     groups = least.select(F.col("content").alias("node"), "k0").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = groups.groupBy("label").agg(F.min("k0").alias("class_id"))
     degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     named = groups.join(heads, "label").join(degree, "node", "left").select(F.col("node").alias("content"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = signed.select(key, "content").join(named, "content", "left")
     out = out.select(key, F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.groupBy(key).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    return own.settle(out.groupBy(key).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links")), "classes")
 
 
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
