@@ -3,18 +3,19 @@
 Every document becomes its ids and a closing id. Documents over the sequence length are cut
 into full pieces, which fill a sequence each, and one shorter first piece. First pieces and
 short documents are dealt at random (by a hash) into groups of bounded size, and each group is
-packed alone: best fit from the longest down, then, while there are more bins than the total
-length needs, the emptiest bin is taken apart by moving a document out, by exchanging one
-document for a shorter one, or two for one. Every exchange fills the fuller bin further, so
-the sum of squared fills rises and the search ends. A group wastes at most about a bin, a
-fixed share however many groups there are.
-
-Defined results: a null or empty text is the closing id alone; repeated rows are packed like
-any other; an empty table gives no rows; other columns are not read.
+packed alone: bins as documents arrive, then, while there are more bins than the total length
+needs, the emptiest bins are taken apart by moving a document out, by exchanging one document
+for a shorter one, two for one, or one for two. Every exchange fills the fuller bin further, so
+the sum of squared fills rises and the search ends. What a group wastes does not depend on how
+many groups there are.
+
+Defined results: a null or empty text is the closing id alone; the strings of special tokens have
+their own ids; repeated rows are packed like any other; of equal choices the least bin and item number wins; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -36,26 +37,47 @@ PIECE = "piece int, start long, length long, ids_crc32 long"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Ids:
     """Token ids of texts, by chunks that start at single blanks.
 
     The byte-level pattern never joins a character with a later blank, so a blank between two
     other characters always begins a token. Chunks are encoded once and kept, in two
-    generations of ``most`` chunks each. The ids are those of the vocabulary's JSON form; its
-    table of ranks is read here, because it encodes short chunks several times as fast.
+    generations of ``most`` chunks each. Special tokens of the vocabulary (its JSON form) that
+    stand in a text are cut out first and have their own ids. A token's id is its merge rank, so
+    that ranks encode the chunks, which is several times as fast as the JSON form's library.
     """
 
-    def __init__(self, ranks: bytes, most: int = 400_000):
-        import base64
+    def __init__(self, vocabulary: bytes, most: int = 400_000):
+        import json
 
         import tiktoken
 
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        said = json.loads(vocabulary)
+        spelt = {c: bytes([b]) for b, c in _letters().items()}
+        own = {x["content"]: x for x in said["added_tokens"]}
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in own.values()):
+            raise ValueError("only special tokens that match as they stand are supported")
+        table = {b"".join(spelt[c] for c in t): i for t, i in said["model"]["vocab"].items() if t not in own}
         self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.special = {t: np.array([x["id"]], "<u4").tobytes() for t, x in own.items()}
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(own, key=len, reverse=True)) + ")") if own else None
         self.most = most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def parts(self, text: str) -> list[str]:
+        """Chunks, and special tokens as they stand in the text."""
+        if self.cut is None or not self.cut.search(text):
+            return self.chunks(text)
+        return [x for k, part in enumerate(self.cut.split(text)) if part for x in ([part] if k % 2 else self.chunks(part))]
+
     def chunks(self, text: str) -> list[str]:
         head, *rest = text.split(" ")
         plain = head != "" and not head[-1].isspace()
@@ -75,6 +97,8 @@ class Ids:
 
     def _ids(self, chunk: str) -> bytes:
         """The ids of a chunk that is not kept yet."""
+        if chunk in self.special:
+            return self.special[chunk]
         if (ids := self.young.get(chunk)) is not None:
             return ids
         if (ids := self.old.get(chunk)) is None:
@@ -90,30 +114,30 @@ class Ids:
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [self.chunks(t) if t else [] for t in texts]
+        cut = [self.parts(t) if t else [] for t in texts]
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         young, sizes = self.young, self._ids
         for x in set().union(*cut):
             if x not in young:
-                sizes(x)
+                young[x] = sizes(x)
         return [b"".join([young[x] for x in c]) for c in cut]
 
 
 _loaded: dict[int, Ids] = {}
 
 
-def pieces(docs: DataFrame, ranks: bytes, size: int = 2048, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: bytes, size: int = 2048, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32."""
     kind = docs.schema[key].dataType.simpleString()
     crc = zlib.crc32
     close = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        own = hash(ranks)
+        own = hash(vocabulary)
         if own not in _loaded:
             _loaded.clear()
-            _loaded[own] = Ids(ranks)
+            _loaded[own] = Ids(vocabulary)
         for batch in batches:
             texts, at = batch.column(1).to_pylist(), 0
             rows, which = [], []
@@ -138,50 +162,64 @@ def pieces(docs: DataFrame, ranks: bytes, size: int = 2048, end: int = 0, key: s
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {PIECE}")
 
 
-def best_fit(lengths: list[int], size: int) -> list[list[int]]:
-    """Bins of item numbers, by best fit from the longest item down."""
+def arrival(lengths: list[int], size: int) -> list[list[int]]:
+    """Bins of item numbers as they come: a bin is closed by the first item that does not fit."""
     bins: list[list[int]] = []
-    by_gap: list[list[int]] = [[] for _ in range(size + 1)]
-    mask = 0  # bit g: a bin with gap g
-    for i in sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True):
-        n = lengths[i]
-        if fits := mask >> n:
-            gap = (fits & -fits).bit_length() - 1 + n
-            b = by_gap[gap].pop()
-            if not by_gap[gap]:
-                mask &= ~(1 << gap)
-            bins[b].append(i)
-        else:
-            b, gap = len(bins), size
-            bins.append([i])
-        if gap > n:
-            by_gap[gap - n].append(b)
-            mask |= 1 << (gap - n)
+    gap = 0
+    for i, n in enumerate(lengths):
+        if n > gap:
+            bins.append([])
+            gap = size
+        bins[-1].append(i)
+        gap -= n
     return bins
 
 
 class Search:
-    """Swap-based local search over the bins that are not full."""
+    """Swap-based local search over the bins that are not full.
+
+    ``open`` bins are partners; the bin that is taken apart is not among them. ``by_gap`` and
+    the bits of ``gaps`` find the bin that an item fits best, ``holders`` and ``most`` the
+    fuller bin that an item can be exchanged with. Every change moves length into the fuller
+    bin, so that the sum of squared fills rises.
+    """
 
     def __init__(self, bins: list[list[int]], lengths: list[int], size: int):
         self.lengths, self.size, self.bins = lengths, size, bins
         self.gap = [size - sum(lengths[i] for i in b) for b in bins]
-        self.holders: dict[int, set[int]] = defaultdict(set)  # length -> open bins that hold such an item
+        self.by_gap: list[set[int]] = [set() for _ in range(size + 1)]
+        self.gaps = 0  # bit g: an open bin with gap g
+        self.holders: dict[int, dict[int, set[int]]] = defaultdict(dict)  # length -> gap -> open bins that hold such an item
         self.most = np.zeros(size + 1, np.int64)  # the largest gap of those bins
-        self.open = {b for b, g in enumerate(self.gap) if g > 0}
-        for b in self.open:
-            self._enter(b)
+        self.open: set[int] = set()
+        self.moves = self.swaps = self.twos = self.splits = 0
+        for b, g in enumerate(self.gap):
+            if g > 0:
+                self._enter(b)
 
     def _enter(self, b: int) -> None:
+        g = self.gap[b]
+        self.open.add(b)
+        self.by_gap[g].add(b)
+        self.gaps |= 1 << g
         for n in {self.lengths[i] for i in self.bins[b]}:
-            self.holders[n].add(b)
-            self.most[n] = max(self.most[n], self.gap[b])
+            self.holders[n].setdefault(g, set()).add(b)
+            if self.most[n] < g:
+                self.most[n] = g
 
     def _leave(self, b: int) -> None:
+        g = self.gap[b]
+        self.open.discard(b)
+        self.by_gap[g].discard(b)
+        if not self.by_gap[g]:
+            self.gaps &= ~(1 << g)
         for n in {self.lengths[i] for i in self.bins[b]}:
-            self.holders[n].discard(b)
-            if self.most[n] == self.gap[b]:
-                self.most[n] = max((self.gap[x] for x in self.holders[n]), default=0)
+            own = self.holders[n]
+            own[g].discard(b)
+            if not own[g]:
+                del own[g]
+                if self.most[n] == g:
+                    self.most[n] = max(own, default=0)
 
     def _give(self, a: int, b: int, out: list[int], back: list[int]) -> None:
         """Items ``out`` of a go to b, items ``back`` of b to a."""
@@ -195,45 +233,49 @@ class Search:
                 self.bins[y].append(i)
         if self.gap[b] > 0:
             self._enter(b)
-        else:
-            self.open.discard(b)
 
-    def _partner(self, total: int) -> tuple[int, int] | None:
-        """An open bin and its item, shorter than total by at most the bin's gap; the shortest such item."""
+    def _partner(self, total: int, most: int) -> tuple[int, int] | None:
+        """An open bin of gap ``most`` at most and its item, shorter than total by at most the bin's gap; the shortest such item."""
         top = min(total, self.size + 1)
-        y = np.arange(1, top)
-        ok = np.flatnonzero((self.most[1:top] > 0) & (y + self.most[1:top] >= total))
-        if not len(ok):
-            return None
-        n = int(y[ok[0]])
-        b = max(self.holders[n], key=lambda x: (self.gap[x], -x))
-        return b, next(i for i in self.bins[b] if self.lengths[i] == n)
+        held = self.most[1:top]
+        y = np.flatnonzero((held > 0) & (np.arange(1, top) + held >= total)) + 1
+        for n in y.tolist():
+            gaps = [g for g in self.holders[n] if total - n <= g <= most]
+            if gaps:
+                b = min(self.holders[n][min(gaps)])
+                return b, next(i for i in self.bins[b] if self.lengths[i] == n)
+        return None
 
     def take_apart(self, a: int) -> bool:
         """Whether bin a could be emptied."""
         self._leave(a)
-        self.open.discard(a)
         while self.bins[a]:
             items = sorted(self.bins[a], key=lambda i: (-self.lengths[i], i))
-            if any(self._move(a, i) for i in items) or any(self._swap(a, [i]) for i in items) or self._two(a, items):
+            if any(self._move(a, i) for i in items) or any(self._swap(a, [i]) for i in items) or self._two(a, items) or any(self._split(a, i) for i in items):
                 continue
             return False
         return True
 
     def _move(self, a: int, i: int) -> bool:
         n = self.lengths[i]
-        b = min((b for b in self.open if self.gap[b] >= n), key=lambda b: (self.gap[b], b), default=None)
-        if b is None:
+        if not (fits := self.gaps >> n):
+            return False
+        gap = (fits & -fits).bit_length() - 1 + n
+        if gap - n >= self.gap[a]:  # b would not become the fuller one
             return False
-        self._give(a, b, [i], [])
+        self._give(a, min(self.by_gap[gap]), [i], [])
+        self.moves += 1
         return True
 
     def _swap(self, a: int, out: list[int]) -> bool:
-        total = sum(self.lengths[i] for i in out)
-        hit = self._partner(total)
-        if not hit or self.gap[hit[0]] > self.gap[a]:  # b must be the fuller bin, else squares could fall
+        hit = self._partner(sum(self.lengths[i] for i in out), self.gap[a])
+        if not hit:
             return False
         self._give(a, hit[0], out, [hit[1]])
+        if len(out) == 1:
+            self.swaps += 1
+        else:
+            self.twos += 1
         return True
 
     def _two(self, a: int, items: list[int]) -> bool:
@@ -247,36 +289,54 @@ class Search:
                         return True
         return False
 
-    def run(self, least: int, passes: int = 8) -> list[list[int]]:
+    def _split(self, a: int, i: int, looked: int = 400) -> bool:
+        """Item i of a for two shorter ones of a fuller bin; ``looked`` bins are tried, those with the largest gaps first."""
+        total = self.lengths[i]
+        left = self.gaps & (1 << self.gap[a] + 1) - 1
+        while left and looked > 0:
+            g = left.bit_length() - 1
+            left &= ~(1 << g)
+            for b in sorted(self.by_gap[g]):
+                looked -= 1
+                items = sorted(self.bins[b], key=self.lengths.__getitem__)
+                p, q = 0, len(items) - 1
+                while p < q:
+                    two = self.lengths[items[p]] + self.lengths[items[q]]
+                    if two >= total:
+                        q -= 1
+                    elif two < total - g:
+                        p += 1
+                    else:
+                        self._give(a, b, [i], [items[p], items[q]])
+                        self.splits += 1
+                        return True
+        return False
+
+    def run(self, least: int) -> list[list[int]]:
         """Takes bins apart, emptiest first, again while exchanges still change any; stops at ``least`` bins."""
         left = sum(1 for b in self.bins if b)
-        for _ in range(passes):
-            before = sum(g * g for g in self.gap)
+        before = None
+        while left > least and (now := sum(g * g for g in self.gap)) != before:
+            before = now
             for b, g in enumerate(self.gap):  # bins that could not be emptied take part again
                 if 0 < g and self.bins[b] and b not in self.open:
-                    self.open.add(b)
                     self._enter(b)
             for b in sorted(self.open, key=lambda b: (-self.gap[b], b)):
-                if left <= least or not self.open:
+                if left <= least:
                     break
                 if b in self.open and self.take_apart(b):
                     left -= 1
-            if left <= least or sum(g * g for g in self.gap) == before:
-                break
         return [b for b in self.bins if b]
 
 
 def pack(lengths: list[int], size: int) -> list[list[int]]:
     """Bins of item numbers; each bin's lengths sum to ``size`` at most."""
-    bins = best_fit(lengths, size)
-    least = ceil(sum(lengths) / size)
-    return Search(bins, lengths, size).run(least) if len(bins) > least else bins
+    return Search(arrival(lengths, size), lengths, size).run(ceil(sum(lengths) / size))
 
 
-def packed(docs: DataFrame, ranks: bytes, size: int = 2048, end: int = 0, group: int = 8192, key: str = "doc_id", text: str = "text") -> DataFrame:
+def packed(docs: DataFrame, vocabulary: bytes, size: int = 2048, end: int = 0, group: int = 8192, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset."""
-    spark = docs.sparkSession
-    cut = settle(pieces(docs, ranks, size, end, key, text))
+    cut = settle(pieces(docs, vocabulary, size, end, key, text), "pieces")
     whole = cut.filter(F.col("length") == size)
     rest = cut.filter(F.col("length") < size)
     groups = max(1, ceil(rest.count() / group))

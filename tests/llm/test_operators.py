@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from linkloom.llm import _text as tx
+from linkloom.tables import settle
 from linkloom.llm import audio, kneser_ney, main_text, near_dup, packing, pieces, pii, quality, queries, repeats, urls
 
 R = random.Random(11)
@@ -166,10 +167,10 @@ def test_packing(spark, docs, nothing):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(queries.vocabulary("byte_bpe_50k.json").decode())
-    t.encode_special_tokens = True
-    ranks = queries.vocabulary("byte_bpe_50k.tiktoken")
+    ranks = queries.vocabulary("byte_bpe_50k.json")
     own = packing.Ids(ranks)
     odd = ["".join(R.choice("ab  \n\té🤖's<|endoftext|> .,12　") for _ in range(R.randint(0, 60))) for _ in range(1500)]
+    odd += ["".join(R.choice(["<|endoftext|>", " ", "a", "\n", "<|endoftext", "|>", "b c"]) for _ in range(R.randint(0, 12))) for _ in range(500)]
     for x, ids in zip(odd, own.of(odd)):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
     got = packing.packed(docs, ranks, size=256).collect()
@@ -186,6 +187,21 @@ def test_packing(spark, docs, nothing):
     assert packing.packed(nothing, ranks).count() == 0
 
 
+def test_local_search_decides():
+    r = random.Random(2)
+    for n in (1, 40, 400, 3000):
+        lengths = [min(2047, int(r.lognormvariate(6.2, 0.9)) + 1) for _ in range(n)]
+        start = packing.arrival(lengths, 2048)
+        search = packing.Search([list(b) for b in start], lengths, 2048)
+        least = math.ceil(sum(lengths) / 2048)
+        squares = sum((2048 - g) ** 2 for g in search.gap)
+        out = search.run(least)
+        assert sorted(i for b in out for i in b) == list(range(n)) and all(sum(lengths[i] for i in b) <= 2048 for b in out)
+        assert squares <= sum((2048 - g) ** 2 for g in search.gap)
+        assert len(out) <= math.ceil(1.01 * least) and (len(start) == len(out) or search.moves + search.swaps > 0)
+    assert len(packing.pack([700] * 500, 2048)) == 250 and packing.pack([], 2048) == []  # ties
+
+
 def test_local_search_frees_bins():
     # best fit can't: 6+4 | 5+5 from a bad start
     lengths = [6, 5, 4, 3, 2]
@@ -342,7 +358,7 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
     for name, stage in cp.STAGES:
-        docs = cp.settle(stage(spark, docs, sf), name)
+        docs = settle(stage(spark, docs, sf), name)
         assert docs.count() > 0
         if name != "packing":
             assert docs.columns == columns
