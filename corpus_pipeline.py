@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import near_dup, packing, pii, quality, repeats
-from linkloom.llm._run import settle
+from linkloom.llm._run import Scratch
 from linkloom.llm.queries import vocabulary
 
 
@@ -36,7 +36,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts as pieces of sequences of at most 2048 tokens."""
-    return packing.packed(docs, vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.packed(docs, vocabulary("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality_stage), ("near_dup", near_dup_stage), ("repeats", repeats_stage), ("pii", pii_stage), ("packing", packing_stage)]
@@ -46,6 +46,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as own:
+        before = None
+        for name, stage in STAGES[:-1]:
+            docs = own.settle(stage(spark, docs, sf_dir), name)
+            if before is not None:
+                own.drop(before)
+            before = docs
+        return STAGES[-1][1](spark, docs, sf_dir)
