@@ -1,81 +1,131 @@
 """Operator 9: main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines, one for each block-level element's run of text. Elements that
-never hold an article's text (scripts, forms, menus, footers ...) are left out by name, and
-containers by the words of their class, id and role. Over the lines that are left, text lengths
-(link text counts against a line) are summed over sliding windows: the article begins where
-the sums surge and ends where they dive for good. If marked article and main elements hold a third of the plain text, the search is among their
-lines only.
+Markup is read by the states of the HTML syntax (quotes open a value only behind ``=``) and
+stripped into lines, one for each block-level element's run of text; a start tag closes what it
+ends by rule, such as an open paragraph. Elements that never hold an article's text (scripts,
+controls, menus, footers ...) are left out by name, and containers by words of their class, id
+and role that say the same. Over all lines that are left, text lengths are summed in sliding
+windows: a line counts its characters outside links, by their share in it, lines in article and main elements count ``INSIDE``
+times, lines in containers of a doubtful name the share ``DOUBT``, and their block stays only if
+it surges by itself. The article begins where the sums surge and ends where they dive for good;
+lines beside it in the same container belong to it. All pages take this way.
 
 Defined results: null or empty HTML gives an empty text; unclosed tags end with their parent;
-a page whose lines never surge (all are short) gives the lines of its longest run; repeated
-rows are extracted alike; an empty table gives no rows; other columns are not read.
+a page whose lines never surge (all are short) gives the lines around its longest one, the first
+of equals; repeated rows are extracted alike; an empty table gives no rows; other columns are
+not read. Time is linear in the page, however tags are left open.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Elements by what they do to lines.
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul br caption".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul br caption search".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-DROPPED = frozenset("head script style textarea title noscript iframe xmp noembed noframes template nav footer aside form button select option input svg canvas object embed audio video map menu dialog datalist".split())
+DROPPED = frozenset("head script style textarea title noscript iframe xmp noembed noframes template nav footer aside button select option input label legend svg math canvas object embed audio video map menu dialog datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Elements whose lines are beside each other.
+HOMES = frozenset("html body div section article main td th form center header details figure dialog fieldset".split())
 #: Words of class, id or role that mark a container as no part of the article.
-UNWANTED = frozenset("ad ads adv advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus dropdown footer gdpr masthead menu modal nav navbar navigation newsletter notice notification overlay pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets complementary contentinfo alert dialog".split())
-WANTED = frozenset("article main content post entry story body".split())
-
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
-_MARKS = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+UNWANTED = frozenset("ad ads adv advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus dropdown footer gdpr masthead menu modal nav navbar navigation newsletter overlay pagination paywall popup promo promoted recommended replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar complementary contentinfo dialog".split())
+#: Words of containers that may hold an article's section all the same.
+DOUBTFUL = frozenset("alert notice notification promotion related search teaser widget widgets".split())
+INSIDE, DOUBT = 4.0, 0.3
+
+_ATTRIBUTES = r"(?:[\s/]++|[^\s/>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|))*+"
+_TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)|'([^']*+)|([^\s>\"'][^\s>]*+)))?")
+_NAMED = re.compile("class|id|role", re.I)
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _WORD = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
-#: An element of this kind ends an open one of those.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_ENDS: dict[str, re.Pattern] = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in RAW}
+#: An element of this kind ends an open one of those, but not beyond one of the limits.
+_PARAGRAPH = (("p",), ("button", "td", "th", "caption", "object"))
+CLOSES = {n: _PARAGRAPH for n in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()}
+CLOSES |= {"li": (("li", "p"), ("ul", "ol", "menu", "td", "th")), "dt": (("dt", "dd", "p"), ("dl", "td", "th")), "dd": (("dt", "dd", "p"), ("dl", "td", "th"))}
+CLOSES |= {"tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "option": (("option",), ("select",))}
 
 
 class Line:
-    """A block's text: characters outside and inside links, and whether an article element holds it."""
+    """A block's text: characters outside and inside links, weight of its place, its container, the doubtful block it is in (0: none)."""
+
+    __slots__ = ("text", "plain", "linked", "factor", "home", "doubt", "heading")
 
-    __slots__ = ("text", "plain", "linked", "inside", "heading")
+    def __init__(self, text: str, plain: int, linked: int, factor: float, home: int, doubt: int, heading: bool):
+        self.text, self.plain, self.linked, self.factor, self.home, self.doubt, self.heading = text, plain, linked, factor, home, doubt, heading
 
-    def __init__(self, text: str, plain: int, linked: int, inside: int, heading: bool):
-        self.text, self.plain, self.linked, self.inside, self.heading = text, plain, linked, inside, heading
+    @property
+    def weight(self) -> float:
+        """The plain characters, by their share in the line."""
+        return self.factor * self.plain * self.plain / max(1, self.plain + self.linked)
 
 
 def _marks(attributes: str) -> set[str]:
     found = set()
-    for m in _MARKS.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        found.update(_WORD.findall(re.sub("([a-z])([A-Z])", r"\1 \2", value).lower()))
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role"):
+            value = m[2] or m[3] or m[4] or ""
+            found.update(_WORD.findall(re.sub("([a-z])([A-Z])", r"\1 \2", value).lower()))
     return found
 
 
+class _Stack:
+    """Open elements: name, dropped, factor, home, doubtful block."""
+
+    def __init__(self):
+        self.open: list[tuple[str, bool, float, int, int]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)  # name -> places in the stack
+        self.top = ("", False, 1.0, 0, 0)
+
+    def push(self, name: str, *state) -> None:
+        self.at[name].append(len(self.open))
+        self.open.append((name, *state))
+        self.top = self.open[-1]
+
+    def last(self, names) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def cut(self, place: int) -> list[str]:
+        """Closes all from a place on."""
+        gone = [x[0] for x in self.open[place:]]
+        for name in gone:
+            self.at[name].pop()
+        del self.open[place:]
+        self.top = self.open[-1] if self.open else ("", False, 1.0, 0, 0)
+        return gone
+
+
 def lines(page: str) -> list[Line]:
     """The lines of a page, without those in dropped elements."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, int]] = []  # name, dropped here or above, article depth
+    stack = _Stack()
     parts: list[tuple[str, bool]] = []
-    dropped, inside, links, heading = False, 0, 0, False
+    number = 0
 
     def flush() -> None:
-        nonlocal parts, heading
+        nonlocal parts
         if parts:
-            text = _BLANK.sub(" ", html.unescape("".join(t for t, _ in parts))).strip()
+            text = _BLANK.sub(" ", html.unescape("".join([t for t, _ in parts]))).strip()
             if text:
                 linked = sum(len(_BLANK.sub(" ", t).strip()) for t, a in parts if a)
-                out.append(Line(text, max(0, len(text) - linked), linked, inside, heading))
-        parts = []
+                _, _, factor, home, doubt = stack.top
+                out.append(Line(text, max(0, len(text) - linked), linked, factor, home, doubt, stack.last(HEADINGS) >= 0))
+            parts = []
 
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
         begin = m.start() if m else n
-        if begin > at and not dropped:
-            parts.append((page[at:begin], links > 0))
+        if begin > at and not stack.top[1]:
+            parts.append((page[at:begin], bool(stack.at["a"])))
         if not m:
             break
         at = m.end()
@@ -83,61 +133,65 @@ def lines(page: str) -> list[Line]:
         if not name:
             continue
         if m[1]:  # an end tag closes what it names, and what was left open inside
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name in BLOCKS or any(x[0] in BLOCKS or x[1] for x in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    break
-            else:
-                if name in BLOCKS:
+            if stack.at.get(name):
+                place = stack.at[name][-1]
+                if name in BLOCKS or any(x[0] in BLOCKS or x[1] for x in stack.open[place:]):
                     flush()
-            dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            links = sum(x[0] == "a" for x in stack)
-            heading = any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack)
+                stack.cut(place)
+            elif name in BLOCKS:
+                flush()
             continue
         if name in BLOCKS:
             flush()
         if name in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES[name]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "select", "div", "article", "section", "body"):
-                    break
-            dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            ended, limits = CLOSES[name]
+            place = min((stack.at[e][-1] for e in ended if stack.at.get(e) and stack.at[e][-1] > stack.last(limits)), default=-1)
+            if place >= 0:
+                stack.cut(place)
         if name in RAW:  # no markup inside
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            end = _ENDS[name].search(page, at)
             at = end.end() if end else n
-            if name not in DROPPED and not dropped:
-                parts.append((page[m.end() : end.start() if end else n], links > 0))
             continue
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or _CLOSED.search(m[3]):
             continue
-        marks = _marks(m[3]) if m[3] else set()
-        wanted = name in ("article", "main") or (name in ("div", "section") and bool(marks & WANTED) and not marks & UNWANTED)
-        bad = name in DROPPED or (name == "header" and not inside) or (name not in ("html", "body", "article", "main") and bool(marks & UNWANTED) and not (wanted and marks & {"article"}))
+        _, dropped, factor, home, doubt = stack.top
+        marks = _marks(m[3]) if m[3] and name not in ("html", "body") and _NAMED.search(m[3]) else ()
+        number += 1
+        article = name in ("article", "main")
+        bad = name in DROPPED or (name == "header" and not (stack.at["article"] or stack.at["main"])) or bool(marks and not article and not UNWANTED.isdisjoint(marks))
         if bad and name not in BLOCKS:
             flush()
-        dropped = dropped or bad
-        inside += name in ("article", "main")
-        links += name == "a"
-        heading = heading or name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        stack.append((name, dropped, inside))
+        if article:
+            factor, doubt = INSIDE, 0
+        elif name == "form" or (marks and not DOUBTFUL.isdisjoint(marks)):
+            factor, doubt = factor * DOUBT, number
+        stack.push(name, dropped or bad, factor, number if name in HOMES else home, doubt)
     flush()
     return out
 
 
+def surging(found: list[Line], surge: int = 80) -> list[Line]:
+    """Without the blocks of a doubtful name that do not surge by themselves."""
+    sums: dict[int, float] = defaultdict(float)
+    for x in found:
+        sums[x.doubt] += x.weight
+    return [x for x in found if not x.doubt or sums[x.doubt] >= surge]
+
+
 def bounds(found: list[Line], window: int = 3, surge: int = 80, dive: int = 25) -> tuple[int, int]:
     """First line and end of the article: from the surge of the window sums to their last dive.
 
-    A line counts its plain characters less its link characters. Window k sums lines k to
-    k + window - 1. It surges if its sum reaches ``surge`` and its first line counts; it has
-    dived if it sums to ``dive`` at most.
+    Window k sums the weights of lines k to k + window - 1. It surges if its sum reaches
+    ``surge`` and its first line counts; it has dived if it sums to ``dive`` at most. Of all
+    stretches between a surge and the next dive those with a quarter of the largest one's sum
+    at least are the article, with what is between them (a picture or a list may split it).
     """
-    weight = [max(0, x.plain - x.linked) for x in found]
+    weight = [x.weight for x in found]
     n = len(found)
-    sums = [sum(weight[k : k + window]) for k in range(n)]
+    total = [0.0]
+    for w in weight:
+        total.append(total[-1] + w)
+    sums = [total[min(n, k + window)] - total[k] for k in range(n)]
     runs, k = [], 0
     while k < n:
         if sums[k] >= surge and weight[k] > 0:
@@ -145,43 +199,45 @@ def bounds(found: list[Line], window: int = 3, surge: int = 80, dive: int = 25)
             while k < n and sums[k] > dive:
                 k += 1
             end = k
-            while end > begin and weight[end - 1] == 0:
+            while end > begin + 1 and weight[end - 1] == 0:
                 end -= 1
-            runs.append((sum(weight[begin:end]), begin, end))
+            runs.append((total[end] - total[begin], begin, end))
         k += 1
     if not runs:
-        best = max(range(n), key=lambda i: weight[i], default=0)
-        return (0, n) if not n or weight[best] == 0 else _around(weight, best)
-    most = max(r[0] for r in runs)
-    kept = [r for r in runs if r[0] >= most / 4]  # a picture or a list may split an article
-    begin, end = kept[0][1], kept[-1][2]
-    while end < n and weight[end] > 0 and found[end].text[-1] in ".!?…:;\"'»”)":  # short last sentences
-        end += 1
-    while begin > 0 and weight[begin - 1] > 0 and found[begin - 1].text[-1] in ".!?…:;\"'»”)":
-        begin -= 1
-    if begin > 0 and found[begin - 1].heading and found[begin - 1].linked == 0:
-        begin -= 1
-    return begin, end
-
-
-def _around(weight: list[int], best: int) -> tuple[int, int]:
-    begin, end = best, best + 1
-    while begin > 0 and weight[begin - 1] > 0:
+        best = max(range(n), key=lambda i: (weight[i], -i), default=0)
+        if not n or weight[best] == 0:
+            return 0, n
+        begin, end = best, best + 1
+    else:
+        most = max(r[0] for r in runs)
+        kept = [r for r in runs if r[0] >= most / 4]
+        begin, end = kept[0][1], kept[-1][2]
+    return _beside(found, weight, begin, end)
+
+
+def _beside(found: list[Line], weight: list[float], begin: int, end: int, links: int = 3) -> tuple[int, int]:
+    """The range with the lines next to it in the same container, up to a list of ``links`` lines of links, and the heading above."""
+    last = end - 1
+    i = end
+    while i < len(found) and found[i].home == found[last].home and i - end < links:
+        i += 1
+        if weight[i - 1] > 0:
+            end = i
+    first, i = begin, begin - 1
+    while i >= 0 and found[i].home == found[first].home and begin - i <= links:
+        if weight[i] > 0:
+            begin = i
+        i -= 1
+    while begin > 0 and found[begin - 1].heading and found[begin - 1].linked == 0 and found[begin - 1].plain > 0 and not found[begin].heading:
         begin -= 1
-    while end < len(weight) and weight[end] > 0:
-        end += 1
     return begin, end
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by line feeds."""
-    found = lines(page or "")
-    if marked := [x for x in found if x.inside]:  # the page says where its article is
-        held = sum(x.plain for x in marked)
-        if 3 * held >= sum(x.plain for x in found):
-            found = marked  # the search goes on among these
+    found = surging(lines(page or ""))
     begin, end = bounds(found)
-    return "\n".join(x.text for x in found[begin:end])
+    return "\n".join([x.text for x in found[begin:end]])
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -1,8 +1,10 @@
 """Training-data operators against brute force, the libraries, and edge rows."""
 
 import hashlib
+import html
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -336,6 +338,60 @@ def test_main_text_searches_in_marked_elements(spark):
         assert main_text.main_text(f"<body><{name}>{links}{body}{links}</{name}><p>Elsewhere.</p></body>") == "\n".join(said * 2)
 
 
+def _random_page(r):
+    """A page of random parts, and its article."""
+    say = lambda k: " ".join(r.choices(VOCAB, k=k)).capitalize() + "."
+    blocks, body = [], []
+    for _ in range(r.randint(4, 14)):
+        kind = r.random()
+        if kind < 0.15:
+            items = [say(r.randint(4, 12)) for _ in range(r.randint(1, 4))]
+            body.append("<ul>" + "".join(f"<li>{x}" + "</li>" * r.randint(0, 1) for x in items) + "</ul>")
+            blocks += items
+        elif kind < 0.25:
+            body.append(r.choice(['<p class="ad">Buy now', '<div class="ad">Buy now</div>', "<!-- <p>no</p> -->", '<aside><p>See this too.</p></aside>', '<script>"</p><p>"</script>', "<form>Your name <input></form>"]))
+        else:
+            a, b = say(r.randint(20, 60)), say(r.randint(1, 30))
+            body.append(f"<p{r.choice(['', ' class=x', ' data-a=1>2' [:9], ' title=it\"s'])}>{a} &amp;  <a href=x\">{b}</a>\n" + "</p>" * r.randint(0, 1))
+            blocks.append(f"{a} & {b}")
+    wrap = r.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class=page>", "</div>"), ("<div><section id=related-work>", "</section></div>")])
+    chrome = "<nav><ul><li><a href=/>Home</a><li><a href=/b>More</a></ul></nav><header>Site name</header>"
+    after = '<div class="comments"><p>' + say(40) + "</div><footer>" + say(20) + "</footer>"
+    return f"<!DOCTYPE html><html><head><title>{say(5)}</title><style>p{{}}</style></head><body>{chrome}{wrap[0]}{''.join(body)}{wrap[1]}{after}", "\n".join(blocks)
+
+
+def test_main_text_of_random_pages_equals_their_article(spark):
+    r = random.Random(4)
+    pages = [_random_page(r) for _ in range(300)]
+    for page, want in pages:
+        assert main_text.main_text(page) == want
+    rows = [(i, f"u{i}", p) for i, (p, _) in enumerate(pages)]
+    got = {x.page_id: x for x in main_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].text == w and got[i].n_chars == len(w) for i, (_, w) in enumerate(pages))
+    assert main_text.extracted(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_main_text_without_article_elements(spark):
+    for p in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        said = main_text.main_text(p.html)
+        inside = re.search("<article>(.*)</article>", p.html, re.S)[1]
+        blocks = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]+>", "", b))).strip() for b in re.split("<(?:/?p|/?h1|br)>", inside)]
+        assert said == "\n".join(b for b in blocks if b)
+        for other in ("", "div", "section"):
+            assert main_text.main_text(re.sub("(</?)article>", rf"\1{other}>" if other else "", p.html)) == said
+
+
+def test_main_text_loses_nothing_to_odd_markup():
+    said = "This is a sentence of the article that is long enough to count. Here is one more sentence of it."
+    for page in (f'<p class="ad">Buy now<p>{said}', f'<body><a href=x">home</a><p>{said}', f'<div class="related">{"<p>" + said} {said} {said} {said}</div>', f"<p {'a=b ' * 5}'>{said}", f"<form><p>{said} {said} {said} {said}<input></form>", f"<p>{said}<div><b>x"):
+        assert said in main_text.main_text(page)
+    for many in ("<p>a", "<b>", "<div>", "<li>", "<!--", "<a ", "<td><b>", '<p x="'):
+        main_text.main_text(many * 30000 + "</i></ul>" * 3000)
+    tie = "<div><p>same words here</p></div>"
+    assert main_text.main_text(tie * 3) == "same words here"
+
+
 def test_audio_finds_shifted_and_noisy_recordings(spark):
     g = np.random.default_rng(3)
     tune = [g.normal(size=64) for _ in range(40)]
