@@ -1,11 +1,16 @@
 """Operator 1: SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
-All distinct words of a slice are laid out as one flat symbol array. In each round every
-pair of neighbours has a rank from the vocabulary, a segmented minimum gives each word's best
-rank, all leftmost non-overlapping pairs of that rank merge at once, and the arrays are
-compacted; words without a pair left drop out. Merging many pairs at once equals the
-library's one-at-a-time order only if no merge makes a pair that ranks as well or better, so
-ranks for which the vocabulary allows that merge one (leftmost) pair a round.
+All distinct words of a slice are laid out as one flat symbol array, cut into segments: at word
+ends, and between characters that no piece holds side by side, as nothing ever merges there. So
+a word of any length (text without blanks, a binary blob) becomes many short segments. In each
+round every pair of neighbours has a rank from the vocabulary, a segmented minimum gives each
+segment's best rank, all leftmost non-overlapping pairs of that rank merge at once, and the
+arrays are compacted; segments without a pair left drop out. Merging many pairs at once equals
+the library's one-at-a-time order only until a merge makes a pair that ranks as well or better;
+where the vocabulary allows that, a segment's merges after the first such one wait for a round.
+Only a segment of over ``LONG`` symbols that has to wait (in public vocabularies: a run of
+blanks, whose longer pieces rank better) is finished with a heap, as it could wait for a round a
+symbol.
 
 Defined results: null and empty texts have no ids and decode to the empty text; rows stay as
 they are, repeated rows included; other columns are not read.
@@ -23,7 +28,6 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 NONE = np.int32(0x7FFFFFFF)
-#: Longer words (a run of blanks, a binary blob) are merged with a heap: there, one merge a round could take a round for every symbol.
 LONG = 1024
 
 
@@ -110,9 +114,9 @@ class Pieces:
                     for side in (p[:cut], p[cut:]):
                         if len(side) > 1 and rank[p] <= rank[side]:
                             self.chain[rank[side]] = True
+        self.beside = np.unique([ord(a) << 21 | ord(b) for p in known for a, b in zip(p, p[1:])] or [0]).astype(np.int64)
         order = np.argsort(keys)
         self._hash(np.array(keys, np.int64)[order], np.array(ranks, np.int32)[order], np.array(merged, np.int32)[order])
-        self.pair = {k: (r, m) for k, r, m in zip(keys, ranks, merged)}
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in known)
         if crossing:
             raise ValueError("a piece reaches over a word start")
@@ -165,19 +169,34 @@ class Pieces:
             slot[open_] = (slot[open_] + 1) % size
         return rank, out
 
+    def _segments(self, codes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The segment of every character, and the word of every segment."""
+        if not len(codes):
+            return word, word
+        pair = codes[:-1].astype(np.int64) << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)
+        first = np.r_[True, (word[1:] != word[:-1]) | (self.beside[at] != pair)]
+        return np.cumsum(first) - 1, word[first]
+
+    def _before_better(self, symbols: np.ndarray, seg: np.ndarray, at: np.ndarray, new: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """Which of the merges at places ``at`` (to symbols ``new``) come before or with the first of their segment that makes a pair of a rank up to ``top``."""
+        n = len(symbols)
+        beside = np.r_[False, at[1:] - at[:-1] == 2]  # the symbol on the left has just been merged
+        left = np.where(beside, np.r_[0, new[:-1]], symbols[np.maximum(at - 1, 0)])
+        better = (at > 0) & (seg[np.maximum(at - 1, 0)] == seg[at]) & (self.ranks(left.astype(np.int64), new.astype(np.int64))[0] <= top)
+        right = np.minimum(at + 2, n - 1)
+        better |= (at + 2 < n) & (seg[right] == seg[at]) & (self.ranks(new.astype(np.int64), symbols[right])[0] <= top)
+        first = np.flatnonzero(np.r_[True, seg[at[1:]] != seg[at[:-1]]])
+        count = np.cumsum(better) - better  # better pairs made earlier
+        return count == np.repeat(count[first], np.diff(np.r_[first, len(at)]))
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and how many each word has."""
         counts = np.array([len(w) for w in words], np.int64)
-        symbols = self.char_id[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
-        seg = np.repeat(np.arange(len(words)), counts)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols = self.char_id[codes]
+        seg, owner = self._segments(codes, np.repeat(np.arange(len(words)), counts))
         done_sym, done_seg = [], []
-        if counts.max(initial=0) > LONG:
-            for w in np.flatnonzero(counts > LONG):
-                out = self._heap(symbols[seg == w].tolist())
-                done_sym.append(np.array(out, np.int64))
-                done_seg.append(np.full(len(out), w))
-            keep = counts[seg] <= LONG
-            symbols, seg = symbols[keep], seg[keep]
         rank, new = np.full(len(symbols), NONE, np.int32), np.zeros(len(symbols), np.int32)
         at = np.flatnonzero(seg[:-1] == seg[1:])  # whose pair with the next symbol is to be looked up
         while len(symbols):
@@ -185,7 +204,7 @@ class Pieces:
             first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
             best = np.minimum.reduceat(rank, first)
             size = np.diff(np.r_[first, len(seg)])
-            if (best == NONE).any():  # these words are finished
+            if (best == NONE).any():  # these segments are finished
                 over = np.repeat(best == NONE, size)
                 done_sym.append(symbols[over])
                 done_seg.append(seg[over])
@@ -198,10 +217,25 @@ class Pieces:
             start = np.r_[True, (np.diff(at) > 1) | (seg[at[1:]] != seg[at[:-1]])]
             run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
             pick = (np.arange(len(at)) - run) % 2 == 0
-            alone = self.chain[top[at]]
-            if alone.any():
-                pick &= ~alone | np.r_[True, seg[at[1:]] != seg[at[:-1]]]
             at = at[pick]
+            chain = self.chain[top[at]]
+            if chain.any():
+                some = at[chain]
+                wait = np.zeros(len(at), bool)
+                wait[chain] = ~self._before_better(symbols, seg, some, new[some], top[some])
+                first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+                size = np.diff(np.r_[first, len(seg)])
+                held = np.isin(seg[first], seg[at[wait]]) & (size > LONG)
+                if held.any():
+                    for k in np.flatnonzero(held):
+                        out = self._heap(symbols[first[k] : first[k] + size[k]].tolist())
+                        done_sym.append(np.array(out, np.int64))
+                        done_seg.append(np.full(len(out), seg[first[k]]))
+                    over = np.repeat(held, size)
+                    symbols, seg, rank, new = (x[~over] for x in (symbols, seg, rank, new))
+                    at = np.zeros(0, np.int64)
+                    continue
+                at = at[~wait]
             symbols[at] = new[at]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
@@ -227,20 +261,16 @@ class Pieces:
             wide = np.repeat(symbols >= self.size, n)
             to[wide] = np.concatenate(spelt)
             symbols, seg = to, np.repeat(seg, n)
-        return symbols, np.bincount(seg, minlength=len(words))
+        return symbols, np.bincount(owner[seg], minlength=len(words))
 
     def _heap(self, symbols: list[int]) -> list[int]:
+        """Merges one at a time: the best rank, then the leftmost place."""
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-
-        def look(i: int) -> None:
-            j = after[i]
-            if j < n and (hit := self.pair.get(symbols[i] << 21 | symbols[j])):
-                heapq.heappush(queue, (hit[0], i, symbols[i], symbols[j], j, hit[1]))
-
-        for i in range(n - 1):
-            look(i)
+        rank, made = self.ranks(np.array(symbols[:-1], np.int64), np.array(symbols[1:], np.int64))
+        queue = [(int(r), i, symbols[i], symbols[i + 1], i + 1, int(m)) for i, (r, m) in enumerate(zip(rank, made)) if r != NONE]
+        heapq.heapify(queue)
+        known: dict[int, tuple[int, int]] = {}
         while queue:
             _, i, a, b, j, m = heapq.heappop(queue)
             if symbols[i] != a or after[i] != j or symbols[j] != b:
@@ -249,14 +279,17 @@ class Pieces:
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
-            look(i)
-            if before[i] >= 0:
-                look(before[i])
-        out, i = [], 0
-        while i < n:
-            out.append(symbols[i])
-            i = after[i]
-        return out
+            for x in (i, before[i]):
+                y = after[x] if x >= 0 else n
+                if y < n:
+                    pair = symbols[x] << 21 | symbols[y]
+                    if pair not in known:
+                        r, made = self.ranks(np.array([symbols[x]], np.int64), np.array([symbols[y]], np.int64))
+                        known[pair] = int(r[0]), int(made[0])
+                    r, to = known[pair]
+                    if r != NONE:
+                        heapq.heappush(queue, (r, x, symbols[x], symbols[y], y, to))
+        return [x for x in symbols if x >= 0]
 
     def decode(self, ids, lead: bool = True) -> str:
         """The text of ids; ``lead``: without the blank that encoding put first."""
