@@ -2,12 +2,15 @@
 
 Tokens are words with A-Z in lower case, then one end token for each text. Map tasks count
 words and pairs as sorted arrays of 64-bit hashes and send them on as packed blocks, one for
-each hash range; a range's blocks are merged by sorting. The model is written to the shared
-folder as sorted hash arrays, one file a range, and scoring tasks map the files into memory.
+each hash range; a range's blocks are merged by sorting. The number of ranges follows the bytes
+of text, so that what is merged at once stays of one size: pairs come in parts, a file's parts one
+after another in one stream. The model is written to the shared folder as sorted hash arrays, one
+file a range, and scoring tasks map the files into memory.
 
 * word files: hash, count, number of different words before it, numbers of pairs it begins
-  that were seen once, twice, three times or more;
-* pair files: hash of the pair, count.
+  that were seen once, twice, three times or more, in 64 bits each;
+* pair files: hash of the pair, count in 32 bits, or the mark that a second file has it in 64;
+  beside them where each part begins.
 
 Pairs are dealt by their first word, so that what a word begins is counted in one place,
 except those of words with over a fixed share of all tokens, which are dealt by both words:
@@ -31,15 +34,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm import _text as tx
-from linkloom.llm._run import folder, mounted, settle
+from linkloom.llm._run import Scratch, folder, mounted
 
 U64 = np.uint64
 END, START = U64(0x0E4D0E4D0E4D0E4D), U64(0x57A457A457A457A5)
 #: Words with over 1 / HEAVY of all tokens: fewer than HEAVY.
 HEAVY = 512
-WORD = np.dtype([("h", "<u8"), ("n", "<u4"), ("before", "<u4"), ("one", "<u4"), ("two", "<u4"), ("more", "<u4")])
+WORD = np.dtype([(c, "<u8") for c in ("h", "n", "before", "one", "two", "more")])
 PAIR = np.dtype([("h", "<u8"), ("n", "<u4")])
+LARGE = np.dtype([("h", "<u8"), ("n", "<u8")])
+#: A pair's count from here on stands in a file of its own.
+MOST = 0xFFFFFFFF
 BLOCK = "range int, part int, data binary"
+#: Bytes of text for each part of the pairs, which is merged at once; most files, each of one or more parts.
+PART_BYTES, FILES = 32 << 20, 4096
 
 
 @dataclass(frozen=True)
@@ -48,6 +56,7 @@ class Model:
 
     path: str
     ranges: int
+    parts: int  # of the pairs, in each range
     tokens: int
     words: int
     pairs: int  # different pairs
@@ -118,19 +127,38 @@ def _summed(h: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
 
 def _small(v: np.ndarray) -> np.ndarray:
     top = int(v.max(initial=0))
-    return v.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4")
+    return v.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
 
 
-def _blocks(where: np.ndarray, ranges: int, part: int, *columns: np.ndarray):
-    """A row (range, part, block) for each range that ``where`` names."""
+def _blocks(where: np.ndarray, parts: int, *columns: np.ndarray):
+    """A row (range, part, block) for each place that ``where`` names: range * parts + part."""
     order = np.argsort(where, kind="stable")
-    cut = np.searchsorted(where[order], np.arange(ranges + 1))
-    rows = [(r, part, _packed(*(c[order[cut[r] : cut[r + 1]]] for c in columns))) for r in range(ranges) if cut[r] < cut[r + 1]]
+    at, first = np.unique(where[order], return_index=True)
+    rows = [(int(w) // parts, int(w) % parts, _packed(*(c[order[a:b]] for c in columns))) for w, a, b in zip(at, first, np.r_[first[1:], len(order)])]
     r, p, d = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(p, pa.int32()), pa.array(d, pa.binary())], names=["range", "part", "data"])
 
 
-def _counted(batches, ranges: int, what, most: int = 3_000_000):
+def _dealt(blocks: DataFrame, ranges: int) -> DataFrame:
+    """One partition a range, its parts in order."""
+    return blocks.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "part")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[list[np.ndarray]]]]:
+    """(range, part, its blocks), one after another."""
+    key, held = None, []
+    for batch in batches:
+        for r, p, data in zip(*(batch.column(c) for c in ("range", "part", "data"))):
+            if key != (r.as_py(), p.as_py()):
+                if held:
+                    yield *key, held
+                key, held = (r.as_py(), p.as_py()), []
+            held.append(_unpacked(data.as_py()))
+    if held:
+        yield *key, held
+
+
+def _counted(batches, what, most: int = 3_000_000):
     """Blocks of what(hashes, row starts), summed over some millions of tokens."""
     held, size = [], 0
     for batch in batches:
@@ -147,12 +175,12 @@ def _counted(batches, ranges: int, what, most: int = 3_000_000):
 def _word_blocks(ranges: int):
     def what(held):
         h, n = np.unique(np.concatenate([t for t, _ in held]), return_counts=True)
-        yield _blocks(_range(h, ranges), ranges, 0, h, _small(n))
+        yield _blocks(_range(h, ranges), 1, h, _small(n))
 
-    return lambda batches: _counted(batches, ranges, what)
+    return lambda batches: _counted(batches, what)
 
 
-def _pair_blocks(ranges: int, heavy: np.ndarray):
+def _pair_blocks(ranges: int, parts: int, heavy: np.ndarray):
     """(first word, second word, count), dealt by the first word or, if that is heavy, by both."""
 
     def what(held):
@@ -166,9 +194,9 @@ def _pair_blocks(ranges: int, heavy: np.ndarray):
         order = np.argsort(a, kind="stable")
         a, b, n = a[order], b[order], n[order]
         by = np.where(np.isin(a, heavy), tx.pair(a, b), a)
-        yield _blocks(_range(by, ranges), ranges, 1, a, b, _small(n))
+        yield _blocks(_range(by, ranges * parts), parts, a, b, _small(n))
 
-    return lambda batches: _counted(batches, ranges, what)
+    return lambda batches: _counted(batches, what)
 
 
 def _save(path: str, name: str, rows: np.ndarray) -> None:
@@ -178,10 +206,6 @@ def _save(path: str, name: str, rows: np.ndarray) -> None:
     os.replace(own, f"{path}/{name}")
 
 
-def _collect(rows: pa.Table) -> list[list[np.ndarray]]:
-    return [_unpacked(x.as_py()) for x in rows.column("data")]
-
-
 STATS = "range int, part int, data binary, n long, kinds array<long>"
 
 
@@ -200,25 +224,29 @@ def _discounts(k: np.ndarray) -> tuple[float, float, float]:
     return tuple(min(max(c - (c + 1) * y * b / a, 0.05), c - 0.05) for c, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def train(texts: DataFrame, column: str = "text") -> Model:
+def train(texts: DataFrame, column: str = "text", part_bytes: int = PART_BYTES) -> Model:
     """The model of one text column's rows."""
     spark = texts.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(texts.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+    parts = -(-size // part_bytes) or 1
+    ranges = min(parts, FILES)
+    parts = -(-parts // ranges)
     path = mounted(folder(spark, "kneser-ney"))
-    texts = texts.select(column)
+    with Scratch(spark) as own:
+        return _train(own, texts.select(column), path, ranges, parts)
 
+
+def _train(own: Scratch, texts: DataFrame, path: str, ranges: int, parts: int) -> Model:
     def merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches)
-        r = rows.column("range")[0].as_py()
-        parts = _collect(rows)
-        h, n = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts]))
-        out = np.zeros(len(h), WORD)
-        out["h"], out["n"] = h, n
-        _save(path, f"count-{r}", out[["h", "n"]].astype(PAIR))
-        top = np.argsort(-n, kind="stable")[:HEAVY]
-        yield _stats(r, 0, _field_pair(h[top], n[top]), int(n.sum()), [len(h)])
-
-    counted = settle(texts.mapInArrow(_word_blocks(ranges), BLOCK).groupBy("range").applyInArrow(merge_words, STATS), "words")
+        for r, _, blocks in _runs(batches):
+            h, n = _summed(np.concatenate([p[0] for p in blocks]), np.concatenate([p[1].astype(U64) for p in blocks]))
+            out = np.zeros(len(h), LARGE)
+            out["h"], out["n"] = h, n
+            _save(path, f"count-{r}", out)
+            top = np.argsort(n)[-HEAVY:]
+            yield _stats(r, 0, _field_pair(h[top], n[top]), int(n.sum()), [len(h)])
+
+    counted = own.settle(_dealt(texts.mapInArrow(_word_blocks(ranges), BLOCK), ranges).mapInArrow(merge_words, STATS), "words")
     total, kinds = counted.agg(F.sum("n"), F.sum(F.col("kinds")[0])).first()
     total, different = int(total or 0), int(kinds or 0)
 
@@ -230,56 +258,96 @@ def train(texts: DataFrame, column: str = "text") -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
     found = [r.h for r in counted.select("data").mapInArrow(only_heavy, "h long").collect()]  # under HEAVY rows
-    heavy = np.r_[np.array(found, np.int64).view(U64), START]
+    heavy = np.r_[np.array(sorted(found), np.int64).view(U64), START]
 
     def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches)
-        r = rows.column("range")[0].as_py()
-        parts = _collect(rows)
-        a, b, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        del rows, parts
-        key = tx.pair(a, b)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        n = np.add.reduceat(n[order].astype(np.int64), first)
-        a, b, key = a[order[first]], b[order[first]], key[first]
-        out = np.zeros(len(key), PAIR)
-        out["h"], out["n"] = key, n
-        _save(path, f"pair-{r}", out)
-        h, one, two, more = _summed(a, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))
-        zero = np.zeros(len(h), np.int64)
-        w, before = np.unique(b, return_counts=True)
-        stats = _summed(np.r_[h, w], np.r_[zero, before], *(np.r_[x, np.zeros(len(w), np.int64)] for x in (one, two, more)))
-        yield _stats(r, 0, None, len(key), _kinds(n))
-        blocks = _blocks(_range(stats[0], ranges), ranges, 1, stats[0], *(_small(x) for x in stats[1:]))
-        for i in range(blocks.num_rows):
-            yield _stats(blocks.column(0)[i].as_py(), 1, blocks.column(2)[i].as_py(), 0, [0] * 5)
-
-    pairs = settle(texts.mapInArrow(_pair_blocks(ranges, heavy), BLOCK).groupBy("range").applyInArrow(merge_pairs, STATS), "pairs")
+        """Writes a range's parts in order; hands on what its words begin and end."""
+        file: _Parts | None = None
+        held: list[list[np.ndarray]] = []
+
+        def words():
+            stats = _summed(*(np.concatenate(c) for c in zip(*held)))
+            held.clear()
+            blocks = _blocks(_range(stats[0], ranges), 1, stats[0], *(_small(x) for x in stats[1:]))
+            for i in range(blocks.num_rows):
+                yield _stats(blocks.column(0)[i].as_py(), 1, blocks.column(2)[i].as_py(), 0, [0] * 5)
+
+        for r, part, blocks in _runs(batches):
+            if file is None or file.range != r:
+                if file is not None:
+                    file.close()
+                file = _Parts(path, r, parts)
+            a, b, n = (np.concatenate([p[i] for p in blocks]) for i in range(3))
+            del blocks
+            key = tx.pair(a, b)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            n = np.add.reduceat(n[order].astype(U64), first)
+            a, b, key = a[order[first]], b[order[first]], key[first]
+            file.add(part, key, n)
+            h, one, two, more = _summed(a, (n == 1).astype(U64), (n == 2).astype(U64), (n >= 3).astype(U64))
+            zero = np.zeros(len(h), U64)
+            w, before = np.unique(b, return_counts=True)
+            held.append(_summed(np.r_[h, w], np.r_[zero, before.astype(U64)], *(np.r_[x, np.zeros(len(w), U64)] for x in (one, two, more))))
+            yield _stats(r, 0, None, len(key), _kinds(n))
+            if sum(len(x[0]) for x in held) > 2_000_000:
+                yield from words()
+        if file is not None:
+            file.close()
+        if held:
+            yield from words()
+
+    pairs = own.settle(_dealt(texts.mapInArrow(_pair_blocks(ranges, parts, heavy), BLOCK), ranges).mapInArrow(merge_pairs, STATS), "pairs")
 
     def merge_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches)
-        r = rows.column("range")[0].as_py()
-        parts = _collect(rows)
-        stats = _summed(*(np.concatenate([p[i].astype(U64 if i == 0 else np.int64) for p in parts]) for i in range(5)))
-        name = f"{path}/count-{r}"
-        counts = np.fromfile(name, PAIR) if os.path.exists(name) else np.zeros(0, PAIR)
-        h = np.union1d(stats[0], counts["h"])
-        out = np.zeros(len(h), WORD)
-        out["h"] = h
-        out["n"][np.searchsorted(h, counts["h"])] = counts["n"]
-        at = np.searchsorted(h, stats[0])
-        for field, v in zip(("before", "one", "two", "more"), stats[1:]):
-            out[field][at] = v
-        _save(path, f"word-{r}", out)
-        yield _stats(r, 0, None, 0, _kinds(out["before"]))
-
-    words = settle(pairs.filter("part = 1").groupBy("range").applyInArrow(merge_all, STATS), "kinds")
+        for r, _, blocks in _runs(batches):
+            stats = _summed(*(np.concatenate([p[i].astype(U64) for p in blocks]) for i in range(5)))
+            name = f"{path}/count-{r}"
+            counts = np.fromfile(name, LARGE) if os.path.exists(name) else np.zeros(0, LARGE)
+            h = np.union1d(stats[0], counts["h"])
+            out = np.zeros(len(h), WORD)
+            out["h"] = h
+            out["n"][np.searchsorted(h, counts["h"])] = counts["n"]
+            at = np.searchsorted(h, stats[0])
+            for field, v in zip(("before", "one", "two", "more"), stats[1:]):
+                out[field][at] = v
+            _save(path, f"word-{r}", out)
+            yield _stats(r, 0, None, 0, _kinds(out["before"]))
+
+    words = own.settle(_dealt(pairs.filter("part = 1").select("range", "part", "data"), ranges).mapInArrow(merge_all, STATS), "kinds")
     sums = lambda df: [int(x or 0) for x in df.agg(*(F.sum(F.col("kinds")[i]) for i in range(5))).first()]
     pair_kinds, word_kinds = sums(pairs.filter("part = 0")), sums(words)
     number = int(pairs.agg(F.sum("n")).first()[0] or 0)
-    return Model(path, ranges, total, different, number, _discounts(np.array(pair_kinds)), _discounts(np.array(word_kinds)), (word_kinds[0], word_kinds[1], word_kinds[4]), tuple(heavy.tolist()))
+    return Model(path, ranges, parts, total, different, number, _discounts(np.array(pair_kinds)), _discounts(np.array(word_kinds)), (word_kinds[0], word_kinds[1], word_kinds[4]), tuple(heavy.tolist()))
+
+
+class _Parts:
+    """A range's pair files while they are written; whole files only take their names."""
+
+    def __init__(self, path: str, r: int, parts: int):
+        self.path, self.range, self.sizes = path, r, np.zeros(parts, np.int64)
+        self.own = f"{path}/.pair-{r}.{os.getpid()}.{os.urandom(6).hex()}"
+        self.file = open(self.own, "wb")
+        self.large: list[np.ndarray] = []
+
+    def add(self, part: int, key: np.ndarray, n: np.ndarray) -> None:
+        out = np.zeros(len(key), PAIR)
+        out["h"], out["n"] = key, np.minimum(n, U64(MOST))
+        out.tofile(self.file)
+        self.sizes[part] = len(key)
+        big = n >= MOST
+        if big.any():
+            rows = np.zeros(int(big.sum()), LARGE)
+            rows["h"], rows["n"] = key[big], n[big]
+            self.large.append(rows)
+
+    def close(self) -> None:
+        self.file.close()
+        if self.large:
+            _save(self.path, f"large-{self.range}", np.sort(np.concatenate(self.large), order="h"))
+        _save(self.path, f"at-{self.range}", np.r_[0, np.cumsum(self.sizes)])
+        os.replace(self.own, f"{self.path}/pair-{self.range}")
 
 
 def _field_pair(h: np.ndarray, n: np.ndarray) -> bytes:
@@ -293,6 +361,8 @@ class Reader:
         self.model = model
         self.words = [self._map(f"word-{r}", WORD) for r in range(model.ranges)]
         self.pairs = [self._map(f"pair-{r}", PAIR) for r in range(model.ranges)]
+        self.at = [self._map(f"at-{r}", np.dtype("<i8")) for r in range(model.ranges)]
+        self.large = [self._map(f"large-{r}", LARGE) for r in range(model.ranges)]
         self.heavy = np.array(model.heavy, U64)
 
     def _map(self, name: str, kind: np.dtype) -> np.ndarray:
@@ -301,15 +371,20 @@ class Reader:
             return np.zeros(0, kind)
         return np.memmap(path, kind, "r")
 
-    def _find(self, files: list[np.ndarray], by: np.ndarray, h: np.ndarray, fields: list[str]) -> np.ndarray:
-        """Values of sorted hashes h, looked up in the file that ``by`` falls into; 0 if absent."""
+    def _part(self, q: int) -> np.ndarray:
+        """The pairs of a part, counted over all ranges."""
+        r, part = divmod(q, self.model.parts)
+        return self.pairs[r][self.at[r][part] : self.at[r][part + 1]] if len(self.at[r]) else self.pairs[r]
+
+    def _find(self, rows_of, number: int, by: np.ndarray, h: np.ndarray, fields: list[str]) -> np.ndarray:
+        """Values of sorted hashes h, looked up in the rows that ``by`` falls into; 0 if absent."""
         out = np.zeros((len(fields), len(h)), np.int64)
-        where = _range(by, self.model.ranges)
+        where = _range(by, number)
         order = np.lexsort((h, where))
-        cut = np.searchsorted(where[order], np.arange(self.model.ranges + 1))
-        for r, rows in enumerate(files):
-            own = order[cut[r] : cut[r + 1]]
-            if not len(own) or not len(rows):
+        at_, first = np.unique(where[order], return_index=True)
+        for q, begin, end in zip(at_.tolist(), first, np.r_[first[1:], len(order)]):
+            own, rows = order[begin:end], rows_of(q)
+            if not len(rows):
                 continue
             at = np.minimum(np.searchsorted(rows["h"], h[own]), len(rows) - 1)
             got = rows[at]
@@ -318,11 +393,22 @@ class Reader:
                 out[k, own[hit]] = got[field][hit]
         return out
 
+    def word(self, h: np.ndarray) -> np.ndarray:
+        return self._find(self.words.__getitem__, self.model.ranges, h, h, ["n", "before", "one", "two", "more"])
+
+    def pair(self, by: np.ndarray, h: np.ndarray) -> np.ndarray:
+        m = self.model
+        (n,) = self._find(self._part, m.ranges * m.parts, by, h, ["n"])
+        big = np.flatnonzero(n == MOST)
+        if len(big):
+            (n[big],) = self._find(lambda q: self.large[q // m.parts], m.ranges * m.parts, by[big], h[big], ["n"])
+        return n
+
     def score(self, t: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each token's count in training and log10 probability after the word before it."""
         m = self.model
         u, at = np.unique(np.r_[t, START], return_inverse=True)
-        n, before, one, two, more = self._find(self.words, u, u, ["n", "before", "one", "two", "more"])
+        n, before, one, two, more = self.word(u)
         d1, d2, d3 = m.word_discounts
         base = 1.0 / (m.words + 1)
         if m.pairs:
@@ -335,7 +421,7 @@ class Reader:
         key, place, back = np.unique(tx.pair(a, b), return_index=True, return_inverse=True)
         pa_, pb = a[place], b[place]
         by = np.where(np.isin(pa_, self.heavy), key, pa_)
-        (c,) = self._find(self.pairs, by, key, ["n"])
+        c = self.pair(by, key)
         i, j = np.searchsorted(u, pa_), np.searchsorted(u, pb)
         d1, d2, d3 = m.pair_discounts
         total = n[i].copy()
@@ -372,10 +458,10 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
-def held_out_scores(docs: DataFrame, folds: int = 7, out: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def held_out_scores(docs: DataFrame, folds: int = 7, out: int = 2, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """Every row scored by a model of the rows whose crc32(key as text) mod folds is not ``out``."""
     fold = F.crc32(F.col(key).cast("string").cast("binary")) % folds
     held = F.coalesce(fold == out, F.lit(False))
-    model = train(docs.filter(~held), text)
+    model = train(docs.filter(~held), text, part_bytes)
     scores = scored(docs.select(F.struct(F.col(key), held.alias("held_out")).alias("id"), text), model, "id", text)
     return scores.select(f"id.{key}", "id.held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
