@@ -1,19 +1,23 @@
 """Operator 3: quality rules as robust multivariate outliers.
 
-Each text gives a vector of transformed shares (square roots of shares have about equal
-spread at any level). Per language and source, minimum-covariance-determinant estimates are
-found by concentration steps: distances under the last location and scatter, the closest
-share ``core`` of the group's rows, location and scatter of those. All steps are grouped sums
-over one settled table of vectors, so that a group of any size is summed in parts, and the
-estimates stay a table. A text is rejected if its squared Mahalanobis distance is over
+Each text gives a vector of six statistics that vary among clean texts too (square roots of
+shares, which have about equal spread at any level): length of words, marks, upper case, words
+that came a short while before, short words, vowels. Their deviations are scaled by the number
+of words, as a short text's shares are mostly chance. Per language and source,
+minimum-covariance-determinant estimates are sought by concentration steps from three starts:
+distances under the last location and scatter, the closest share ``core`` of the group's
+vectors, location and scatter of those, until no determinant changes. The least determinant is
+taken, and the vectors within its 97.5 % distance give the final, re-weighted estimates. All
+steps are grouped sums over one settled table, so that a group of any size is summed in parts,
+and the estimates stay a table. A text is rejected if its squared Mahalanobis distance is over
 ``cutoff``, or by the fixed base rules.
 
 Defined results: a null text has no words and fails the base rules; null language or source
-is a group of its own; a group under ``least`` usable rows is judged by the estimates of its whole
-language, and if that is as small, by those of all documents; repeated rows
-count as often as they come; very short texts' vectors are drawn towards the centre, since
-their shares are chance; an empty table gives no rows; other columns are not read or, in
-``kept_rows``, returned unchanged.
+is a group of its own; a group under ``least`` different usable vectors is judged by the
+estimates of its whole language, and if that is as small, by those of all documents; with under
+``least`` in all, only the base rules judge. Equal vectors count once in a group, so that
+copies do not narrow it; ties of starts go to the first; an empty table gives no rows; other
+columns are not read or, in ``kept_rows``, returned unchanged.
 """
 
 from __future__ import annotations
@@ -25,22 +29,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm import _text as tx
-from linkloom.llm._run import settle
+from linkloom.llm._run import Scratch
 
 #: Fixed value: characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-VECTOR = ["v_length", "v_symbols", "v_marks", "v_upper", "v_repeats", "v_lines"]
-#: Standard deviations below which a difference in a vector's part is never odd. Most clean texts have no symbol and no repeated line, so that their own spread is near 0.
-FLOOR = [0.06, 0.09, 0.08, 0.06, 0.10, 0.10]
-#: The words at which a text's shares count half.
-HALF = 60.0
+VECTOR = ["v_length", "v_marks", "v_upper", "v_again", "v_short", "v_vowels"]
+#: Added to every variance: keeps a scatter invertible where a group's texts agree in a statistic.
+RIDGE = 1e-5
+#: The words at which a deviation counts 1 / sqrt(2): far more than most texts have, so that chance is alike in texts of most lengths.
+HALF = 400.0
+#: How many words back a word counts as coming again, and the letters of a short word.
+BACK, SHORT = 50, 3
 
 _SYMBOL, _MARK, _UPPER, _LEAD = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool), np.ones(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 _MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _UPPER[65:91] = True
 _LEAD[0x80:0xC0] = False
+_LETTER, _VOWEL = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[b for b in range(128) if chr(b).isalpha()]] = True
+_VOWEL[list(b"aeiouAEIOU")] = True
 
 
 def _sums(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -86,10 +95,20 @@ def counts(buf: np.ndarray, offs: np.ndarray, window: int = 8) -> dict[str, np.n
     _, one = np.unique(key, return_index=True)
     out["lines"] = np.bincount(whose, minlength=n)
     out["n_dup_lines"] = out["lines"] - np.bincount(whose[one], minlength=n)
+    # for vectors: words that were there among the last ones, short words, vowels
+    said = prefix.spans(start, end)
+    order = np.argsort(tx.pair(doc.astype(np.uint64), said), kind="stable")
+    again = np.zeros(len(start), bool)
+    again[order[1:]] = (said[order[1:]] == said[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]]) & (order[1:] - order[:-1] <= BACK)
+    out["again"] = np.bincount(doc[again], minlength=n)
+    chars = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(_LEAD[buf], out=chars[1:])
+    out["short"] = np.bincount(doc[chars[end] - chars[start] <= SHORT], minlength=n)
+    out["letters"], out["vowels"] = _sums(_LETTER[buf], offs), _sums(_VOWEL[buf], offs)
     # words in windows that come twice
     at = np.arange(max(0, len(start) - window + 1))
     at = at[doc[at] == doc[at + window - 1]] if len(at) else at
-    hashes = tx.Prefix(prefix.spans(start, end)).spans(at, at + window)
+    hashes = tx.Prefix(said).spans(at, at + window)
     twice = at[_repeats(doc[at], hashes)]
     change = np.zeros(len(start) + 1, np.int64)
     change[twice] += 1
@@ -99,11 +118,10 @@ def counts(buf: np.ndarray, offs: np.ndarray, window: int = 8) -> dict[str, np.n
 
 
 def vectors(c: dict[str, np.ndarray]) -> np.ndarray:
-    words, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
-    return np.stack([
-        np.log(chars / words), np.sqrt(c["n_symbols"] / chars), np.sqrt(c["marks"] / chars), np.sqrt(c["upper"] / chars),
-        np.sqrt(c["n_repeat_words"] / words), np.sqrt(c["n_dup_lines"] / np.maximum(c["lines"], 1)),
-    ])
+    """Logarithm of the mean length of words, and square roots of shares; 3/8 is added to counts, which keeps the spread even near 0."""
+    words, chars, letters = (np.maximum(c[k], 1) for k in ("n_words", "word_chars", "letters"))
+    share = lambda k, of: np.sqrt((c[k] + 0.375) / of)
+    return np.stack([np.log(chars / words), share("marks", chars), share("upper", chars), share("again", words), share("short", words), share("vowels", letters)])
 
 
 def measured(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
@@ -133,99 +151,182 @@ KEYS = ["_level", "_lang", "_source"]
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
-def _inverse(scale: float):
-    """Grouped sums -> location and inverse scatter, as columns m_i and w_ij."""
-    names = [*KEYS, *(f"m_{i}" for i in range(P)), *(f"w_{i}_{j}" for i, j in PAIRS)]
+ESTIMATE = [*(f"m_{i}" for i in range(P)), *(f"w_{i}_{j}" for i, j in PAIRS), "det"]
+SUMS = ["n", "a", *(f"s_{i}" for i in range(P)), *(f"q_{i}_{j}" for i, j in PAIRS)]
+
+
+def _matrix(g, name: str) -> np.ndarray:
+    out = np.zeros((len(g), P, P))
+    for i, j in PAIRS:
+        out[:, i, j] = out[:, j, i] = g[f"{name}_{i}_{j}"].to_numpy(float)
+    return out
+
+
+def _stated(keys: dict, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+    """Estimates as columns: location m_i, inverse scatter w_ij, logarithm of the determinant."""
+    cov = cov + RIDGE * np.eye(P)
+    back = np.linalg.inv(cov) if len(cov) else cov
+    out = keys | {f"m_{i}": mean[:, i] for i in range(P)} | {f"w_{i}_{j}": back[:, i, j] for i, j in PAIRS}
+    return pd.DataFrame(out | {"det": np.linalg.slogdet(cov)[1] if len(cov) else np.zeros(0)})
+
+
+def _solved(sums: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
+    """Grouped sums (SUMS) -> estimates."""
 
     def run(parts):
         for g in parts:
             g = g[g["n"] > 0]
-            n = g["n"].to_numpy(float)
-            mean = np.stack([g[f"s_{i}"].to_numpy(float) / n for i in range(P)], 1)
-            cov = np.zeros((len(g), P, P))
-            for i, j in PAIRS:
-                cov[:, i, j] = cov[:, j, i] = g[f"q_{i}_{j}"].to_numpy(float) / n - mean[:, i] * mean[:, j]
-            back = np.linalg.inv(cov * scale + np.diag(np.square(FLOOR))) if len(g) else cov
-            out = {k: g[k] for k in KEYS}
-            out |= {f"m_{i}": mean[:, i] for i in range(P)} | {f"w_{i}_{j}": back[:, i, j] for i, j in PAIRS}
-            yield pd.DataFrame(out)
-
-    return run, ", ".join(f"{x} {'string' if x[0] == '_' else 'double'}" for x in names)
-
-
-def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """The left join with estimates by group; Spark sends them to all executors if their size at run time allows, and splits large groups if not."""
-    d = rows.join(estimates, KEYS, "left")
-    near = F.sqrt(F.col("n_words") / (F.col("n_words") + F.lit(HALF)))
-    z = [(F.col(v) - F.col(f"m_{i}")) * near for i, v in enumerate(VECTOR)]
-    d2 = sum(((1 if i == j else 2) * z[i] * z[j] * F.col(f"w_{i}_{j}") for i, j in PAIRS), F.lit(0.0))
-    return d.withColumn("d2", d2).drop(*(f"m_{i}" for i in range(P)), *(f"w_{i}_{j}" for i, j in PAIRS))
-
-
-def _groups(rows: DataFrame, least: int = 20) -> DataFrame:
-    """Per _lang and _source of rows: ``own``, the group of estimates that judges it, and ``feeds``, those that its rows are summed in; a table of the shared folder."""
-    sizes = rows.groupBy("_lang", "_source").agg(F.count(F.when(~_base_failed(), 1)).alias("n"))
+            n, a = g["n"].to_numpy(float), g["a"].to_numpy(float)
+            mean = np.stack([g[f"s_{i}"].to_numpy(float) / a for i in range(P)], 1)
+            cov = (_matrix(g, "q") - a[:, None, None] * mean[:, :, None] * mean[:, None, :]) / n[:, None, None]
+            yield _stated({k: g[k] for k in keys}, mean, cov * scale)
+
+    return sums.mapInPandas(run, ", ".join([*(f"{k} string" for k in keys), *(f"{c} double" for c in ESTIMATE)]))
+
+
+def _near():
+    """Square of the scale of a text's deviations."""
+    return F.col("n_words") / (F.col("n_words") + F.lit(HALF))
+
+
+def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts and weighted sums by keys; a group's salted parts are summed first."""
+    near = _near()
+    values = [F.count("*").alias("n"), F.sum(near).alias("a"), *(F.sum(near * F.col(v)).alias(f"s_{i}") for i, v in enumerate(VECTOR)), *(F.sum(near * F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"q_{i}_{j}") for i, j in PAIRS)]
+    parts = rows.groupBy(*keys, "_salt").agg(*values)
+    return parts.groupBy(keys).agg(*(F.sum(c).alias(c) for c in SUMS))
+
+
+def _joined(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with its group's estimates: a group's rows meet them in SALT parts, however large it is."""
+    return rows.join(estimates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*keys, "_salt"])
+
+
+def _distance():
+    z = [F.col(v) - F.col(f"m_{i}") for i, v in enumerate(VECTOR)]
+    return _near() * sum(((1 if i == j else 2) * z[i] * z[j] * F.col(f"w_{i}_{j}") for i, j in PAIRS), F.lit(0.0))
+
+
+def _groups(own: Scratch, rows: DataFrame, least: int) -> DataFrame:
+    """Per _lang and _source of rows: ``own``, the group of estimates that judges it (null: none), and ``feeds``, those that its vectors are summed in."""
+    usable = rows.filter(~_base_failed()).select("_lang", "_source", "n_words", *VECTOR).distinct().groupBy("_lang", "_source").agg(F.count("*").alias("n"))
+    sizes = rows.select("_lang", "_source").distinct().join(usable, ["_lang", "_source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     level = F.when(F.col("n") >= least, "0").when(F.col("n_lang") >= least, "1").otherwise("2")
-    sizes = sizes.join(sizes.groupBy("_lang").agg(F.sum("n").alias("n_lang")), "_lang").withColumn("level", level)
+    sizes = own.settle(sizes.join(sizes.groupBy("_lang").agg(F.sum("n").alias("n_lang")), "_lang").withColumn("level", level), "sizes")
     wide = sizes.groupBy("_lang").agg(F.max(F.col("level") == "1").alias("by_lang"))
+    any_, all_ = sizes.agg(F.max(F.col("level") == "2"), F.sum("n")).first()
+    all_ok = (all_ or 0) >= least
     group = lambda k, *names: F.struct(F.lit(k).alias("_level"), *(x.alias(y) for x, y in zip(names, KEYS[1:])))
     one, two, three = group("0", F.col("_lang"), F.col("_source")), group("1", F.col("_lang"), F.lit("")), group("2", F.lit(""), F.lit(""))
-    own = F.when(F.col("level") == "0", one).when(F.col("level") == "1", two).otherwise(three)
-    feeds = F.filter(F.array(F.when(F.col("level") == "0", one), F.when(F.col("by_lang"), two), F.when(F.col("by_all"), three)), lambda x: x.isNotNull())
-    every = sizes.join(wide, "_lang").crossJoin(F.broadcast(sizes.agg(F.max(F.col("level") == "2").alias("by_all"))))
-    return settle(every.select("_lang", "_source", own.alias("own"), feeds.alias("feeds")), "groups")
-
-
-def estimates(rows: DataFrame, groups: DataFrame, core: float = 0.75, steps: int = 3) -> DataFrame:
-    """Location and inverse scatter per group of estimates (KEYS) by concentration steps.
-
-    The first core is the rows closest to the group's medians. The scatter of the closest
-    ``core`` rows is smaller than all rows' scatter; ``scale`` makes up for it (normal rows).
-    """
-    keys = KEYS
-    usable = rows.filter(~_base_failed()).join(groups, ["_lang", "_source"]).select(F.explode("feeds").alias("g"), "n_words", *VECTOR).select("g.*", "n_words", *VECTOR)
-    now = usable.groupBy(keys).agg(*(F.percentile_approx(v, 0.5, 1000).alias(f"m_{i}") for i, v in enumerate(VECTOR)))
-    start = [1 / f**2 / 4 for f in FLOOR]
-    now = now.withColumns({f"w_{i}_{j}": F.lit(start[i] if i == j else 0.0) for i, j in PAIRS})
-    scale = _consistency(core)
-    for _ in range(steps):
-        now = settle(now, "estimates")
-        far = settle(_with_distance(usable, now).select(*keys, *VECTOR, "d2"), "distances")
-        edge = far.groupBy(keys).agg(F.percentile_approx("d2", core, 1000).alias("edge"))
-        # a group's rows meet its limit in SALT parts, are summed there, and the parts are added up
-        parts = edge.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        inner = far.withColumn("_salt", F.pmod(F.xxhash64(*VECTOR, F.monotonically_increasing_id()), F.lit(SALT)).cast("int")).join(parts, [*keys, "_salt"]).filter(F.col("d2") <= F.col("edge"))
-        part = inner.groupBy(*keys, "_salt").agg(F.count("*").alias("n"), *(F.sum(v).alias(f"s_{i}") for i, v in enumerate(VECTOR)), *(F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"q_{i}_{j}") for i, j in PAIRS))
-        sums = part.groupBy(keys).agg(*(F.sum(c).alias(c) for c in part.columns if c not in (*keys, "_salt")))
-        now = sums.mapInPandas(*_inverse(scale))
-    return settle(now, "estimates")
+    judge = F.when(F.col("level") == "0", one).when(F.col("level") == "1", two).when(F.lit(all_ok), three)
+    feeds = F.filter(F.array(F.when(F.col("level") == "0", one), F.when(F.col("by_lang"), two), F.when(F.lit(bool(any_) and all_ok), three)), lambda x: x.isNotNull())
+    return own.settle(sizes.join(wide, "_lang").select("_lang", "_source", judge.alias("own"), feeds.alias("feeds")), "groups")
+
+
+def _starts(own: Scratch, usable: DataFrame) -> DataFrame:
+    """Three first estimates a group: medians and absolute deviations; mean and scatter of all; medians and the scatter of directions."""
+    middle = own.settle(usable.groupBy(KEYS).agg(*(F.percentile_approx(v, 0.5).alias(f"m_{i}") for i, v in enumerate(VECTOR))), "medians")
+    off = lambda i: F.sqrt(_near()) * (F.col(VECTOR[i]) - F.col(f"m_{i}"))
+    mad = _joined(usable, middle, KEYS).groupBy(KEYS).agg(*(F.percentile_approx(F.abs(off(i)), 0.5).alias(f"e_{i}") for i in range(P)))
+    middle = own.settle(middle.join(mad, KEYS).select(*KEYS, *(f"m_{i}" for i in range(P)), *((F.col(f"e_{i}") * 1.4826 + 1e-4).alias(f"e_{i}") for i in range(P))), "medians")
+    unit = _joined(usable, middle, KEYS).withColumns({f"u_{i}": off(i) / F.col(f"e_{i}") for i in range(P)})
+    size = F.sqrt(sum((F.col(f"u_{i}") * F.col(f"u_{i}") for i in range(P)), F.lit(1e-12)))
+    unit = unit.withColumns({f"u_{i}": F.col(f"u_{i}") / size for i in range(P)})
+    signs = unit.groupBy(*KEYS, "_salt").agg(F.count("*").alias("n"), *(F.sum(F.col(f"u_{i}") * F.col(f"u_{j}")).alias(f"q_{i}_{j}") for i, j in PAIRS))
+    signs = signs.groupBy(KEYS).agg(F.sum("n").alias("n"), *(F.sum(f"q_{i}_{j}").alias(f"q_{i}_{j}") for i, j in PAIRS)).join(middle, KEYS)
 
+    def run(parts):
+        for g in parts:
+            mean = np.stack([g[f"m_{i}"].to_numpy(float) for i in range(P)], 1)
+            e = np.stack([g[f"e_{i}"].to_numpy(float) for i in range(P)], 1)
+            turned = P * _matrix(g, "q") / g["n"].to_numpy(float)[:, None, None] * e[:, :, None] * e[:, None, :]
+            for name, cov in (("0", e[:, :, None] ** 2 * np.eye(P)), ("2", turned)):
+                yield _stated({k: g[k] for k in KEYS} | {"_start": name}, mean, cov)
 
-def _consistency(core: float) -> float:
-    """core / P(chi2 with P + 2 degrees <= the core quantile of chi2 with P degrees), for even P."""
+    kinds = ", ".join([*(f"{k} string" for k in [*KEYS, "_start"]), *(f"{c} double" for c in ESTIMATE)])
+    plain = _solved(_summed(usable, KEYS), KEYS).withColumn("_start", F.lit("1"))
+    return own.settle(signs.mapInPandas(run, kinds).unionByName(plain), "starts")
+
+
+#: Distances are dealt by their logarithm into so many classes a doubling, so that a share of a group is found by counts.
+CLASSES = 64
+
+
+def _class(d2):
+    return F.floor(F.log2(d2 + F.lit(1e-9)) * CLASSES).cast("int")
+
+
+def _step(own: Scratch, usable: DataFrame, now: DataFrame, core: float) -> DataFrame:
+    """Estimates of the closest share ``core`` of each group's vectors, per start."""
+    from pyspark.sql import Window
+
+    keys = [*KEYS, "_start"]
+    held = _joined(usable, now, KEYS).withColumn("class", _class(_distance()))
+    counted = held.groupBy(*keys, "class").agg(F.count("*").alias("n"))
+    up, all_ = Window.partitionBy(*keys).orderBy("class"), Window.partitionBy(*keys)
+    edge = counted.select(*keys, "class", F.sum("n").over(up).alias("upto"), F.sum("n").over(all_).alias("all")).filter(F.col("upto") >= core * F.col("all")).groupBy(*keys).agg(F.min("class").alias("edge"))
+    edge = own.settle(now.join(edge, keys), "limits")
+    inner = _joined(usable, edge, KEYS).filter(_class(_distance()) <= F.col("edge"))
+    out = own.settle(_solved(_summed(inner, keys), keys), "estimates")
+    own.drop(edge)
+    return out
+
+
+def estimates(own: Scratch, rows: DataFrame, groups: DataFrame, core: float = 0.75, steps: int = 50) -> DataFrame:
+    """Location and inverse scatter per group of estimates (KEYS)."""
+    usable = rows.filter(~_base_failed()).join(groups, ["_lang", "_source"]).select(F.explode("feeds").alias("g"), "n_words", *VECTOR).select("g.*", "n_words", *VECTOR).distinct()
+    usable = own.settle(usable.withColumn("_salt", F.pmod(F.xxhash64("n_words", *VECTOR), F.lit(SALT)).cast("int")), "usable")
+    now = _starts(own, usable)
+    for _ in range(steps):  # a step lowers every determinant or leaves it
+        new = _step(own, usable, now, core)
+        change = new.join(now.select(*KEYS, "_start", F.col("det").alias("was")), [*KEYS, "_start"]).agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0]
+        own.drop(now)
+        now = new
+        if change is None or change < 1e-6:
+            break
+    order = F.struct("det", "_start")
+    best = own.settle(now.groupBy(KEYS).agg(*(F.min_by(c, order).alias(c) for c in ESTIMATE)), "best")
+    inner = _joined(usable, best, KEYS).filter(_distance() <= _consistency(core) * _quantile(0.975))
+    return own.settle(_solved(_summed(inner, KEYS), KEYS, _consistency(0.975)), "estimates")
+
+
+def _cdf(x: float, k: int) -> float:
+    """Of chi-square with an even number k of degrees."""
     from math import exp, factorial
 
-    def cdf(x: float, k: int) -> float:
-        return 1 - exp(-x / 2) * sum((x / 2) ** i / factorial(i) for i in range(k // 2))
+    return 1 - exp(-x / 2) * sum((x / 2) ** i / factorial(i) for i in range(k // 2))
 
+
+def _quantile(share: float) -> float:
     lo, hi = 0.0, 200.0
     for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if cdf(mid, P) < core else (lo, mid)
-    return core / cdf(lo, P + 2)
-
+        lo, hi = (mid, hi) if _cdf(mid, P) < share else (lo, mid)
+    return lo
 
-#: A squared distance that a clean text exceeds about once in 10 million (normal rows, 6 degrees of freedom).
-CUTOFF = 43.0
 
-
-def judged(docs: DataFrame, cutoff: float = CUTOFF, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """key, base counts, base_failed, kept, d2 (null: there is no row that passes the base rules)."""
-    grouped = docs.select(F.col(key), F.col(text), F.coalesce(F.col(lang).cast("string"), F.lit("\0")).alias("_lang"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("_source"))
-    rows = settle(measured(grouped, [key, "_lang", "_source"], text), "vectors")
-    groups = _groups(rows)
-    judging = rows.join(groups.select("_lang", "_source", "own"), ["_lang", "_source"]).drop("_lang", "_source").select("*", "own.*")
-    d = _with_distance(judging, estimates(rows, groups)).withColumn("base_failed", _base_failed())
+def _consistency(core: float) -> float:
+    """By what the scatter of the closest share of normal rows is too small."""
+    return core / _cdf(_quantile(core), P + 2)
+
+
+#: Well over the distances of clean texts (normal rows exceed 40 about once in 2 million; real tails are heavier).
+CUTOFF = 60.0
+#: Different usable vectors that a group's own estimates take.
+LEAST = 50
+
+
+def judged(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """key, base counts, base_failed, kept, d2 (null: there are too few usable texts)."""
+    with Scratch(docs.sparkSession) as own:
+        grouped = docs.select(F.col(key), F.col(text), F.coalesce(F.col(lang).cast("string"), F.lit("\0")).alias("_lang"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("_source"))
+        rows = own.settle(measured(grouped, [key, "_lang", "_source"], text), "vectors")
+        groups = _groups(own, rows, least)
+        found = estimates(own, rows, groups)
+        own.keep(rows, groups, found)
+    # both are small beside the rows and are sent to all executors if their size allows; if not, a large group's rows are split at run time
+    judging = rows.join(groups.select("_lang", "_source", "own"), ["_lang", "_source"]).select(key, "n_words", *(b for b in BASE if b != "n_words"), *VECTOR, "own.*")
+    d = judging.join(found, KEYS, "left").withColumn("d2", _distance()).withColumn("base_failed", _base_failed())
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= cutoff))
     return d.select(key, *BASE, "base_failed", kept.alias("kept"), "d2")
 
