@@ -42,7 +42,11 @@ def test_pieces_equal_the_library(spark, docs, nothing):
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     own = pieces.Pieces(model)
     some = ["".join(R.choice("ab  ▁\n\té🤖的hello\u0000") for _ in range(R.randint(0, 50))) for _ in range(800)]
-    for t in some + [" " * 1500 + "ab" * 900]:
+    parts = [p.replace(pieces.MARK, "") for p in R.sample(own.text[300:], 2000)]
+    some += ["".join(R.choices(parts, k=R.randint(1, 40))) for _ in range(300)] + ["".join(R.choice("aeinstr") for _ in range(R.randint(1, 200))) for _ in range(300)]
+    some += [R.choice(["a", "ab", "aab", "0", "10", "-", "=", " ", "的", "\t"]) * R.randint(1, 300) for _ in range(300)]
+    long_ = ["a" * 20000, " " * 20000, "ab" * 10000, "的一是" * 5000, "".join(R.choices(parts, k=5000)), "".join(R.choice("abcXYZ019+/") for _ in range(100000))]
+    for t in some + long_ + [" " * 1500 + "ab" * 900]:
         assert own.encode(t) == sp.encode(t)
         assert own.decode(own.encode(t)) == sp.decode(sp.encode(t))
     for _ in range(500):
@@ -55,8 +59,10 @@ def test_pieces_equal_the_library(spark, docs, nothing):
     assert pieces.digests(nothing, model).count() == 0
 
 
-def test_kneser_ney_equals_plain_formulas(docs, nothing):
-    got = {r.doc_id: r for r in kneser_ney.held_out_scores(docs).collect()}
+@pytest.mark.parametrize("part_bytes, files", [(kneser_ney.PART_BYTES, kneser_ney.FILES), (700, 3)])
+def test_kneser_ney_equals_plain_formulas(docs, nothing, monkeypatch, part_bytes, files):
+    monkeypatch.setattr(kneser_ney, "FILES", files)
+    got = {r.doc_id: r for r in kneser_ney.held_out_scores(docs, part_bytes=part_bytes).collect()}
     low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
     tok = {r.doc_id: re.findall(WORD, (r.text or "").translate(low)) + ["</>"] for r in docs.collect()}
     c, pairs = Counter(), Counter()
@@ -87,6 +93,22 @@ def test_kneser_ney_equals_plain_formulas(docs, nothing):
     assert kneser_ney.held_out_scores(nothing).count() == 0
 
 
+def test_kneser_ney_counts_are_64_bits_wide(tmp_path):
+    n = np.array([1, 7, 2**32 - 2, 2**32 - 1, 2**32, 5_000_000_000], np.uint64)
+    key = np.sort(tx.mix(np.arange(6, dtype=np.uint64)))
+    file = kneser_ney._Parts(str(tmp_path), 0, 1)
+    file.add(0, key, n)
+    file.close()
+    kneser_ney._save(str(tmp_path), "word-0", np.array([(int(key[5]), 5_000_000_000, 1, 2, 3, 2**40)], kneser_ney.WORD))
+    model = kneser_ney.Model(str(tmp_path), 1, 1, 1, 1, 1, (0.5,) * 3, (0.5,) * 3, (1, 1, 1), ())
+    reader = kneser_ney.Reader(model)
+    assert reader.pair(key, key).tolist() == n.tolist()
+    assert reader.word(key[5:]).T.tolist() == [[5_000_000_000, 1, 2, 3, 2**40]]
+    for top in (200, 60_000, 4_000_000_000, 5_000_000_000):
+        a, b = kneser_ney._unpacked(kneser_ney._packed(key, kneser_ney._small(np.full(6, top, np.uint64))))
+        assert a.tolist() == key.tolist() and b.tolist() == [top] * 6
+
+
 def _counts(t):
     w = re.findall(WORD, t or "")
     lines = [x for x in (t or "").split("\n") if re.search(WORD, x)]
@@ -110,10 +132,27 @@ def test_quality_counts_and_outliers(spark, docs, nothing):
     assert quality.kept_rows(docs).columns == docs.columns
 
 
+def test_quality_distances_equal_plain_loops(spark):
+    r = random.Random(3)
+    def text(shift):
+        w = r.choices(VOCAB, k=r.randint(20, 400))
+        return " ".join(x.capitalize() + r.choice(",.;") if r.random() < 0.1 + shift else x for x in w)
+
+    rows = [(i, text(0.5 if i % 20 == 0 else 0.0), "en", "a" if i % 3 else "b") for i in range(400)]
+    rows += [(1000 + i, rows[1][1], "en", "a") for i in range(700)]  # copies count once
+    got = {x.doc_id: x for x in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    for source in "ab":
+        want = _robust({i: t for i, t, _, s in rows if s == source and not got[i].base_failed})
+        assert all(math.isclose(got[i].d2, d, rel_tol=1e-6) for i, d in want.items())
+        assert all(got[i].kept == (d <= quality.CUTOFF) for i, d in want.items())
+    junk = {i for i in range(0, 400, 20)}
+    assert all(got[i].kept for i in range(400) if i not in junk) and not any(got[i].kept for i in junk if got[i].n_words > 100)
+
+
 def test_quality_judges_small_groups(spark):
     clean = lambda: " ".join(R.choices(VOCAB, k=200))
     junk = lambda: " ".join(w + "&%$" for w in R.choices(VOCAB, k=200))
-    rows = [(i, clean(), "en", f"s{i % 10}") for i in range(90)] + [(500 + i, clean(), "fr", "s0") for i in range(3)] + [(600 + i, clean(), "de", "s0") for i in range(30)]
+    rows = [(i, clean(), "en", f"s{i % 10}") for i in range(90)] + [(500 + i, clean(), "fr", "s0") for i in range(3)] + [(600 + i, clean(), "de", "s0") for i in range(60)]
     bad = [(1000 + i, junk(), "en", f"s{i}") for i in range(4)] + [(1100, junk(), "fr", "s0"), (1101, junk(), None, None), (1102, junk(), "de", "s1")]
     got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows + bad, "doc_id long, text string, lang string, source string")).collect()}
     assert all(r.d2 is not None for r in got.values()) and len(got) == len(rows + bad)
@@ -165,6 +204,42 @@ def test_pii_base_and_bootstrapped(spark, docs):
     assert pii.spans(docs.limit(0)).count() == 0
 
 
+def test_pii_contexts_are_not_bounded_by_characters(spark):
+    r = random.Random(6)
+    email = lambda: "".join(r.choices("abcdef", k=9)) + "@x.example"
+    wide, far = "w" * 400, " " * 300
+    rows = [(i, f"{wide}{far}{wide} {email()} and more") for i in range(9)] + [(100, f"{wide} {wide}  user99x and more")]
+    rows += [(200 + i, f"write {email()}") for i in range(9)] + [(300, "write user-12-b"), (301, "do write user-12-b")]  # at a text's start
+    rows += [(400 + i, f"call home now +1 (415) 555-01{i:02d} please") for i in range(9)] + [(500, "call home now (415) 555 0100 please")]
+    got = {x.doc_id: x.spans for x in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "email:803:810" and got[300] == "email:6:15" and got[301] == "" and got[500] == "phone:14:28"
+
+
+def test_pii_takes_linear_time_in_values(spark):
+    import time
+
+    def took(n):
+        began = time.time()
+        text = " ".join(f"no {100000 + i} a@b.example" for i in range(n))
+        (row,) = pii.spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        assert row.n_email == n and row.spans.count(",") >= n - 1
+        return time.time() - began
+
+    took(10)
+    few, many = took(2000), took(16000)
+    assert many < 4 * few + 8
+
+
+def test_scan_gives_running_results(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(n, [r % 7 for r in range(n)]) for n in (0, 1, 127, 128, 129, 300, 1000)]
+    df = spark.createDataFrame(rows, "n int, x array<int>")
+    sums = pii.scan(F.col("x"), F.struct(F.lit(0).alias("s")), "struct<s:int>", lambda a, x: F.struct((a["s"] + x).alias("s")))
+    for r in df.select("n", "x", sums.alias("y")).collect():
+        assert [y.s for y in r.y] == list(itertools.accumulate(r.x))
+
+
 def test_packing(spark, docs, nothing):
     from tokenizers import Tokenizer
 
@@ -440,23 +515,51 @@ def _classes(texts, similar=0.8):
     return head
 
 
-def _robust(texts, core=0.75, steps=3):
-    """Key -> squared distance, for the texts of one group."""
-    def vector(t):
-        words, chars, symbols, again, repeated = _counts(t)
-        lines = sum(1 for x in t.split("\n") if re.search(WORD, x))
-        marks, upper = sum(33 <= ord(c) < 127 and not c.isalnum() for c in t), sum("A" <= c <= "Z" for c in t)
-        return [math.log(chars / words), *(math.sqrt(x) for x in (symbols / chars, marks / chars, upper / chars, repeated / words, again / lines))]
-
-    v = np.array([vector(t) for t in texts.values()])
-    near = np.sqrt([n / (n + quality.HALF) for n in (_counts(t)[0] for t in texts.values())])[:, None]
-    far = lambda m, w: np.einsum("ni,ij,nj->n", (v - m) * near, w, (v - m) * near)
-    m, w = np.sort(v, 0)[math.ceil(len(v) / 2) - 1], np.diag(1 / np.square(quality.FLOOR) / 4)
-    for _ in range(steps):
-        d = far(m, w)
-        inner = v[d <= np.sort(d)[math.ceil(core * len(v)) - 1]]
-        m, w = inner.mean(0), np.linalg.inv(np.cov(inner.T, bias=True) * quality._consistency(core) + np.diag(np.square(quality.FLOOR)))
-    return dict(zip(texts, far(m, w)))
+def _vector(t):
+    w = re.findall(WORD, t)
+    chars, letters = max(1, sum(map(len, w))), max(1, sum(c.isascii() and c.isalpha() for c in t))
+    last, again = {}, 0
+    for i, x in enumerate(w):
+        again += i - last.get(x, -100) <= quality.BACK
+        last[x] = i
+    marks, upper = sum(33 <= ord(c) < 127 and not c.isalnum() for c in t), sum("A" <= c <= "Z" for c in t)
+    pairs = ((marks, chars), (upper, chars), (again, len(w)), (sum(len(x) <= quality.SHORT for x in w), len(w)), (sum(c in "aeiouAEIOU" for c in t), letters))
+    return [math.log(chars / len(w)), *(math.sqrt((a + 0.375) / b) for a, b in pairs)]
+
+
+def _robust(texts, core=0.75):
+    """Key -> squared distance, for the texts of one group: plain loops over all vectors."""
+    every = {i: (*_vector(t), len(re.findall(WORD, t))) for i, t in texts.items()}
+    rows = np.array(sorted(set(every.values())))
+    v, near = rows[:, :6], rows[:, 6] / (rows[:, 6] + quality.HALF)
+
+    def fit(k, scale=1.0):
+        m = (near[k, None] * v[k]).sum(0) / near[k].sum()
+        d = np.sqrt(near[k, None]) * (v[k] - m)
+        return m, scale * d.T @ d / k.sum() + quality.RIDGE * np.eye(6)
+
+    def far(x, nr, m, s):
+        return nr * np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(s), x - m)
+
+    middle = lambda x: np.sort(x, 0)[math.ceil(len(x) / 2) - 1]
+    med = middle(v)
+    off = np.sqrt(near)[:, None] * (v - med)
+    mad = 1.4826 * middle(abs(off)) + 1e-4
+    u = off / mad
+    u /= np.sqrt((u * u).sum(1) + 1e-12)[:, None]
+    ends = []
+    for m, s in ((med, np.diag(mad**2) + quality.RIDGE * np.eye(6)), fit(np.ones(len(v), bool)), (med, 6 * (u.T @ u) / len(v) * np.outer(mad, mad) + quality.RIDGE * np.eye(6))):
+        for _ in range(50):
+            d = np.floor(np.log2(far(v, near, m, s) + 1e-9) * quality.CLASSES)
+            was = np.linalg.slogdet(s)[1]
+            m, s = fit(d <= np.sort(d)[math.ceil(core * len(v)) - 1])
+            if abs(np.linalg.slogdet(s)[1] - was) < 1e-6:
+                break
+        ends.append((np.linalg.slogdet(s)[1], len(ends), m, s))
+    _, _, m, s = min(ends, key=lambda x: x[:2])
+    m, s = fit(far(v, near, m, s) <= quality._consistency(core) * quality._quantile(0.975), quality._consistency(0.975))
+    x = np.array(list(every.values()))
+    return dict(zip(every, far(x[:, :6], x[:, 6] / (x[:, 6] + quality.HALF), m, s)))
 
 
 def _cut(texts, n=400):
