@@ -181,30 +181,26 @@ def _solved(sums: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
             cov = (_matrix(g, "q") - a[:, None, None] * mean[:, :, None] * mean[:, None, :]) / n[:, None, None]
             yield _stated({k: g[k] for k in keys}, mean, cov * scale)
 
-    return sums.mapInPandas(run, ", ".join([*(f"{k} string" for k in keys), *(f"{c} double" for c in ESTIMATE)]))
+    return sums.mapInPandas(run, ", ".join([*(f"{k} {'string' if k[0] == '_' else 'double'}" for k in keys), *(f"{c} double" for c in ESTIMATE)]))
 
 
-def _near():
-    """Square of the scale of a text's deviations."""
-    return F.col("n_words") / (F.col("n_words") + F.lit(HALF))
+#: Square of the scale of a text's deviations.
+NEAR = f"(n_words / (n_words + {HALF}D))"
+#: Squared distance of a row from the estimates joined to it; one text each, as columns of many terms are slow to put together.
+_PARTS = [f"{1 if i == j else 2} * w_{i}_{j} * ({VECTOR[i]} - m_{i}) * ({VECTOR[j]} - m_{j})" for i, j in PAIRS]
+DISTANCE = f"({NEAR} * ({' + '.join(_PARTS)}))"
 
 
 def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Counts and weighted sums by keys; a group's salted parts are summed first."""
-    near = _near()
-    values = [F.count("*").alias("n"), F.sum(near).alias("a"), *(F.sum(near * F.col(v)).alias(f"s_{i}") for i, v in enumerate(VECTOR)), *(F.sum(near * F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"q_{i}_{j}") for i, j in PAIRS)]
-    parts = rows.groupBy(*keys, "_salt").agg(*values)
-    return parts.groupBy(keys).agg(*(F.sum(c).alias(c) for c in SUMS))
+    values = ["count(*) AS n", f"sum({NEAR}) AS a", *(f"sum({NEAR} * {v}) AS s_{i}" for i, v in enumerate(VECTOR)), *(f"sum({NEAR} * {VECTOR[i]} * {VECTOR[j]}) AS q_{i}_{j}" for i, j in PAIRS)]
+    parts = rows.groupBy(*keys, "_salt").agg(*map(F.expr, values))
+    return parts.groupBy(keys).agg(*(F.expr(f"sum({c}) AS {c}") for c in SUMS))
 
 
 def _joined(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
     """Each row with its group's estimates: a group's rows meet them in SALT parts, however large it is."""
-    return rows.join(estimates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*keys, "_salt"])
-
-
-def _distance():
-    z = [F.col(v) - F.col(f"m_{i}") for i, v in enumerate(VECTOR)]
-    return _near() * sum(((1 if i == j else 2) * z[i] * z[j] * F.col(f"w_{i}_{j}") for i, j in PAIRS), F.lit(0.0))
+    return rows.join(estimates.selectExpr("*", f"explode(sequence(0, {SALT - 1})) AS _salt"), [*keys, "_salt"])
 
 
 def _groups(own: Scratch, rows: DataFrame, least: int) -> DataFrame:
@@ -225,15 +221,14 @@ def _groups(own: Scratch, rows: DataFrame, least: int) -> DataFrame:
 
 def _starts(own: Scratch, usable: DataFrame) -> DataFrame:
     """Three first estimates a group: medians and absolute deviations; mean and scatter of all; medians and the scatter of directions."""
-    middle = own.settle(usable.groupBy(KEYS).agg(*(F.percentile_approx(v, 0.5).alias(f"m_{i}") for i, v in enumerate(VECTOR))), "medians")
-    off = lambda i: F.sqrt(_near()) * (F.col(VECTOR[i]) - F.col(f"m_{i}"))
-    mad = _joined(usable, middle, KEYS).groupBy(KEYS).agg(*(F.percentile_approx(F.abs(off(i)), 0.5).alias(f"e_{i}") for i in range(P)))
-    middle = own.settle(middle.join(mad, KEYS).select(*KEYS, *(f"m_{i}" for i in range(P)), *((F.col(f"e_{i}") * 1.4826 + 1e-4).alias(f"e_{i}") for i in range(P))), "medians")
-    unit = _joined(usable, middle, KEYS).withColumns({f"u_{i}": off(i) / F.col(f"e_{i}") for i in range(P)})
-    size = F.sqrt(sum((F.col(f"u_{i}") * F.col(f"u_{i}") for i in range(P)), F.lit(1e-12)))
-    unit = unit.withColumns({f"u_{i}": F.col(f"u_{i}") / size for i in range(P)})
-    signs = unit.groupBy(*KEYS, "_salt").agg(F.count("*").alias("n"), *(F.sum(F.col(f"u_{i}") * F.col(f"u_{j}")).alias(f"q_{i}_{j}") for i, j in PAIRS))
-    signs = signs.groupBy(KEYS).agg(F.sum("n").alias("n"), *(F.sum(f"q_{i}_{j}").alias(f"q_{i}_{j}") for i, j in PAIRS)).join(middle, KEYS)
+    middle = own.settle(usable.groupBy(KEYS).agg(*(F.expr(f"percentile_approx({v}, 0.5) AS m_{i}") for i, v in enumerate(VECTOR))), "medians")
+    off = [f"sqrt({NEAR}) * ({v} - m_{i})" for i, v in enumerate(VECTOR)]
+    mad = _joined(usable, middle, KEYS).groupBy(KEYS).agg(*(F.expr(f"percentile_approx(abs({x}), 0.5) AS e_{i}") for i, x in enumerate(off)))
+    middle = own.settle(middle.join(mad, KEYS).selectExpr(*KEYS, *(f"m_{i}" for i in range(P)), *(f"e_{i} * 1.4826D + 1e-4D AS e_{i}" for i in range(P))), "medians")
+    unit = _joined(usable, middle, KEYS).selectExpr(*KEYS, "_salt", *(f"{x} / e_{i} AS u_{i}" for i, x in enumerate(off)))
+    size = " + ".join(f"u_{i} * u_{i}" for i in range(P))
+    signs = unit.groupBy(*KEYS, "_salt").agg(F.expr("count(*) AS n"), *(F.expr(f"sum(u_{i} * u_{j} / ({size} + 1e-12D)) AS q_{i}_{j}") for i, j in PAIRS))
+    signs = signs.groupBy(KEYS).agg(F.expr("sum(n) AS n"), *(F.expr(f"sum(q_{i}_{j}) AS q_{i}_{j}") for i, j in PAIRS)).join(middle, KEYS)
 
     def run(parts):
         for g in parts:
@@ -252,24 +247,20 @@ def _starts(own: Scratch, usable: DataFrame) -> DataFrame:
 CLASSES = 64
 
 
-def _class(d2):
-    return F.floor(F.log2(d2 + F.lit(1e-9)) * CLASSES).cast("int")
+CLASS = f"CAST(floor(log2({DISTANCE} + 1e-9D) * {CLASSES}) AS int)"
 
 
 def _step(own: Scratch, usable: DataFrame, now: DataFrame, core: float) -> DataFrame:
-    """Estimates of the closest share ``core`` of each group's vectors, per start."""
-    from pyspark.sql import Window
-
+    """Estimates of the closest share ``core`` of each group's vectors, per start; was: the determinant before."""
     keys = [*KEYS, "_start"]
-    held = _joined(usable, now, KEYS).withColumn("class", _class(_distance()))
-    counted = held.groupBy(*keys, "class").agg(F.count("*").alias("n"))
-    up, all_ = Window.partitionBy(*keys).orderBy("class"), Window.partitionBy(*keys)
-    edge = counted.select(*keys, "class", F.sum("n").over(up).alias("upto"), F.sum("n").over(all_).alias("all")).filter(F.col("upto") >= core * F.col("all")).groupBy(*keys).agg(F.min("class").alias("edge"))
-    edge = own.settle(now.join(edge, keys), "limits")
-    inner = _joined(usable, edge, KEYS).filter(_class(_distance()) <= F.col("edge"))
-    out = own.settle(_solved(_summed(inner, keys), keys), "estimates")
-    own.drop(edge)
-    return out
+    named = ", ".join(keys)
+    now = now.select(*keys, *ESTIMATE)
+    counted = _joined(usable, now, KEYS).groupBy(*keys, F.expr(f"{CLASS} AS class")).agg(F.expr("count(*) AS n"))
+    counted = counted.selectExpr(*keys, "class", f"sum(n) OVER (PARTITION BY {named} ORDER BY class) AS upto", f"sum(n) OVER (PARTITION BY {named}) AS every")
+    edge = counted.filter(f"upto >= {core}D * every").groupBy(*keys).agg(F.expr("min(class) AS edge"))
+    edge = now.join(edge, keys).withColumnRenamed("det", "was")
+    inner = _joined(usable, edge, KEYS).filter(f"{CLASS} <= edge")
+    return own.settle(_solved(_summed(inner, [*keys, "was"]), [*keys, "was"]), "estimates")
 
 
 def estimates(own: Scratch, rows: DataFrame, groups: DataFrame, core: float = 0.75, steps: int = 50) -> DataFrame:
@@ -279,14 +270,14 @@ def estimates(own: Scratch, rows: DataFrame, groups: DataFrame, core: float = 0.
     now = _starts(own, usable)
     for _ in range(steps):  # a step lowers every determinant or leaves it
         new = _step(own, usable, now, core)
-        change = new.join(now.select(*KEYS, "_start", F.col("det").alias("was")), [*KEYS, "_start"]).agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0]
+        change = new.agg(F.expr("max(abs(det - was))")).first()[0]
         own.drop(now)
         now = new
         if change is None or change < 1e-6:
             break
     order = F.struct("det", "_start")
     best = own.settle(now.groupBy(KEYS).agg(*(F.min_by(c, order).alias(c) for c in ESTIMATE)), "best")
-    inner = _joined(usable, best, KEYS).filter(_distance() <= _consistency(core) * _quantile(0.975))
+    inner = _joined(usable, best, KEYS).filter(f"{DISTANCE} <= {_consistency(core) * _quantile(0.975)!r}D")
     return own.settle(_solved(_summed(inner, KEYS), KEYS, _consistency(0.975)), "estimates")
 
 
@@ -326,7 +317,7 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, key: str
         own.keep(rows, groups, found)
     # both are small beside the rows and are sent to all executors if their size allows; if not, a large group's rows are split at run time
     judging = rows.join(groups.select("_lang", "_source", "own"), ["_lang", "_source"]).select(key, "n_words", *(b for b in BASE if b != "n_words"), *VECTOR, "own.*")
-    d = judging.join(found, KEYS, "left").withColumn("d2", _distance()).withColumn("base_failed", _base_failed())
+    d = judging.join(found, KEYS, "left").withColumn("d2", F.expr(DISTANCE)).withColumn("base_failed", _base_failed())
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= cutoff))
     return d.select(key, *BASE, "base_failed", kept.alias("kept"), "d2")
 
