@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,6 +44,7 @@ def slug(c: Column) -> Column:
 
 def unique_slugs(slugs: Column) -> Column:
     """Slugs of one document in order; a repeat gets the first free number."""
+
     @F.pandas_udf("array<string>")
     def run(rows: pd.Series) -> pd.Series:
         return pd.Series([numbered(r) for r in rows], dtype=object)
@@ -67,40 +66,9 @@ def numbered(slugs) -> list[str]:
 
 
 def percent_decoded(c: Column) -> Column:
-    """struct(value, error): strict decoding; + stays; error says what is wrong."""
-    @F.pandas_udf("value string, error string")
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([decode(x) for x in s], columns=["value", "error"])
-
-    return run(c)
-
-
-def decode(text: str | None) -> tuple[str | None, str | None]:
-    if text is None:
-        return None, None
-    raw, out, i = text.encode(), bytearray(), 0
-    while i < len(raw):
-        if raw[i] != 0x25:
-            out.append(raw[i])
-            i += 1
-            continue
-        if i + 3 > len(raw):
-            return None, "incomplete escape"
-        if not re.fullmatch(b"[0-9A-Fa-f]{2}", raw[i + 1 : i + 3]):
-            return None, "non-hexadecimal escape"
-        out.append(int(raw[i + 1 : i + 3], 16))
-        i += 3
-    try:
-        return out.decode(), None
-    except UnicodeDecodeError:
-        return None, "invalid UTF-8"
-
-
-def line_of(prefix: Column) -> Column:
-    """1-based line of what follows a prefix."""
-    return (F.length(prefix) - F.length(F.replace(prefix, F.lit("\n"), F.lit(""))) + 1).cast("long")
-
-
-def column_of(prefix: Column) -> Column:
-    """1-based column, in characters."""
-    return (F.length(F.substring_index(prefix, "\n", -1)) + 1).cast("long")
+    """struct(value, error): strict decoding; + stays; error (fixed texts) says what is wrong with the first escape that is."""
+    odd = F.regexp_extract(c, "(?s)(%(?![0-9A-Fa-f]{2}).*)$", 1)
+    digits = F.array_join(F.transform(F.split(c, "%"), lambda part, i: F.when(i == 0, F.hex(part)).otherwise(F.concat(F.substring(part, F.lit(1), F.lit(2)), F.hex(F.substring(part, F.lit(3), F.length(part)))))), "")
+    value = F.when(~F.contains(c, F.lit("%")), c).when(odd == "", F.try_validate_utf8(F.unhex(digits).cast("string")))
+    error = F.when(odd != "", F.when(F.octet_length(odd) < 3, "incomplete escape").otherwise("non-hexadecimal escape")).when(c.isNotNull() & value.isNull(), "invalid UTF-8")
+    return F.struct(value.alias("value"), error.alias("error"))

@@ -13,11 +13,11 @@ def reusable(tier: Column, confidence: Column, cap: int) -> Column:
     return (tier <= cap) & ((F.coalesce(confidence, F.lit("")) != "auth-walled") | (tier >= cap))
 
 
-def lookup(urls: DataFrame, cache: DataFrame, now: int, ttl: int, cap: int, key: str = "url") -> DataFrame:
+def lookup(urls: DataFrame, cache: DataFrame, now: int | Column, ttl: int, cap: int, key: str = "url") -> DataFrame:
     """urls with hit, verdict_json; a malformed verdict is a miss, a null one a clean verdict."""
     c = cache.select(F.col("url").alias(key), F.col("verdict_json"), "checked_at", "tier")
     parsed = F.get_json_object("verdict_json", "$.confidence")
-    fresh = (F.lit(now) - F.col("checked_at")) <= ttl
+    fresh = ((now if isinstance(now, Column) else F.lit(now)) - F.col("checked_at")) <= ttl
     clean = F.col("verdict_json").isNull() & (F.col("tier") <= cap)
     hit = F.col("checked_at").isNotNull() & fresh & (clean | (parsed.isNotNull() & reusable(F.col("tier"), parsed, cap)))
     return urls.join(c, key, "left").withColumn("hit", F.coalesce(hit, F.lit(False))).withColumn("verdict_json", F.when(F.col("hit"), F.col("verdict_json")))
@@ -34,3 +34,50 @@ def stats(looked: DataFrame, cache: DataFrame) -> DataFrame:
     """hits, misses, entries."""
     both = looked.select("hit", F.lit(0).alias("entry")).unionByName(cache.select(F.lit(None).cast("boolean").alias("hit"), F.lit(1).alias("entry")))
     return both.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.sum("entry").alias("entries"))
+
+
+#: Of the columns above. A cache of another version is read as empty.
+VERSION = 1
+
+
+def wellformed(cache: DataFrame) -> DataFrame:
+    """Without rows whose verdict is not one; they were misses and are not kept."""
+    return cache.filter(F.col("verdict_json").isNull() | F.get_json_object("verdict_json", "$.confidence").isNotNull())
+
+
+def _folder(path: str) -> str:
+    return f"{path.rstrip('/')}/v{VERSION}"
+
+
+def load(spark, path: str) -> DataFrame:
+    """The cache of a folder; empty if there is none of this version."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_folder(path) + "/current")
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(at):
+        return spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).parquet(_folder(path) + "/current")
+
+
+def save(cache: DataFrame, path: str) -> None:
+    """Written whole beside the old one, then put in its place."""
+    spark = cache.sparkSession
+    new = spark._jvm.org.apache.hadoop.fs.Path(_folder(path) + "/next")
+    old = spark._jvm.org.apache.hadoop.fs.Path(_folder(path) + "/current")
+    fs = new.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    cache.select("url", "verdict_json", "checked_at", "tier").write.mode("overwrite").parquet(new.toString())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"could not put {new} in place")
+
+
+def clear(spark, path: str) -> None:
+    """Deletes the cache, of all versions."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def size(spark, path: str) -> int:
+    """Bytes of a cache's files, of all versions; 0 without any."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return int(fs.getContentSummary(at).getLength()) if fs.exists(at) else 0

@@ -91,27 +91,31 @@ def text_links(body: bytes):
         yield places.row(url, start, start + len(url))
 
 
-_TAG = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Attributes by the states of the HTML syntax: a quote opens a value only behind ``=``; an unquoted value ends at a blank or ``>``.
+_INSIDE = r"(?:[\s/]++|[^\s/>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|))*+"
+_TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<([a-zA-Z][^\s/>]*+)({_INSIDE})(?:>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)|'([^']*+)|([^\s>\"'][^\s>]*+)))?")
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in ("script", "style", "textarea", "title")}
 LINK_ATTRIBUTES = {"a": "href", "link": "href", "img": "src", "script": "src"}
 
 
 def tags(text: str):
-    """(name, attributes with their value's start and end) of every start tag outside comments."""
-    for m in _TAG.finditer(text):
-        if m[2]:
-            name, begin, inside = m[2].lower(), m.start(3), m[3]
-        elif m[1]:
-            head = re.match(r"<(\w+)([^>]*)>", m[0])
-            name, begin, inside = m[1].lower(), m.start() + head.start(2), head[2]
-        else:
+    """(name, attributes with their value's start and end) of every start tag outside comments and raw text."""
+    at = 0
+    while m := _TAG.search(text, at):
+        at = m.end()
+        if not m[1]:
             continue
+        name, begin = m[1].lower(), m.start(2)
         found = {}
-        for a in _ATTRIBUTE.finditer(inside):
+        for a in _ATTRIBUTE.finditer(m[2]):
             group = next((g for g in (2, 3, 4) if a[g] is not None), None)
             if group:
                 found.setdefault(a[1].lower(), (a[group], begin + a.start(group), begin + a.end(group)))
         yield name, found
+        if name in _RAW:
+            end = _RAW[name].search(text, at)
+            at = end.start() if end else len(text)
 
 
 def html_links(body: bytes):
@@ -129,6 +133,26 @@ _DEFINITION = re.compile(r"^ {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(<[^<>
 _ESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
 
 
+_INDENTED = re.compile(r"(?:(?<=\n\n)|\A)(?:(?: {4}| {0,3}\t)[^\n]*(?:\n+|\Z))+")
+_LIST = re.compile(r"^ {0,3}(?:[-+*]|\d{1,9}[.)])[ \t]", re.M)
+
+
+class _Spans:
+    """Whether a place is inside any of the spans, by their order."""
+
+    def __init__(self, spans):
+        self.starts, self.reach = [], []
+        for a, b in sorted(spans):
+            self.starts.append(a)
+            self.reach.append(max(b, self.reach[-1] if self.reach else b))
+
+    def __contains__(self, i: int) -> bool:
+        from bisect import bisect_right
+
+        k = bisect_right(self.starts, i)
+        return k > 0 and i < self.reach[k - 1]
+
+
 def _label(text: str) -> str:
     return re.sub(r"\s+", " ", text.strip()).casefold()
 
@@ -178,6 +202,11 @@ def markdown_links(body: bytes):
 
     for m in _FENCE.finditer(text):
         hide(m.start(), m.end())
+    seen = "".join(hidden)
+    for m in _INDENTED.finditer(seen):
+        before = seen[: m.start()].rstrip("\n")
+        if not _LIST.match(before[before.rfind("\n") + 1 :]):  # in a list, indented lines go on with the item
+            hide(m.start(), m.end())
     for m in _CODE.finditer("".join(hidden)):
         hide(m.start(), m.end())
     visible = "".join(hidden)
@@ -188,7 +217,7 @@ def markdown_links(body: bytes):
             raw, start = raw[1:-1], start + 1
         definitions.setdefault(_label(m[1]), (_semantic(raw), start, start + len(raw)))
         spans.append(m.span())
-    used = lambda i: any(a <= i < b for a, b in spans)
+    used = _Spans(spans).__contains__
 
     def add(url: str, a: int, b: int) -> None:
         if wanted(url):
@@ -218,8 +247,9 @@ def markdown_links(body: bytes):
         if label in definitions:
             add(*definitions[label])
             taken.append((m.start(), ref.end() if ref else at))
+    inside = _Spans(taken)
     for url, start in bare_urls(visible):
-        if not used(start) and not any(a <= start < b for a, b in taken):
+        if not used(start) and start not in inside:
             add(url, start, start + len(url))
     for (a, b), url in sorted(found.items()):
         yield places.row(url, a, b)
@@ -284,31 +314,48 @@ def field_link(text: str) -> str | None:
 
 
 def docx_links(body: bytes):
+    """Hyperlinks by relation, complex and simple fields, and HYPERLINK in instructions or text outside fields."""
     members = _members(body)
     part = "word/document.xml"
     rels = relationships(members, part, True)
-    paragraph, field, depth_text = 0, None, False
+    paragraph, field, instruction, plain = 0, None, None, ""
+
+    def row(url: str, at: int):
+        return url, {"type": "docx", "paragraph": at}, None, None
+
     for kind, name, a in _events(members.get(part, b"<x/>"), part):
+        if kind == "text":
+            if field is not None:
+                field = field[0], field[1] + a
+            elif instruction is not None:
+                instruction = instruction[0], instruction[1] + a
+            else:
+                plain += a  # the parser may cut a text into pieces
+            continue
+        if plain and (url := field_link(plain)):
+            yield row(url, paragraph)
+        plain = ""
         if kind == "start":
             if name == f"{_W} p":
                 paragraph += 1
             elif name == f"{_W} hyperlink" and a.get(_RID) in rels:
-                yield rels[a[_RID]], {"type": "docx", "paragraph": paragraph}, None, None
+                yield row(rels[a[_RID]], paragraph)
             elif name == f"{_W} fldSimple" and (url := field_link(a.get(f"{_W} instr", ""))):
-                yield url, {"type": "docx", "paragraph": paragraph}, None, None
+                yield row(url, paragraph)
             elif name == f"{_W} fldChar":
                 state = a.get(f"{_W} fldCharType")
                 if state == "begin":
-                    field = ""
-                elif state == "end":
-                    if field and (url := field_link(field)):
-                        yield url, {"type": "docx", "paragraph": paragraph}, None, None
+                    field = paragraph, ""
+                elif state == "end" and field is not None:
+                    if url := field_link(field[1]):
+                        yield row(url, field[0])
                     field = None
-            depth_text = name == f"{_W} instrText"
-        elif kind == "end":
-            depth_text = False
-        elif depth_text and field is not None:
-            field += a
+            elif name == f"{_W} instrText":
+                instruction = paragraph, ""
+        elif name == f"{_W} instrText" and instruction is not None:
+            if url := field_link(instruction[1]):
+                yield row(url, instruction[0])
+            instruction = None
 
 
 def xlsx_links(body: bytes):
@@ -368,7 +415,7 @@ def pdf_string(raw: bytes) -> str:
     return data.decode("latin-1")
 
 
-def _pdf_objects(body: bytes) -> dict[int, bytes]:
+def pdf_objects(body: bytes) -> dict[int, bytes]:
     found = {int(m[1]): m[3] for m in _OBJECT.finditer(body)}
     for data in list(found.values()):
         if b"/ObjStm" in data and (s := _stream(data)) is not None:
@@ -404,12 +451,29 @@ def _refs(data: bytes, key: bytes, objects: dict[int, bytes]) -> list[bytes]:
     return out + re.findall(rb"<<.*?>>(?:\s*>>)?", value, re.S)
 
 
+def _pages_in_order(objects: dict[int, bytes]) -> list[bytes]:
+    """Page dictionaries by the page tree; by object number if there is no tree."""
+    page = re.compile(rb"/Type\s*/Page\b(?!s)")
+    root = next((m for d in objects.values() if re.search(rb"/Type\s*/Catalog\b", d) and (m := re.search(rb"/Pages\s+(\d+)\s+\d+\s+R", d))), None)
+    out, seen, stack = [], set(), [int(root[1])] if root else []
+    while stack:
+        n = stack.pop()
+        if n in seen or n not in objects:
+            continue
+        seen.add(n)
+        if page.search(objects[n]):
+            out.append(objects[n])
+        elif kids := re.search(rb"/Kids\s*\[(.*?)\]", objects[n], re.S):
+            stack += [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", kids[1])][::-1]
+    return out or [d for _, d in sorted(objects.items()) if page.search(d)]
+
+
 def pdf_links(body: bytes):
     """URI annotations of every page, then URLs in its uncompressed or deflated text; nothing if encrypted."""
     if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", body):
         return
-    objects = _pdf_objects(body)
-    pages = [d for _, d in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", d)]
+    objects = pdf_objects(body)
+    pages = _pages_in_order(objects)
     for number, page in enumerate(pages, 1):
         for i, note in enumerate(_refs(page, b"Annots", objects)):
             action = next(iter(_refs(note, b"A", objects)), b"")
@@ -453,6 +517,40 @@ def links(docs: DataFrame, mode: str = "failfast") -> DataFrame:
     return docs.select("path", "format", "content").mapInPandas(run, f"path string, format string, url string, location {LOCATION}, start long, end long, error string")
 
 
+def read(docs: DataFrame, mode: str = "failfast") -> DataFrame:
+    """Links and anchors of docs in one pass: the columns of ``links``, has_anchors and anchor.
+
+    Rows are links (url), errors, and, of documents whose anchors are known (has_anchors), their anchors;
+    one with a null anchor stands for the document itself.
+    """
+    names = ["path", "format", "url", "location", "start", "end", "error", "has_anchors", "anchor"]
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for path, kind, body in zip(pdf["path"], pdf["format"], pdf["content"]):
+                extractor = EXTRACTORS.get(kind)
+                if extractor is None or body is None:
+                    continue
+                body = bytes(body)
+                try:
+                    rows += [(path, kind, u, {f: loc.get(f) for f in FIELDS}, a, b, None, False, None) for u, loc, a, b in extractor(body)]
+                    known = anchors(body, kind)
+                except Exception as e:
+                    if mode != "permissive":
+                        raise ValueError(f"{path}: {e}") from e
+                    rows.append((path, kind, None, None, None, None, str(e), False, None))
+                    continue
+                if known is not None:
+                    rows += [(path, kind, None, None, None, None, None, True, x) for x in [None, *dict.fromkeys(known)]]
+            out = pd.DataFrame(rows, columns=names)
+            out["start"], out["end"] = out["start"].astype("Int64"), out["end"].astype("Int64")
+            yield out
+
+    schema = f"path string, format string, url string, location {LOCATION}, start long, end long, error string, has_anchors boolean, anchor string"
+    return docs.select("path", "format", "content").mapInPandas(run, schema)
+
+
 def hrefs(page):
     """The double-quoted href values of a column of HTML: the fast path where all attributes are so quoted."""
     return F.regexp_extract_all(page, F.lit('href="([^"]*)"'), F.lit(1))
@@ -462,12 +560,12 @@ def anchors(body: bytes, kind: str) -> list[str] | None:
     """Anchors of an HTML or Markdown document; None: any anchor counts as there."""
     from linkloom.functions.text import numbered
 
+    if kind not in ("html", "markdown"):
+        return None
     text = body.decode("utf-8", "replace")
     ids = [html.unescape(v[0]) for name, a in tags(text) for key, v in a.items() if key == "id" or (key == "name" and name == "a")]
     if kind == "html":
         return ids
-    if kind != "markdown":
-        return None
     plain = _FENCE.sub("", text)
     heads = [m[1] or m[2] for m in re.finditer(r"^ {0,3}#{1,6}[ \t]+(.*?)[ \t]*#*[ \t]*$|^(\S[^\n]*)\n {0,3}(?:=+|-+)[ \t]*$", plain, re.M)]
     clean = [re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", re.sub(r"[`*]", "", h)) for h in heads]

@@ -14,22 +14,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.operators.extract import EXTRACTORS, _URI, pdf_string
+from linkloom.operators.extract import EXTRACTORS, _URI, pdf_objects, pdf_string
 
 
 def suggested(reason: Column, evidence: Column) -> Column:
-    """struct(replacement_url, origin) from the first evidence of the reason's kind that is an http URL."""
-    pick = lambda kind: F.get(F.filter(evidence, lambda e: (e["kind"] == kind) & e["detail"].rlike("^(?i)https?://")), F.lit(0))["detail"]
+    """struct(replacement_url, origin, fixable) from the first evidence of the reason's kind, if that is an http URL."""
+    pick = lambda kind: F.get(F.filter(evidence, lambda e: e["kind"] == kind), F.lit(0))["detail"]
     url = F.when(reason == "permanent-redirect", pick("redirect-target")).when(reason == "version-drift", pick("version-upgrade"))
+    url = F.when(url.rlike("^(?i)https?://"), url)
     origin = F.when(reason == "permanent-redirect", "redirect-target").when(reason == "version-drift", "version-upgrade")
-    return F.when(url.isNotNull(), F.struct(url.alias("replacement_url"), origin.alias("origin")))
+    fixable = F.struct(F.lit("auto").alias("kind"), F.lit(None).cast("string").alias("reason"))
+    return F.when(url.isNotNull(), F.struct(url.alias("replacement_url"), origin.alias("origin"), fixable.alias("fixable")))
 
 
 def selected(findings: DataFrame, least_rank: int, excluded: list[str]) -> DataFrame:
-    """Findings with a fix that may be made: (path, format, origin, fixable, rank) columns are read."""
-    kind = F.when(F.col("format") == "pdf", "pdf").when(F.col("origin") == "redirect-target", "redirect").otherwise("url-upgrade")
-    no = F.col("format").isin("pdf") if "pdf" in excluded else F.lit(False)
-    return findings.filter(F.col("replacement_url").isNotNull() & (F.col("rank") >= least_rank) & ~no & ~kind.isin([x for x in excluded if x != "pdf"] or [""]))
+    """Findings whose fix is asked for; read: format, origin, replacement_url, rank."""
+    kind = F.when(F.col("origin") == "redirect-target", "redirect").when(F.col("origin").isin("https-upgrade", "version-upgrade"), "url-upgrade")
+    no = F.lit(False)
+    for x in excluded:
+        no = no | ((F.col("format") == "pdf") if x == "pdf" else F.coalesce(kind == x, F.lit(False)))
+    return findings.filter(F.col("replacement_url").isNotNull() & (F.col("rank") >= least_rank) & ~no)
 
 
 def conflicts(replacements: DataFrame) -> DataFrame:
@@ -38,10 +42,11 @@ def conflicts(replacements: DataFrame) -> DataFrame:
 
 
 def overlaps(edits: DataFrame) -> DataFrame:
-    """Edits (path, start, end) that begin before the one before them ends, or insert at the same place."""
+    """Edits (path, start, end) that begin before an earlier one ends, or insert at the same place as the one before."""
     w = Window.partitionBy("path").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     before, was = F.lag("end").over(w), F.lag("start").over(w)
-    return edits.withColumns({"_e": before, "_s": was}).filter((F.col("start") < F.col("_e")) | ((F.col("start") == F.col("_s")) & (F.col("start") == F.col("end")) & (F.col("_s") == F.col("_e")))).drop("_e", "_s")
+    return edits.withColumns({"_r": reach, "_e": before, "_s": was}).filter((F.col("start") < F.col("_r")) | ((F.col("start") == F.col("_s")) & (F.col("start") == F.col("end")) & (F.col("_s") == F.col("_e")))).drop("_r", "_e", "_s")
 
 
 def apply_edits(body: bytes, edits: list[tuple[int, int, bytes]]) -> bytes:
@@ -149,32 +154,65 @@ def _central(body: bytes, name: str) -> bytes:
 
 
 def pdf_refusal(body: bytes) -> str | None:
+    """Why a PDF is not changed: it is encrypted, signed, or has link annotations that are no objects of their own."""
+    if not body.startswith(b"%PDF-"):
+        return "it can't be read"
     if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", body):
-        return "encrypted"
-    if re.search(rb"/(ByteRange|Sig\b)", body):
-        return "signed"
+        return "encrypted PDF files are not modified"
+    objects = pdf_objects(body)
+    if any(re.search(rb"/FT\s*/Sig\b", d) or (re.search(rb"/Type\s*/Catalog\b", d) and b"/Perms" in d) for d in objects.values()):
+        return "signed PDF files are not modified"
+    for d in objects.values():
+        if re.search(rb"/Type\s*/Page\b(?!s)", d) and (m := re.search(rb"/Annots\s*\[(.*)", d, re.S)):
+            own = m[1][: _closing(m[1])]
+            if re.search(rb"<<.*?/Subtype\s*/Link\b", own, re.S):
+                return "PDF files with direct link annotations are not modified"
     return None
 
 
+def _closing(array: bytes) -> int:
+    """Where an array ends whose opening bracket has been read."""
+    depth = 1
+    for m in re.finditer(rb"\((?:[^()\\]|\\.)*\)|[\[\]]", array, re.S):
+        depth += (m[0] == b"[") - (m[0] == b"]")
+        if not depth:
+            return m.start()
+    return len(array)
+
+
+def _link_actions(body: bytes) -> set[int]:
+    """Numbers of the objects that hold the URI action of a link annotation: the annotation itself, or its action."""
+    objects, out = pdf_objects(body), set()
+    for number, d in objects.items():
+        if not re.search(rb"/Subtype\s*/Link\b", d):
+            continue
+        if m := re.search(rb"/A\s+(\d+)\s+\d+\s+R", d):
+            if re.search(rb"/S\s*/URI\b", objects.get(int(m[1]), b"")):
+                out.add(int(m[1]))
+        elif re.search(rb"/S\s*/URI\b", d):
+            out.add(number)
+    return out
+
+
 def fix_pdf(body: bytes, wanted: dict[str, str]) -> bytes:
     """An appended update with new versions of the objects whose URI action changes."""
     if why := pdf_refusal(body):
-        raise ValueError(f"the PDF is {why}")
-    new, found = {}, set()
+        raise ValueError(why)
+    new, found, links = {}, set(), _link_actions(body)
     for m in re.finditer(rb"(\d+)\s+0\s+obj\b(.*?)\bendobj", body, re.S):
         data = m[2]
-        if b"stream" in data or not (u := _URI.search(data)):
+        if int(m[1]) not in links or not (u := _URI.search(data)):
             continue
         url = pdf_string(u[1])
         if url in wanted:
-            to = wanted[url].encode("latin-1").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+            to = pdf_encoded(wanted[url])
             new[int(m[1])] = data[: u.start(1)] + b"(" + to + b")" + data[u.end(1) :]
             found.add(url)
     if missing := set(wanted) - found:
         raise ValueError(f"no link annotation: {sorted(missing)}")
     out = bytearray(body + (b"" if body.endswith(b"\n") else b"\n"))
     places = {}
-    for n, data in new.items():
+    for n, data in sorted(new.items()):
         places[n] = len(out)
         out += b"%d 0 obj%sendobj\n" % (n, data)
     start = re.findall(rb"startxref\s+(\d+)", body)[-1]
@@ -186,6 +224,13 @@ def fix_pdf(body: bytes, wanted: dict[str, str]) -> bytes:
     return bytes(out)
 
 
+def pdf_encoded(url: str) -> bytes:
+    """A literal string's inside; only characters that stand for themselves in one byte."""
+    if any(not 0x20 <= ord(c) < 0x7F for c in url):
+        raise ValueError(f"{url} can't be written in a PDF string")
+    return url.encode().replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+
+
 def fixed(body: bytes, kind: str, wanted: dict[str, str]) -> bytes:
     """The document with its URLs replaced, checked by extracting again."""
     if kind in ("markdown", "text"):
@@ -194,12 +239,20 @@ def fixed(body: bytes, kind: str, wanted: dict[str, str]) -> bytes:
         out = fix_html(body, wanted)
     else:
         out = fix_pdf(body, wanted) if kind == "pdf" else fix_office(body, wanted)
-    there = {u for u, *_ in EXTRACTORS[kind](out)}
-    if kind != "pdf" and (lost := {n for o, n in wanted.items() if n not in there} | {o for o in wanted if o in there and o not in wanted.values()}):
-        raise ValueError(f"not as asked after the change: {sorted(lost)}")
+    verify(out, kind, wanted)
     return out
 
 
+def verify(body: bytes, kind: str, wanted: dict[str, str]) -> None:
+    """Every new URL must be there, and no old one, by extracting again."""
+    there = {u for u, *_ in EXTRACTORS[kind](body)}
+    for old, new in sorted(wanted.items()):
+        if new not in there:
+            raise ValueError(f"replacement URL was not extractable: {new}")
+        if old in there:
+            raise ValueError(f"old URL is still extractable: {old}")
+
+
 def run(docs: DataFrame, replacements: DataFrame) -> DataFrame:
     """docs (path, format, content) and replacements (path, old, new) to (path, format, content, error, diff)."""
     asked = replacements.groupBy("path").agg(F.collect_set(F.struct("old", "new")).alias("asked"))
@@ -228,13 +281,59 @@ def run(docs: DataFrame, replacements: DataFrame) -> DataFrame:
     return docs.join(asked, "path").select("path", "format", "content", "asked").mapInPandas(work, "path string, format string, content binary, error string, diff string")
 
 
+def _replace(target: str, body: bytes) -> None:
+    """A whole file in place of the old one, with its permissions."""
+    import os
+
+    own = f"{target}.{os.getpid()}.tmp"
+    with open(own, "wb") as f:
+        f.write(body)
+        f.flush()
+        os.fsync(f.fileno())
+    if os.path.exists(target):
+        os.chmod(own, os.stat(target).st_mode)
+    os.replace(own, target)
+
+
+def plan(findings: DataFrame, docs: DataFrame, least: str = "suspect", excluded: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """(replacements, refused) of a scan's findings, both by path order.
+
+    replacements: path, old, new, of fixes that may be made. refused: path, reason, of PDFs that
+    are never changed (all documents are looked at, findings or not) and of fixes that are not automatic.
+    """
+    from linkloom.operators.verdicts import RANK, rank
+
+    rows = findings.select("path", "format", "url", rank(F.col("verdict.confidence")).alias("rank"), "fix.replacement_url", "fix.origin", "fix.fixable")
+    rows = selected(rows, RANK[least], list(excluded))
+    auto = F.col("fixable.kind") == "auto"
+    hand = rows.filter(~auto).select("path", F.when(F.col("fixable.kind") == "manual", "fix requires manual editing").otherwise(F.col("fixable.reason")).alias("reason"))
+    none = docs.filter(F.lit("pdf" not in excluded) & (F.col("format") == "pdf")).select("path", "content")
+
+    def look(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(p, why) for p, c in zip(pdf["path"], pdf["content"]) if (why := pdf_refusal(bytes(c)))], columns=["path", "reason"])
+
+    closed = none.mapInPandas(look, "path string, reason string")
+    asked = rows.filter(auto).join(closed.select("path"), "path", "left_anti").select("path", F.col("url").alias("old"), F.col("replacement_url").alias("new")).distinct()
+    return asked.orderBy("path", "old"), closed.unionByName(hand).orderBy("path")
+
+
+def exit_code(results: DataFrame, refused: DataFrame) -> int:
+    """0 if nothing was refused and nothing failed, else 1."""
+    failed = results.filter("error is not null").select("path").unionByName(refused.select("path"))
+    return int(not failed.isEmpty())
+
+
 def copy_name(path: Column) -> Column:
     """stem.fixed.ext"""
-    return F.regexp_replace(path, r"(\.[^./]*)?$", ".fixed$1")
+    return F.regexp_replace(path, r"^(.*/)?([^/]+?)(\.[^./]*)?$", "$1$2.fixed$3")
 
 
 def write(results: DataFrame, mode: str = "copy", backup: bool = False) -> DataFrame:
-    """Writes fixed documents to a file system that all executors share: copies beside them, or in place."""
+    """Writes fixed documents to a file system that all executors share: copies beside them, or in place.
+
+    What was written is read again and compared; in place, the old document is put back if it differs.
+    """
 
     def work(batches):
         import os
@@ -242,22 +341,20 @@ def write(results: DataFrame, mode: str = "copy", backup: bool = False) -> DataF
         for pdf in batches:
             done = []
             for path, body in zip(pdf["path"], pdf["content"]):
-                target = re.sub(r"(\.[^./]*)?$", r".fixed\1", path, count=1) if mode == "copy" else path
+                target = re.sub(r"^(.*/)?([^/]+?)(\.[^./]*)?$", r"\1\2.fixed\3", path) if mode == "copy" else path
                 if mode == "copy" and os.path.exists(target):
                     done.append((path, None, "exists"))
                     continue
                 if backup and mode != "copy":
                     with open(path, "rb") as f, open(path + ".bak", "wb") as g:
                         g.write(f.read())
-                own = f"{target}.{os.getpid()}.tmp"
-                with open(own, "wb") as f:
-                    f.write(bytes(body))
-                    f.flush()
-                    os.fsync(f.fileno())
-                if os.path.exists(target):
-                    os.chmod(own, os.stat(target).st_mode)
-                os.replace(own, target)
-                done.append((path, target, None))
+                before = open(target, "rb").read() if os.path.exists(target) else None
+                _replace(target, bytes(body))
+                with open(target, "rb") as f:
+                    same = f.read() == bytes(body)
+                if not same and before is not None:
+                    _replace(target, before)
+                done.append((path, target if same else None, None if same else "not as written; the old file is back"))
             yield pd.DataFrame(done, columns=["path", "written", "error"])
 
     return results.filter("content is not null").select("path", "content").mapInPandas(work, "path string, written string, error string")

@@ -63,8 +63,28 @@ def observe(url: str, method: str, timeout: float, agent: str) -> dict:
     return out | {"url": url, "method": method, "hops": hops, "final_url": at}
 
 
-def probe(urls: DataFrame, per_host: int = 4, timeout: float = 20.0, retries: int = 2, agent: str = "linkloom", base_s: float = 1.0) -> DataFrame:
-    """urls (url) to observations: HEAD, then GET where HEAD is refused or clean."""
+class _Hosts:
+    """At most so many requests at once for each host, of one process."""
+
+    def __init__(self, most: int):
+        import threading
+
+        self.most, self.lock, self.own = most, threading.Lock(), {}
+
+    def __call__(self, url: str):
+        import threading
+        from urllib.parse import urlsplit
+
+        with self.lock:
+            return self.own.setdefault(urlsplit(url).netloc.lower(), threading.Semaphore(self.most))
+
+
+def probe(urls: DataFrame, per_host: int = 4, timeout: float = 20.0, retries: int = 2, agent: str = "linkloom", base_s: float = 1.0, threads: int = 16) -> DataFrame:
+    """urls (url) to observations: HEAD, then GET where HEAD is refused or clean.
+
+    All URLs of a host meet in one partition, whose requests run in ``threads`` threads, ``per_host`` at once for
+    a host: a slow host holds up its own URLs only. Over the run: threads times the running tasks.
+    """
     names = [x.split()[0] for x in OBSERVATION.split(", ")]
 
     def one(url: str) -> list[dict]:
@@ -91,9 +111,15 @@ def probe(urls: DataFrame, per_host: int = 4, timeout: float = 20.0, retries: in
     def work(batches):
         from concurrent.futures import ThreadPoolExecutor
 
-        with ThreadPoolExecutor(per_host) as pool:
+        hosts = _Hosts(per_host)
+
+        def held(url: str) -> list[dict]:
+            with hosts(url):
+                return one(url)
+
+        with ThreadPoolExecutor(threads) as pool:
             for pdf in batches:
-                found = [r for rows in pool.map(one, pdf["url"]) for r in rows]
+                found = [r for rows in pool.map(held, pdf["url"]) for r in rows]
                 yield pd.DataFrame(found, columns=names)
 
     n = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -76,6 +76,97 @@ def http_date(value: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(value, "^[A-Za-z]{3},\\s*", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
 
 
+VERDICT = "struct<confidence:string,reason:struct<kind:string,detail:string>,evidence:array<struct<kind:string,detail:string>>,tier:int>"
+
+
+def verdict(kind: Column | str, detail: Column | None, evidence_kind: Column | str, evidence: Column, tier: int) -> Column:
+    """A verdict (VERDICT) with one piece of evidence; detail: of reasons that have one (a status, a network error's kind)."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    evidence_kind = F.lit(evidence_kind) if isinstance(evidence_kind, str) else evidence_kind
+    detail = F.lit(None).cast("string") if detail is None else detail.cast("string")
+    sure = confidence(kind, F.when(kind == "http-status", detail.try_cast("int")))
+    proof = F.array(F.struct(evidence_kind.alias("kind"), evidence.alias("detail")))
+    return F.struct(sure.alias("confidence"), F.struct(kind.alias("kind"), detail.alias("detail")).alias("reason"), proof.alias("evidence"), F.lit(tier).alias("tier")).cast(VERDICT)
+
+
+def observed(o: Column, tier: int = 1) -> Column:
+    """The verdict of one observation (status, termination, error_kind, error_message) alone; null: clean, or nothing observed."""
+    kind = network_kind(o["error_kind"], o["error_message"])
+    return (
+        F.when(o["error_kind"].isNotNull(), verdict("network-error", kind, "status", F.coalesce(o["error_message"], kind), tier))
+        .when(o["termination"].isNotNull(), verdict("network-error", F.lit("other"), "redirect-traversal", o["termination"], tier))
+        .when(~o["status"].between(200, 299), verdict("http-status", o["status"], "status", o["status"].cast("string"), tier))
+    )
+
+
+def heuristic(url: Column, get: Column, upgrade: Column, beside: Column, now: Column) -> Column:
+    """The verdict of a clean URL by what its GET shows; upgrade, beside: GETs of ``version_upgrade`` and ``sibling``. A GET that failed or did not end says nothing."""
+    modified = http_date(get["last_modified"])
+    ok = lambda o: F.coalesce(o["status"].between(200, 299) & o["error_kind"].isNull() & o["termination"].isNull(), F.lit(False))
+    alike = tx.similarity(tx.words(get["body"]), tx.words(beside["body"]))
+    reason = cascade(url, get["status"], get["hops"], modified, get["body"], F.when(ok(upgrade), upgrade["status"]), F.when(ok(beside), beside["status"]), alike, now)
+    proofs = {
+        "login-wall": ("redirect-chain", chain(url, get["hops"])),
+        "permanent-redirect": ("redirect-target", get["final_url"]),
+        "far-past": ("last-modified", F.date_format(modified, "EEE, d MMM yyyy HH:mm:ss Z")),
+        "staleness-banner": ("staleness-phrase", tx.staleness(get["body"])),
+        "version-drift": ("version-upgrade", ux.version_upgrade(url)),
+        "soft-404": ("sibling-similarity", F.concat(ux.sibling(url), F.lit(" ("), tx.two_digits(alike), F.lit(")"))),
+    }
+    out = None
+    for name, (kind, detail) in proofs.items():
+        said = verdict(name, None, kind, detail, 1)
+        out = F.when(reason == name, said) if out is None else out.when(reason == name, said)
+    return F.when(get["error_kind"].isNull() & get["termination"].isNull(), out)
+
+
+def by_cookies(o: Column) -> Column:
+    """The tier 2 verdict of a GET with cookies; null: clean. Too many redirects count as status 310."""
+    exhausted = F.coalesce(F.size(o["hops"]) > HOPS, F.lit(False)) | o["termination"].isNotNull()
+    status = F.when(exhausted, 310).otherwise(o["status"])
+    way = F.array_join(F.transform(o["hops"], lambda h: h["url"]), " -> ")
+    return F.when(~exhausted & login_wall(o["hops"]), verdict("login-wall", None, "cookie-redirect-chain", way, 2)).when(~status.between(200, 299), verdict("http-status", status, "cookie-status", status.cast("string"), 2))
+
+
+def by_page(o: Column) -> Column:
+    """The tier 3 verdict of a page as a browser shows it; null: clean."""
+    page = tx.ascii_lower(F.coalesce(o["body"], F.lit("")))
+    password = F.lit(False)
+    for sign in ('type="password"', "type='password'", 'name="password"', "name='password'"):
+        password = password | F.contains(page, F.lit(sign))
+    walled = auth_component(o["final_url"]) | F.contains(page, F.lit("captcha")) | F.contains(page, F.lit("challenge")) | (F.contains(page, F.lit("sign in")) & password)
+    return F.when(~o["status"].between(200, 299), verdict("http-status", o["status"], "cookie-status", o["status"].cast("string"), 3)).when(walled, verdict("login-wall", None, "browser-page", o["final_url"], 3))
+
+
+PAGES, SLOTS = 25, 4
+
+
+def budgeted(urls: DataFrame, limit: int = PAGES, slots: int = SLOTS) -> DataFrame:
+    """urls (url) with slot: the first ``limit`` in order are dealt to the browser's slots in turn, the others have none.
+
+    Only the least ``limit`` URLs are numbered, so that nothing is gathered that grows.
+    """
+    from pyspark.sql import Window
+
+    first = urls.select("url").distinct().orderBy("url").limit(limit)
+    numbered = first.select("url", ((F.row_number().over(Window.orderBy("url")) - 1) % slots).alias("slot"))
+    return urls.select("url").distinct().join(F.broadcast(numbered), "url", "left")
+
+
+def exhausted() -> Column:
+    """What is said of URLs beyond the budget (fixed texts)."""
+    return verdict("login-wall", None, "tier-3-budget-exhausted", F.lit("tier 3 is limited to 25 links per run"), 3)
+
+
+def escalates(v: Column, tier: int, host: Column) -> Column:
+    """Whether a tier's verdict asks for the next one."""
+    status = F.when(v["reason"]["kind"] == "http-status", v["reason"]["detail"].try_cast("int"))
+    if tier == 1:
+        return v.isNotNull() & escalates_to_cookies(status, v["reason"]["kind"], host)
+    said = F.array_join(F.transform(v["evidence"], lambda e: F.concat_ws(" ", e["kind"], e["detail"])), " ")
+    return v.isNotNull() & escalates_to_browser(v["confidence"], status, said)
+
+
 def cascade(start: Column, status: Column, hops: Column, last_modified: Column, body: Column, upgrade_status: Column, sibling_status: Column, similar: Column, now: Column) -> Column:
     """Reason after a clean status; null: clean."""
     return (
@@ -97,6 +188,14 @@ def backoff_ms(attempt: Column, base_ms: int = 1000, cap_ms: int = 30000) -> Col
     return F.least(F.lit(cap_ms), base_ms * F.pow(F.lit(2.0), attempt)).cast("long")
 
 
+def retry_after_s(value: Column, now: Column) -> Column:
+    """Seconds that a Retry-After header asks for, 30 at most: a number, or a date yet to come; null otherwise."""
+    number = F.when(value.rlike("^[0-9]{1,9}$"), value.try_cast("long"))
+    left = F.unix_timestamp(http_date(value)) - F.unix_timestamp(now)
+    asked = F.coalesce(number, F.when(left >= 0, left))
+    return F.when(asked > 30, F.lit(30).cast("long")).otherwise(asked)
+
+
 def wait_ms(status: Column, attempt: Column, retry_after_s: Column) -> Column:
     """Backoff, or what the server asks for on 429 if that is longer, 30 s at most."""
     asked = F.least(F.lit(30000), F.greatest(F.coalesce(retry_after_s, F.lit(0)), F.lit(0)) * 1000)

@@ -1,8 +1,13 @@
-"""Findings as sorted tables, JSON and SARIF."""
+"""Findings as sorted tables, JSON and SARIF.
+
+The DataFrame functions scale; those that give text gather a (filtered) result that fits the
+driver, row by row. ``save`` puts text into a file.
+"""
 
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -10,38 +15,47 @@ from pyspark.sql import functions as F
 
 from linkloom.operators.verdicts import RANK, rank
 
-#: Fixed values of the SARIF form.
+#: Fixed values of the report forms, by reason.
 SARIF_ID = {"http-status": "SL0001", "network-error": "SL0002", "soft-404": "SL0003", "login-wall": "SL0101", "permanent-redirect": "SL0201", "staleness-banner": "SL0202", "version-drift": "SL0203", "far-past": "SL0204", "anomalous-response": "SL0301", "local-missing": "SL0401", "syntax-invalid": "SL0402"}
+SARIF_NAME = {"http-status": "HTTP status", "network-error": "Network error", "soft-404": "Soft 404", "login-wall": "Login wall", "permanent-redirect": "Permanent redirect", "staleness-banner": "Staleness banner", "version-drift": "Version drift", "far-past": "Far-past last modified", "anomalous-response": "Anomalous response", "local-missing": "Missing local target", "syntax-invalid": "Invalid link syntax"}
+TABLE_NAME = {"soft-404": "Soft404", "login-wall": "LoginWall", "permanent-redirect": "PermanentRedirect", "staleness-banner": "StalenessBanner", "version-drift": "VersionDrift", "far-past": "FarPastLastModified", "anomalous-response": "AnomalousResponse", "local-missing": "LocalMissing", "syntax-invalid": "SyntaxInvalid"}
+NETWORK_NAME = {"dns": "Dns", "tls": "Tls", "timeout": "Timeout", "conn-refused": "ConnRefused", "other": "Other"}
+JSON_KIND = {"far-past": "far-past-last-modified"}
 SARIF_LEVEL = {"dead-certain": "error", "likely-dead": "warning", "outdated": "warning", "auth-walled": "note", "suspect": "note"}
 SARIF_RANK = {"dead-certain": 100.0, "likely-dead": 80.0, "outdated": 60.0, "auth-walled": 40.0, "suspect": 20.0}
 HEADERS = ("CONFIDENCE", "URL", "SOURCE", "REASON")
+COUNTS = ("dead-certain", "likely-dead", "auth-walled", "outdated", "suspect")
 
 
-def mapped(c: Column, table: dict) -> Column:
+def mapped(c: Column, table: dict, other: Column | None = None) -> Column:
     out = None
     for k, v in table.items():
         out = F.when(c == k, v) if out is None else out.when(c == k, v)
-    return out
+    return out if other is None else out.otherwise(other)
 
 
 def filtered(findings: DataFrame, least: str) -> DataFrame:
     return findings.filter(rank(F.col("confidence")) >= RANK[least])
 
 
-def exit_code(findings: DataFrame, fail_on: str) -> Column:
-    """1 if any finding, before filtering, is as certain as ``fail_on``."""
-    return F.coalesce(F.max((rank(F.col("confidence")) >= RANK[fail_on]).cast("int")), F.lit(0)).alias("exit_code")
+def exit_code(findings: DataFrame, fail_on: str) -> DataFrame:
+    """One row: 1 if any finding, before filtering, is as certain as ``fail_on``, else 0."""
+    return findings.agg(F.coalesce(F.max((rank(F.col("confidence")) >= RANK[fail_on]).cast("int")), F.lit(0)).alias("exit_code"))
 
 
 def counts(findings: DataFrame) -> DataFrame:
-    return findings.agg(*(F.count_if(F.col("confidence") == c).alias(c.replace("-", "_")) for c in RANK))
+    return findings.agg(*(F.count_if(F.col("confidence") == c).alias(c.replace("-", "_")) for c in COUNTS))
+
+
+def reason_text(reason: Column, detail: Column) -> Column:
+    network = F.concat(F.lit("NetworkError("), mapped(detail, NETWORK_NAME, F.lit("Other")), F.lit(")"))
+    return F.when(reason == "http-status", F.concat(F.lit("HTTP "), detail)).when(reason == "network-error", network).otherwise(mapped(reason, TABLE_NAME, reason))
 
 
 def rows(findings: DataFrame) -> DataFrame:
     """The table's rows in report order: most certain first, then the row itself."""
     where = F.when(F.col("line").isNotNull(), F.concat_ws(":", "path", "line", "column")).otherwise(F.col("path"))
-    why = F.when(F.col("reason") == "http-status", F.concat(F.lit("HTTP "), "detail")).otherwise(F.col("reason"))
-    out = findings.select((5 - rank(F.col("confidence"))).alias("order"), F.upper("confidence").alias("confidence"), "url", where.alias("source"), why.alias("reason"))
+    out = findings.select((5 - rank(F.col("confidence"))).alias("order"), F.upper("confidence").alias("confidence"), "url", where.alias("source"), reason_text(F.col("reason"), F.col("detail")).alias("reason"))
     return out.orderBy("order", "confidence", "url", "source", "reason")
 
 
@@ -50,7 +64,7 @@ def width(text: str) -> int:
 
 
 def table(findings: DataFrame) -> str:
-    """The aligned text table of a (filtered) result that fits the driver; nothing without findings."""
+    """The aligned text table; nothing without findings."""
     got = [tuple(r)[1:] for r in rows(findings).toLocalIterator()]
     if not got:
         return ""
@@ -59,26 +73,66 @@ def table(findings: DataFrame) -> str:
     return "".join("  ".join((v or "") + " " * (w - width(v or "")) for v, w in zip(r, wide)).rstrip() + "\n" for r in got)
 
 
+def _json(*columns: Column) -> Column:
+    """An object with nulls written out."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def location_json(l: Column) -> Column:
+    """Only the fields of the location's own kind."""
+    fields = {"text": ("line", "column"), "pdf": ("page", "annotation"), "docx": ("paragraph",), "xlsx": ("sheet", "cell"), "pptx": ("slide",)}
+    out = None
+    for kind, names in fields.items():
+        body = _json(l["type"].alias("type"), *(l[n].alias(n) for n in names))
+        out = F.when(l["type"] == kind, body) if out is None else out.when(l["type"] == kind, body)
+    return out
+
+
+def reason_json(reason: Column) -> Column:
+    """Status as a number, a network error's kind as text, no detail for the others."""
+    kind = mapped(reason["kind"], JSON_KIND, reason["kind"])
+    status = _json(kind.alias("kind"), reason["detail"].try_cast("int").alias("detail"))
+    return F.when(reason["kind"] == "http-status", status).when(reason["kind"] == "network-error", _json(kind.alias("kind"), reason["detail"].alias("detail"))).otherwise(_json(kind.alias("kind")))
+
+
+def _time(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
 def json_rows(findings: DataFrame) -> DataFrame:
-    """One JSON object a finding, nulls written out."""
-    loc = F.struct("path", "format", "line", "column")
-    body = F.struct("url", F.lit(None).cast("string").alias("resolved_url"), loc.alias("source"), "confidence", "reason", "detail")
-    return findings.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+    """(path, line, column, url, json) of a scan's findings: an object each, to the schema of report version 1."""
+    v, f, l = F.col("verdict"), F.col("fix"), F.col("location")
+    inner = lambda whole: F.substring(whole, F.lit(2), F.length(whole) - 2)
+    span = F.when(F.col("start").isNotNull(), _json(F.col("start"), F.col("end"))).otherwise("null")
+    source = F.concat(F.lit("{"), inner(_json(F.col("path"), F.col("format"))), F.lit(',"location":'), location_json(l), F.lit(',"byte_span":'), span, F.lit("}"))
+    verdict = F.concat(F.lit("{"), inner(_json(v["confidence"].alias("confidence"))), F.lit(',"reason":'), reason_json(v["reason"]), F.lit(","), inner(_json(v["evidence"].alias("evidence"), _time(v["checked_at"]).alias("checked_at"), v["tier"].alias("tier"))), F.lit("}"))
+    able = F.when(f["fixable"]["kind"] == "refused", _json(f["fixable"]["kind"].alias("kind"), f["fixable"]["reason"].alias("reason"))).otherwise(_json(f["fixable"]["kind"].alias("kind")))
+    fix = F.when(f.isNull(), "null").otherwise(F.concat(F.lit("{"), inner(_json(f["replacement_url"].alias("replacement_url"), f["origin"].alias("origin"))), F.lit(',"fixable":'), able, F.lit("}")))
+    whole = F.concat(F.lit("{"), inner(_json(F.col("url"), F.col("resolved_url"))), F.lit(',"source":'), source, F.lit(',"verdict":'), verdict, F.lit(',"fix":'), fix, F.lit("}"))
+    return findings.select("path", l["line"].alias("line"), l["column"].alias("column"), "url", whole.alias("json"))
+
+
+def _objects(findings: DataFrame) -> list[dict]:
+    order = ["path", "line", "column", "url", "json"]
+    return [json.loads(r.json) for r in json_rows(findings).orderBy(*order).toLocalIterator()]
 
 
-def json_report(findings: DataFrame, run: dict) -> str:
-    """The whole report; written by Spark's own writers where it does not fit the driver."""
-    n = counts(findings).first().asDict()
-    return json.dumps({"schema_version": 1, "run": run, "counts": n, "findings": [json.loads(r.json) for r in json_rows(findings.orderBy("path", "line", "column", "url")).toLocalIterator()]}, indent=2)
+def json_report(findings: DataFrame, run: dict, duration_ms: int = 0) -> str:
+    """The report of a scan's findings, version 1; run: files_scanned, links_checked, links_unique."""
+    n = counts(findings.select(F.col("verdict.confidence").alias("confidence"))).first().asDict()
+    head = {k: run[k] for k in ("files_scanned", "links_checked", "links_unique")} | {"findings_by_confidence": n, "duration_ms": duration_ms}
+    return json.dumps({"schema_version": 1, "run": head, "findings": _objects(findings)}, indent=2) + "\n"
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
-    return findings.select(mapped(F.col("reason"), SARIF_ID).alias("id"), F.col("reason").alias("name")).distinct().orderBy("id")
+    """id, name of the rules that findings (reason) name, by id."""
+    return findings.select(mapped(F.col("reason"), SARIF_ID).alias("id"), mapped(F.col("reason"), SARIF_NAME).alias("name")).distinct().orderBy("id")
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
     c = F.col("confidence")
-    return findings.select(mapped(F.col("reason"), SARIF_ID).alias("rule_id"), mapped(c, SARIF_LEVEL).alias("level"), mapped(c, SARIF_RANK).alias("rank"), artifact_uri(F.col("path")).alias("uri"), "url", "line", "column")
+    message = F.concat(mapped(F.col("reason"), SARIF_NAME), F.lit(": "), "url")
+    return findings.select(mapped(F.col("reason"), SARIF_ID).alias("rule_id"), mapped(c, SARIF_LEVEL).alias("level"), mapped(c, SARIF_RANK).alias("rank"), message.alias("message"), artifact_uri(F.col("path")).alias("uri"), "url", "line", "column")
 
 
 def artifact_uri(path: Column) -> Column:
@@ -87,7 +141,42 @@ def artifact_uri(path: Column) -> Column:
     return F.when(F.startswith(path, F.lit("/")), F.concat(F.lit("file://"), safe)).otherwise(safe)
 
 
-def sarif(findings: DataFrame) -> str:
-    rules = [{"id": r.id, "name": r.name} for r in sarif_rules(findings).collect()]
-    results = [{"ruleId": r.rule_id, "level": r.level, "rank": r["rank"], "message": {"text": r.url}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r.uri}} | ({"region": {"startLine": r.line, "startColumn": r.column}} if r.line else {})}]} for r in sarif_results(findings).orderBy("uri", "line", "column", "url").toLocalIterator()]
-    return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "linkloom", "rules": rules}}, "results": results}]}, indent=2)
+def sarif(findings: DataFrame, code: int = 0) -> str:
+    """SARIF 2.1.0 of a scan's findings."""
+    back = {JSON_KIND.get(k, k): k for k in SARIF_ID}
+    uris = {r.path: r.uri for r in findings.select("path", artifact_uri(F.col("path")).alias("uri")).distinct().toLocalIterator()}
+    results, rules = [], {}
+    for x in _objects(findings):
+        v, source = x["verdict"], x["source"]
+        reason, sure = back[v["reason"]["kind"]], v["confidence"]
+        text = source["format"] in ("markdown", "html", "text")
+        place = {"artifactLocation": {"uri": uris[source["path"]]}}
+        if source["location"]["type"] == "text":
+            place["region"] = {"startLine": source["location"]["line"], "startColumn": source["location"]["column"]}
+        more = {"url": x["url"], "resolved_url": x["resolved_url"]} | {k: v[k] for k in ("reason", "confidence", "evidence", "checked_at", "tier")}
+        if not text:
+            more["source_location"] = source["location"]
+        one = {"ruleId": SARIF_ID[reason], "level": SARIF_LEVEL[sure], "rank": SARIF_RANK[sure], "message": {"text": f"{SARIF_NAME[reason]}: {x['url']}"}, "locations": [{"physicalLocation": place}], "properties": more}
+        if text and x["fix"] and source["byte_span"]:
+            new, span = x["fix"]["replacement_url"], source["byte_span"]
+            change = {"deletedRegion": {"byteOffset": span["start"], "byteLength": span["end"] - span["start"]}, "insertedContent": {"text": new}}
+            one["fixes"] = [{"description": {"text": f"Replace with {new}"}, "artifactChanges": [{"artifactLocation": place["artifactLocation"], "replacements": [change]}]}]
+        rules[SARIF_ID[reason]] = SARIF_NAME[reason]
+        results.append(one)
+    known = [{"id": i, "name": n, "shortDescription": {"text": n}} for i, n in sorted(rules.items())]
+    run = {"tool": {"driver": {"name": "linkloom", "version": "0.2.0", "rules": known}}, "invocations": [{"executionSuccessful": True, "exitCode": code}], "results": results}
+    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2) + "\n"
+
+
+def save(text: str, path: str) -> None:
+    """A whole report file, or the old one if writing fails."""
+    own = f"{path}.{os.getpid()}.tmp"
+    with open(own, "w", encoding="utf-8") as f:
+        f.write(text)
+    os.replace(own, path)
+
+
+def use_color(choice: str, terminal: bool, env: dict | None = None) -> bool:
+    """always, never, or auto: on a terminal, unless NO_COLOR is set."""
+    env = os.environ if env is None else env
+    return choice == "always" or (choice == "auto" and terminal and "NO_COLOR" not in env)

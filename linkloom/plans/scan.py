@@ -2,40 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls as ux
-from linkloom.operators import extract, local
+from linkloom.operators import cache as cx
+from linkloom.operators import extract, fixes, local
 from linkloom.operators import verdicts as vx
+from linkloom.plans import judge
+from linkloom.tables import Scratch
+
+FINDING = ["path", "format", "url", "resolved_url", "location", "start", "end", "verdict", "fix"]
+
+
+@dataclass(frozen=True)
+class Scan:
+    """findings: a row an occurrence, with verdict and suggested fix; run: one row of counts; cache: rows to keep for the next scan."""
+
+    findings: DataFrame
+    run: DataFrame
+    cache: DataFrame | None
 
 
-def scan(docs: DataFrame, observations: DataFrame | None = None, exclude_urls=(), exclude_domains=(), mode: str = "failfast") -> tuple[DataFrame, DataFrame]:
-    """findings and a one-row run. docs: path, format, content; observations: url, status, termination, error_kind."""
-    found = extract.links(docs, mode).filter("url is not null")
+def local_verdict(reason: Column, detail: Column) -> Column:
+    return vx.verdict(reason, None, "local-link", detail, 0)
+
+
+def scan(docs: DataFrame, observations: DataFrame | None = None, exclude_urls=(), exclude_domains=(), mode: str = "failfast", check_local: bool = True, auth: str = "cookies", now: Column | None = None, cache: DataFrame | None = None, ttl: int = 24 * 3600, refresh: bool = False, files: DataFrame | None = None) -> Scan:
+    """docs: path, format, content. observations: see ``judge.judged``.
+
+    files: the walked paths (path), if more than docs (unknown formats are counted too). cache:
+    verdicts of earlier scans (cache.SCHEMA); fresh ones are used in place of observations, unless
+    ``refresh``. Documents are read once: their links and anchors are settled and read from there.
+    """
+    now = F.current_timestamp() if now is None else now
+    cap = judge.CAPS[auth]
+    own = Scratch(docs.sparkSession)
+    read = own.settle(extract.read(docs, mode), "links")
+    found = read.filter("url is not null")
     keep = ~ux.excluded_by_pattern(F.col("url"), list(exclude_urls)) & ~ux.excluded_by_domain(F.col("url"), list(exclude_domains))
-    links = found.filter(keep).withColumn("kind", ux.link_kind(F.col("url")))
-    own = links.filter(F.col("kind").isin("local", "anchor"))
-    known = extract_anchors(docs)
-    bad = local.missing(own, docs, known).unionByName(local.contacts(links.filter(F.col("kind").isin("mailto", "tel"))))
-    verdicts = bad.withColumn("confidence", vx.confidence(F.col("reason"), F.lit(None).cast("int")))
-    findings = links.join(verdicts, ["path", "url"])
-    if observations is not None:
-        o = observations.withColumn("reason", vx.outcome(F.col("status"), F.col("termination"), F.col("error_kind"))).filter("reason is not null")
-        o = o.select("url", "reason", F.coalesce(F.col("status").cast("string"), F.col("error_kind"), F.col("termination")).alias("detail"), vx.confidence(F.col("reason"), F.col("status")).alias("confidence"))
-        findings = findings.unionByName(links.filter("kind = 'http'").join(o, "url").select(findings.columns))
-    flat = findings.select("path", "format", "url", F.col("location.line").alias("line"), F.col("location.column").alias("column"), "start", "end", "reason", "detail", "confidence")
-    checked = links.select(F.when(F.col("kind") == "http", F.struct(F.lit(None).cast("string").alias("path"), "url")).otherwise(F.struct("path", "url")).alias("k")).agg(F.countDistinct("k").alias("links_unique"), F.count("*").alias("links"))
-    return flat, checked
-
-
-def extract_anchors(docs: DataFrame) -> DataFrame:
-    """(path, anchor) of HTML and Markdown documents, an empty anchor for each."""
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(p, a) for p, k, c in zip(pdf["path"], pdf["format"], pdf["content"]) for a in ["", *(extract.anchors(bytes(c), k) or [])]]
-            yield pd.DataFrame(rows, columns=["path", "anchor"])
-
-    return docs.filter(F.col("format").isin("html", "markdown")).select("path", "format", "content").mapInPandas(run, "path string, anchor string")
+    links = found.filter(keep).select("path", "format", "url", "location", "start", "end", ux.link_kind(F.col("url")).alias("kind"))
+    parts = []
+    if check_local:
+        near = links.filter(F.col("kind").isin("local", "anchor"))
+        anchors = read.filter("has_anchors").select("path", "anchor")
+        bad = local.missing(near, docs if files is None else files, anchors).unionByName(local.contacts(links.filter(F.col("kind").isin("mailto", "tel"))))
+        said = bad.select("path", "url", local_verdict(F.col("reason"), F.col("detail")).alias("verdict"))
+        parts.append(links.join(said, ["path", "url"]))
+    web = links.filter("kind = 'http'")
+    urls = web.select("url").distinct()
+    kept = None
+    if observations is not None or cache is not None:
+        rows = urls.withColumns({"hit": F.lit(False), "verdict_json": F.lit(None).cast("string")})
+        if cache is not None and not refresh:
+            rows = cx.lookup(urls.withColumn("key", ux.normalised(F.col("url"))), cache, F.unix_timestamp(now), ttl, cap, "key").select("url", "hit", "verdict_json")
+        rows = own.settle(rows, "urls")
+        verdicts = rows.filter("hit").select("url", F.lit(True).alias("checked"), F.from_json("verdict_json", vx.VERDICT).alias("verdict"), F.lit(False).alias("fresh"))
+        if observations is not None:
+            verdicts = verdicts.unionByName(judge.judged(rows.filter("NOT hit"), observations, now, auth).withColumn("fresh", F.lit(True)))
+        verdicts = own.settle(verdicts, "verdicts")
+        parts.append(web.join(verdicts.filter("verdict is not null").select("url", "verdict"), "url"))
+        if cache is not None:
+            new = verdicts.filter("fresh AND checked").select(ux.normalised(F.col("url")).alias("url"), F.to_json("verdict").alias("verdict_json"), F.unix_timestamp(now).alias("checked_at"), F.coalesce("verdict.tier", F.lit(cap)).alias("tier"))
+            kept = cx.upsert(cx.wellformed(cache), new)
+    findings = None
+    for part in parts:
+        one = part.select("path", "format", "url", F.lit(None).cast("string").alias("resolved_url"), "location", "start", "end", F.col("verdict").withField("checked_at", now).alias("verdict"))
+        findings = one if findings is None else findings.unionByName(one)
+    if findings is None:
+        findings = links.limit(0).select("path", "format", "url", F.lit(None).cast("string").alias("resolved_url"), "location", "start", "end", F.lit(None).cast(vx.VERDICT).withField("checked_at", now).alias("verdict"))
+    findings = findings.withColumn("fix", fixes.suggested(F.col("verdict.reason.kind"), F.col("verdict.evidence")))
+    unit = F.when(F.col("kind") == "http", F.struct(F.lit("").alias("path"), "url")).when(F.lit(check_local) & F.col("kind").isin("local", "anchor", "mailto", "tel"), F.struct("path", "url"))
+    counted = links.agg(F.countDistinct(unit).alias("links_unique"), F.count("*").alias("links"))
+    walked = (docs if files is None else files).agg(F.count("*").alias("files_scanned"))
+    run = counted.join(walked).select("files_scanned", F.col("links_unique").alias("links_checked"), "links_unique", "links")  # one row each
+    return Scan(findings.select(*FINDING), run, kept)
+
+
+def flat(findings: DataFrame) -> DataFrame:
+    """Findings with the columns that reports and filters read."""
+    v = F.col("verdict")
+    detail = F.coalesce(v["reason"]["detail"], F.get(v["evidence"], F.lit(0))["detail"])
+    return findings.select("path", "format", "url", F.col("location.line").alias("line"), F.col("location.column").alias("column"), "start", "end", v["reason"]["kind"].alias("reason"), detail.alias("detail"), v["confidence"].alias("confidence"), v["tier"].alias("tier"))

@@ -14,7 +14,7 @@ from linkloom.functions import urls as ux
 from linkloom.operators import cache as cx
 from linkloom.operators import extract, fixes, local
 from linkloom.operators import verdicts as vx
-from linkloom.plans import report
+from linkloom.plans import config, report
 from linkloom.sources import files
 
 Q: dict = {}
@@ -121,26 +121,18 @@ def version_upgrades(spark, sf_dir):
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> ''))"
 
 
-@query(f"""WITH d AS (SELECT doc_id, lang, source, {_WORDS} AS w FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS common, len(a.w) AS na, len(b.w) AS nb
-FROM d a JOIN d b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id AND len(a.w) >= 3 AND len(b.w) >= 3) SELECT a, b, common::BIGINT AS common, (na + nb - common)::BIGINT AS all_words FROM p WHERE common * 10 >= 9 * (na + nb - common)""")
+_JACCARD = "CASE WHEN len(a.w) < 3 OR len(b.w) < 3 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT a.doc_id, {_JACCARD} AS similarity FROM d a JOIN d b ON b.doc_id = a.doc_id - a.doc_id % 2 + 1 - a.doc_id % 2) SELECT doc_id, similarity, similarity >= 0.9 AS soft_404 FROM p""")
 def soft_404_pairs(spark, sf_dir):
-    """Documents of one source and language whose word sets have a similarity of 0.9 at least.
-
-    The first tenth of a document's words, rarest first, must meet the other's: only such pairs
-    are compared, so that a large source is not paired with itself.
-    """
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", tx.words(F.col("text")).alias("w")).filter(F.size("w") >= 3)
-    each = d.select("doc_id", "lang", "source", F.size("w").alias("n"), F.explode("w").alias("word"))
-    often = each.groupBy("lang", "source", "word").agg(F.count("*").alias("often"))
-    place = Window.partitionBy("doc_id").orderBy("often", "word")
-    prefix = each.join(often, ["lang", "source", "word"]).withColumn("r", F.row_number().over(place)).filter(F.col("r") <= F.col("n") - F.ceil(0.9 * F.col("n") - 1e-9) + 1)
-    left = prefix.select("lang", "source", "word", F.col("doc_id").alias("a"), F.col("n").alias("na"))
-    right = prefix.select("lang", "source", "word", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, ["lang", "source", "word"]).filter((F.col("a") < F.col("b")) & (10 * F.least("na", "nb") >= 9 * F.greatest("na", "nb"))).select("a", "b").distinct()
-    both = pairs.join(d.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").join(d.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b")
-    common = F.size(F.array_intersect("wa", "wb")).cast("long")
-    out = both.select("a", "b", common.alias("common"), (F.size("wa") + F.size("wb") - common).cast("long").alias("all_words"))
-    return out.filter(10 * F.col("common") >= 9 * F.col("all_words"))
+    """Synthetic: each document is a page, and the one that shares its half key the sibling that should not exist."""
+    d = table(spark, sf_dir, "documents").select("doc_id", tx.words(F.col("text")).alias("w"))
+    k = F.col("doc_id")
+    other = d.select(k.alias("sibling"), F.col("w").alias("v"))
+    both = d.withColumn("sibling", k - k % 2 + 1 - k % 2).join(other, "sibling")
+    alike = tx.similarity(F.col("w"), F.col("v"))
+    return both.select("doc_id", alike.alias("similarity"), (alike >= vx.SIMILAR).alias("soft_404"))
 
 
 @query("""SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'this page is deprecated' WHEN 2 THEN 'this page has been archived' WHEN 3 THEN 'has been superseded' END AS phrase FROM documents""")
@@ -176,16 +168,16 @@ def head_get_fallback(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", vx.final_status(_status(), _status(shift=3)).alias("status"))
 
 
-_EDGES = "SELECT 'u' || k AS url, 'u' || CASE WHEN k % 40 = 39 THEN k - 1 WHEN k % 40 = 0 THEN k + 1000000 ELSE k + 1 END AS target FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 4 <> 3)"
+_EDGES = "SELECT 'u' || k AS url, 'u' || CASE WHEN k % 40 = 39 THEN k - 1 WHEN k % 40 = 0 THEN k + 1000000 ELSE k + 1 END AS target FROM (SELECT o_orderkey AS k FROM orders)"
 
 
 @query(f"""WITH RECURSIVE e AS ({_EDGES}), walk AS (SELECT url AS start, 0 AS hop, url, [url] AS seen, false AS looped FROM e UNION ALL
 SELECT w.start, w.hop + 1, e.target, list_append(w.seen, e.target), list_contains(w.seen, e.target) FROM walk w JOIN e ON w.url = e.url WHERE w.hop < 11 AND NOT w.looped),
 l AS (SELECT *, max(hop) OVER (PARTITION BY start) AS last FROM walk) SELECT start, hop, url, CASE WHEN hop = last THEN CASE WHEN looped THEN 'loop' WHEN hop > 10 THEN 'limit' ELSE 'terminal' END END AS "end" FROM l""")
 def redirect_closure(spark, sf_dir):
-    """Synthetic redirects along order keys."""
+    """Synthetic redirects along all order keys: chains of up to 39 keys that end in a terminal or a loop."""
     k = F.col("o_orderkey")
-    e = table(spark, sf_dir, "orders").filter(k % 4 != 3).select(F.concat(F.lit("u"), k.cast("string")).alias("url"), F.concat(F.lit("u"), F.when(k % 40 == 39, k - 1).when(k % 40 == 0, k + 1000000).otherwise(k + 1).cast("string")).alias("target"))
+    e = table(spark, sf_dir, "orders").select(F.concat(F.lit("u"), k.cast("string")).alias("url"), F.concat(F.lit("u"), F.when(k % 40 == 39, k - 1).when(k % 40 == 0, k + 1000000).otherwise(k + 1).cast("string")).alias("target"))
     return vx.closures(e)
 
 
@@ -256,11 +248,12 @@ def cookie_headers(spark, sf_dir):
     return fit.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "v"))), lambda x: F.concat(x["name"], F.lit("="), x["v"])), "; ").alias("cookie"))
 
 
-@query("SELECT page_id, (n % 4)::INT AS slot FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS n FROM pages WHERE page_id % 3 = 0) WHERE n < 25")
+@query("WITH u AS (SELECT page_id::VARCHAR AS url FROM pages WHERE page_id % 3 = 0), n AS (SELECT url, row_number() OVER (ORDER BY url) - 1 AS n FROM u) SELECT url, CASE WHEN n < 25 THEN (n % 4)::INT END AS slot, n >= 25 AS exhausted FROM n")
 def browser_budget(spark, sf_dir):
-    """The first 25 escalations of a run, dealt to four slots; a top-k of the run."""
-    top = _pages(spark, sf_dir).filter("page_id % 3 = 0").select("page_id").orderBy("page_id").limit(25)
-    return top.select("page_id", ((F.row_number().over(Window.orderBy("page_id")) - 1) % 4).alias("slot"))
+    """The first 25 escalations of a run, dealt to four slots; the others get the verdict of an exhausted budget."""
+    urls = _pages(spark, sf_dir).filter("page_id % 3 = 0").select(F.col("page_id").cast("string").alias("url"))
+    said = F.when(F.col("slot").isNull(), vx.exhausted())
+    return vx.budgeted(urls).select("url", "slot", F.coalesce(said["evidence"][0]["kind"] == "tier-3-budget-exhausted", F.lit(False)).alias("exhausted"))
 
 
 def _cache(spark, sf_dir):
@@ -295,9 +288,9 @@ def cache_upsert(spark, sf_dir):
     return cx.upsert(rows.filter("checked_at % 2 = 0"), rows.filter("checked_at % 2 = 1")).select(F.col("url").cast("long").alias("k"), "checked_at")
 
 
-@query(f"WITH h AS ({HREF}), c AS (SELECT DISTINCT {PATH.format('url')} AS p FROM pages) SELECT page_id, href FROM (SELECT DISTINCT page_id, href FROM h) ANTI JOIN c ON href = p")
+@query(f"WITH h AS ({HREF}), c AS (SELECT DISTINCT {PATH.format('url')} AS p FROM pages), f AS (SELECT p FROM c UNION SELECT regexp_replace(p, '/[^/]*$', '') FROM c) SELECT page_id, href FROM (SELECT DISTINCT page_id, href FROM h) ANTI JOIN f ON href = p")
 def local_missing(spark, sf_dir):
-    """Rooted links to a path that no page has."""
+    """Rooted links to what is neither a page's path nor a folder of one."""
     links = _hrefs(spark, sf_dir).select(F.concat(F.lit("/#"), F.col("page_id").cast("string")).alias("path"), F.col("href").alias("url"))
     catalogue = _pages(spark, sf_dir).select(ux.path(F.col("url")).alias("path"))
     return local.missing(links, catalogue).select(F.substring("path", 3, 20).cast("long").alias("page_id"), F.col("url").alias("href"))
@@ -327,11 +320,11 @@ def mailto_tel_syntax(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id").join(bad, "page_id", "left").select("page_id", F.coalesce("v", F.lit("ok")).alias("verdict"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://h.test/' || page_id WHEN page_id % 3 = 1 THEN 'https://h.test/v2/' || page_id END AS replacement_url, CASE page_id % 3 WHEN 0 THEN 'redirect-target' WHEN 1 THEN 'version-upgrade' END AS origin FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 6 = 3 THEN 'https://h.test/' || page_id WHEN page_id % 3 = 1 THEN 'https://h.test/v2/' || page_id END AS replacement_url, CASE WHEN page_id % 6 = 3 THEN 'redirect-target' WHEN page_id % 3 = 1 THEN 'version-upgrade' END AS origin FROM pages")
 def suggested_fixes(spark, sf_dir):
     k = F.col("page_id")
     e = lambda kind, d: F.struct(F.lit(kind).alias("kind"), d.alias("detail"))
-    evidence = F.array(e("redirect-chain", F.lit("a -> b")), e("redirect-target", F.lit("ftp://x")), e("redirect-target", F.concat(F.lit("https://h.test/"), k.cast("string"))), e("version-upgrade", F.concat(F.lit("https://h.test/v2/"), k.cast("string"))))
+    evidence = F.array(e("redirect-chain", F.lit("a -> b")), e("redirect-target", F.when(k % 2 == 0, "ftp://x").otherwise(F.concat(F.lit("https://h.test/"), k.cast("string")))), e("redirect-target", F.lit("https://second.test/")), e("version-upgrade", F.concat(F.lit("https://h.test/v2/"), k.cast("string"))))
     fix = fixes.suggested(F.when(k % 3 == 0, "permanent-redirect").when(k % 3 == 1, "version-drift").otherwise("far-past"), evidence)
     return _pages(spark, sf_dir).select("page_id", fix["replacement_url"].alias("replacement_url"), fix["origin"].alias("origin"))
 
@@ -350,46 +343,65 @@ def fix_conflicts(spark, sf_dir):
     return fixes.conflicts(_pages(spark, sf_dir).select((k % 50).cast("string").alias("path"), (k % 5).cast("string").alias("old"), (k % 3).cast("string").alias("new")))
 
 
-@query("""WITH e AS (SELECT l_orderkey AS path, l_linenumber * 10 AS s, l_linenumber * 10 + l_quantity::BIGINT AS e FROM lineitem), w AS (SELECT *, lag(e) OVER (PARTITION BY path ORDER BY s, e) AS b FROM e) SELECT path, s AS start, e AS "end" FROM w WHERE s < b""")
+@query("""WITH e AS (SELECT l_orderkey AS path, l_linenumber * 10 AS s, l_linenumber * 10 + l_quantity::BIGINT AS e FROM lineitem), w AS (SELECT *, max(e) OVER (PARTITION BY path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM e) SELECT path, s AS start, e AS "end" FROM w WHERE s < b""")
 def edit_overlaps(spark, sf_dir):
-    """Line items as edits of their order."""
+    """Line items as edits of their order, held against all that start before them."""
     e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_linenumber").cast("long") * 10).alias("start"), (F.col("l_linenumber").cast("long") * 10 + F.col("l_quantity").cast("long")).alias("end"))
     return fixes.overlaps(e)
 
 
+REASONS = ["http-status", "network-error", "soft-404", "login-wall", "permanent-redirect", "staleness-banner", "version-drift", "far-past", "anomalous-response", "local-missing", "syntax-invalid"]
+NETWORK = ["dns", "tls", "timeout", "conn-refused", "other"]
+
+
+def _pick(values: list, key):
+    return F.element_at(F.array(*(F.lit(v) for v in values)), (key % len(values) + 1).cast("int"))
+
+
+def _list(values: list, key: str) -> str:
+    return f"[{', '.join(repr(v) for v in values)}][({key} % {len(values)})::INT + 1]"
+
+
 def _findings(spark, sf_dir) -> DataFrame:
-    """Synthetic findings of the orders: path, format, url, line, column, reason, detail, confidence."""
+    """Synthetic findings of the orders, of every reason: path, format, url, line, column, reason, detail, confidence."""
     k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("doc"), (k % 97).cast("string"), F.lit(".md")).alias("path"), F.lit("markdown").alias("format"), F.concat(F.lit("https://h.test/"), k.cast("string")).alias("url"), (k % 31 + 1).alias("line"), (k % 7 + 1).alias("column"), _status().alias("s"))
-    o = o.withColumn("reason", vx.outcome(F.col("s"), F.lit(None).cast("string"), F.lit(None).cast("string"))).filter("reason is not null")
-    return o.select("path", "format", "url", "line", "column", "reason", F.col("s").cast("string").alias("detail"), vx.confidence(F.col("reason"), F.col("s")).alias("confidence"))
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("doc "), (k % 97).cast("string"), F.lit(".md")).alias("path"), F.lit("markdown").alias("format"), F.concat(F.lit("https://h.test/"), k.cast("string")).alias("url"), F.when(k % 2 == 0, k % 31 + 1).alias("line"), F.when(k % 2 == 0, k % 7 + 1).alias("column"), _pick(REASONS, k).alias("reason"), _status().alias("s"), k.alias("k"))
+    detail = F.when(F.col("reason") == "http-status", F.col("s").cast("string")).when(F.col("reason") == "network-error", _pick(NETWORK, F.col("k")))
+    return o.select("path", "format", "url", "line", "column", "reason", detail.alias("detail"), vx.confidence(F.col("reason"), F.col("s")).alias("confidence"))
 
 
-_FIND = f"SELECT 'doc' || o_orderkey % 97 || '.md' AS path, 'https://h.test/' || o_orderkey AS url, o_orderkey % 31 + 1 AS line, o_orderkey % 7 + 1 AS col, s, CASE WHEN s IN (401, 403) THEN 'auth-walled' WHEN s IN (404, 410, 451) THEN 'dead-certain' ELSE 'suspect' END AS confidence FROM (SELECT o_orderkey, {_STATUS} AS s FROM orders) WHERE s NOT BETWEEN 200 AND 299"
+_FIND = f"""SELECT 'doc ' || o_orderkey % 97 || '.md' AS path, 'https://h.test/' || o_orderkey AS url, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 31 + 1 END AS line, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 7 + 1 END AS col, r, s, n,
+CASE WHEN r = 'http-status' THEN CASE WHEN s IN (401, 403) THEN 'auth-walled' WHEN s IN (404, 410, 451) THEN 'dead-certain' ELSE 'suspect' END WHEN r IN ('network-error', 'soft-404') THEN 'likely-dead' WHEN r = 'login-wall' THEN 'auth-walled'
+WHEN r IN ('permanent-redirect', 'staleness-banner', 'version-drift') THEN 'outdated' WHEN r IN ('far-past', 'anomalous-response') THEN 'suspect' ELSE 'dead-certain' END AS confidence
+FROM (SELECT o_orderkey, {_STATUS} AS s, {_list(REASONS, 'o_orderkey')} AS r, {_list(NETWORK, 'o_orderkey')} AS n FROM orders)"""
+_NAMES = "CASE r " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in report.SARIF_NAME.items()) + " END"
+_IDS = "CASE r " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in report.SARIF_ID.items()) + " END"
+_SHOWN = "CASE r WHEN 'http-status' THEN 'HTTP ' || s WHEN 'network-error' THEN 'NetworkError(' || CASE n " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in report.NETWORK_NAME.items()) + " END || ')' " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in report.TABLE_NAME.items()) + " END"
+_ORDER = "CASE confidence WHEN 'dead-certain' THEN 0 WHEN 'likely-dead' THEN 1 WHEN 'outdated' THEN 2 WHEN 'auth-walled' THEN 3 ELSE 4 END"
 
 
-@query(f"SELECT CASE confidence WHEN 'dead-certain' THEN 0 WHEN 'auth-walled' THEN 3 ELSE 4 END AS \"order\", upper(confidence) AS confidence, url, path || ':' || line || ':' || col AS source, 'HTTP ' || s AS reason FROM ({_FIND})")
+@query(f"SELECT {_ORDER} AS \"order\", upper(confidence) AS confidence, url, CASE WHEN line IS NULL THEN path ELSE path || ':' || line || ':' || col END AS source, {_SHOWN} AS reason FROM ({_FIND})")
 def report_rows(spark, sf_dir):
     return report.rows(_findings(spark, sf_dir))
 
 
-@query(f"SELECT count(*) FILTER (confidence = 'dead-certain') AS dead_certain, 0::BIGINT AS likely_dead, 0::BIGINT AS outdated, count(*) FILTER (confidence = 'auth-walled') AS auth_walled, 0::BIGINT AS suspect FROM ({_FIND})")
+@query(f"SELECT {', '.join(f"count(*) FILTER (confidence = '{c}' AND {_ORDER} <= 3) AS {c.replace('-', '_')}" for c in report.COUNTS)} FROM ({_FIND})")
 def confidence_counts(spark, sf_dir):
     """After the least confidence to report."""
     return report.counts(report.filtered(_findings(spark, sf_dir), "auth-walled"))
 
 
-@query(f"SELECT 1 AS exit_code FROM ({_FIND}) HAVING count(*) FILTER (confidence = 'dead-certain') > 0")
+@query(f"SELECT (count(*) FILTER (confidence = 'dead-certain') > 0)::INT AS exit_code FROM ({_FIND})")
 def exit_codes(spark, sf_dir):
-    return _findings(spark, sf_dir).agg(report.exit_code(_findings(spark, sf_dir), "dead-certain"))
+    return report.exit_code(_findings(spark, sf_dir), "dead-certain")
 
 
-@query(f"SELECT DISTINCT 'SL0001' AS id, 'http-status' AS name FROM ({_FIND})")
+@query(f"SELECT DISTINCT {_IDS} AS id, {_NAMES} AS name FROM ({_FIND})")
 def sarif_rules(spark, sf_dir):
     return report.sarif_rules(_findings(spark, sf_dir))
 
 
-@query(f"SELECT 'SL0001' AS rule_id, CASE confidence WHEN 'dead-certain' THEN 'error' ELSE 'note' END AS level, CASE confidence WHEN 'dead-certain' THEN 100.0 WHEN 'auth-walled' THEN 40.0 ELSE 20.0 END::DOUBLE AS rank, path AS uri, url, line, col AS \"column\" FROM ({_FIND})")
+@query(f"SELECT {_IDS} AS rule_id, CASE {_ORDER} WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'warning' ELSE 'note' END AS level, (100.0 - 20 * {_ORDER})::DOUBLE AS rank, {_NAMES} || ': ' || url AS message, replace(path, ' ', '%20') AS uri, url, line, col AS \"column\" FROM ({_FIND})")
 def sarif_results(spark, sf_dir):
     return report.sarif_results(_findings(spark, sf_dir))
 
@@ -397,25 +409,41 @@ def sarif_results(spark, sf_dir):
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'flag' WHEN o_orderkey % 3 = 0 THEN 'env' WHEN o_orderkey % 2 = 0 THEN 'toml' ELSE 'default' END AS value FROM orders")
 def config_precedence(spark, sf_dir):
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.when(k % 7 == 0, "flag"), F.when(k % 3 == 0, "env"), F.when(k % 2 == 0, "toml"), F.lit("default")).alias("value"))
+    said = lambda n, v: F.when(k % n == 0, v)
+    return table(spark, sf_dir, "orders").select("o_orderkey", config.chosen(said(7, "flag"), said(3, "env"), said(2, "toml"), F.lit("default")).alias("value"))
 
 
 @query("""WITH k AS (SELECT * FROM (VALUES (0, 'retries'), (1, 'timeout'), (2, 'exclude'), (3, 'include')) t(i, name)), b AS (SELECT * FROM (VALUES ('retry'), ('timout'), ('inclde'), ('exlude')) t(bad)) SELECT bad, arg_min(name, levenshtein(bad, name) * 100 + i) AS meant FROM b, k GROUP BY bad""")
 def did_you_mean(spark, sf_dir):
     """The nearest known setting of each unknown one; two short fixed lists."""
-    bad = spark.createDataFrame([("retry",), ("timout",), ("inclde",), ("exlude",)], "bad string")
-    known = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("name")) for i, n in enumerate(("retries", "timeout", "exclude", "include"))))
-    best = bad.select("bad", F.explode(known).alias("k")).groupBy("bad").agg(F.min_by("k.name", F.struct(F.levenshtein("bad", "k.name"), "k.i")).alias("meant"))
-    return best
+    bad = spark.createDataFrame([("retry",), ("timout",), ("inclde",), ("exlude",)], "key string")
+    return config.suggested(bad, ["retries", "timeout", "exclude", "include"]).select(F.col("key").alias("bad"), "meant")
+
+
+def _zip_of(*names: str) -> bytes:
+    """A fixed small archive."""
+    import io
+    import zipfile
 
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n in names:
+            z.writestr(zipfile.ZipInfo(n), "x")
+    return out.getvalue()
 
-@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'markdown' WHEN 2 THEN 'html' WHEN 3 THEN 'text' WHEN 4 THEN 'docx' END AS format FROM pages WHERE page_id % 6 <> 5""")
+
+@query("""SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'pdf' WHEN 1 THEN 'markdown' WHEN 2 THEN 'html' WHEN 3 THEN 'text' WHEN 4 THEN 'docx' WHEN 6 THEN 'docx' WHEN 7 THEN 'xlsx' WHEN 8 THEN 'pptx' WHEN 9 THEN 'text' END AS format FROM pages WHERE page_id % 12 NOT IN (5, 10, 11)""")
 def detect_formats(spark, sf_dir):
-    """Synthetic files: magic over extension, extension over content; binaries of no known kind are left out."""
-    k = F.col("page_id") % 6
-    name = F.element_at(F.array(*(F.lit(x) for x in ("a.txt", "b.MD", "c.html", "noext", "d.docx", "e.bin"))), (k + 1).cast("int"))
-    body = F.when(k == 0, F.encode(F.lit("%PDF-1.7"), "utf-8")).when(k == 5, F.unhex(F.lit("000102030405"))).otherwise(F.encode(F.lit("plain text"), "utf-8"))
-    f = _pages(spark, sf_dir).select(F.concat(F.col("page_id").cast("string"), F.lit("/"), name).alias("path"), F.length(body).cast("long").alias("length"), body.alias("content"))
+    """Synthetic files: magic over members over extension over content; other binaries, and unknown files over 2 MiB, are left out."""
+    k = F.col("page_id") % 12
+    name = _pick(["a.txt", "b.MD", "c.html", "noext", "d.docx", "e.bin", "f.txt", "g", "h.html", "i.txt", "j.dat", "k.bin"], F.col("page_id"))
+    zips = {6: _zip_of("word/a.xml"), 7: _zip_of("xl/a.xml"), 8: _zip_of("ppt/a.xml"), 9: _zip_of("other/a"), 10: _zip_of("other/a")}
+    body = F.when(k == 0, F.encode(F.lit("%PDF-1.7"), "utf-8")).when(k == 5, F.unhex(F.lit("000102030405")))
+    for i, z in zips.items():
+        body = body.when(k == i, F.lit(bytearray(z)))
+    body = body.otherwise(F.encode(F.lit("plain text"), "utf-8"))
+    size = F.when(k == 11, files.UNKNOWN_LIMIT + 1).otherwise(F.length(body)).cast("long")
+    f = _pages(spark, sf_dir).select(F.concat(F.col("page_id").cast("string"), F.lit("/"), name).alias("path"), size.alias("length"), body.alias("content"))
     return files.detected(f).select(F.substring_index("path", "/", 1).cast("long").alias("page_id"), "format")
 
 
@@ -444,17 +472,22 @@ def text_links(spark, sf_dir):
     return _generated(spark, sf_dir, "text", F.concat(F.lit("Intro\nüé: https://t.test/"), F.col("page_id").cast("string"), F.lit(". https://. end")).substr(F.lit(1), F.lit(500)))
 
 
-@query()
+@query(f"SELECT page_url AS path, href AS url, 'local-missing' AS reason, 'resolved path does not exist: ' || href AS detail, 'dead-certain' AS confidence, 0 AS tier FROM ({HREF})")
 def html_documents_scan(spark, sf_dir):
-    """The whole scan of the pages as documents: findings."""
-    from linkloom.plans.scan import scan
+    """The whole scan of the pages as documents: none of their rooted links is a document's path."""
+    from linkloom.plans.scan import flat, scan
 
-    return scan(files.pages_as_documents(_pages(spark, sf_dir)))[0]
+    out = scan(files.pages_as_documents(_pages(spark, sf_dir)))
+    return flat(out.findings).select("path", "url", "reason", "detail", "confidence", "tier")
 
 
 def queries() -> dict:
+    from linkloom import document_queries  # noqa: F401  (registers its own)
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from linkloom import document_queries  # noqa: F401
+
     return dict(SQL)

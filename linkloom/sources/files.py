@@ -46,18 +46,105 @@ def selected(path: Column, include: list[str], exclude: list[str]) -> Column:
     return keep
 
 
+#: Files that name what a walk leaves out, a pattern a line.
+IGNORE = (".gitignore", ".ignore")
+
+
+def _ignored(folder: str, rules: list[tuple[str, str, bool, bool]], path: str, is_folder: bool) -> bool:
+    """The last rule (base folder, expression, negated, folders only) that fits decides."""
+    import re
+
+    out = False
+    for base, expression, negated, only in rules:
+        inside = path[len(base) :].lstrip("/") if path.startswith(base) else None
+        if inside and (is_folder or not only) and re.search(expression, inside):
+            out = not negated
+    return out
+
+
+def _rules(folder: str) -> list[tuple[str, str, bool, bool]]:
+    import os
+
+    out = []
+    for name in IGNORE:
+        file = os.path.join(folder, name)
+        if os.path.isfile(file):
+            with open(file, encoding="utf-8", errors="replace") as f:
+                for line in map(str.rstrip, f):
+                    if line and not line.startswith("#"):
+                        negated, line = line.startswith("!"), line.lstrip("!")
+                        only, line = line.endswith("/"), line.rstrip("/")
+                        anchored = "/" in line
+                        expression = glob_regex(line.lstrip("/"))
+                        out.append((folder, "^" + expression[7:] if anchored and expression.startswith("(?:^|/)") else expression, negated, only))
+    return out
+
+
+def listed(spark: SparkSession, paths: list[str], include: list[str] = (), exclude: list[str] = (), ignore: bool = True) -> DataFrame:
+    """(path, length) of the files under folders, each path once, sorted by path components; contents are not read.
+
+    Hidden files are included; ignore files (``IGNORE``) leave out what they name. Files named
+    one by one bypass globs and ignore files. The listing is the driver's, names and sizes only.
+    """
+    import os
+    import re
+
+    want, no = ([re.compile(glob_regex(g)) for g in x] for x in (include, exclude))
+    out = {}
+    for top in paths:
+        if os.path.isfile(top):
+            out[top] = os.path.getsize(top)
+            continue
+        stack = [(top.rstrip("/") or "/", [])]
+        while stack:
+            folder, rules = stack.pop()
+            rules = rules + (_rules(folder) if ignore else [])
+            with os.scandir(folder) as entries:
+                for e in entries:
+                    path = os.path.join(folder, e.name)
+                    if e.is_dir(follow_symlinks=False):
+                        if e.name != ".git" and not (ignore and _ignored(folder, rules, path, True)):
+                            stack.append((path, rules))
+                    elif e.is_file() and not (ignore and _ignored(folder, rules, path, False)):
+                        if (not want or any(g.search(path) for g in want)) and not any(g.search(path) for g in no):
+                            out[path] = e.stat().st_size
+    rows = sorted(out.items(), key=lambda x: x[0].split("/"))
+    return spark.createDataFrame(rows, "path string, length long")
+
+
+def contents(spark: SparkSession, walked: DataFrame) -> DataFrame:
+    """(path, length, content) of listed files, read where they are needed: by a folder that all executors share."""
+    def read(batches):
+        for pdf in batches:
+            rows = []
+            for path, length in zip(pdf["path"], pdf["length"]):
+                with open(path, "rb") as f:
+                    head = f.read(PROBE)
+                    known = path.rpartition(".")[2].lower() in EXTENSIONS if "." in path.rpartition("/")[2] else False
+                    whole = known or length <= UNKNOWN_LIMIT or head.startswith((b"%PDF-", b"PK\x03\x04"))
+                    rows.append((path, length, head + f.read() if whole else None))
+            yield pd.DataFrame(rows, columns=["path", "length", "content"])
+
+    return walked.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(read, "path string, length long, content binary").filter("content is not null")
+
+
 def walk(spark: SparkSession, folders: list[str], files: list[str] = (), include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
-    """(path, length, content), each path once, sorted by path components. Files named one by one bypass the globs."""
+    """(path, length, content), each path once, of any file system that Spark reads. Files named one by one bypass the globs.
+
+    Paths and lengths alone are made distinct; contents are read after, and are not shuffled.
+    """
     parts = []
     for source, chosen in ((folders, True), (files, False)):
         if source:
             rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(source))
-            rows = rows.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length", "content")
-            parts.append(rows.filter(selected(F.col("path"), list(include), list(exclude))) if chosen else rows)
+            name = F.regexp_replace("path", "^file:/*", "/")
+            rows = rows.filter(selected(name, list(include), list(exclude))) if chosen else rows
+            parts.append(rows.select(name.alias("path"), "length", "content"))
     if not parts:
         return spark.createDataFrame([], "path string, length long, content binary")
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.dropDuplicates(["path"]).orderBy(F.split("path", "/"))
+    if len(parts) == 1:
+        return parts[0]
+    return parts[0].join(parts[1].select("path").distinct(), "path", "left_anti").unionByName(parts[1])
 
 
 def path_list(spark: SparkSession, file: str) -> DataFrame:
@@ -105,9 +192,9 @@ def detected(files: DataFrame) -> DataFrame:
     is_zip = F.substring("content", 1, 4) == F.lit(b"PK\x03\x04")
     known = extension_format(F.col("path"))
     gate = known.isNotNull() | is_pdf | is_zip | (F.col("length") <= UNKNOWN_LIMIT)
-    zipped = files.filter(gate & is_zip & ~is_pdf).withColumn("format", F.coalesce(zip_format("content"), known))
-    plain = files.filter(gate & ~(is_zip & ~is_pdf)).withColumn("format", F.when(is_pdf, "pdf").otherwise(F.coalesce(known, F.when(text_like(F.col("content")), "text"))))
-    return plain.unionByName(zipped).filter("format is not null")
+    inside = zip_format(F.when(is_zip & ~is_pdf, F.col("content")))  # one pass: nothing is sent for other files
+    kind = F.when(is_pdf, "pdf").otherwise(F.coalesce(F.col("_zip"), known, F.when(~is_zip & text_like(F.col("content")), "text")))
+    return files.filter(gate).withColumn("_zip", inside).withColumn("format", kind).drop("_zip").filter("format is not null")
 
 
 def pages_as_documents(pages: DataFrame) -> DataFrame:

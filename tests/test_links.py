@@ -1,6 +1,7 @@
 """Extractors, fixers, local checks, configuration, on documents made here."""
 
 import io
+import json
 import zipfile
 
 import pytest
@@ -87,7 +88,7 @@ def test_pdf():
     out = fixes.fix_pdf(PDF, {"https://a.test/old": "https://a.test/new"})
     assert out.startswith(PDF) and out.count(b"%%EOF") == 2
     assert "https://a.test/new" in urls("pdf", out)
-    assert fixes.pdf_refusal(b"/Encrypt 4 0 R") == "encrypted"
+    assert fixes.pdf_refusal(b"%PDF-1.4 /Encrypt 4 0 R") == "encrypted PDF files are not modified"
 
 
 def test_malformed_part_names_itself():
@@ -110,15 +111,13 @@ def test_fix_html_and_refusals():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.binary(max_size=60), st.data())
-def test_edits_match_forward_splice(body, data):
-    cuts = sorted(data.draw(st.sets(st.integers(0, len(body)), max_size=6)))
-    edits = [(a, b, bytes([65 + i])) for i, (a, b) in enumerate(zip(cuts[::2], cuts[1::2]))]
-    want, at = b"", 0
-    for a, b, new in edits:
-        want += body[at:a] + new
-        at = b
-    assert fixes.apply_edits(body, edits) == want + body[at:]
+@given(st.lists(st.tuples(st.binary(max_size=6), st.one_of(st.none(), st.binary(max_size=4))), max_size=8))
+def test_edits_replace_pieces_of_a_body(pieces):
+    """A body of pieces, some of which are replaced: the result is the new pieces in their order."""
+    body = b"".join(old for old, _ in pieces)
+    ends = [sum(len(old) for old, _ in pieces[: i + 1]) for i in range(len(pieces))]
+    edits = [(end - len(old), end, new) for (old, new), end in zip(pieces, ends) if new is not None and old]
+    assert fixes.apply_edits(body, edits[::-1]) == b"".join(new if new is not None and old else old for old, new in pieces)
 
 
 def test_edit_errors():
@@ -127,24 +126,28 @@ def test_edit_errors():
             fixes.apply_edits(b"12345", edits)
 
 
-def test_decode_and_slugs():
-    assert tx.decode("a%20b+") == ("a b+", None)
-    assert [tx.decode(x)[1] for x in ("%2", "%zz", "%FF")] == ["incomplete escape", "non-hexadecimal escape", "invalid UTF-8"]
-    assert tx.numbered(["same", "same-1", "same"]) == ["same", "same-1", "same-2"]
+def test_slugs_are_made_different():
+    assert tx.numbered(["intro", "intro-1", "intro", "x", "intro"]) == ["intro", "intro-1", "intro-2", "x", "intro-3"]
 
 
 def test_config(tmp_path):
-    (tmp_path / "linkloom.toml").write_text("timeout_s = 5\nretries = 7\n")
-    s = config.load({"timeout_s": 1}, str(tmp_path), env={"LINKLOOM_RETRIES": "3"})
-    assert (s.timeout_s, s.retries, s.per_host) == (1.0, 3, 4)
-    (tmp_path / "linkloom.toml").write_text("retrys = 5\n")
-    with pytest.raises(ValueError, match="retries"):
-        config.load({}, str(tmp_path), env={})
+    (tmp_path / "linkloom.toml").write_text("[network]\ntimeout = '5s'\nretries = 7\n[ignore]\nexclude-domain = ['a.test']\n")
+    found = config.load({"network_timeout": "1s", "ignore_exclude_domain": ["b.test"]}, str(tmp_path), env={"LINKLOOM_NETWORK_RETRIES": "3", "LINKLOOM_IGNORE_LOCAL_LINKS": "true"})
+    assert (found.network_timeout, found.network_retries, found.network_per_host, found.ignore_local_links) == (1.0, 3, 4, True)
+    assert found.ignore_exclude_domain == ("b.test", "a.test")
+    for text, known in (("[network]\nretrys = 5\n", "network.retries"), ("[netwrok]\n", "network")):
+        (tmp_path / "linkloom.toml").write_text(text)
+        with pytest.raises(ValueError, match=known):
+            config.load({}, str(tmp_path), env={})
+    assert [config.duration(x) for x in ("30s", "1h 30m", "500ms", "2d", "7")] == [30, 5400, 0.5, 172800, 7] and config.said(5400.5) == "1h 30m 500ms"
+    assert config.words(" a, ,b ") == ["a", "b"]
+    with pytest.raises(ValueError):
+        config.duration("5 parsecs")
 
 
 def test_scan_and_fix_run(spark, tmp_path):
     from linkloom.plans import report
-    from linkloom.plans.scan import scan
+    from linkloom.plans.scan import flat, scan
     from linkloom.sources import files
 
     (tmp_path / "a.md").write_text("# Head\n[x](b.html#nope) [y](missing.md) [z](#head) [m](mailto:bad) https://h.test/old\n")
@@ -152,11 +155,15 @@ def test_scan_and_fix_run(spark, tmp_path):
     (tmp_path / "c.bin").write_bytes(b"\0\1\2")
     docs = files.detected(files.walk(spark, [str(tmp_path)], exclude=["*.bin"]))
     obs = spark.createDataFrame([("https://h.test/old", 404, None, None)], "url string, status int, termination string, error_kind string")
-    found, run = scan(docs, obs)
-    got = sorted((r.url, r.reason) for r in found.collect())
+    out = scan(docs, obs)
+    found = out.findings
+    got = sorted((r.url, r.verdict.reason.kind) for r in found.collect())
+    assert out.run.first().links_unique == 5
     assert got == [("b.html#nope", "local-missing"), ("https://h.test/old", "http-status"), ("https://h.test/old", "http-status"), ("mailto:bad", "syntax-invalid"), ("missing.md", "local-missing")]
-    assert report.table(found).startswith("CONFIDENCE")
+    assert report.table(flat(found)).startswith("CONFIDENCE")
     assert '"SL0401"' in report.sarif(found)
+    said = json.loads(report.json_report(found, out.run.first().asDict()))
+    assert said["run"]["findings_by_confidence"]["dead_certain"] == 5 and {"url", "resolved_url", "source", "verdict", "fix"} == set(said["findings"][0])
     wanted = docs.select("path").selectExpr("path", "'https://h.test/old' as old", "'https://h.test/new' as new")
     fixed = fixes.run(docs, wanted).collect()
     assert all(r.error is None and b"h.test/new" in bytes(r.content) for r in fixed) and len(fixed) == 2
@@ -225,3 +232,68 @@ def test_redirect_closures_of_long_chains_and_loops(spark):
     finally:
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
     assert len(got) == len(want) and set(got) == want
+
+
+def test_commands(spark, tmp_path, monkeypatch, capsys):
+    from linkloom.__main__ import main
+
+    monkeypatch.setenv("LINKLOOM_CACHE_DIR", str(tmp_path / "cache"))
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/.gitignore").write_text("skip.md\nout/\n")
+    (tmp_path / "d/a.md").write_text("[x](b.md) https://h.test/old\n")
+    (tmp_path / "d/skip.md").write_text("[x](gone.md)")
+    seen = str(tmp_path / "seen")
+    rows = [("https://h.test/old", "HEAD", 200, [], "https://h.test/old"), ("https://h.test/old", "GET", 200, [(301, "https://h.test/new")], "https://h.test/new")]
+    spark.createDataFrame(rows, "url string, method string, status int, hops array<struct<status:int,url:string>>, final_url string").write.parquet(seen)
+    run = lambda *args: main([*args, str(tmp_path / "d"), "--observations", seen], spark)
+    report = tmp_path / "r.json"
+    assert run("scan", "--json", "-o", str(report)) == 1
+    said = json.loads(report.read_text())
+    assert {x["url"] for x in said["findings"]} == {"b.md", "https://h.test/old"} and said["run"]["files_scanned"] == 2
+    assert run("scan", "--fail-on", "dead-certain", "--no-local") == 0  # from the cache
+    assert "OUTDATED" in capsys.readouterr().out
+    assert run("fix") == 0 and "+[x](b.md) https://h.test/new" in capsys.readouterr().out
+    assert run("fix", "--write", "--backup") == 0
+    assert (tmp_path / "d/a.md").read_text() == "[x](b.md) https://h.test/new\n" and (tmp_path / "d/a.md.bak").exists()
+    assert main(["cache", "stats"], spark) == 0 and "entries: 1" in capsys.readouterr().out
+    assert main(["cache", "clear"], spark) == 0 and not (tmp_path / "cache").exists()
+    assert main(["scan", "--format", "nothing"], spark) == 2 and main(["scan", str(tmp_path / "none")], spark) == 3
+
+
+def test_listing_honours_ignore_files(spark, tmp_path):
+    from linkloom.sources import files
+
+    for name in ("a.md", "b.txt", "x/c.md", "x/keep.log", "x/no.log", "out/d.md", ".hidden.md", "a-b/e.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / ".ignore").write_text("# comment\n*.log\n!keep.log\n/out/\n")
+    got = [r.path[len(str(tmp_path)) + 1 :] for r in files.listed(spark, [str(tmp_path), str(tmp_path / "out/d.md")], exclude=["*.txt"]).collect()]
+    assert got == [".hidden.md", ".ignore", "a-b/e.md", "a.md", "out/d.md", "x/c.md", "x/keep.log"]
+
+
+def test_html_values_and_comments():
+    body = b'<a href=https://a.test/b"c>x</a><img alt="a>b" src=\'/i\'><a title=it\'s href="/t"><!-- <a href="/no">'
+    assert urls("html", body) == ['https://a.test/b"c', "/i", "/t"]
+    assert urls("html", b"<!--><a href=/yes><!-- x --!><a href=/too><title><a href=/no></title>") == ["/yes", "/too"]
+
+
+def test_markdown_with_many_links_is_not_quadratic():
+    body = "".join(f"[{i}]: https://d.test/{i}\n" for i in range(3000)) + "".join(f"[x][{i}] https://b.test/{i}\n" for i in range(3000))
+    assert len(urls("markdown", body.encode())) == 6000
+
+
+def test_pdf_refusals_and_link_objects():
+    from linkloom import document_queries as dq
+
+    assert fixes.pdf_refusal(dq.pdf(1, "https://x.test")) is None
+    for more, notes, why in (("/Perms <<>>", "4 0 R", "signed"), ("", "<</Subtype /Link /A <</S /URI /URI (https://x.test)>> >>", "direct")):
+        assert why in fixes.pdf_refusal(dq.pdf(1, "https://x.test", more, notes))
+    other = dq.pdf(1, "https://x.test").replace(b"<</X 1>>", b"<</S /URI /URI (https://only.test)>>")
+    with pytest.raises(ValueError, match="no link annotation"):  # no annotation names that action
+        fixes.fix_pdf(other, {"https://only.test": "https://n.test"})
+
+
+def test_only_neighbours_and_earlier_long_edits_overlap(spark):
+    rows = [("a", 0, 100), ("a", 5, 10), ("a", 20, 30), ("a", 100, 101), ("b", 3, 3), ("b", 3, 3)]
+    got = {tuple(r) for r in fixes.overlaps(spark.createDataFrame(rows, "path string, start long, end long")).collect()}
+    assert got == {("a", 5, 10), ("a", 20, 30), ("b", 3, 3)}
