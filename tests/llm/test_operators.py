@@ -547,16 +547,20 @@ def _robust(texts, core=0.75):
     mad = 1.4826 * middle(abs(off)) + 1e-4
     u = off / mad
     u /= np.sqrt((u * u).sum(1) + 1e-12)[:, None]
-    ends = []
+    def step(m, s):
+        d = np.floor(np.log2(far(v, near, m, s) + 1e-9) * quality.CLASSES)
+        return fit(d <= np.sort(d)[math.ceil(core * len(v)) - 1])
+
+    det, ends = lambda s: np.linalg.slogdet(s)[1], []
     for m, s in ((med, np.diag(mad**2) + quality.RIDGE * np.eye(6)), fit(np.ones(len(v), bool)), (med, 6 * (u.T @ u) / len(v) * np.outer(mad, mad) + quality.RIDGE * np.eye(6))):
-        for _ in range(50):
-            d = np.floor(np.log2(far(v, near, m, s) + 1e-9) * quality.CLASSES)
-            was = np.linalg.slogdet(s)[1]
-            m, s = fit(d <= np.sort(d)[math.ceil(core * len(v)) - 1])
-            if abs(np.linalg.slogdet(s)[1] - was) < 1e-6:
-                break
-        ends.append((np.linalg.slogdet(s)[1], len(ends), m, s))
+        for _ in range(3):
+            m, s = step(m, s)
+        ends.append((det(s), len(ends), m, s))
     _, _, m, s = min(ends, key=lambda x: x[:2])
+    was = math.inf
+    while abs(det(s) - was) >= 1e-3:
+        was = det(s)
+        m, s = step(m, s)
     m, s = fit(far(v, near, m, s) <= quality._consistency(core) * quality._quantile(0.975), quality._consistency(0.975))
     x = np.array(list(every.values()))
     return dict(zip(every, far(x[:, :6], x[:, 6] / (x[:, 6] + quality.HALF), m, s)))
