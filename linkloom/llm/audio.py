@@ -8,7 +8,7 @@ the index; of a pair's matching items the offsets are counted, and at the most f
 the bit errors over the whole overlap decide.
 
 Defined results: a null, empty or too short recording has no items and no match; silence has
-items of its own value like any sound; repeated rows match each other without error; an empty
+items of its own value like any sound; repeated rows match each other without error; a key that comes twice is one recording; an empty
 table gives no rows; extra columns are not read.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm._run import settle
+from linkloom.llm._run import Scratch
 
 FRAME, HOP, WINDOW = 512, 128, 16
 #: Filters (kind, first pitch class, pitch classes, frames), from a rule: kinds in turn, places spread evenly, sizes from fine to coarse.
@@ -103,41 +103,48 @@ def fingerprints(recordings: DataFrame, rate: int, key: str = "id", audio: str =
 
 
 def aligned(prints: DataFrame, queries: DataFrame, key: str = "id", errors: float = 0.1, overlap: float = 0.5) -> DataFrame:
-    """One row per query: key, match (the other recording with the least error rate, then key), offset (query frame less match frame), bit_errors, n_bits, n_matches.
+    """A row for each query and each group of equal recordings that it matches: key, match (the least other key of the group), n_copies (other keys in it), offset (query frame less match frame), bit_errors, n_bits; a query without matches has one row with null and 0.
 
     prints, queries: key, items. A match has an error rate of at most ``errors`` over an
-    overlap of at least the share ``overlap`` of the shorter fingerprint.
+    overlap of at least the share ``overlap`` of the shorter fingerprint, at any offset that a
+    common item (with one bit turned, or none) votes for; the offset of the least error rate, then
+    most bits, then the least offset, is given.
     """
-    prints = settle(prints.withColumn("print", F.when(F.size("items") > 0, F.xxhash64("items"))), "prints")
-    groups = settle(prints.filter("print is not null").groupBy("print").agg(F.min(key).alias("k0"), F.max(key).alias("k1"), F.count("*").alias("n"), F.first("items").alias("items")), "groups")
-    asked = queries.select(key, "items").withColumn("print", F.when(F.size("items") > 0, F.xxhash64("items")))
-    asked = settle(asked, "queries")
-    q = asked.filter("print is not null").select(F.col("print").alias("q"), F.col("items").alias("qi")).dropDuplicates(["q"])
+    with Scratch(prints.sparkSession) as own:
+        return own.keep(_aligned(own, prints, queries, key, errors, overlap))
+
+
+def _aligned(own: Scratch, prints: DataFrame, queries: DataFrame, key: str, errors: float, overlap: float) -> DataFrame:
+    named = prints.select(key, F.when(F.size("items") > 0, F.xxhash64("items")).alias("print"), "items").filter("print is not null")
+    groups = own.settle(named.groupBy("print").agg(F.min(key).alias("k0"), F.max(key).alias("k1"), F.countDistinct(key).alias("n"), F.first("items").alias("items")), "groups")
+    asked = own.settle(queries.select(key, F.when(F.size("items") > 0, F.xxhash64("items")).alias("print"), "items"), "queries")
+    q = own.settle(asked.filter("print is not null").groupBy(F.col("print").alias("q")).agg(F.first("items").alias("qi")), "fingerprints")
     turned = F.concat(F.array(F.col("item")), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.col("item").bitwiseXOR(F.call_function("shiftleft", F.lit(1), b))))
     wanted = q.select("q", F.posexplode("qi").alias("at", "item")).select("q", "at", F.explode(turned).alias("item"))
     there = groups.select("print", F.posexplode("items").alias("place", "item"))
-    # of one query, equal items at many places count once a (place, offset)
-    hits = wanted.join(there, "item").filter("q != print").groupBy("q", "print", (F.col("at") - F.col("place")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = hits.groupBy("q", "print").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset"))["offset"].alias("offset"))
-    pairs = best.join(q, "q").join(groups.select("print", "items", "k0", "n"), "print")
+    # both sides grow with the tables, so they are never broadcast; an item of very many places is split at run time
+    hits = wanted.join(there.hint("merge"), "item").filter("q != print").select("q", "print", (F.col("at") - F.col("place")).alias("offset"))
+    tried = own.settle(hits.distinct(), "offsets")
+    pairs = tried.join(q.hint("merge"), "q").join(groups.select("print", "items").hint("merge"), "print")
     begin = F.greatest("offset", F.lit(0))
-    length = F.least(F.size("qi") - begin, F.size("items") - F.greatest(-F.col("offset"), F.lit(0)))
-    x, y = F.slice("qi", begin + 1, F.greatest(length, F.lit(0))), F.slice("items", F.greatest(-F.col("offset"), F.lit(0)) + 1, F.greatest(length, F.lit(0)))
+    back = F.greatest(-F.col("offset"), F.lit(0))
+    length = F.greatest(F.least(F.size("qi") - begin, F.size("items") - back), F.lit(0))
+    x, y = F.slice("qi", begin + 1, length), F.slice("items", back + 1, length)
     wrong = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
-    pairs = pairs.withColumn("n_bits", (32 * length).cast("long")).withColumn("bit_errors", wrong.cast("long"))
-    good = pairs.filter((F.col("n_bits") >= 32 * overlap * F.least(F.size("qi"), F.size("items"))) & (F.col("n_bits") > 0) & (F.col("bit_errors") <= errors * F.col("n_bits")))
-    other = good.groupBy(F.col("q").alias("print")).agg(F.min(F.struct((F.col("bit_errors") / F.col("n_bits")).alias("rate"), F.col("k0").alias("match"), "offset", "bit_errors", "n_bits")).alias("best"), F.sum("n").alias("others"))
-    rows = asked.select(key, "print", F.size("items").alias("n_items")).join(groups.select("print", "k0", "k1", "n"), "print", "left").join(other, "print", "left")
-    # an equal fingerprint is the best match; k1 stands in where the query is k0 itself
-    twin = F.when((F.col("n") > 1) & (F.col("k0") != F.col("k1")), F.when(F.col("k0") == F.col(key), F.col("k1")).otherwise(F.col("k0")))
-    return rows.select(
-        key,
-        F.coalesce(twin, "best.match").alias("match"),
-        F.when(twin.isNotNull(), 0).otherwise(F.col("best.offset")).cast("int").alias("offset"),
-        F.when(twin.isNotNull(), F.lit(0).cast("long")).otherwise(F.col("best.bit_errors")).alias("bit_errors"),
-        F.when(twin.isNotNull(), (32 * F.col("n_items")).cast("long")).otherwise(F.col("best.n_bits")).alias("n_bits"),
-        (F.coalesce(F.col("n") - 1, F.lit(0)) + F.coalesce("others", F.lit(0))).cast("long").alias("n_matches"),
-    )
+    pairs = pairs.select("q", "print", "offset", (32 * length).cast("long").alias("n_bits"), wrong.cast("long").alias("bit_errors"), (32 * overlap * F.least(F.size("qi"), F.size("items"))).alias("least"))
+    good = pairs.filter((F.col("n_bits") >= F.col("least")) & (F.col("n_bits") > 0) & (F.col("bit_errors") <= errors * F.col("n_bits")))
+    best = good.groupBy("q", "print").agg(F.min(F.struct((F.col("bit_errors") / F.col("n_bits")).alias("rate"), (-F.col("n_bits")).alias("most"), F.col("offset").cast("int").alias("offset"), "bit_errors", "n_bits")).alias("b")).select("q", "print", "b.offset", "b.bit_errors", "b.n_bits")
+    same = q.select("q", F.col("q").alias("print"), F.lit(0).alias("offset"), F.lit(0).cast("long").alias("bit_errors"), (32 * F.size("qi")).cast("long").alias("n_bits"))
+    held = best.unionByName(same).join(groups.select("print", "k0", "k1", "n").hint("merge"), "print")
+    rows = asked.select(key, F.col("print").alias("q")).join(held.hint("merge"), "q", "left")
+    own_ = F.coalesce((F.col("q") == F.col("print")) & F.col(key).between(F.col("k0"), F.col("k1")), F.lit(False))
+    # of its own group, a query's match is the least other key; without one the group is no match
+    other = F.when(~own_, F.col("k0")).when(F.col("k0") != F.col(key), F.col("k0")).when(F.col("k1") != F.col(key), F.col("k1"))
+    rows = rows.select(key, other.alias("match"), (F.col("n") - own_.cast("long")).alias("n_copies"), "offset", "bit_errors", "n_bits")
+    found = own.settle(rows.filter("match is not null"), "matches")
+    lone = asked.select(key).distinct().join(found.select(key).distinct().hint("merge"), key, "left_anti")
+    none = lone.select(key, F.lit(None).cast(found.schema["match"].dataType).alias("match"), F.lit(0).cast("long").alias("n_copies"), *(F.lit(None).cast(k).alias(c) for c, k in (("offset", "int"), ("bit_errors", "long"), ("n_bits", "long"))))
+    return own.settle(found.unionByName(none), "aligned")
 
 
 RATE, NOTE = 2000, 128

@@ -335,6 +335,8 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, key: str
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs whose text is kept, all columns unchanged; rows are told apart by key (null too) and text."""
     own = "_key_and_text"
+    while own in docs.columns:
+        own += "_"
     named = docs.withColumn(own, F.struct(F.col(key).alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h")))
     good = judged(named, key=own, text=text, **options).filter("kept").select(own).distinct()
     return named.join(good, own, "left_semi").drop(own)

@@ -58,11 +58,17 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extracted(table(spark, sf_dir, "pages"))
 
 
+#: Keys of the planted copies of op10.
+COPIES = 10**12
+
+
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no sound: each embedding is played as a melody. Queries: ids divisible by 50."""
-    vectors = table(spark, sf_dir, "embeddings")
-    prints = settle(audio.fingerprints(vectors, audio.RATE, "vec_id", "embedding", audio.melody), "fingerprints")
-    return audio.aligned(prints, prints.filter(F.col("vec_id") % 50 == 0), "vec_id")
+    """The tables hold no sound: each embedding is played as a melody, and those of ids divisible by 100 once more, cut short at the front. Queries: ids divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    prints = audio.fingerprints(vectors, audio.RATE, "vec_id", "embedding", audio.melody)
+    again = audio.fingerprints(vectors.filter("vec_id % 100 = 0"), audio.RATE, "vec_id", "embedding", lambda v: audio.melody(v)[8 * audio.HOP :])
+    every = settle(prints.unionByName(again.withColumn("vec_id", F.col("vec_id") + COPIES)), "fingerprints")
+    return audio.aligned(every, every.filter((F.col("vec_id") % 50 == 0) & (F.col("vec_id") < COPIES)), "vec_id")
 
 
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:

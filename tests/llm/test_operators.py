@@ -476,10 +476,38 @@ def test_audio_finds_shifted_and_noisy_recordings(spark):
     rows += [(100 + i, pcm(play(v) + g.normal(size=8192) * 300)) for i, v in enumerate(tune[:20])]
     rows += [(200 + i, pcm(play(v)[8 * audio.HOP :])) for i, v in enumerate(tune[20:30])] + [(300, pcm(play(tune[39]))), (301, None), (302, b""), (303, pcm(np.zeros(8192)))]
     prints = audio.fingerprints(spark.createDataFrame(rows, "id long, pcm binary"), audio.RATE)
-    got = {r.id: r for r in audio.aligned(prints, prints).collect()}
-    assert len(got) == len(rows) and sum(got[100 + i].match == i for i in range(20)) >= 18
-    assert all(got[200 + i].match == 20 + i and got[200 + i].offset == -8 for i in range(10))
-    assert got[300].match == 39 and got[39].match == 300 and got[301].match is None and got[302].match is None
+    got = defaultdict(dict)
+    for r in audio.aligned(prints, prints).collect():
+        got[r.id][r.match] = r
+    assert len(got) == len(rows) and sum(i in got[100 + i] for i in range(20)) >= 18
+    assert all(got[200 + i][20 + i].offset == -8 and 200 + i in got[20 + i] for i in range(10))
+    assert got[300][39].bit_errors == 0 and got[39][300].n_copies == 1
+    assert list(got[301]) == list(got[302]) == [None] and got[301][None].n_copies == 0
+    assert audio.aligned(prints.limit(0), prints.limit(0)).count() == 0
+
+
+def test_audio_recall_against_all_offsets(spark):
+    """Recordings with a few per cent of bit errors, against comparing every pair at every offset."""
+    g = np.random.default_rng(5)
+    tune = [audio.melody(g.normal(size=64)) for _ in range(30)]
+    rows = [(i, x.clip(-32000, 32000).astype("<i2").tobytes()) for i, x in enumerate(tune)]
+    rows += [(100 * k + i, (x + g.normal(size=len(x)) * 500 * k).clip(-32000, 32000).astype("<i2").tobytes()) for k in (1, 2, 3, 4) for i, x in enumerate(tune)]
+    prints = audio.fingerprints(spark.createDataFrame(rows, "id long, pcm binary"), audio.RATE).cache()
+    items = {r.id: np.array(r["items"], np.int32).view(np.uint32) for r in prints.collect()}
+    bits = np.array([bin(i).count("1") for i in range(1 << 16)])
+    want = set()
+    for a, b in itertools.permutations(items, 2):
+        x, y = items[a], items[b]
+        for d in range(-len(y) + 1, len(x)):
+            u, v = x[max(d, 0) :], y[max(-d, 0) :]
+            n = min(len(u), len(v))
+            if n >= 0.5 * min(len(x), len(y)):
+                e = u[:n] ^ v[:n]
+                if (bits[e & 0xFFFF] + bits[e >> 16]).sum() <= 0.1 * 32 * n:
+                    want.add((a, b))
+                    break
+    got = {(r.id, r.match) for r in audio.aligned(prints, prints).collect() if r.match is not None}
+    assert got <= want and len(want) > 100 and len(got) >= 0.9 * len(want), (len(got), len(want))
 
 
 def test_pipeline_stages(spark):
@@ -503,6 +531,47 @@ def test_rows_without_a_key_stay(spark):
     assert repeats.kept_rows(df).count() == 4 and pii.redacted(df).count() == 4
 
 
+CLASH = ["_row", "c0", "class_id", "_t", "_h", "_k", "_g", "kept", "n_words", "content", "cuts", "spans", "_key_and_text", "_salt", "h", "label"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows and ids, and extra columns with the names that operators use inside."""
+    r = random.Random(8)
+    long_ = " ".join(r.choices(VOCAB, k=40000))
+    texts = [None, "", long_, long_, "x" * 300_000, " " * 200_000, TEXTS[0], TEXTS[0], "mail a@b.example " * 3000]
+    rows = [(i // 2 if i < 8 else None, t, None if i % 2 else "en", "s", *[str(i)] * len(CLASH)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASH))
+
+
+def test_extra_columns_and_odd_rows_survive(odd):
+    for kept in (quality.kept_rows, near_dup.kept_rows, repeats.kept_rows, pii.redacted):
+        out = kept(odd)
+        assert out.columns == odd.columns
+        rows = out.collect()
+        assert len(rows) == 9 if kept in (repeats.kept_rows, pii.redacted) else 0 < len(rows) <= 9
+    empty = odd.limit(0)
+    for kept in (quality.kept_rows, near_dup.kept_rows, repeats.kept_rows, pii.redacted):
+        assert kept(empty).count() == 0
+
+
+def test_queries_take_odd_rows(spark, odd):
+    assert kneser_ney.held_out_scores(odd).count() == 9
+    assert quality.judged(odd).count() == 9 and pii.spans(odd).count() == 9 and repeats.digests(odd).count() == 9
+    assert near_dup.classes(odd).count() == 4  # different keys
+    pieces_ = packing.packed(odd, queries.vocabulary("byte_bpe_50k.json")).collect()
+    assert {p.doc_id for p in pieces_} == {0, 1, 2, 3, None} and all(0 < p.length <= 2048 for p in pieces_)
+    pages = odd.select(odd.doc_id.alias("page_id"), odd.text.alias("url"), odd.text.alias("html"), *CLASH)
+    assert urls.judged(pages).count() == 9 and main_text.extracted(pages).count() == 9
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
 def _classes(texts, similar=0.8):
     """Key -> least key of its chain of similar texts."""
     sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, t in texts.items() for w in [re.findall(WORD, t.lower())]}
