@@ -35,6 +35,7 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--cache-ttl")
         c.add_argument("--no-cache", action="store_true")
         c.add_argument("--refresh", action="store_true")
+        c.add_argument("--cookies", help="a JSON file of cookies")
         c.add_argument("--auth", choices=("off", "cookies", "browser"))
         if name == "scan":
             c.add_argument("--format", choices=("table", "json", "sarif"), default="table")
@@ -76,8 +77,10 @@ def _scanned(spark, args, settings):
 
     from linkloom.operators import cache as cx
     from linkloom.operators import probe
+    from linkloom.operators import verdicts as vx
     from linkloom.plans import judge
     from linkloom.plans.scan import scan
+    from linkloom.sources import cookies as jar
     from linkloom.sources import files
     from linkloom.tables import settle
 
@@ -94,6 +97,10 @@ def _scanned(spark, args, settings):
 
         urls = extract.links(docs, "permissive").filter(F.coalesce(ux.is_http(F.col("url")), F.lit(False))).select("url").distinct()
         seen = settle(probe.probe(judge.needed(urls), settings.network_per_host, settings.network_timeout, settings.network_retries, settings.network_user_agent), "observations")
+        if args.cookies and settings.auth_auth != "off":
+            first = judge.judged(urls, seen, auth="off")
+            refused = first.filter(vx.escalates(F.col("verdict"), 1, ux.host(F.col("url")))).select("url")
+            seen = seen.unionByName(settle(probe.probe_cookies(refused, jar.read(spark, args.cookies), settings.network_timeout, settings.network_user_agent), "cookies"))
     out = scan(docs, seen, settings.ignore_exclude_url, settings.ignore_exclude_domain, check_local=not settings.ignore_local_links, auth=settings.auth_auth, cache=cache, ttl=int(settings.cache_ttl), refresh=args.refresh, files=walked)
     if out.cache is not None:
         cx.save(settle(out.cache, "cache"), cache_folder(settings))
@@ -108,6 +115,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if args.command == "fix" and (args.backup and not args.write or args.copy and args.write):
         print("error: --backup needs --write, and --copy goes without it", file=sys.stderr)
         return USAGE
+    from pyspark.errors import PySparkException
     from pyspark.sql import SparkSession
 
     from linkloom.operators import cache as cx
@@ -154,7 +162,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         else:
             sys.stdout.write(text)
         return FOUND if code else CLEAN
-    except (OSError, ValueError, KeyError) as e:
+    except (OSError, ValueError, KeyError, PySparkException) as e:
         print(f"error: {e}", file=sys.stderr)
         return ENVIRONMENT
 

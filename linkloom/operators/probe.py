@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls as ux
+from linkloom.sources.cookies import header
 
 OBSERVATION = "url string, method string, attempt int, hops array<struct<status:int,url:string>>, status int, final_url string, termination string, error_kind string, error_message string, last_modified string, retry_after string, body string"
 BODY_LIMIT, HOPS = 262_144, 10
@@ -26,8 +27,8 @@ def _error(e: Exception) -> tuple[str, str]:
     return kind, str(why)
 
 
-def observe(url: str, method: str, timeout: float, agent: str) -> dict:
-    """One request, its redirects followed by hand."""
+def observe(url: str, method: str, timeout: float, agent: str, cookies: list[tuple] | None = None) -> dict:
+    """One request, its redirects followed by hand; cookies: sent where they fit, at every hop."""
     from urllib.error import HTTPError
     from urllib.parse import urljoin
     from urllib.request import HTTPRedirectHandler, Request, build_opener
@@ -40,7 +41,10 @@ def observe(url: str, method: str, timeout: float, agent: str) -> dict:
     out = dict.fromkeys(("status", "termination", "error_kind", "error_message", "last_modified", "retry_after", "body"))
     while True:
         try:
-            answer = opener.open(Request(at, method=method, headers={"User-Agent": agent}), timeout=timeout)
+            sent = {"User-Agent": agent}
+            if cookies and (fit := header(cookies, at)):
+                sent["Cookie"] = fit
+            answer = opener.open(Request(at, method=method, headers=sent), timeout=timeout)
         except HTTPError as e:
             answer = e
         except Exception as e:
@@ -124,3 +128,23 @@ def probe(urls: DataFrame, per_host: int = 4, timeout: float = 20.0, retries: in
 
     n = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return urls.select("url").distinct().repartition(n, ux.host_key(F.col("url"))).mapInPandas(work, OBSERVATION)
+
+
+def probe_cookies(urls: DataFrame, cookies: DataFrame, timeout: float = 20.0, agent: str = "linkloom", threads: int = 16) -> DataFrame:
+    """urls (url) that were refused, once more by GET with cookies: observations of method COOKIE, one try each.
+
+    cookies: a user's own (sources.cookies), a setting that goes to every task.
+    """
+    held = [tuple(r) for r in cookies.collect()]
+    names = [x.split()[0] for x in OBSERVATION.split(", ")]
+
+    def work(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(threads) as pool:
+            for pdf in batches:
+                found = list(pool.map(lambda u: observe(u, "GET", timeout, agent, held) | {"attempt": 0, "method": "COOKIE"}, pdf["url"]))
+                yield pd.DataFrame(found, columns=names)
+
+    n = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return urls.select("url").distinct().repartition(n, ux.host_key(F.col("url"))).mapInPandas(work, OBSERVATION)

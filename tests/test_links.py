@@ -297,3 +297,12 @@ def test_only_neighbours_and_earlier_long_edits_overlap(spark):
     rows = [("a", 0, 100), ("a", 5, 10), ("a", 20, 30), ("a", 100, 101), ("b", 3, 3), ("b", 3, 3)]
     got = {tuple(r) for r in fixes.overlaps(spark.createDataFrame(rows, "path string, start long, end long")).collect()}
     assert got == {("a", 5, 10), ("a", 20, 30), ("b", 3, 3)}
+
+
+def test_cookie_files_and_headers():
+    from linkloom.sources import cookies
+
+    rows = cookies.parsed('[["a.test", "x", "1"], [".b.test", "y", "2"]]') + cookies.parsed('[{"domain": "a.test", "path": "/p", "secure": true, "expires": 50, "name": "z", "value": "3"}]')
+    see = lambda url, now=10: cookies.header(rows, url, now)
+    assert see("https://a.test/p/q") == "x=1; z=3" and see("http://a.test/p") == "x=1" and see("https://a.test/pq") == "x=1"
+    assert see("https://a.test/p", 60) == "x=1" and see("https://s.a.test/") == "" and see("https://s.b.test/") == "y=2" and see("https://xb.test/") == ""
