@@ -7,7 +7,7 @@ of words, as a short text's shares are mostly chance. Per language and source,
 minimum-covariance-determinant estimates are sought by concentration steps from three starts:
 distances under the last location and scatter, the closest share ``core`` of the group's
 vectors, location and scatter of those. After a few steps the start of the least determinant goes
-on until its determinant stands (changes by under a thousandth),
+on until a step lowers its logarithm by under a thousandth,
 and the vectors within its 97.5 % distance give the final, re-weighted estimates. All
 steps are grouped sums over one settled table, so that a group of any size is summed in parts,
 and the estimates stay a table. A text is rejected if its squared Mahalanobis distance is over
@@ -276,9 +276,9 @@ def estimates(own: Scratch, rows: DataFrame, groups: DataFrame, core: float = 0.
     order = F.struct("det", "_start")
     now = own.settle(now.groupBy(KEYS).agg(F.min("_start").alias("_start"), *(F.min_by(c, order).alias(c) for c in ESTIMATE)), "best")
     over = []
-    for left in range(steps, 0, -1):  # each group goes on until its own determinant stands
+    for left in range(steps, 0, -1):  # each group goes on until a step hardly lowers its own determinant
         new = _step(own, usable, now, core)
-        still = "abs(det - was) >= 1e-3D"
+        still = "was - det >= 1e-3D"
         now = new.filter(still)
         over.append(new.filter(f"NOT {still}") if left > 1 else new)
         if now.isEmpty():

@@ -626,10 +626,11 @@ def _robust(texts, core=0.75):
             m, s = step(m, s)
         ends.append((det(s), len(ends), m, s))
     _, _, m, s = min(ends, key=lambda x: x[:2])
-    was = math.inf
-    while abs(det(s) - was) >= 1e-3:
+    lower = math.inf
+    while lower >= 1e-3:
         was = det(s)
         m, s = step(m, s)
+        lower = was - det(s)
     m, s = fit(far(v, near, m, s) <= quality._consistency(core) * quality._quantile(0.975), quality._consistency(0.975))
     x = np.array(list(every.values()))
     return dict(zip(every, far(x[:, :6], x[:, 6] / (x[:, 6] + quality.HALF), m, s)))
