@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import audio, kneser_ney, main_text, near_dup, packing, pieces, pii, quality, repeats, urls
+from linkloom.llm import audio, compression, divergence, kneser_ney, main_text, merkle, near_dup, packing, pieces, pii, quality, repeats, urls
 from linkloom.llm._run import settle
 
 
@@ -71,6 +71,18 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.aligned(every, every.filter((F.col("vec_id") % 50 == 0) & (F.col("vec_id") < COPIES)), "vec_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op3: the base counts and rules."""
     return quality.judged(table(spark, sf_dir, "documents")).select("doc_id", *quality.BASE, "base_failed")
@@ -85,6 +97,8 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL = {
     "op4_urls": urls.oracle,
+    "op11_merkle": merkle.oracle,
+    "op12_divergence": divergence.oracle,
     # all pairs of different texts that share an element; classes by a recursive walk along links
     "op8_near_dup": lambda: f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents WHERE doc_id IS NOT NULL),
 g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN NULL WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS e FROM t),
@@ -108,7 +122,7 @@ len(list_filter(phone, lambda x: length(x) BETWEEN 8 AND 15)) AS n_phone FROM m"
 
 
 def queries() -> dict:
-    own = [op1_pieces, op2_kneser_ney, op3_quality, op4_urls, op5_pii, op6_packing, op7_repeats, op8_near_dup, op9_main_text, op10_audio, quality_base, pii_base]
+    own = [op1_pieces, op2_kneser_ney, op3_quality, op4_urls, op5_pii, op6_packing, op7_repeats, op8_near_dup, op9_main_text, op10_audio, op11_merkle, op12_divergence, op13_compression, quality_base, pii_base]
     return {f.__name__: f for f in own}
 
 
