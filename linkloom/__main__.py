@@ -8,6 +8,12 @@ import sys
 import time
 
 CLEAN, FOUND, USAGE, ENVIRONMENT = 0, 1, 2, 3
+#: What --min-confidence, --fail-on and --min-fix-confidence take.
+CONFIDENCES = ("dead-certain", "likely-dead", "outdated", "auth-walled", "suspect")
+
+
+class Usage(ValueError):
+    """A setting that can't be used."""
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -41,14 +47,14 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("--format", choices=("table", "json", "sarif"), default="table")
             c.add_argument("--json", action="store_true")
             c.add_argument("-o", "--output")
-            c.add_argument("--min-confidence", default="suspect")
-            c.add_argument("--fail-on")
+            c.add_argument("--min-confidence", default="suspect", choices=CONFIDENCES)
+            c.add_argument("--fail-on", choices=CONFIDENCES)
         else:
             c.add_argument("--write", action="store_true")
             c.add_argument("--backup", action="store_true")
             c.add_argument("--copy", action="store_true")
             c.add_argument("--fix-exclude", action="append", default=[], choices=("pdf", "redirect", "url-upgrade"))
-            c.add_argument("--min-fix-confidence", default="suspect")
+            c.add_argument("--min-fix-confidence", default="dead-certain", choices=CONFIDENCES)
     c = commands.add_parser("cache")
     c.add_argument("what", choices=("stats", "clear"))
     return p
@@ -71,39 +77,45 @@ def cache_folder(settings=None) -> str:
     return own or os.path.join(os.environ.get("XDG_CACHE_HOME", os.path.expanduser("~/.cache")), "linkloom")
 
 
-def _scanned(spark, args, settings):
-    """(docs, scan) of the paths; raises OSError at one that is not there."""
-    from pyspark.sql import functions as F
+def _checked(spark, settings) -> None:
+    """Raises Usage at a pattern that is none, and at limits of nothing."""
+    from pyspark.errors import IllegalArgumentException
+
+    for pattern in settings.ignore_exclude_url:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+        except IllegalArgumentException as e:
+            raise Usage(f"--exclude-url {pattern!r}: {str(e).splitlines()[0]}") from None
+    for name in ("network_max_concurrency", "network_per_host"):
+        if getattr(settings, name) < 1:
+            raise Usage(f"{name.replace('_', '.', 1)} must be at least 1")
 
+
+def _scanned(spark, args, settings, own):
+    """(docs, scan) of the paths; raises OSError at one that is not there. Tables belong to ``own``."""
     from linkloom.operators import cache as cx
     from linkloom.operators import probe
-    from linkloom.operators import verdicts as vx
-    from linkloom.plans import judge
-    from linkloom.plans.scan import scan
+    from linkloom.plans import frontier
+    from linkloom.plans import scan as sx
     from linkloom.sources import cookies as jar
     from linkloom.sources import files
-    from linkloom.tables import settle
 
     paths = [*args.paths, *([x.strip() for x in sys.stdin if x.strip()] if args.stdin else [])] or ["."]
     if lost := [x for x in paths if not os.path.exists(x)]:
         raise OSError(f"no such path: {', '.join(lost)}")
     walked = files.listed(spark, paths, args.include, list(settings.ignore_exclude))
     docs = files.detected(files.contents(spark, walked))
+    links = sx.read(docs, own)
     cache = None if args.no_cache else cx.load(spark, cache_folder(settings))
     seen = spark.read.parquet(args.observations) if args.observations else None
     if seen is None and not args.offline:
-        from linkloom.functions import urls as ux
-        from linkloom.operators import extract
-
-        urls = extract.links(docs, "permissive").filter(F.coalesce(ux.is_http(F.col("url")), F.lit(False))).select("url").distinct()
-        seen = settle(probe.probe(judge.needed(urls), settings.network_per_host, settings.network_timeout, settings.network_retries, settings.network_user_agent), "observations")
-        if args.cookies and settings.auth_auth != "off":
-            first = judge.judged(urls, seen, auth="off")
-            refused = first.filter(vx.escalates(F.col("verdict"), 1, ux.host(F.col("url")))).select("url")
-            seen = seen.unionByName(settle(probe.probe_cookies(refused, jar.read(spark, args.cookies), settings.network_timeout, settings.network_user_agent), "cookies"))
-    out = scan(docs, seen, settings.ignore_exclude_url, settings.ignore_exclude_domain, check_local=not settings.ignore_local_links, auth=settings.auth_auth, cache=cache, ttl=int(settings.cache_ttl), refresh=args.refresh, files=walked)
+        limits = frontier.Limits(tuple(settings.ignore_exclude_url), tuple(settings.ignore_exclude_domain), cache, int(settings.cache_ttl), args.refresh)
+        held = jar.read(spark, args.cookies) if args.cookies else None
+        ask = lambda wanted: probe.probe(wanted, settings.network_per_host, settings.network_max_concurrency, settings.network_timeout, settings.network_retries, settings.network_user_agent, cookies=held)
+        seen, _ = frontier.observed(sx.web_urls(links), ask, own, limits, auth=settings.auth_auth, cookies=held is not None)
+    out = sx.scan(docs, seen, settings.ignore_exclude_url, settings.ignore_exclude_domain, check_local=not settings.ignore_local_links, auth=settings.auth_auth, cache=cache, ttl=int(settings.cache_ttl), refresh=args.refresh, files=walked, own=own, links=links)
     if out.cache is not None:
-        cx.save(settle(out.cache, "cache"), cache_folder(settings))
+        cx.update(own.settle(out.cache, "cache"), cache_folder(settings), out.stale)
     return docs, out
 
 
@@ -122,7 +134,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from linkloom.operators import fixes
     from linkloom.plans import report
     from linkloom.plans.scan import flat
-    from linkloom.tables import settle
+    from linkloom.tables import Scratch
 
     spark = spark or SparkSession.builder.appName("linkloom").getOrCreate()
     try:
@@ -133,35 +145,40 @@ def main(argv: list[str] | None = None, spark=None) -> int:
                 print(f"entries: {cx.load(spark, cache_folder()).count()}\nsize: {cx.size(spark, cache_folder())}")
             return CLEAN
         settings = _settings(args)
+        _checked(spark, settings)
         began = time.time()
-        docs, out = _scanned(spark, args, settings)
-        findings = settle(out.findings, "findings")
-        if args.command == "fix":
-            asked, refused = fixes.plan(findings, docs, args.min_fix_confidence, tuple(args.fix_exclude))
-            results = settle(fixes.run(docs, asked), "fixed")
-            written = settle(fixes.write(results, "copy" if args.copy else "in place", args.backup), "written") if args.write or args.copy else None
-            if written is None:
-                for r in results.filter("diff is not null").orderBy("path").toLocalIterator():
-                    print(r.diff, end="")
-            for r in refused.toLocalIterator():
-                print(f"refused {r.path}: {r.reason}", file=sys.stderr)
-            bad = results.filter("error is not null").select("path", "error")
-            bad = bad if written is None else bad.unionByName(written.filter("error is not null").select("path", "error"))
-            for r in bad.orderBy("path").toLocalIterator():
-                print(f"failed {r.path}: {r.error}", file=sys.stderr)
-            return FOUND if not bad.isEmpty() or not refused.isEmpty() else CLEAN
-        rows = flat(findings)
-        code = report.exit_code(rows, settings.output_fail_on).first()[0]
-        shown = findings.filter(report.rank(findings["verdict.confidence"]) >= report.RANK[args.min_confidence])
-        if args.json or args.format == "json":
-            text = report.json_report(shown, out.run.first().asDict(), int((time.time() - began) * 1000))
-        else:
-            text = report.sarif(shown, code) if args.format == "sarif" else report.table(flat(shown))
-        if args.output:
-            report.save(text, args.output)
-        else:
-            sys.stdout.write(text)
-        return FOUND if code else CLEAN
+        with Scratch(spark) as own:
+            docs, out = _scanned(spark, args, settings, own)
+            findings = own.settle(out.findings, "findings")
+            if args.command == "fix":
+                asked, refused = fixes.plan(findings, docs, args.min_fix_confidence, tuple(args.fix_exclude))
+                results = own.settle(fixes.run(docs, asked), "fixed")
+                written = own.settle(fixes.write(results, "copy" if args.copy else "in place", args.backup), "written") if args.write or args.copy else None
+                if written is None:
+                    for r in results.filter("diff is not null").orderBy("path").toLocalIterator():
+                        print(r.diff, end="")
+                for r in refused.toLocalIterator():
+                    print(f"refused {r.path}: {r.reason}", file=sys.stderr)
+                bad = results.filter("error is not null").select("path", "error")
+                bad = bad if written is None else bad.unionByName(written.filter("error is not null").select("path", "error"))
+                for r in bad.orderBy("path").toLocalIterator():
+                    print(f"failed {r.path}: {r.error}", file=sys.stderr)
+                return FOUND if not bad.isEmpty() or not refused.isEmpty() else CLEAN
+            rows = flat(findings)
+            code = report.exit_code(rows, settings.output_fail_on).first()[0]
+            shown = findings.filter(report.rank(findings["verdict.confidence"]) >= report.RANK[args.min_confidence])
+            if args.json or args.format == "json":
+                text = report.json_report(shown, out.run.first().asDict(), int((time.time() - began) * 1000))
+            else:
+                text = report.sarif(shown, code) if args.format == "sarif" else report.table(flat(shown))
+            if args.output:
+                report.save(text, args.output)
+            else:
+                sys.stdout.write(text)
+            return FOUND if code else CLEAN
+    except Usage as e:
+        print(f"error: {e}", file=sys.stderr)
+        return USAGE
     except (OSError, ValueError, KeyError, PySparkException) as e:
         print(f"error: {e}", file=sys.stderr)
         return ENVIRONMENT

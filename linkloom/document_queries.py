@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import text as tx
 from linkloom.functions import urls as ux
-from linkloom.operators import extract, fixes, local
+from linkloom.operators import cache as cx
+from linkloom.operators import extract, fixes, local, schedule
 from linkloom.operators import verdicts as vx
-from linkloom.plans import judge, report
+from linkloom.plans import frontier, judge, report
 from linkloom.plans import scan as sx
-from linkloom.queries import _pages, _pick, query
+from linkloom.queries import _pages, _pick, query, table
 from linkloom.sources import files
+from linkloom.tables import Scratch, folder, remove
 
 NOW = "2027-01-01"
 
@@ -321,18 +323,77 @@ def judged_urls(spark, sf_dir):
     return out.select("page_id", v["confidence"].alias("confidence"), v["reason"]["kind"].alias("reason"), v["reason"]["detail"].alias("detail"), first["kind"].alias("evidence_kind"), shown.alias("evidence"), v["tier"].alias("tier"))
 
 
+#: Case -> the waves that ask for something.
+_ASKED = {
+    **dict.fromkeys((1, 6, 7, 8), ("head",)), **dict.fromkeys((0, 2, 14, 18), ("head", "get", "sibling")), **dict.fromkeys((9, 11, 12, 15, 16), ("head", "get")),
+    3: ("head", "get", "cookie"), 4: ("head", "cookie"), 5: ("head", "cookie"), 17: ("head", "cookie"), 10: ("head", "get", "cookie"), 13: ("head", "get", "version"),
+}
+_BASE = {13: "https://h.test/v1/", 17: "https://github.com/"}
+_FIT = "page_id % 7 <> 3 AND page_id % 19 <> 5 AND NOT (page_id % 5 = 1 AND page_id % 10 <> 6)"
+
+
+def _frontier_sql() -> str:
+    rows = ", ".join(f"({m}, '{w}', '{_BASE.get(m, 'https://h.test/a/') if w != 'version' else 'https://h.test/v2/'}', '{dict(head='HEAD', cookie='COOKIE').get(w, 'GET')}')" for m, waves in _ASKED.items() for w in waves)
+    return f"""SELECT wave, CASE WHEN wave = 'sibling' THEN base || 'missing-' ELSE base || page_id END AS url, method, page_id FROM pages JOIN (VALUES {rows}) t(m, wave, base, method) ON page_id % {_CASES} = m WHERE {_FIT}"""
+
+
+@query(_frontier_sql())
+def request_frontier(spark, sf_dir):
+    """The requests of every wave: links of three kinds are left out (a pattern, a domain, a fresh cache), the others asked until a rule settles them."""
+    urls, world = _observed(spark, sf_dir)
+    k = F.col("page_id")
+    marked = F.when(k % 7 == 3, F.concat("url", F.lit("?skip"))).when(k % 19 == 5, F.concat(F.lit("https://a.skip.test/"), k.cast("string"))).otherwise(F.col("url"))
+    urls = urls.withColumn("url", marked)
+    said = F.to_json(vx.verdict("http-status", F.lit("404"), "status", F.lit("404"), 1))
+    now = F.unix_timestamp(F.lit(NOW).cast("timestamp"))
+    cached = urls.filter(k % 5 == 1).select("url", F.when(k % 2 == 0, said).alias("verdict_json"), F.when(k % 10 == 6, now - 99).otherwise(now).alias("checked_at"), F.lit(2).alias("tier"))
+    limits = frontier.Limits(("[?]skip$",), ("skip.test",), cached, 50)
+    own = Scratch(spark)
+    _, asked = frontier.observed(urls, lambda wanted: world.join(wanted.select("url", "method"), ["url", "method"], "left_semi"), own, limits, now=F.lit(NOW).cast("timestamp"), cookies=True)
+    names = urls.select("page_id", "url", ux.sibling(F.col("url")).alias("beside"), ux.version_upgrade(F.col("url")).alias("up"))
+    names = names.select("page_id", F.explode(F.array(F.struct("url"), F.struct(F.col("beside").alias("url")), F.struct(F.col("up").alias("url")))).alias("x")).select("page_id", "x.url")
+    return asked.join(names, "url").select("wave", F.regexp_replace("url", "missing-[0-9a-f]+$", "missing-").alias("url"), "method", "page_id")
+
+
+@query("""WITH RECURSIVE r AS (SELECT 'h' || o_custkey % 61 AS host, o_orderkey AS k, 20 + o_orderkey * 37 % 400 AS took, row_number() OVER (PARTITION BY o_custkey % 61 ORDER BY o_orderkey) AS n FROM orders),
+w AS (SELECT host, 0::BIGINT AS n, [0, 0, 0, 0]::BIGINT[] AS ends, NULL::BIGINT AS k, NULL::BIGINT AS began, NULL::BIGINT AS slot FROM (SELECT DISTINCT host FROM r) UNION ALL
+SELECT w.host, w.n + 1, list_transform(w.ends, lambda e, i: CASE WHEN i = list_position(w.ends, list_min(w.ends)) THEN e + r.took ELSE e END), r.k, list_min(w.ends), list_position(w.ends, list_min(w.ends)) - 1 FROM w JOIN r ON r.host = w.host AND r.n = w.n + 1)
+SELECT host, k AS o_orderkey, slot::INT AS slot, began AS start_ms FROM w WHERE k IS NOT NULL""")
+def host_schedule(spark, sf_dir):
+    """Orders as requests of 61 hosts, with durations by key: four of a host at a time, the others as soon as one ends."""
+    k = F.col("o_orderkey")
+    asked = table(spark, sf_dir, "orders").select(F.concat(F.lit("h"), (F.col("o_custkey") % 61).cast("string")).alias("host"), "o_orderkey", (20 + k * 37 % 400).alias("took_ms"))
+    return schedule.planned(asked, order="o_orderkey").select("host", "o_orderkey", "slot", "start_ms")
+
+
+@query("""WITH r AS (SELECT o_custkey AS c, max(o_orderkey) FILTER (o_orderkey % 3 <> 0) AS a, max(o_orderkey) FILTER (o_orderkey % 3 = 0 AND o_custkey % 4 = 0) AS b, max(o_custkey % 10) = 5 AND count(*) FILTER (o_orderkey % 3 = 0 AND o_custkey % 4 = 0) = 0 AS gone FROM orders GROUP BY 1)
+SELECT 'https://h.test/' || c AS url, greatest(coalesce(a, b), coalesce(b, a)) AS checked_at FROM r WHERE coalesce(a, b) IS NOT NULL AND NOT gone""")
+def cache_updates(spark, sf_dir):
+    """Customers' orders as verdicts in a cache on disk, by two updates of its buckets; the second also takes URLs out."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(_text("https://h.test/", F.col("o_custkey").cast("string")).alias("url"), F.lit(None).cast("string").alias("verdict_json"), F.col("o_orderkey").alias("checked_at"), F.lit(1).alias("tier"), "o_custkey")
+    none = rows.limit(0).drop("o_custkey")
+    at = folder(spark, "cache")
+    cx.update(cx.upsert(none, rows.filter("checked_at % 3 <> 0").drop("o_custkey")), at)
+    cx.update(cx.upsert(none, rows.filter("checked_at % 3 = 0 AND o_custkey % 4 = 0").drop("o_custkey")), at, rows.filter("o_custkey % 10 = 5").select("url"))
+    kept = Scratch(spark)
+    out = kept.keep(kept.settle(cx.load(spark, at).select("url", "checked_at"), "cached"))
+    remove(spark, at)
+    return out
+
+
 _PAGE = [(404, "https://h.test/", "x", "http-status", "cookie-status"), (200, "https://h.test/signin", "x", "login-wall", "browser-page"), (200, "https://h.test/", "a CAPTCHA", "login-wall", "browser-page"), (200, "https://h.test/", "Sign in <input type='password'>", "login-wall", "browser-page"), (200, "https://h.test/", "Sign in here", None, None), (204, "https://h.test/", "", None, None)]
 
 
 @query(f"SELECT page_id, c.c3 AS reason, c.c4 AS evidence FROM (SELECT page_id, {_cases(_PAGE, 5)}[(page_id % {len(_PAGE)})::INT + 1] AS c FROM pages)")
 def browser_pages(spark, sf_dir):
     """What a browser's page says."""
-    o = F.struct(_pick([x[0] for x in _PAGE], _k()).alias("status"), _pick([x[1] for x in _PAGE], _k()).alias("final_url"), _pick([x[2] for x in _PAGE], _k()).alias("body"))
+    o = F.struct(_pick([x[0] for x in _PAGE], _k()).alias("status"), _pick([x[1] for x in _PAGE], _k()).alias("final_url"), vx.page_signs(_pick([x[2] for x in _PAGE], _k())).alias("walled"))
     v = vx.by_page(o)
     return _pages(spark, sf_dir).select("page_id", v["reason"]["kind"].alias("reason"), F.get(v["evidence"], F.lit(0))["kind"].alias("evidence"))
 
 
-_AFTER = [("7", 7), ("0", 0), ("99", 30), ("Fri, 01 Jan 2027 00:00:09 GMT", 9), ("Fri, 01 Jan 2027 00:10:00 GMT", 30), ("Thu, 31 Dec 2026 00:00:00 GMT", None), ("soon", None), (None, None)]
+_AFTER = [("7", 7), ("0", 0), ("99", 30), ("Fri, 01 Jan 2027 00:00:09 GMT", 9), ("Fri, 01 Jan 2027 00:10:00 GMT", 30), ("Thu, 31 Dec 2026 00:00:00 GMT", None), ("Fri, 1 Jan 2027 02:00:07 +0200", 7), ("1 Jan 2027 00:00:05 GMT", 5), ("Friday, 1 Jan 2027 00:00:40 +0000", 30), ("soon", None), (None, None)]
 
 
 @query(f"SELECT page_id, c.c1::BIGINT AS seconds FROM (SELECT page_id, {_cases(_AFTER, 2)}[(page_id % {len(_AFTER)})::INT + 1] AS c FROM pages)")
@@ -365,10 +426,13 @@ def _cached_scan(spark, sf_dir, refresh: bool = False) -> sx.Scan:
     url = _text("https://h.test/", _key())
     docs = _written(spark, sf_dir, "text", _text("see ", url, " and ", url, "."))
     seen = p.select(url.alias("url"), F.lit("HEAD").alias("method"), F.lit(410).alias("status"))
+    return sx.scan(docs, seen, now=F.lit(NOW).cast("timestamp"), cache=_cache_of(spark, sf_dir), ttl=50, refresh=refresh)
+
+
+def _cache_of(spark, sf_dir) -> DataFrame:
     said = F.to_json(vx.verdict("http-status", F.lit("404"), "status", F.lit("404"), 1))
     now = F.unix_timestamp(F.lit(NOW).cast("timestamp"))
-    cache = p.select(url.alias("url"), F.when(_k() % 4 == 0, "{bad").when(_k() % 4 != 3, said).alias("verdict_json"), F.when(_k() % 4 == 2, now - 100).otherwise(now - 50).alias("checked_at"), F.lit(1).alias("tier"))
-    return sx.scan(docs, seen, now=F.lit(NOW).cast("timestamp"), cache=cache, ttl=50, refresh=refresh)
+    return _pages(spark, sf_dir).select(_text("https://h.test/", _key()).alias("url"), F.when(_k() % 4 == 0, "{bad").when(_k() % 4 != 3, said).alias("verdict_json"), F.when(_k() % 4 == 2, now - 100).otherwise(now - 50).alias("checked_at"), F.lit(1).alias("tier"))
 
 
 @query(f"SELECT page_id || '.text' AS path, 'https://h.test/' || page_id AS url, unnest([5, 6 + 4 + strlen('https://h.test/' || page_id)])::BIGINT AS \"column\", {_CACHED} AS detail FROM pages WHERE {_CACHED} IS NOT NULL")
@@ -386,7 +450,8 @@ def refreshed_scan(spark, sf_dir):
 @query("SELECT 'https://h.test/' || page_id AS url, CASE page_id % 4 WHEN 1 THEN '404' WHEN 3 THEN NULL ELSE '410' END AS detail, page_id % 4 IN (0, 2) AS renewed FROM pages")
 def cache_after_scan(spark, sf_dir):
     """The next cache: new verdicts over old ones, malformed rows gone."""
-    kept = _cached_scan(spark, sf_dir).cache
+    found = _cached_scan(spark, sf_dir)
+    kept = cx.upsert(cx.wellformed(_cache_of(spark, sf_dir)), found.cache)
     return kept.select("url", F.get_json_object("verdict_json", "$.reason.detail").alias("detail"), (F.col("checked_at") == F.unix_timestamp(F.lit(NOW).cast("timestamp"))).alias("renewed"))
 
 

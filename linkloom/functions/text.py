@@ -20,8 +20,13 @@ def words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(ascii_lower(c), "[^a-z0-9]+"), lambda w: w != ""))
 
 
+def word_hashes(c: Column) -> Column:
+    """The words' 64-bit hashes, in order: as good as the words for similarity, and shorter."""
+    return F.array_sort(F.transform(words(c), lambda w: F.xxhash64(w)))
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two word sets; 0 if either has under three words."""
+    """Jaccard similarity of two word sets, of words or their hashes; 0 if either has under three words."""
     both = F.size(F.array_intersect(a, b))
     value = both / (F.size(a) + F.size(b) - both)
     return F.when((F.size(a) < 3) | (F.size(b) < 3), 0.0).otherwise(value)

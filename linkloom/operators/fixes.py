@@ -295,7 +295,7 @@ def _replace(target: str, body: bytes) -> None:
     os.replace(own, target)
 
 
-def plan(findings: DataFrame, docs: DataFrame, least: str = "suspect", excluded: tuple = ()) -> tuple[DataFrame, DataFrame]:
+def plan(findings: DataFrame, docs: DataFrame, least: str = "dead-certain", excluded: tuple = ()) -> tuple[DataFrame, DataFrame]:
     """(replacements, refused) of a scan's findings, both by path order.
 
     replacements: path, old, new, of fixes that may be made. refused: path, reason, of PDFs that

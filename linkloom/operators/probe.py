@@ -1,20 +1,27 @@
 """Observing URLs over HTTP: one row an attempt, kept apart from judging.
 
-Run it on URLs dealt by host key, persist what it gives, and judge that. A repeated task
-repeats its requests, so keep speculation off for this stage.
+Persist what it gives, and judge that. A repeated task repeats its requests, so keep speculation
+off for this stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls as ux
+from linkloom.operators.schedule import Drain
 from linkloom.sources.cookies import header
 
 OBSERVATION = "url string, method string, attempt int, hops array<struct<status:int,url:string>>, status int, final_url string, termination string, error_kind string, error_message string, last_modified string, retry_after string, body string"
 BODY_LIMIT, HOPS = 262_144, 10
+#: Longest wait before another attempt, in seconds.
+LONGEST = 30.0
+#: URLs that a task reads ahead.
+AHEAD = 1 << 16
 
 
 def _error(e: Exception) -> tuple[str, str]:
@@ -67,84 +74,71 @@ def observe(url: str, method: str, timeout: float, agent: str, cookies: list[tup
     return out | {"url": url, "method": method, "hops": hops, "final_url": at}
 
 
-class _Hosts:
-    """At most so many requests at once for each host, of one process."""
-
-    def __init__(self, most: int):
-        import threading
+def asked_wait(value: str | None, now: float) -> float | None:
+    """Seconds that a Retry-After header asks for: a number, or a date yet to come."""
+    from email.utils import parsedate_to_datetime
 
-        self.most, self.lock, self.own = most, threading.Lock(), {}
+    if value is None:
+        return None
+    if value.isascii() and value.isdigit():
+        return float(value)
+    try:
+        left = parsedate_to_datetime(value).timestamp() - now
+    except ValueError:
+        return None
+    return left if left >= 0 else None
 
-    def __call__(self, url: str):
-        import threading
-        from urllib.parse import urlsplit
 
-        with self.lock:
-            return self.own.setdefault(urlsplit(url).netloc.lower(), threading.Semaphore(self.most))
+def again_after(seen: dict, attempt: int, base_s: float, now: float) -> float | None:
+    """Seconds to wait before another attempt; null: this one stands."""
+    status = seen["status"]
+    if seen["error_kind"] not in ("timeout", "conn-refused") and not (status is not None and (status >= 500 or status in (408, 429))):
+        return None
+    wait = base_s * 2**attempt
+    if status == 429:
+        wait = max(wait, asked_wait(seen["retry_after"], now) or 0.0)
+    return min(LONGEST, wait)
 
 
-def probe(urls: DataFrame, per_host: int = 4, timeout: float = 20.0, retries: int = 2, agent: str = "linkloom", base_s: float = 1.0, threads: int = 16) -> DataFrame:
-    """urls (url) to observations: HEAD, then GET where HEAD is refused or clean.
+def probe(requests: DataFrame, per_host: int = 4, limit: int = 128, timeout: float = 20.0, retries: int = 2, agent: str = "linkloom", base_s: float = 1.0, cookies: DataFrame | None = None) -> DataFrame:
+    """requests (url, method: HEAD, GET, or COOKIE for a GET with cookies) to observations, a row an attempt.
 
-    All URLs of a host meet in one partition, whose requests run in ``threads`` threads, ``per_host`` at once for
-    a host: a slow host holds up its own URLs only. Over the run: threads times the running tasks.
+    All requests of a host meet in one task, ``per_host`` at a time; over the run, ``limit`` at a
+    time. A task reads its hosts' requests in turn, so that a slow host, or one that waits for its
+    next attempt, holds up its own only. cookies: a user's own (sources.cookies), a setting that goes to every task.
     """
+    spark = requests.sparkSession
+    held = [tuple(r) for r in cookies.collect()] if cookies is not None else None
     names = [x.split()[0] for x in OBSERVATION.split(", ")]
+    most = max(1, min(limit, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    threads = max(1, limit // max(1, min(most, spark.sparkContext.defaultParallelism)))
 
-    def one(url: str) -> list[dict]:
+    def work(batches: Iterator[pd.DataFrame]):
         import time
 
-        rows = []
-        for method in ("HEAD", "GET"):
-            for attempt in range(retries + 1):
-                o = observe(url, method, timeout, agent) | {"attempt": attempt}
-                rows.append(o)
-                s = o["status"]
-                again = o["error_kind"] in ("timeout", "conn-refused") or (s is not None and (s >= 500 or s in (408, 429)))
-                if not again or attempt == retries:
-                    break
-                wait = min(30.0, base_s * 2**attempt)
-                if s == 429 and (o["retry_after"] or "").isdigit():
-                    wait = max(wait, min(30.0, float(o["retry_after"])))
-                time.sleep(wait)
-            s = rows[-1]["status"]
-            if method == "HEAD" and not (s in (403, 405, 501) or (s is not None and s < 300)):
-                break
-        return rows
-
-    def work(batches):
-        from concurrent.futures import ThreadPoolExecutor
-
-        hosts = _Hosts(per_host)
-
-        def held(url: str) -> list[dict]:
-            with hosts(url):
-                return one(url)
-
-        with ThreadPoolExecutor(threads) as pool:
+        tries: dict[tuple, int] = {}
+
+        def make(item: tuple) -> tuple[dict, float | None]:
+            url, method = item
+            attempt = tries.get(item, 0)
+            tried = method == "COOKIE"
+            seen = observe(url, "GET" if tried else method, timeout, agent, held if tried else None) | {"attempt": attempt, "method": method}
+            again = again_after(seen, attempt, base_s, time.time()) if attempt < retries and not tried else None
+            if again is None:
+                tries.pop(item, None)
+            else:
+                tries[item] = attempt + 1
+            return seen, again
+
+        with Drain(make, per_host, threads) as drain:
             for pdf in batches:
-                found = [r for rows in pool.map(held, pdf["url"]) for r in rows]
-                yield pd.DataFrame(found, columns=names)
-
-    n = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return urls.select("url").distinct().repartition(n, ux.host_key(F.col("url"))).mapInPandas(work, OBSERVATION)
-
-
-def probe_cookies(urls: DataFrame, cookies: DataFrame, timeout: float = 20.0, agent: str = "linkloom", threads: int = 16) -> DataFrame:
-    """urls (url) that were refused, once more by GET with cookies: observations of method COOKIE, one try each.
-
-    cookies: a user's own (sources.cookies), a setting that goes to every task.
-    """
-    held = [tuple(r) for r in cookies.collect()]
-    names = [x.split()[0] for x in OBSERVATION.split(", ")]
-
-    def work(batches):
-        from concurrent.futures import ThreadPoolExecutor
-
-        with ThreadPoolExecutor(threads) as pool:
-            for pdf in batches:
-                found = list(pool.map(lambda u: observe(u, "GET", timeout, agent, held) | {"attempt": 0, "method": "COOKIE"}, pdf["url"]))
-                yield pd.DataFrame(found, columns=names)
-
-    n = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return urls.select("url").distinct().repartition(n, ux.host_key(F.col("url"))).mapInPandas(work, OBSERVATION)
+                for host, url, method in zip(pdf["_host"], pdf["url"], pdf["method"]):
+                    drain.add(host, (url, method))
+                    while drain.open >= AHEAD:
+                        yield pd.DataFrame(drain.rows(AHEAD), columns=names)
+            while drain.open or drain.found:
+                yield pd.DataFrame(drain.rows(1), columns=names)
+
+    turn = F.row_number().over(Window.partitionBy("_host").orderBy("url", "method"))
+    dealt = requests.select("url", "method", F.coalesce(ux.host_key(F.col("url")), F.lit("")).alias("_host")).distinct().repartition(most, "_host")
+    return dealt.withColumn("_turn", turn).sortWithinPartitions("_turn", "_host").mapInPandas(work, OBSERVATION)

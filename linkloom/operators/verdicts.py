@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import text as tx
 from linkloom.functions import urls as ux
-from linkloom.tables import settle
+from linkloom.tables import Scratch
 
 #: Confidence of each reason, and ranks (greater: more certain).
 RANK = {"dead-certain": 5, "likely-dead": 4, "outdated": 3, "auth-walled": 2, "suspect": 1}
@@ -72,8 +72,10 @@ def far_past(last_modified: Column, now: Column) -> Column:
 
 
 def http_date(value: Column) -> Column:
-    """The timestamp of a date as HTTP headers give it; null if it isn't one."""
-    return F.try_to_timestamp(F.regexp_replace(value, "^[A-Za-z]{3},\\s*", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
+    """The timestamp of a date as HTTP headers give it, with one digit or two of the day and a zone by name or offset; null if it isn't one."""
+    bare = F.trim(F.regexp_replace(value, "^\\s*[A-Za-z]{3,9},\\s*", ""))
+    offset = bare.rlike("[+-][0-9]{4}$")
+    return F.when(offset, F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss xx"))).otherwise(F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss z")))
 
 
 VERDICT = "struct<confidence:string,reason:struct<kind:string,detail:string>,evidence:array<struct<kind:string,detail:string>>,tier:int>"
@@ -100,16 +102,16 @@ def observed(o: Column, tier: int = 1) -> Column:
 
 
 def heuristic(url: Column, get: Column, upgrade: Column, beside: Column, now: Column) -> Column:
-    """The verdict of a clean URL by what its GET shows; upgrade, beside: GETs of ``version_upgrade`` and ``sibling``. A GET that failed or did not end says nothing."""
+    """The verdict of a clean URL by what its GET shows (noted: words and stale in place of the body); upgrade, beside: GETs of ``version_upgrade`` and ``sibling``. A GET that failed or did not end says nothing."""
     modified = http_date(get["last_modified"])
     ok = lambda o: F.coalesce(o["status"].between(200, 299) & o["error_kind"].isNull() & o["termination"].isNull(), F.lit(False))
-    alike = tx.similarity(tx.words(get["body"]), tx.words(beside["body"]))
-    reason = cascade(url, get["status"], get["hops"], modified, get["body"], F.when(ok(upgrade), upgrade["status"]), F.when(ok(beside), beside["status"]), alike, now)
+    alike = tx.similarity(get["words"], beside["words"])
+    reason = cascade(url, get["status"], get["hops"], modified, get["stale"], F.when(ok(upgrade), upgrade["status"]), F.when(ok(beside), beside["status"]), alike, now)
     proofs = {
         "login-wall": ("redirect-chain", chain(url, get["hops"])),
         "permanent-redirect": ("redirect-target", get["final_url"]),
         "far-past": ("last-modified", F.date_format(modified, "EEE, d MMM yyyy HH:mm:ss Z")),
-        "staleness-banner": ("staleness-phrase", tx.staleness(get["body"])),
+        "staleness-banner": ("staleness-phrase", get["stale"]),
         "version-drift": ("version-upgrade", ux.version_upgrade(url)),
         "soft-404": ("sibling-similarity", F.concat(ux.sibling(url), F.lit(" ("), tx.two_digits(alike), F.lit(")"))),
     }
@@ -128,13 +130,18 @@ def by_cookies(o: Column) -> Column:
     return F.when(~exhausted & login_wall(o["hops"]), verdict("login-wall", None, "cookie-redirect-chain", way, 2)).when(~status.between(200, 299), verdict("http-status", status, "cookie-status", status.cast("string"), 2))
 
 
-def by_page(o: Column) -> Column:
-    """The tier 3 verdict of a page as a browser shows it; null: clean."""
-    page = tx.ascii_lower(F.coalesce(o["body"], F.lit("")))
+def page_signs(body: Column) -> Column:
+    """Whether a page's text shows a wall: a captcha, a challenge, or a sign-in with a password."""
+    page = tx.ascii_lower(F.coalesce(body, F.lit("")))
     password = F.lit(False)
     for sign in ('type="password"', "type='password'", 'name="password"', "name='password'"):
         password = password | F.contains(page, F.lit(sign))
-    walled = auth_component(o["final_url"]) | F.contains(page, F.lit("captcha")) | F.contains(page, F.lit("challenge")) | (F.contains(page, F.lit("sign in")) & password)
+    return F.contains(page, F.lit("captcha")) | F.contains(page, F.lit("challenge")) | (F.contains(page, F.lit("sign in")) & password)
+
+
+def by_page(o: Column) -> Column:
+    """The tier 3 verdict of a page as a browser shows it (walled: page_signs); null: clean."""
+    walled = auth_component(o["final_url"]) | o["walled"]
     return F.when(~o["status"].between(200, 299), verdict("http-status", o["status"], "cookie-status", o["status"].cast("string"), 3)).when(walled, verdict("login-wall", None, "browser-page", o["final_url"], 3))
 
 
@@ -167,14 +174,14 @@ def escalates(v: Column, tier: int, host: Column) -> Column:
     return v.isNotNull() & escalates_to_browser(v["confidence"], status, said)
 
 
-def cascade(start: Column, status: Column, hops: Column, last_modified: Column, body: Column, upgrade_status: Column, sibling_status: Column, similar: Column, now: Column) -> Column:
-    """Reason after a clean status; null: clean."""
+def cascade(start: Column, status: Column, hops: Column, last_modified: Column, stale: Column, upgrade_status: Column, sibling_status: Column, similar: Column, now: Column) -> Column:
+    """Reason after a clean status; null: clean. stale: the phrase of ``text.staleness``."""
     return (
         F.when(login_wall(hops), "login-wall")
         .when(permanent_redirect(status, hops), "permanent-redirect")
         .when(~status.between(200, 299), F.lit(None).cast("string"))
         .when(far_past(last_modified, now), "far-past")
-        .when(tx.staleness(body).isNotNull(), "staleness-banner")
+        .when(stale.isNotNull(), "staleness-banner")
         .when(F.coalesce(upgrade_status.between(200, 299) & ux.version_upgrade(start).isNotNull(), F.lit(False)), "version-drift")
         .when(F.coalesce(sibling_status.between(200, 299) & (similar >= SIMILAR), F.lit(False)), "soft-404")
     )
@@ -203,25 +210,31 @@ def wait_ms(status: Column, attempt: Column, retry_after_s: Column) -> Column:
 
 
 def closures(edges: DataFrame, limit: int = HOPS) -> DataFrame:
-    """(start, hop, url, end): the redirect chain of every url of edges (url, target), by a join a hop, ``limit`` + 1 at most, over settled tables.
+    """(start, hop, url, end): the redirect chain of every url of edges (url, target), ``limit`` + 1 hops at most.
 
-    end: terminal, loop or limit, on the last row of each chain; null before it.
+    end: terminal, loop or limit, on the last row of each chain; null before it. Ways double: those of
+    up to 2^k hops, joined once, give those of up to 2^(k+1), so that 11 hops take four joins of rows of fixed width. A url of several
+    targets has the least; a null url or target is no redirect.
     """
-    edges = settle(edges.select("url", "target"), "redirects")
-    walk = edges.select(F.col("url").alias("start"), F.lit(0).alias("hop"), "url", F.array("url").alias("seen"), F.lit(False).alias("looped"))
-    walked = walk
-    for hop in range(1, limit + 2):
-        step = walk.filter("NOT looped").join(edges, "url")
-        walk = settle(step.select("start", F.lit(hop).alias("hop"), F.col("target").alias("url"), F.array_append("seen", F.col("target")).alias("seen"), F.array_contains("seen", F.col("target")).alias("looped")), "redirects")
-        if walk.isEmpty():
-            break
-        walked = walked.unionByName(walk)
-    walked = walked.drop("seen")
-    from pyspark.sql import Window
-
-    last = F.max("hop").over(Window.partitionBy("start"))
-    end = F.when(F.col("looped"), "loop").when(F.col("hop") > limit, "limit").when(F.col("hop") == last, "terminal")
-    return walked.withColumn("end", F.when(F.col("hop") == last, end)).drop("looped")
+    with Scratch(edges.sparkSession) as own:
+        plain = edges.filter("url is not null and target is not null").groupBy("url").agg(F.min("target").alias("target"))
+        ways = own.settle(plain.select(F.col("url").alias("start"), F.lit(1).alias("hop"), F.col("target").alias("url")), "redirects")
+        far = 1
+        while far <= limit:
+            ends = ways.filter(F.col("hop") == far).select("start", F.col("url").alias("mid"))
+            on = ways.filter(F.col("hop") <= limit + 1 - far).select(F.col("start").alias("mid"), (F.col("hop") + far).alias("hop"), "url")
+            longer = own.settle(ways.unionByName(ends.join(on, "mid").select("start", "hop", "url")), "redirects")
+            own.drop(ways)
+            ways, far = longer, far * 2
+        own.keep(ways)
+    # a chain has at most limit + 2 places, so that it fits an array
+    rows = ways.groupBy("start").agg(F.collect_list(F.struct("hop", "url")).alias("way")).withColumn("chain", F.concat(F.array("start"), F.transform(F.array_sort("way"), lambda x: x["url"])))
+    back = F.transform("chain", lambda u, i: F.array_position(F.col("chain"), u) <= i)  # the place was there before
+    looped = F.array_position(back, F.lit(True)).cast("int")
+    rows = rows.withColumn("looped", looped).withColumn("chain", F.when(looped > 0, F.slice("chain", F.lit(1), looped)).otherwise(F.col("chain")))
+    last = F.size("chain") - 1
+    end = F.when(F.col("looped") > 0, "loop").when(last > limit, "limit").otherwise("terminal")
+    return rows.select("start", last.alias("last"), end.alias("_end"), F.posexplode("chain").alias("hop", "url")).select("start", "hop", "url", F.when(F.col("hop") == F.col("last"), F.col("_end")).alias("end"))
 
 
 def escalates_to_cookies(status: Column, reason: Column, host: Column) -> Column:

@@ -127,7 +127,7 @@ _JACCARD = "CASE WHEN len(a.w) < 3 OR len(b.w) < 3 THEN 0.0 ELSE len(list_inters
 @query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT a.doc_id, {_JACCARD} AS similarity FROM d a JOIN d b ON b.doc_id = a.doc_id - a.doc_id % 2 + 1 - a.doc_id % 2) SELECT doc_id, similarity, similarity >= 0.9 AS soft_404 FROM p""")
 def soft_404_pairs(spark, sf_dir):
     """Synthetic: each document is a page, and the one that shares its half key the sibling that should not exist."""
-    d = table(spark, sf_dir, "documents").select("doc_id", tx.words(F.col("text")).alias("w"))
+    d = table(spark, sf_dir, "documents").select("doc_id", tx.word_hashes(F.col("text")).alias("w"))
     k = F.col("doc_id")
     other = d.select(k.alias("sibling"), F.col("w").alias("v"))
     both = d.withColumn("sibling", k - k % 2 + 1 - k % 2).join(other, "sibling")
@@ -142,9 +142,12 @@ def staleness_banner(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.staleness(F.concat_ws(" ", "text", said)).alias("phrase"))
 
 
-@query("SELECT event_id, ts < TIMESTAMP '2027-01-01' - INTERVAL 730 DAY AS old FROM events")
+@query("SELECT event_id, date_trunc('second', ts) < TIMESTAMP '2027-01-01' - INTERVAL 730 DAY AS old FROM events")
 def far_past(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", vx.far_past(F.col("ts"), F.lit("2027-01-01").cast("timestamp")).alias("old"))
+    """The events' times as headers, with one digit or two of the day, by zone or offset, and read again."""
+    k, ts = F.col("event_id") % 3, F.date_trunc("second", F.col("ts"))
+    said = F.when(k == 0, F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(k == 1, F.date_format(ts, "EEE, d MMM yyyy HH:mm:ss '+0000'")).otherwise(F.date_format(ts + F.expr("INTERVAL 2 HOURS"), "d MMM yyyy HH:mm:ss '+0200'"))
+    return table(spark, sf_dir, "events").select("event_id", vx.far_past(vx.http_date(said), F.lit("2027-01-01").cast("timestamp")).alias("old"))
 
 
 _STATUS = "[200, 404, 403, 500, 301, 410, 451, 401, 429, 204][(o_orderkey % 10)::INT + 1]"
@@ -209,7 +212,7 @@ def rule_cascade(spark, sf_dir):
     now = F.lit("2027-01-01").cast("timestamp")
     modified = F.when(k % 7 == 0, F.lit("2020-01-01").cast("timestamp"))
     body = F.when(k % 11 == 0, "This page is DEPRECATED").otherwise("text")
-    reason = vx.cascade(F.concat(F.lit("https://h.test/v1/"), k.cast("string")), F.col("status"), F.col("hops"), modified, body, F.when(k % 2 == 0, 200).otherwise(404), F.when(k % 3 == 0, 200).otherwise(404), F.lit(1.0), now)
+    reason = vx.cascade(F.concat(F.lit("https://h.test/v1/"), k.cast("string")), F.col("status"), F.col("hops"), modified, tx.staleness(body), F.when(k % 2 == 0, 200).otherwise(404), F.when(k % 3 == 0, 200).otherwise(404), F.lit(1.0), now)
     return c.select("page_id", reason.alias("reason"))
 
 
@@ -432,13 +435,13 @@ def _zip_of(*names: str) -> bytes:
     return out.getvalue()
 
 
-@query("""SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'pdf' WHEN 1 THEN 'markdown' WHEN 2 THEN 'html' WHEN 3 THEN 'text' WHEN 4 THEN 'docx' WHEN 6 THEN 'docx' WHEN 7 THEN 'xlsx' WHEN 8 THEN 'pptx' WHEN 9 THEN 'text' END AS format FROM pages WHERE page_id % 12 NOT IN (5, 10, 11)""")
+@query("""SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'pdf' WHEN 1 THEN 'markdown' WHEN 2 THEN 'html' WHEN 3 THEN 'text' WHEN 4 THEN 'docx' WHEN 6 THEN 'docx' WHEN 7 THEN 'xlsx' WHEN 8 THEN 'pptx' WHEN 9 THEN 'text' END AS format FROM pages WHERE page_id % 12 NOT IN (5, 10, 11) AND NOT (page_id % 12 = 3 AND page_id % 24 = 3)""")
 def detect_formats(spark, sf_dir):
-    """Synthetic files: magic over members over extension over content; other binaries, and unknown files over 2 MiB, are left out."""
+    """Synthetic files: magic over members over extension over content; other binaries, content that is not UTF-8, and unknown files over 2 MiB, are left out."""
     k = F.col("page_id") % 12
     name = _pick(["a.txt", "b.MD", "c.html", "noext", "d.docx", "e.bin", "f.txt", "g", "h.html", "i.txt", "j.dat", "k.bin"], F.col("page_id"))
     zips = {6: _zip_of("word/a.xml"), 7: _zip_of("xl/a.xml"), 8: _zip_of("ppt/a.xml"), 9: _zip_of("other/a"), 10: _zip_of("other/a")}
-    body = F.when(k == 0, F.encode(F.lit("%PDF-1.7"), "utf-8")).when(k == 5, F.unhex(F.lit("000102030405")))
+    body = F.when(F.col("page_id") % 24 == 3, F.unhex(F.lit("89504E47FFFE80"))).when(k == 0, F.encode(F.lit("%PDF-1.7"), "utf-8")).when(k == 5, F.unhex(F.lit("000102030405")))
     for i, z in zips.items():
         body = body.when(k == i, F.lit(bytearray(z)))
     body = body.otherwise(F.encode(F.lit("plain text"), "utf-8"))

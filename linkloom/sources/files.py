@@ -182,7 +182,7 @@ def text_like(content: Column) -> Column:
     """Valid UTF-8, and at most 1 % control bytes (but line feeds, returns and tabs) in the first 8 KiB."""
     head = F.hex(F.substring(content, 1, PROBE))
     controls = F.regexp_count(F.regexp_replace(head, "(..)", "$1 "), F.lit("(?:0[0-8BCEF]|1[0-9A-F]|7F) "))
-    return F.is_valid_utf8(F.decode(content, "utf-8")) & (controls * 100 <= F.least(F.length(content), F.lit(PROBE)))
+    return F.is_valid_utf8(content.cast("string")) & (controls * 100 <= F.least(F.length(content), F.lit(PROBE)))
 
 
 def detected(files: DataFrame) -> DataFrame:

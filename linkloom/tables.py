@@ -63,8 +63,7 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        for df, *_ in list(self.held.values()):
-            self.drop(df)
+        self.drop(*self.tables())
 
     def settle(self, df: DataFrame, name: str = "table") -> DataFrame:
         """The rows written to the shared folder and read from there: computed once."""
@@ -86,6 +85,9 @@ class Scratch:
         self.held[id(df)] = (df, path, table)
         return df
 
+    def tables(self) -> list[DataFrame]:
+        return [df for df, *_ in self.held.values()]
+
     def keep(self, *tables: DataFrame) -> DataFrame:
         """These tables stay when the call ends, as what it returns reads them; gives the first."""
         for df in tables:

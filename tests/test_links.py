@@ -252,8 +252,9 @@ def test_commands(spark, tmp_path, monkeypatch, capsys):
     assert {x["url"] for x in said["findings"]} == {"b.md", "https://h.test/old"} and said["run"]["files_scanned"] == 2
     assert run("scan", "--fail-on", "dead-certain", "--no-local") == 0  # from the cache
     assert "OUTDATED" in capsys.readouterr().out
-    assert run("fix") == 0 and "+[x](b.md) https://h.test/new" in capsys.readouterr().out
-    assert run("fix", "--write", "--backup") == 0
+    assert run("fix") == 0 and capsys.readouterr().out == ""  # only dead-certain fixes without a word
+    assert run("fix", "--min-fix-confidence", "outdated") == 0 and "+[x](b.md) https://h.test/new" in capsys.readouterr().out
+    assert run("fix", "--write", "--backup", "--min-fix-confidence", "outdated") == 0
     assert (tmp_path / "d/a.md").read_text() == "[x](b.md) https://h.test/new\n" and (tmp_path / "d/a.md.bak").exists()
     assert main(["cache", "stats"], spark) == 0 and "entries: 1" in capsys.readouterr().out
     assert main(["cache", "clear"], spark) == 0 and not (tmp_path / "cache").exists()
