@@ -36,10 +36,13 @@ from linkloom.llm._run import Scratch
 SYMBOLS = b"#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 VECTOR = ["v_length", "v_marks", "v_upper", "v_again", "v_short", "v_vowels"]
-#: Added to every variance: keeps a scatter invertible where a group's texts agree in a statistic.
-RIDGE = 1e-5
 #: The words at which a deviation counts 1 / sqrt(2): far more than most texts have, so that chance is alike in texts of most lengths.
 HALF = 400.0
+#: Variance that chance alone gives a statistic at HALF words: 1 / 4 of the count a share is of (words; characters and letters, six a word). No
+#: group's variance is taken for less, so that one number or name is no outlier among texts that have none.
+CHANCE = np.array([1 / (4 * HALF), 1 / (24 * HALF), 1 / (24 * HALF), 1 / (4 * HALF), 1 / (4 * HALF), 1 / (24 * HALF)])
+#: Added to every variance besides: keeps a scatter invertible where statistics depend on each other.
+RIDGE = 1e-5
 #: How many words back a word counts as coming again, and the letters of a short word.
 BACK, SHORT = 50, 3
 
@@ -165,7 +168,8 @@ def _matrix(g, name: str) -> np.ndarray:
 
 def _stated(keys: dict, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
     """Estimates as columns: location m_i, inverse scatter w_ij, logarithm of the determinant."""
-    cov = cov + RIDGE * np.eye(P)
+    spread = np.einsum("kii->ki", cov)
+    cov = cov + (RIDGE + np.maximum(CHANCE - spread, 0))[:, :, None] * np.eye(P)
     back = np.linalg.inv(cov) if len(cov) else cov
     out = keys | {f"m_{i}": mean[:, i] for i in range(P)} | {f"w_{i}_{j}": back[:, i, j] for i, j in PAIRS}
     return pd.DataFrame(out | {"det": np.linalg.slogdet(cov)[1] if len(cov) else np.zeros(0)})
@@ -192,10 +196,13 @@ _PARTS = [f"{1 if i == j else 2} * w_{i}_{j} * ({VECTOR[i]} - m_{i}) * ({VECTOR[
 DISTANCE = f"({NEAR} * ({' + '.join(_PARTS)}))"
 
 
+#: Counts and weighted sums of rows, as SUMS names them.
+_VALUES = ["count(*) AS n", f"sum({NEAR}) AS a", *(f"sum({NEAR} * {v}) AS s_{i}" for i, v in enumerate(VECTOR)), *(f"sum({NEAR} * {VECTOR[i]} * {VECTOR[j]}) AS q_{i}_{j}" for i, j in PAIRS)]
+
+
 def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Counts and weighted sums by keys; a group's salted parts are summed first."""
-    values = ["count(*) AS n", f"sum({NEAR}) AS a", *(f"sum({NEAR} * {v}) AS s_{i}" for i, v in enumerate(VECTOR)), *(f"sum({NEAR} * {VECTOR[i]} * {VECTOR[j]}) AS q_{i}_{j}" for i, j in PAIRS)]
-    parts = rows.groupBy(*keys, "_salt").agg(*map(F.expr, values))
+    parts = rows.groupBy(*keys, "_salt").agg(*map(F.expr, _VALUES))
     return parts.groupBy(keys).agg(*(F.expr(f"sum({c}) AS {c}") for c in SUMS))
 
 
@@ -252,16 +259,17 @@ CLASS = f"CAST(floor(log2({DISTANCE} + 1e-9D) * {CLASSES}) AS int)"
 
 
 def _step(own: Scratch, usable: DataFrame, now: DataFrame, core: float) -> DataFrame:
-    """Estimates of the closest share ``core`` of each group's vectors, per start; was: the determinant before."""
-    keys = [*KEYS, "_start"]
+    """Estimates of the closest share ``core`` of each group's vectors, per start; was: the determinant before.
+
+    The rows are read once: their sums by class of distance, of which a group has some hundreds, give the edge of the core and its sums.
+    """
+    keys = [*KEYS, "_start", "was"]
+    now = now.select(*KEYS, "_start", *ESTIMATE).withColumnRenamed("det", "was")
+    parts = _joined(usable, now, KEYS).groupBy(*keys, F.expr(f"{CLASS} AS class")).agg(*map(F.expr, _VALUES))
     named = ", ".join(keys)
-    now = now.select(*keys, *ESTIMATE)
-    counted = _joined(usable, now, KEYS).groupBy(*keys, F.expr(f"{CLASS} AS class")).agg(F.expr("count(*) AS n"))
-    counted = counted.selectExpr(*keys, "class", f"sum(n) OVER (PARTITION BY {named} ORDER BY class) AS upto", f"sum(n) OVER (PARTITION BY {named}) AS every")
-    edge = counted.filter(f"upto >= {core}D * every").groupBy(*keys).agg(F.expr("min(class) AS edge"))
-    edge = now.join(edge, keys).withColumnRenamed("det", "was")
-    inner = _joined(usable, edge, KEYS).filter(f"{CLASS} <= edge")
-    return own.settle(_solved(_summed(inner, [*keys, "was"]), [*keys, "was"]), "estimates")
+    parts = parts.selectExpr("*", f"sum(n) OVER (PARTITION BY {named} ORDER BY class) - n AS before", f"sum(n) OVER (PARTITION BY {named}) AS every")
+    inner = parts.filter(f"before < {core}D * every").groupBy(keys).agg(*(F.expr(f"sum({c}) AS {c}") for c in SUMS))
+    return own.settle(_solved(inner, keys), "estimates")
 
 
 def estimates(own: Scratch, rows: DataFrame, groups: DataFrame, core: float = 0.75, first: int = 3, steps: int = 30) -> DataFrame:
@@ -311,8 +319,8 @@ def _consistency(core: float) -> float:
     return core / _cdf(_quantile(core), P + 2)
 
 
-#: Well over the distances of clean texts (normal rows exceed 40 about once in 2 million; real tails are heavier).
-CUTOFF = 60.0
+#: The distance that normal rows exceed once in a billion: clean texts have heavier tails than normal ones.
+CUTOFF = 53.3
 #: Different usable vectors that a group's own estimates take.
 LEAST = 50
 
