@@ -467,6 +467,39 @@ def test_main_text_without_article_elements(spark):
             assert main_text.main_text(re.sub("(</?)article>", rf"\1{other}>" if other else "", p.html)) == said
 
 
+SAID = "This is a sentence of the article that is long enough to count. "
+
+
+def test_main_text_keeps_lists_of_links_and_short_ends():
+    links = lambda k, tag: "".join(f"<{tag}><a href=/{i}>Linked reference {i}</a></{tag}>" for i in range(k))
+    names = lambda k: [f"Linked reference {i}" for i in range(k)]
+    for k in range(1, 13):
+        want = "\n".join([(SAID * 30).strip(), *names(k), "A closing paragraph."])
+        assert main_text.main_text(f"<nav><a href=/>Home</a></nav><article><p>{SAID * 30}</p><ul>{links(k, 'li')}</ul><p>A closing paragraph.</p></article><div>Elsewhere there are other words.</div>") == want
+        want = "\n".join([(SAID * 10).strip(), *names(k), SAID.strip() + " The end."])
+        assert main_text.main_text(f"<body><div><p>{SAID * 10}</p>{links(k, 'p')}<p>{SAID} The end.</p></div><div>Imprint</div></body>") == want
+    parts = "".join(f"<section><h2>Part {i}</h2><p>{SAID * n}</p></section>" for i, n in enumerate((20, 1, 1, 9, 1)))
+    want = "\n".join(x for i, n in enumerate((20, 1, 1, 9, 1)) for x in (f"Part {i}", (SAID * n).strip()))
+    assert main_text.main_text(f"<div id=top><a href=/>Home</a> <a href=/b>News</a></div><div id=content>{parts}</div><div>Imprint and contact</div>") == want
+
+
+def test_main_text_marks_only_weigh():
+    article = f"<h1>Title</h1><p>{SAID * 10}</p>"
+    want = f"Title\n{(SAID * 10).strip()}"
+    for mark in ("social", "share", "promo", "related", "toolbar"):  # an article's section all the same
+        assert main_text.main_text(f'<article>{article}<div class="{mark}"><p>{SAID * 20}</p></div></article>') == f"{want}\n{(SAID * 20).strip()}"
+        assert main_text.main_text(f'<article>{article}<div class="{mark}"><a href=/x>Post this</a> now</div></article>') == want
+    for wrapper in ("content with-sidebar", "no-comments", "page newsletter ad-free"):
+        for inner in ("sidebar", "comments", "ad"):
+            assert main_text.main_text(f'<div class="{wrapper}">{article}<div class="{inner}"><p>{SAID * 2}</p></div></div>') == want
+    for comments in ('<div class="comments">{}</div>', '<article class="comment">{}</article>', '<div><div>{}</div></div>', "<section>{}</section>"):
+        said = comments.format("".join(f"<div><b>Reader {i}</b><p>{SAID * 3}</p></div>" for i in range(4)))
+        assert main_text.main_text(f"<body><article>{article}</article>{said}</body>") == want
+        assert main_text.main_text(f"<body><div>{article}{'<p>' + SAID * 20 + '</p>'}</div>{said}</body>") == f"{want}\n{(SAID * 20).strip()}"
+    deep = '<div class="ad"><h1>x</h1>' * 20000
+    assert main_text.main_text(f"{deep}<p>{SAID}")  # in linear time
+
+
 def test_main_text_loses_nothing_to_odd_markup():
     said = "This is a sentence of the article that is long enough to count. Here is one more sentence of it."
     for page in (f'<p class="ad">Buy now<p>{said}', f'<body><a href=x">home</a><p>{said}', f'<div class="related">{"<p>" + said} {said} {said} {said}</div>', f"<p {'a=b ' * 5}'>{said}", f"<form><p>{said} {said} {said} {said}<input></form>", f"<p>{said}<div><b>x"):
