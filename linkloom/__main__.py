@@ -98,12 +98,12 @@ def _scanned(spark, args, settings, own):
     from linkloom.plans import frontier
     from linkloom.plans import scan as sx
     from linkloom.sources import cookies as jar
-    from linkloom.sources import files
+    from linkloom.sources import files, listing
 
     paths = [*args.paths, *([x.strip() for x in sys.stdin if x.strip()] if args.stdin else [])] or ["."]
     if lost := [x for x in paths if not os.path.exists(x)]:
         raise OSError(f"no such path: {', '.join(lost)}")
-    walked = files.listed(spark, paths, args.include, list(settings.ignore_exclude))
+    walked = listing.listed(spark, paths, args.include, list(settings.ignore_exclude))
     docs = files.detected(files.contents(spark, walked))
     links = sx.read(docs, own)
     cache = None if args.no_cache else cx.load(spark, cache_folder(settings))

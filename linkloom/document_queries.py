@@ -7,6 +7,7 @@ SQL can state the rows.
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 from xml.sax.saxutils import quoteattr
 
@@ -22,8 +23,8 @@ from linkloom.operators import verdicts as vx
 from linkloom.plans import frontier, judge, report
 from linkloom.plans import scan as sx
 from linkloom.queries import _pages, _pick, query, table
-from linkloom.sources import files
-from linkloom.tables import Scratch, folder, remove
+from linkloom.sources import files, listing
+from linkloom.tables import Scratch, folder, mounted, remove
 
 NOW = "2027-01-01"
 
@@ -258,6 +259,34 @@ def walk_selection(spark, sf_dir):
     return chosen.unionByName(spark.createDataFrame([("src/named.HTML",)], "path string")).distinct()
 
 
+@query("""SELECT CASE page_id % 4 WHEN 3 THEN 'd' || page_id % 5 || '/e f/' ELSE 'd' || page_id % 5 || '/' END || page_id || c.c0 AS path, strlen(url) AS length FROM (SELECT page_id, url, [{'c0': '.md'}, {'c0': '.txt'}, {'c0': '.log'}][(page_id % 3)::INT + 1] AS c FROM pages)
+WHERE c.c0 <> '.log' AND NOT (page_id % 5 = 2 AND c.c0 = '.txt' AND page_id % 7 <> 1) AND NOT (page_id % 5 = 4 AND page_id % 4 = 3)""")
+def tree_listing(spark, sf_dir):
+    """Pages written as files of a tree, with ignore files that hold below them, one of which takes names back in; listed by tasks."""
+    at = mounted(folder(spark, "tree"))
+    own = f"{at}/"
+    rows = _pages(spark, sf_dir).select("page_id", "url", F.concat(F.lit("d"), (_k() % 5).cast("string"), F.lit("/"), F.when(_k() % 4 == 3, "e f/").otherwise(""), _key(), _pick([".md", ".txt", ".log"], _k())).alias("name"))
+
+    def write(batches):
+        for pdf in batches:
+            for url, name in zip(pdf["url"], pdf["name"]):
+                os.makedirs(os.path.dirname(own + name), exist_ok=True)
+                with open(own + name, "w") as f:
+                    f.write(url)
+            yield pdf[["name"]]
+
+    names = rows.mapInPandas(write, "name string").count()
+    files_ = {".ignore": "*.log\n", "d2/.ignore": "*.txt\n" + "".join(f"!{k}.txt\n" for k in range(1, 7 * names, 7)), "d4/.ignore": "/e f/\n", "d4/.git/config": "x"}
+    for name, text in files_.items():
+        os.makedirs(os.path.dirname(own + name) or own, exist_ok=True)
+        with open(own + name, "w") as f:
+            f.write(text)
+    kept = Scratch(spark)
+    out = kept.keep(kept.settle(listing.listed(spark, [at], exclude=[".ignore"]).select(F.substring("path", len(own) + 1, 1 << 20).alias("path"), "length"), "listed"))
+    remove(spark, at)
+    return out
+
+
 # ---- requests and verdicts
 
 _H = "https://h.test/a/{k}"

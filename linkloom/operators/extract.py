@@ -128,7 +128,6 @@ def html_links(body: bytes):
 
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\n]*\n(?:.*?\n)??(?: {0,3}\1[`~]* *(?:\n|$)|\Z)", re.S | re.M)
-_CODE = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
 _DEFINITION = re.compile(r"^ {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(<[^<>\n]*>|\S+)(?:[ \t]*\n?[ \t]+(\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*$", re.M)
 _ESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
 
@@ -161,6 +160,37 @@ def _semantic(raw: str) -> str:
     return _ESCAPE.sub(r"\1", html.unescape(raw))
 
 
+#: Brackets open inside a destination, and characters of a label, beyond which there is none: a text is read in linear time.
+NESTED, LABEL = 32, 999
+
+
+def _code_spans(text: str):
+    """(start, end) of code spans: from a run of backticks to the next of the same length."""
+    runs = [m.span() for m in re.finditer("`+", text)]
+    after, last = [0] * len(runs), {}
+    for i in range(len(runs) - 1, -1, -1):
+        length = runs[i][1] - runs[i][0]
+        after[i] = last.get(length, -1)
+        last[length] = i
+    i = 0
+    while i < len(runs):
+        if after[i] > 0:
+            yield runs[i][0], runs[after[i]][1]
+            i = after[i]
+        i += 1
+
+
+def _closing(text: str) -> dict[int, int]:
+    """The place behind the bracket that closes each opening one."""
+    out, open_ = {}, []
+    for m in re.finditer(r"\\.|[\[\]]", text, re.S):
+        if m[0] == "[":
+            open_.append(m.start())
+        elif m[0] == "]" and open_:
+            out[open_.pop()] = m.end()
+    return out
+
+
 def _destination(text: str, at: int):
     """(start, end, after) of an inline destination behind ``](``, or None."""
     n = len(text)
@@ -182,6 +212,8 @@ def _destination(text: str, at: int):
                 continue
             if c == "(":
                 depth += 1
+                if depth > NESTED:
+                    return None
             elif c == ")":
                 if not depth:
                     break
@@ -204,11 +236,13 @@ def markdown_links(body: bytes):
         hide(m.start(), m.end())
     seen = "".join(hidden)
     for m in _INDENTED.finditer(seen):
-        before = seen[: m.start()].rstrip("\n")
-        if not _LIST.match(before[before.rfind("\n") + 1 :]):  # in a list, indented lines go on with the item
+        end = m.start()
+        while end and seen[end - 1] == "\n":
+            end -= 1
+        if not _LIST.match(seen, seen.rfind("\n", 0, end) + 1, end):  # in a list, indented lines go on with the item
             hide(m.start(), m.end())
-    for m in _CODE.finditer("".join(hidden)):
-        hide(m.start(), m.end())
+    for span in list(_code_spans("".join(hidden))):
+        hide(*span)
     visible = "".join(hidden)
     definitions, spans, found = {}, [], {}
     for m in _DEFINITION.finditer(visible):
@@ -229,15 +263,12 @@ def markdown_links(body: bytes):
             mail = ":" not in m[1]
             add("mailto:" + m[1] if mail else m[1], m.start(1), m.end(1))
             taken.append(m.span())
+    closing = _closing(visible)
     for m in re.finditer(r"!?\[", visible):
-        at, depth = m.end(), 1
-        while at < len(visible) and depth:
-            c = visible[at]
-            depth += (c == "[") - (c == "]")
-            at += 2 if c == "\\" else 1
-        if depth or used(m.start()) or (m.start() and visible[m.start() - 1] == "\\"):
+        at = closing.get(m.end() - 1)
+        if at is None or used(m.start()) or (m.start() and visible[m.start() - 1] == "\\"):
             continue
-        inner = visible[m.end() : at - 1]
+        inner = visible[m.end() : at - 1] if at - m.end() <= LABEL else ""
         if visible[at : at + 1] == "(" and (hit := _destination(visible, at + 1)):
             add(_semantic(text[hit[0] : hit[1]]), hit[0], hit[1])
             taken.append((m.start(), hit[2]))

@@ -50,68 +50,6 @@ def selected(path: Column, include: list[str], exclude: list[str]) -> Column:
 IGNORE = (".gitignore", ".ignore")
 
 
-def _ignored(folder: str, rules: list[tuple[str, str, bool, bool]], path: str, is_folder: bool) -> bool:
-    """The last rule (base folder, expression, negated, folders only) that fits decides."""
-    import re
-
-    out = False
-    for base, expression, negated, only in rules:
-        inside = path[len(base) :].lstrip("/") if path.startswith(base) else None
-        if inside and (is_folder or not only) and re.search(expression, inside):
-            out = not negated
-    return out
-
-
-def _rules(folder: str) -> list[tuple[str, str, bool, bool]]:
-    import os
-
-    out = []
-    for name in IGNORE:
-        file = os.path.join(folder, name)
-        if os.path.isfile(file):
-            with open(file, encoding="utf-8", errors="replace") as f:
-                for line in map(str.rstrip, f):
-                    if line and not line.startswith("#"):
-                        negated, line = line.startswith("!"), line.lstrip("!")
-                        only, line = line.endswith("/"), line.rstrip("/")
-                        anchored = "/" in line
-                        expression = glob_regex(line.lstrip("/"))
-                        out.append((folder, "^" + expression[7:] if anchored and expression.startswith("(?:^|/)") else expression, negated, only))
-    return out
-
-
-def listed(spark: SparkSession, paths: list[str], include: list[str] = (), exclude: list[str] = (), ignore: bool = True) -> DataFrame:
-    """(path, length) of the files under folders, each path once, sorted by path components; contents are not read.
-
-    Hidden files are included; ignore files (``IGNORE``) leave out what they name. Files named
-    one by one bypass globs and ignore files. The listing is the driver's, names and sizes only.
-    """
-    import os
-    import re
-
-    want, no = ([re.compile(glob_regex(g)) for g in x] for x in (include, exclude))
-    out = {}
-    for top in paths:
-        if os.path.isfile(top):
-            out[top] = os.path.getsize(top)
-            continue
-        stack = [(top.rstrip("/") or "/", [])]
-        while stack:
-            folder, rules = stack.pop()
-            rules = rules + (_rules(folder) if ignore else [])
-            with os.scandir(folder) as entries:
-                for e in entries:
-                    path = os.path.join(folder, e.name)
-                    if e.is_dir(follow_symlinks=False):
-                        if e.name != ".git" and not (ignore and _ignored(folder, rules, path, True)):
-                            stack.append((path, rules))
-                    elif e.is_file() and not (ignore and _ignored(folder, rules, path, False)):
-                        if (not want or any(g.search(path) for g in want)) and not any(g.search(path) for g in no):
-                            out[path] = e.stat().st_size
-    rows = sorted(out.items(), key=lambda x: x[0].split("/"))
-    return spark.createDataFrame(rows, "path string, length long")
-
-
 def contents(spark: SparkSession, walked: DataFrame) -> DataFrame:
     """(path, length, content) of listed files, read where they are needed: by a folder that all executors share."""
     def read(batches):
@@ -147,11 +85,6 @@ def walk(spark: SparkSession, folders: list[str], files: list[str] = (), include
     return parts[0].join(parts[1].select("path").distinct(), "path", "left_anti").unionByName(parts[1])
 
 
-def path_list(spark: SparkSession, file: str) -> DataFrame:
-    """Paths from a text file, one a line, blank lines left out."""
-    return spark.read.text(file).filter(F.trim("value") != "").select(F.col("value").alias("path"))
-
-
 def extension_format(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     return _cases(ext)

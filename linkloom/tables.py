@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,15 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def mounted(path: str) -> str:
+    """The path by which any executor opens the shared folder's files."""
+    url = urlparse(path)
+    if url.scheme not in ("", "file"):
+        raise ValueError(f"files that tasks open themselves need a mounted shared folder in spark.checkpoint.dir, not {path}")
+    Path(url.path).mkdir(parents=True, exist_ok=True)
+    return url.path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path through the file system that holds it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

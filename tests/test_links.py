@@ -50,6 +50,18 @@ def test_markdown_forms():
     assert body[rows[3][2] : rows[3][3]] == b"https://d.test/q&amp;r"
 
 
+def test_markdown_is_read_in_linear_time():
+    import time
+
+    for body in ("[" * 100_000, "[a](" * 25_000, "[" * 50_000 + "]" * 50_000, "".join("`" * (i % 300 + 1) + "a" for i in range(2000)), "x\n\n    y\n\n" * 20_000, "[a](x (" * 15_000):
+        began = time.time()
+        assert urls("markdown", body.encode()) == []
+        assert time.time() - began < 5
+    deep = "(" * 32 + ")" * 32
+    assert urls("markdown", f"[a](/x{deep}) [b](/y({deep}))".encode()) == [f"/x{deep}"]
+    assert urls("markdown", b"``[a](/x) ` [b](/y)`` `[c](/z)` [d](/w) ` [e](/v)") == ["/w", "/v"]
+
+
 def test_reference_used_twice_is_one_link():
     assert urls("markdown", b"[x][r] [y][r]\n\n[r]: https://a.test\n") == ["https://a.test"]
 
@@ -262,13 +274,18 @@ def test_commands(spark, tmp_path, monkeypatch, capsys):
 
 
 def test_listing_honours_ignore_files(spark, tmp_path):
-    from linkloom.sources import files
+    from linkloom.sources import listing
 
     for name in ("a.md", "b.txt", "x/c.md", "x/keep.log", "x/no.log", "out/d.md", ".hidden.md", "a-b/e.md"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(name)
     (tmp_path / ".ignore").write_text("# comment\n*.log\n!keep.log\n/out/\n")
-    got = [r.path[len(str(tmp_path)) + 1 :] for r in files.listed(spark, [str(tmp_path), str(tmp_path / "out/d.md")], exclude=["*.txt"]).collect()]
+    for parts in (1, 2, 50):
+        got = [r.path[len(str(tmp_path)) + 1 :] for r in listing.listed(spark, [str(tmp_path), str(tmp_path / "out/d.md")], exclude=["*.txt"], parts=parts).collect()]
+        assert got == [".hidden.md", ".ignore", "a-b/e.md", "a.md", "out/d.md", "x/c.md", "x/keep.log"]
+    got = [r.path[len(str(tmp_path)) + 1 :] for r in listing.listed(spark, [str(tmp_path / "x"), str(tmp_path), str(tmp_path)]).collect()]  # rules of the folder above hold
+    assert [p for p in got if p.startswith("x/")] == ["x/c.md", "x/keep.log"] and len(set(got)) == len(got)
+    got = [".hidden.md", ".ignore", "a-b/e.md", "a.md", "out/d.md", "x/c.md", "x/keep.log"]
     assert got == [".hidden.md", ".ignore", "a-b/e.md", "a.md", "out/d.md", "x/c.md", "x/keep.log"]
 
 
