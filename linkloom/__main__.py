@@ -131,7 +131,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from pyspark.sql import SparkSession
 
     from linkloom.operators import cache as cx
-    from linkloom.operators import fixes
+    from linkloom.operators import commit, fixes
     from linkloom.plans import report
     from linkloom.plans.scan import flat
     from linkloom.tables import Scratch
@@ -153,28 +153,27 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             if args.command == "fix":
                 asked, refused = fixes.plan(findings, docs, args.min_fix_confidence, tuple(args.fix_exclude))
                 results = own.settle(fixes.run(docs, asked), "fixed")
-                written = own.settle(fixes.write(results, "copy" if args.copy else "in place", args.backup), "written") if args.write or args.copy else None
+                written = commit.write(results.filter("content is not null"), own, args.copy, args.backup) if args.write or args.copy else None
                 if written is None:
                     for r in results.filter("diff is not null").orderBy("path").toLocalIterator():
                         print(r.diff, end="")
                 for r in refused.toLocalIterator():
                     print(f"refused {r.path}: {r.reason}", file=sys.stderr)
-                bad = results.filter("error is not null").select("path", "error")
-                bad = bad if written is None else bad.unionByName(written.filter("error is not null").select("path", "error"))
-                for r in bad.orderBy("path").toLocalIterator():
+                done = results.filter("error is not null" if written is not None else "true").select("path", "error")
+                done = done if written is None else done.unionByName(written.select("path", "error"))
+                for r in done.filter("error is not null").orderBy("path").toLocalIterator():
                     print(f"failed {r.path}: {r.error}", file=sys.stderr)
-                return FOUND if not bad.isEmpty() or not refused.isEmpty() else CLEAN
+                return FOUND if commit.outcome(done, refused).first()["exit_code"] else CLEAN
             rows = flat(findings)
             code = report.exit_code(rows, settings.output_fail_on).first()[0]
             shown = findings.filter(report.rank(findings["verdict.confidence"]) >= report.RANK[args.min_confidence])
-            if args.json or args.format == "json":
-                text = report.json_report(shown, out.run.first().asDict(), int((time.time() - began) * 1000))
+            if args.json or args.format != "table":
+                whole = report.json_document(shown, out.run.first().asDict(), int((time.time() - began) * 1000)) if args.json or args.format == "json" else report.sarif_document(shown, code)
+                whole.write(args.output) if args.output else whole.show(sys.stdout)
+            elif args.output:
+                report.save(report.table(flat(shown)), args.output)
             else:
-                text = report.sarif(shown, code) if args.format == "sarif" else report.table(flat(shown))
-            if args.output:
-                report.save(text, args.output)
-            else:
-                sys.stdout.write(text)
+                sys.stdout.write(report.table(flat(shown)))
             return FOUND if code else CLEAN
     except Usage as e:
         print(f"error: {e}", file=sys.stderr)

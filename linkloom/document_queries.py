@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from linkloom.functions import text as tx
 from linkloom.functions import urls as ux
 from linkloom.operators import cache as cx
-from linkloom.operators import extract, fixes, local, schedule
+from linkloom.operators import commit, extract, fixes, local, schedule
 from linkloom.operators import verdicts as vx
-from linkloom.plans import frontier, judge, report
+from linkloom.plans import digest, frontier, judge, report
 from linkloom.plans import scan as sx
 from linkloom.queries import _pages, _pick, query, table
 from linkloom.sources import files, listing
@@ -489,13 +489,53 @@ def scan_counts(spark, sf_dir):
     return _cached_scan(spark, sf_dir).run
 
 
-@query(f"""SELECT page_id || '.text' AS path, '{{"url":"https://h.test/' || page_id || '","resolved_url":null,"source":{{"path":"' || page_id || '.text","format":"text","location":{{"type":"text","line":1,"column":' || c || '}},"byte_span":{{"start":' || (c - 1) || ',"end":' || (c - 1 + strlen('https://h.test/' || page_id))
-|| '}}}},"verdict":{{"confidence":"dead-certain","reason":{{"kind":"http-status","detail":' || d || '}},"evidence":[{{"kind":"status","detail":"' || d || '"}}],"checked_at":"2027-01-01T00:00:00.000000Z","tier":1}},"fix":null}}' AS json FROM (SELECT page_id, {_CACHED} AS d, unnest([5, 10 + strlen('https://h.test/' || page_id)]) AS c FROM pages) WHERE d IS NOT NULL""")
+_JSON = f"""SELECT page_id || '.text' AS path, '{{"url":"https://h.test/' || page_id || '","resolved_url":null,"source":{{"path":"' || page_id || '.text","format":"text","location":{{"type":"text","line":1,"column":' || c || '}},"byte_span":{{"start":' || (c - 1) || ',"end":' || (c - 1 + strlen('https://h.test/' || page_id))
+|| '}}}},"verdict":{{"confidence":"dead-certain","reason":{{"kind":"http-status","detail":' || d || '}},"evidence":[{{"kind":"status","detail":"' || d || '"}}],"checked_at":"2027-01-01T00:00:00.000000Z","tier":1}},"fix":null}}' AS json FROM (SELECT page_id, {_CACHED} AS d, unnest([5, 10 + strlen('https://h.test/' || page_id)]) AS c FROM pages) WHERE d IS NOT NULL"""
+
+
+@query(_JSON)
 def json_findings(spark, sf_dir):
     """Findings as objects of the report's schema."""
     return report.json_rows(_cached_scan(spark, sf_dir).findings).select("path", "json")
 
 
+@query(f"SELECT json FROM ({_JSON})")
+def json_report_file(spark, sf_dir):
+    """A report written as a file by shards, read again as one JSON document."""
+    found = _cached_scan(spark, sf_dir).findings
+    at = f"{mounted(folder(spark, 'report'))}/report.json"
+    report.json_document(found, dict.fromkeys(("files_scanned", "links_checked", "links_unique"), 0)).write(at)
+    whole = spark.read.text(f"file://{at}", wholetext=True).select(F.from_json("value", "schema_version int, findings array<string>").alias("r")).filter("r.schema_version = 1")
+    kept = Scratch(spark)
+    out = kept.keep(kept.settle(whole.select(F.explode("r.findings").alias("json")), "objects"))
+    remove(spark, os.path.dirname(at))
+    return out
+
+
+@query("""SELECT o_orderkey % 7 AS k, rule_id, level, message, uri, line FROM (SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 'SL0001' ELSE 'SL0201' END AS rule_id, CASE o_orderkey % 2 WHEN 0 THEN 'error' ELSE 'warning' END AS level,
+CASE o_orderkey % 2 WHEN 0 THEN 'HTTP status: ' ELSE 'Permanent redirect: ' END || 'https://h.test/' || o_orderkey || '?é' AS message, 'a%20' || o_orderkey % 7 || '.md' AS uri, o_orderkey AS line FROM orders)""")
+def sarif_report_file(spark, sf_dir):
+    """The whole SARIF document of many findings, written by shards and read again."""
+    k = F.col("o_orderkey")
+    dead = k % 2 == 0
+    said = F.when(dead, vx.verdict("http-status", F.lit("404"), "status", F.lit("404"), 1)).otherwise(vx.verdict("permanent-redirect", None, "redirect-target", F.lit("https://n.test/"), 1)).withField("checked_at", F.lit(NOW).cast("timestamp"))
+    place = F.struct(F.lit("text").alias("type"), k.alias("line"), F.lit(1).cast("long").alias("column"), *(F.lit(None).cast("string").alias(c) for c in ("page", "annotation", "paragraph", "sheet", "cell", "slide")))
+    none = F.lit(None).cast("long")
+    found = table(spark, sf_dir, "orders").select(_text("a ", (k % 7).cast("string"), ".md").alias("path"), F.lit("markdown").alias("format"), _text("https://h.test/", k.cast("string"), "?é").alias("url"), F.lit(None).cast("string").alias("resolved_url"), place.alias("location"), none.alias("start"), none.alias("end"), said.alias("verdict"))
+    found = found.withColumn("fix", fixes.suggested(F.col("verdict.reason.kind"), F.col("verdict.evidence")))
+    at = f"{mounted(folder(spark, 'report'))}/report.sarif"
+    report.sarif_document(found, 1).write(at)
+    result = "struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:bigint>>>>>"
+    whole = spark.read.text(f"file://{at}", wholetext=True).select(F.from_json("value", f"version string, runs array<struct<results:array<{result}>>>").alias("r")).filter("r.version = '2.1.0'")
+    kept = Scratch(spark)
+    x = F.col("x")
+    where = x["locations"][0]["physicalLocation"]
+    rows = whole.select(F.explode(F.col("r.runs")[0]["results"]).alias("x")).select((where["region"]["startLine"] % 7).alias("k"), x["ruleId"].alias("rule_id"), x["level"].alias("level"), x["message"]["text"].alias("message"), where["artifactLocation"]["uri"].alias("uri"), where["region"]["startLine"].alias("line"))
+    out = kept.keep(kept.settle(rows, "results"))
+    remove(spark, os.path.dirname(at))
+    return out
+
+
 # ---- fixes
 
 _NEW = "https://new.test/{k}?a=1&b"
@@ -592,3 +632,46 @@ def fix_refusals(spark, sf_dir):
 @query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'a.b/c.fixed.md' WHEN 1 THEN 'x.fixed' ELSE '.hid/y.tar.fixed.gz' END AS name FROM pages")
 def copy_names(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", fixes.copy_name(_pick(["a.b/c.md", "x", ".hid/y.tar.gz"], _k())).alias("name"))
+
+
+@query("""SELECT page_id || s.s AS name, CASE s.s WHEN '.text.bak' THEN 'see https://old.test/' || page_id || '.' WHEN '.text' THEN CASE WHEN page_id % 3 = 1 THEN 'see nothing' ELSE 'see https://new.test/' || page_id || '?a=1&b.' END ELSE '<a href=https://old.test/' || page_id || '>' END AS content FROM pages,
+(VALUES ('.text'), ('.text.bak'), ('.html')) s(s) WHERE page_id % 3 <> 1 OR s.s <> '.text.bak'""")
+def in_place_writes(spark, sf_dir):
+    """Documents written as files, their links replaced in place with backups, and read again; pages without the link stay, others are not touched."""
+    at = mounted(folder(spark, "docs"))
+    own = f"{at}/"
+    body = F.when(_k() % 3 == 1, "see nothing").otherwise(_filled("see https://old.test/{k}."))
+    docs = _written(spark, sf_dir, "text", body).unionByName(_written(spark, sf_dir, "html", _filled("<a href=https://old.test/{k}>")))
+
+    def put(batches):
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                with open(own + name, "wb") as f:
+                    f.write(bytes(content))
+            yield pdf[["path"]]
+
+    docs.mapInPandas(put, "path string").count()
+    asked = _asked(docs.filter("format = 'text'"))
+    fixed = fixes.run(docs, asked).filter("content is not null").withColumn("path", F.concat(F.lit(own), "path"))
+    kept = Scratch(spark)
+    kept.drop(commit.write(fixed, kept, backup=True))
+    read = spark.read.format("binaryFile").load(f"file://{at}").select(F.substring_index("path", "/", -1).alias("name"), F.decode("content", "utf-8").alias("content"))
+    out = kept.settle(read, "read")
+    kept.keep(out)
+    kept.drop(*kept.tables())
+    remove(spark, at)
+    return out
+
+
+@query("SELECT format, n, printf('%016x', h) || printf('%016x', l) AS digest FROM (SELECT k.f AS format, (count(*) * any_value(k.n))::BIGINT AS n, (k.n * sum(('0x' || substr(m, 1, 16))::UBIGINT::HUGEINT) % 18446744073709551616)::UBIGINT AS h, (k.n * sum(('0x' || substr(m, 17, 16))::UBIGINT::HUGEINT) % 18446744073709551616)::UBIGINT AS l FROM (SELECT k, md5(page_id || '.' || k.f || chr(31) || 'https://old.test/' || page_id) AS m FROM (SELECT page_id, unnest(" + _KINDS + ") AS k FROM pages)) GROUP BY k.f, k.n)")
+def links_digest(spark, sf_dir):
+    """One digest of each format's links, whatever their order and partitions."""
+    links = extract.links(_old_documents(spark, sf_dir)).filter(F.contains("url", F.lit("old.test")))
+    return digest.digested(links, ["path", "url"], ["format"])
+
+
+@query("SELECT page_id || '.text' AS path, 'https://old.test/' || page_id AS url, row_number() OVER (ORDER BY page_id || '.text' || chr(31) || 'https://old.test/' || page_id) AS place FROM pages")
+def record_order(spark, sf_dir):
+    """Links in the order of their serialised records, numbered without gathering them."""
+    links = extract.links(_old_documents(spark, sf_dir).filter("format = 'text'"))
+    return digest.numbered(links.select("path", "url"), ["path", "url"])

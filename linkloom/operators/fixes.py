@@ -281,20 +281,6 @@ def run(docs: DataFrame, replacements: DataFrame) -> DataFrame:
     return docs.join(asked, "path").select("path", "format", "content", "asked").mapInPandas(work, "path string, format string, content binary, error string, diff string")
 
 
-def _replace(target: str, body: bytes) -> None:
-    """A whole file in place of the old one, with its permissions."""
-    import os
-
-    own = f"{target}.{os.getpid()}.tmp"
-    with open(own, "wb") as f:
-        f.write(body)
-        f.flush()
-        os.fsync(f.fileno())
-    if os.path.exists(target):
-        os.chmod(own, os.stat(target).st_mode)
-    os.replace(own, target)
-
-
 def plan(findings: DataFrame, docs: DataFrame, least: str = "dead-certain", excluded: tuple = ()) -> tuple[DataFrame, DataFrame]:
     """(replacements, refused) of a scan's findings, both by path order.
 
@@ -318,43 +304,6 @@ def plan(findings: DataFrame, docs: DataFrame, least: str = "dead-certain", excl
     return asked.orderBy("path", "old"), closed.unionByName(hand).orderBy("path")
 
 
-def exit_code(results: DataFrame, refused: DataFrame) -> int:
-    """0 if nothing was refused and nothing failed, else 1."""
-    failed = results.filter("error is not null").select("path").unionByName(refused.select("path"))
-    return int(not failed.isEmpty())
-
-
 def copy_name(path: Column) -> Column:
     """stem.fixed.ext"""
     return F.regexp_replace(path, r"^(.*/)?([^/]+?)(\.[^./]*)?$", "$1$2.fixed$3")
-
-
-def write(results: DataFrame, mode: str = "copy", backup: bool = False) -> DataFrame:
-    """Writes fixed documents to a file system that all executors share: copies beside them, or in place.
-
-    What was written is read again and compared; in place, the old document is put back if it differs.
-    """
-
-    def work(batches):
-        import os
-
-        for pdf in batches:
-            done = []
-            for path, body in zip(pdf["path"], pdf["content"]):
-                target = re.sub(r"^(.*/)?([^/]+?)(\.[^./]*)?$", r"\1\2.fixed\3", path) if mode == "copy" else path
-                if mode == "copy" and os.path.exists(target):
-                    done.append((path, None, "exists"))
-                    continue
-                if backup and mode != "copy":
-                    with open(path, "rb") as f, open(path + ".bak", "wb") as g:
-                        g.write(f.read())
-                before = open(target, "rb").read() if os.path.exists(target) else None
-                _replace(target, bytes(body))
-                with open(target, "rb") as f:
-                    same = f.read() == bytes(body)
-                if not same and before is not None:
-                    _replace(target, before)
-                done.append((path, target if same else None, None if same else "not as written; the old file is back"))
-            yield pd.DataFrame(done, columns=["path", "written", "error"])
-
-    return results.filter("content is not null").select("path", "content").mapInPandas(work, "path string, written string, error string")

@@ -1,7 +1,7 @@
 """Findings as sorted tables, JSON and SARIF.
 
-The DataFrame functions scale; those that give text gather a (filtered) result that fits the
-driver, row by row. ``save`` puts text into a file.
+JSON and SARIF are documents whose objects are written by tasks and joined as streams; the
+aligned table, for terminals, gathers a (filtered) result that fits the driver, row by row.
 """
 
 from __future__ import annotations
@@ -9,11 +9,15 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.verdicts import RANK, rank
+from linkloom.tables import folder, remove
 
 #: Fixed values of the report forms, by reason.
 SARIF_ID = {"http-status": "SL0001", "network-error": "SL0002", "soft-404": "SL0003", "login-wall": "SL0101", "permanent-redirect": "SL0201", "staleness-banner": "SL0202", "version-drift": "SL0203", "far-past": "SL0204", "anomalous-response": "SL0301", "local-missing": "SL0401", "syntax-invalid": "SL0402"}
@@ -112,16 +116,95 @@ def json_rows(findings: DataFrame) -> DataFrame:
     return findings.select("path", l["line"].alias("line"), l["column"].alias("column"), "url", whole.alias("json"))
 
 
-def _objects(findings: DataFrame) -> list[dict]:
+@dataclass(frozen=True)
+class Document:
+    """A report as text: head, objects (DataFrame of ``text``, in order, to be joined by a comma and a line end), tail; ``empty`` without objects."""
+
+    head: str
+    objects: DataFrame
+    tail: str
+    empty: str
+
+    def text(self) -> str:
+        """The whole report, for short ones."""
+        body = ",\n".join(r.text for r in self.objects.toLocalIterator())
+        return self.head + "\n" + body + self.tail if body else self.empty
+
+    def write(self, path: str) -> None:
+        """The whole report as a file of this machine, or the old one if writing fails.
+
+        The objects are written by the tasks that made them, in shards by order; the shards are
+        joined by the file system's streams, so that no object comes to the driver's memory.
+        """
+        spark = self.objects.sparkSession
+        jvm = spark._jvm
+        shards, own = folder(spark, "report"), f"{os.path.abspath(path)}.{os.getpid()}.tmp"
+        at = jvm.org.apache.hadoop.fs.Path(shards)
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        try:
+            self.objects.write.option("lineSep", ",\n").text(shards)
+            fs = at.getFileSystem(conf)
+            parts = sorted((x.getPath().getName(), x.getLen()) for x in fs.listStatus(at) if x.getPath().getName().startswith("part-") and x.getLen())
+            out = jvm.java.io.FileOutputStream(own)
+            try:
+                out.write(bytearray((self.head + "\n" if parts else self.empty).encode()))
+                for name, size in parts:
+                    shard = fs.open(jvm.org.apache.hadoop.fs.Path(at, name))
+                    # behind the last object there is no comma
+                    jvm.org.apache.commons.io.IOUtils.copyLarge(shard, out, 0, size - (2 if name == parts[-1][0] else 0))
+                    shard.close()
+                if parts:
+                    out.write(bytearray(self.tail.encode()))
+            finally:
+                out.close()
+            os.replace(own, path)
+        finally:
+            remove(spark, shards)
+            if os.path.exists(own):
+                os.remove(own)
+
+
+    def show(self, out) -> None:
+        """The whole report into a text stream, by way of a file."""
+        import shutil
+        import tempfile
+
+        with tempfile.TemporaryDirectory() as at:
+            self.write(f"{at}/report")
+            with open(f"{at}/report", encoding="utf-8") as f:
+                shutil.copyfileobj(f, out)
+
+
+def _document(whole: dict, found: DataFrame, depth: int) -> Document:
+    """whole: the report with an empty list as its innermost last value; the objects stand ``depth`` blanks deep."""
+    empty = json.dumps(whole, indent=2) + "\n"
+    at = empty.rindex("[]")
+    return Document(empty[: at + 1], found, "\n" + " " * (depth - 2) + empty[at + 1 :], empty)
+
+
+def _formed(findings: DataFrame, make: Callable[[dict, str], dict], depth: int) -> DataFrame:
+    """The findings' objects as text, in report order."""
     order = ["path", "line", "column", "url", "json"]
-    return [json.loads(r.json) for r in json_rows(findings).orderBy(*order).toLocalIterator()]
+    rows = json_rows(findings).orderBy(*order).select("json", artifact_uri(F.col("path")).alias("uri"))
 
+    def run(batches):
+        blank = "\n" + " " * depth
+        for batch in batches:
+            texts = [" " * depth + json.dumps(make(json.loads(j), u), indent=2).replace("\n", blank) for j, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
 
-def json_report(findings: DataFrame, run: dict, duration_ms: int = 0) -> str:
+    return rows.mapInArrow(run, "text string")
+
+
+def json_document(findings: DataFrame, run: dict, duration_ms: int = 0) -> Document:
     """The report of a scan's findings, version 1; run: files_scanned, links_checked, links_unique."""
     n = counts(findings.select(F.col("verdict.confidence").alias("confidence"))).first().asDict()
     head = {k: run[k] for k in ("files_scanned", "links_checked", "links_unique")} | {"findings_by_confidence": n, "duration_ms": duration_ms}
-    return json.dumps({"schema_version": 1, "run": head, "findings": _objects(findings)}, indent=2) + "\n"
+    return _document({"schema_version": 1, "run": head, "findings": []}, _formed(findings, lambda x, _: x, 4), 4)
+
+
+def json_report(findings: DataFrame, run: dict, duration_ms: int = 0) -> str:
+    return json_document(findings, run, duration_ms).text()
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
@@ -141,31 +224,36 @@ def artifact_uri(path: Column) -> Column:
     return F.when(F.startswith(path, F.lit("/")), F.concat(F.lit("file://"), safe)).otherwise(safe)
 
 
-def sarif(findings: DataFrame, code: int = 0) -> str:
-    """SARIF 2.1.0 of a scan's findings."""
+def sarif_result(x: dict, uri: str) -> dict:
+    """The SARIF result of a finding's object."""
+    v, source = x["verdict"], x["source"]
     back = {JSON_KIND.get(k, k): k for k in SARIF_ID}
-    uris = {r.path: r.uri for r in findings.select("path", artifact_uri(F.col("path")).alias("uri")).distinct().toLocalIterator()}
-    results, rules = [], {}
-    for x in _objects(findings):
-        v, source = x["verdict"], x["source"]
-        reason, sure = back[v["reason"]["kind"]], v["confidence"]
-        text = source["format"] in ("markdown", "html", "text")
-        place = {"artifactLocation": {"uri": uris[source["path"]]}}
-        if source["location"]["type"] == "text":
-            place["region"] = {"startLine": source["location"]["line"], "startColumn": source["location"]["column"]}
-        more = {"url": x["url"], "resolved_url": x["resolved_url"]} | {k: v[k] for k in ("reason", "confidence", "evidence", "checked_at", "tier")}
-        if not text:
-            more["source_location"] = source["location"]
-        one = {"ruleId": SARIF_ID[reason], "level": SARIF_LEVEL[sure], "rank": SARIF_RANK[sure], "message": {"text": f"{SARIF_NAME[reason]}: {x['url']}"}, "locations": [{"physicalLocation": place}], "properties": more}
-        if text and x["fix"] and source["byte_span"]:
-            new, span = x["fix"]["replacement_url"], source["byte_span"]
-            change = {"deletedRegion": {"byteOffset": span["start"], "byteLength": span["end"] - span["start"]}, "insertedContent": {"text": new}}
-            one["fixes"] = [{"description": {"text": f"Replace with {new}"}, "artifactChanges": [{"artifactLocation": place["artifactLocation"], "replacements": [change]}]}]
-        rules[SARIF_ID[reason]] = SARIF_NAME[reason]
-        results.append(one)
-    known = [{"id": i, "name": n, "shortDescription": {"text": n}} for i, n in sorted(rules.items())]
-    run = {"tool": {"driver": {"name": "linkloom", "version": "0.2.0", "rules": known}}, "invocations": [{"executionSuccessful": True, "exitCode": code}], "results": results}
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2) + "\n"
+    reason, sure = back[v["reason"]["kind"]], v["confidence"]
+    text = source["format"] in ("markdown", "html", "text")
+    place = {"artifactLocation": {"uri": uri}}
+    if source["location"]["type"] == "text":
+        place["region"] = {"startLine": source["location"]["line"], "startColumn": source["location"]["column"]}
+    more = {"url": x["url"], "resolved_url": x["resolved_url"]} | {k: v[k] for k in ("reason", "confidence", "evidence", "checked_at", "tier")}
+    if not text:
+        more["source_location"] = source["location"]
+    one = {"ruleId": SARIF_ID[reason], "level": SARIF_LEVEL[sure], "rank": SARIF_RANK[sure], "message": {"text": f"{SARIF_NAME[reason]}: {x['url']}"}, "locations": [{"physicalLocation": place}], "properties": more}
+    if text and x["fix"] and source["byte_span"]:
+        new, span = x["fix"]["replacement_url"], source["byte_span"]
+        change = {"deletedRegion": {"byteOffset": span["start"], "byteLength": span["end"] - span["start"]}, "insertedContent": {"text": new}}
+        one["fixes"] = [{"description": {"text": f"Replace with {new}"}, "artifactChanges": [{"artifactLocation": place["artifactLocation"], "replacements": [change]}]}]
+    return one
+
+
+def sarif_document(findings: DataFrame, code: int = 0) -> Document:
+    """SARIF 2.1.0 of a scan's findings; the rules that they name (as many as there are reasons at most) stand before them."""
+    rules = sarif_rules(findings.select(F.col("verdict.reason.kind").alias("reason"))).collect()
+    known = [{"id": r["id"], "name": r["name"], "shortDescription": {"text": r["name"]}} for r in rules]
+    run = {"tool": {"driver": {"name": "linkloom", "version": "0.2.0", "rules": known}}, "invocations": [{"executionSuccessful": True, "exitCode": code}], "results": []}
+    return _document({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, _formed(findings, sarif_result, 8), 8)
+
+
+def sarif(findings: DataFrame, code: int = 0) -> str:
+    return sarif_document(findings, code).text()
 
 
 def save(text: str, path: str) -> None:

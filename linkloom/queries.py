@@ -416,11 +416,20 @@ def config_precedence(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", config.chosen(said(7, "flag"), said(3, "env"), said(2, "toml"), F.lit("default")).alias("value"))
 
 
-@query("""WITH k AS (SELECT * FROM (VALUES (0, 'retries'), (1, 'timeout'), (2, 'exclude'), (3, 'include')) t(i, name)), b AS (SELECT * FROM (VALUES ('retry'), ('timout'), ('inclde'), ('exlude')) t(bad)) SELECT bad, arg_min(name, levenshtein(bad, name) * 100 + i) AS meant FROM b, k GROUP BY bad""")
+_SETTINGS = ["retries", "timeout", "exclude", "include", "per-host", "user-agent"]
+
+
+@query(f"""WITH k AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}')" for i, n in enumerate(_SETTINGS))}) t(i, name)), b AS (SELECT page_id, name, (page_id // 6) % length(name) AS cut FROM (SELECT page_id, {_list(_SETTINGS, 'page_id')} AS name FROM pages)),
+w AS (SELECT page_id, substr(name, 1, cut) || CASE WHEN page_id % 2 = 0 THEN '' ELSE 'x' END || substr(name, cut + 2) AS bad FROM b) SELECT page_id, bad, arg_min(name, levenshtein(bad, name) * 100 + i) AS meant FROM w, k GROUP BY page_id, bad""")
 def did_you_mean(spark, sf_dir):
-    """The nearest known setting of each unknown one; two short fixed lists."""
-    bad = spark.createDataFrame([("retry",), ("timout",), ("inclde",), ("exlude",)], "key string")
-    return config.suggested(bad, ["retries", "timeout", "exclude", "include"]).select(F.col("key").alias("bad"), "meant")
+    """Names of settings with a letter lost or changed, one a page, and the nearest known one."""
+    k = F.col("page_id")
+    name = _pick(_SETTINGS, k)
+    cut = (F.floor(k / 6) % F.length(name)).cast("int")
+    bad = F.concat(F.substring(name, F.lit(1), cut), F.when(k % 2 == 0, "").otherwise("x"), F.substring(name, cut + 2, F.lit(99)))
+    keys = _pages(spark, sf_dir).select("page_id", bad.alias("key"))
+    meant = config.suggested(keys.select("key").distinct(), _SETTINGS)
+    return keys.join(meant, "key").select("page_id", F.col("key").alias("bad"), "meant")
 
 
 def _zip_of(*names: str) -> bytes:
