@@ -2,16 +2,4 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-from urllib.parse import urlparse
-
-from linkloom.tables import Scratch, folder, remove, settle  # noqa: F401
-
-
-def mounted(path: str) -> str:
-    """The path by which any executor opens the shared folder's files."""
-    url = urlparse(path)
-    if url.scheme not in ("", "file"):
-        raise ValueError(f"memory-mapped files need a mounted shared folder in spark.checkpoint.dir, not {path}")
-    Path(url.path).mkdir(parents=True, exist_ok=True)
-    return url.path
+from linkloom.tables import Scratch, folder, mounted, remove, settle  # noqa: F401

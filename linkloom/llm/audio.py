@@ -114,26 +114,80 @@ def aligned(prints: DataFrame, queries: DataFrame, key: str = "id", errors: floa
         return own.keep(_aligned(own, prints, queries, key, errors, overlap))
 
 
+def _runs(column: str):
+    """(at, n, item) of the runs of equal items: silence or a held tone is one run."""
+    starts = f"filter(sequence(0, size({column}) - 1), i -> i = 0 OR {column}[i] <> {column}[i - 1])"
+    return F.expr(f"transform({starts}, (i, k) -> named_struct('at', i, 'n', coalesce(get({starts}, k + 1), size({column})) - i, 'item', {column}[i]))")
+
+
+_ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+
+
+def _errors(x: np.ndarray, y: np.ndarray, offset: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Bits that differ at each offset: item by item for few, by correlating each of the 32 bits' signs for many."""
+    if int(length.sum()) <= 512 * (len(x) + len(y)):
+        out = []
+        for d, n in zip(offset.tolist(), length.tolist()):
+            e = x[max(d, 0) : max(d, 0) + n] ^ y[max(-d, 0) : max(-d, 0) + n]
+            out.append(int(_ONES[e & 0xFFFF].sum(dtype=np.int64) + _ONES[e >> 16].sum(dtype=np.int64)))
+        return np.array(out, np.int64)
+    size = 1 << (len(x) + len(y) - 1).bit_length()
+    total = np.zeros(size // 2 + 1, complex)
+    for b in range(32):
+        u, v = (((z >> np.uint32(b)) & np.uint32(1)).astype(np.float64) * 2 - 1 for z in (x, y))
+        total += np.fft.rfft(u, size) * np.conj(np.fft.rfft(v, size))
+    alike = np.rint(np.fft.irfft(total, size)).astype(np.int64)
+    return (32 * length - alike[offset % size]) // 2
+
+
+def _best(x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray, errors: float, overlap: float) -> tuple[int, int, int] | None:
+    """(offset, bit errors, bits) of the best of the intervals' offsets, if any is good enough."""
+    change = np.zeros(len(x) + len(y) + 1, np.int64)  # offset d at d + len(y)
+    np.add.at(change, low + len(y), 1)
+    np.add.at(change, high + len(y) + 1, -1)
+    offset = np.flatnonzero(np.cumsum(change[:-1]) > 0) - len(y)
+    length = np.minimum(len(x) - np.maximum(offset, 0), len(y) - np.maximum(-offset, 0))
+    fits = (length > 0) & (32 * length >= 32 * overlap * min(len(x), len(y)))
+    offset, length = offset[fits], length[fits]
+    if not len(offset):
+        return None
+    wrong, bits = _errors(x, y, offset, length), 32 * length
+    good = wrong <= errors * bits
+    if not good.any():
+        return None
+    order = np.lexsort((offset, -bits, wrong / bits))
+    k = order[good[order]][0]
+    return int(offset[k]), int(wrong[k]), int(bits[k])
+
+
 def _aligned(own: Scratch, prints: DataFrame, queries: DataFrame, key: str, errors: float, overlap: float) -> DataFrame:
     named = prints.select(key, F.when(F.size("items") > 0, F.xxhash64("items")).alias("print"), "items").filter("print is not null")
     groups = own.settle(named.groupBy("print").agg(F.min(key).alias("k0"), F.max(key).alias("k1"), F.countDistinct(key).alias("n"), F.first("items").alias("items")), "groups")
     asked = own.settle(queries.select(key, F.when(F.size("items") > 0, F.xxhash64("items")).alias("print"), "items"), "queries")
     q = own.settle(asked.filter("print is not null").groupBy(F.col("print").alias("q")).agg(F.first("items").alias("qi")), "fingerprints")
     turned = F.concat(F.array(F.col("item")), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.col("item").bitwiseXOR(F.call_function("shiftleft", F.lit(1), b))))
-    wanted = q.select("q", F.posexplode("qi").alias("at", "item")).select("q", "at", F.explode(turned).alias("item"))
-    there = groups.select("print", F.posexplode("items").alias("place", "item"))
-    # both sides grow with the tables, so they are never broadcast; an item of very many places is split at run time
-    hits = wanted.join(there.hint("merge"), "item").filter("q != print").select("q", "print", (F.col("at") - F.col("place")).alias("offset"))
-    tried = own.settle(hits.distinct(), "offsets")
-    pairs = tried.join(q.hint("merge"), "q").join(groups.select("print", "items").hint("merge"), "print")
-    begin = F.greatest("offset", F.lit(0))
-    back = F.greatest(-F.col("offset"), F.lit(0))
-    length = F.greatest(F.least(F.size("qi") - begin, F.size("items") - back), F.lit(0))
-    x, y = F.slice("qi", begin + 1, length), F.slice("items", back + 1, length)
-    wrong = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
-    pairs = pairs.select("q", "print", "offset", (32 * length).cast("long").alias("n_bits"), wrong.cast("long").alias("bit_errors"), (32 * overlap * F.least(F.size("qi"), F.size("items"))).alias("least"))
-    good = pairs.filter((F.col("n_bits") >= F.col("least")) & (F.col("n_bits") > 0) & (F.col("bit_errors") <= errors * F.col("n_bits")))
-    best = good.groupBy("q", "print").agg(F.min(F.struct((F.col("bit_errors") / F.col("n_bits")).alias("rate"), (-F.col("n_bits")).alias("most"), F.col("offset").cast("int").alias("offset"), "bit_errors", "n_bits")).alias("b")).select("q", "print", "b.offset", "b.bit_errors", "b.n_bits")
+    wanted = q.select("q", F.explode(_runs("qi")).alias("r")).select("q", "r.*").select("q", "at", "n", F.explode(turned).alias("item"))
+    there = groups.select("print", F.explode(_runs("items")).alias("r")).select("print", F.col("r.at").alias("place"), F.col("r.n").alias("long"), "r.item")
+    # both sides grow with the tables, so they are never broadcast; an item of very many places is split at run time.
+    # Two runs of one item vote for an interval of offsets
+    hits = wanted.join(there.hint("merge"), "item").filter("q != print").select("q", "print", F.expr("at - place - long + 1").alias("low"), F.expr("at + n - 1 - place").alias("high"))
+    tried = own.settle(hits.groupBy("q", "print").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "offsets")
+    pairs = tried.join(q.hint("merge"), "q").join(groups.select("print", "items").hint("merge"), "print").select("q", "print", "qi", "items", "spans")
+
+    def judge(batches):
+        for batch in batches:
+            spans = batch.column(4).flatten()
+            low, high = (spans.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            bound = np.r_[0, np.cumsum(batch.column(4).value_lengths().to_numpy(zero_copy_only=False))]
+            rows = []
+            for i in range(batch.num_rows):
+                x, y = (batch.column(k)[i].values.to_numpy(zero_copy_only=False).view(np.uint32) for k in (2, 3))
+                rows.append(_best(x, y, low[bound[i] : bound[i + 1]], high[bound[i] : bound[i + 1]], errors, overlap) or (None, None, None))
+            c = list(zip(*rows)) or [()] * 3
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64())], names=["q", "print", "offset", "bit_errors", "n_bits"])
+            yield out.filter(out.column(2).is_valid())
+
+    best = pairs.mapInArrow(judge, "q long, print long, offset int, bit_errors long, n_bits long")
     same = q.select("q", F.col("q").alias("print"), F.lit(0).alias("offset"), F.lit(0).cast("long").alias("bit_errors"), (32 * F.size("qi")).cast("long").alias("n_bits"))
     held = best.unionByName(same).join(groups.select("print", "k0", "k1", "n").hint("merge"), "print")
     rows = asked.select(key, F.col("print").alias("q")).join(held.hint("merge"), "q", "left")

@@ -32,6 +32,8 @@ from linkloom.llm._run import Scratch
 U64 = np.uint64
 LENGTH = 400
 GRAM = 32
+#: Contexts of a range, of about 0.9 KB each.
+RANGE = 1 << 16
 
 
 def _window_min(keys: np.ndarray, w: int) -> np.ndarray:
@@ -250,19 +252,20 @@ def _cuts(own: Scratch, docs: DataFrame, key: str, text: str, length: int, gram:
             a = x["place"]
             yield body[a : a + length], body[max(0, a - length + gram) : a], x["c"]
 
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # the splits of the key ranges come from a bounded sample of gram hashes' suffixes: at most 64 a range
+    # a range has about RANGE contexts, so that a task's memory does not grow with the data; a gram is never split
     total = ones.count()
-    share = min(1.0, 64.0 * ranges / max(total, 1))
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
+    # the ranges' splits are grams of a bounded sample of contexts, told by their hashes: about 32 a range
+    share = min(1.0, 32.0 * ranges / max(total, 1))
 
     def sample(batches):
         for batch in batches:
-            some = [int.from_bytes(k[:7].ljust(7, b"\0"), "big") for i in range(batch.num_rows) for k, _, c in cut(batch, i) if (c & 0xFFFFFF) < share * 0x1000000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64())], names=["first"])
+            some = [k[:gram] for i in range(batch.num_rows) for k, _, c in cut(batch, i) if (c & 0xFFFFFF) < share * 0x1000000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], names=["first"])
 
     texts = own.settle(fetched, "fetched")
     own.drop(ones, mixed)
-    seen = sorted(r.first for r in texts.mapInArrow(sample, "first long").collect())
+    seen = sorted(bytes(r.first) for r in texts.mapInArrow(sample, "first binary").collect())
     splits = sorted({seen[i * len(seen) // ranges] for i in range(1, ranges)}) if seen else []
 
     def sort(batches):
@@ -271,7 +274,7 @@ def _cuts(own: Scratch, docs: DataFrame, key: str, text: str, length: int, gram:
         def runs():
             by: dict[int, list] = {}
             for x in held:
-                by.setdefault(bisect_right(splits, int.from_bytes(x[0][:7].ljust(7, b"\0"), "big")), []).append(x)
+                by.setdefault(bisect_right(splits, x[0][:gram]), []).append(x)
             out = [(r, Run([x[0] for x in v], [x[1] for x in v], np.array([x[2] for x in v], np.int64).view(U64)).pack()) for r, v in by.items()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], names=["range", "run"])

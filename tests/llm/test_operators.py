@@ -553,6 +553,31 @@ def test_audio_recall_against_all_offsets(spark):
     assert got <= want and len(want) > 100 and len(got) >= 0.9 * len(want), (len(got), len(want))
 
 
+def test_audio_offsets_by_correlation_equal_those_item_by_item():
+    g = np.random.default_rng(8)
+    for n, m in ((300, 200), (50, 700), (1, 400)):
+        x, y = (g.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32) for k in (n, m))
+        d = np.arange(-m + 1, n)
+        length = np.minimum(n - np.maximum(d, 0), m - np.maximum(-d, 0))
+        plain = [sum(bin(int(a) ^ int(b)).count("1") for a, b in zip(x[max(k, 0) :], y[max(-k, 0) :])) for k in d.tolist()]
+        assert audio._errors(x, y, d[:3], length[:3]).tolist() == plain[:3]
+        many = np.repeat(d, 600)  # so many that they are correlated
+        assert audio._errors(x, y, many, np.repeat(length, 600)).tolist()[::600] == plain
+
+
+def test_audio_aligns_long_silence_in_linear_time(spark):
+    import time
+
+    quiet = lambda n, k: [7] * n + [k] * 40 + [7] * n
+    rows = [(1, quiet(30_000, 123456)), (2, quiet(30_010, 123456)), (3, [7] * 60_000)]
+    prints = spark.createDataFrame(rows, "id long, items array<int>")
+    began = time.time()
+    got = {(r.id, r.match): (r.offset, r.bit_errors, r.n_bits) for r in audio.aligned(prints, prints).collect()}
+    assert time.time() - began < 60
+    assert got[1, 2] == (-10, 0, 32 * 60_040) and got[2, 1] == (10, 0, 32 * 60_040)
+    assert set(got) == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
