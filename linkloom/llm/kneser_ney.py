@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm import _text as tx
-from linkloom.llm._run import Scratch, folder, mounted
+from linkloom.llm._run import Scratch, folder, mounted, remove
 
 U64 = np.uint64
 END, START = U64(0x0E4D0E4D0E4D0E4D), U64(0x57A457A457A457A5)
@@ -354,23 +354,28 @@ def _field_pair(h: np.ndarray, n: np.ndarray) -> bytes:
     return np.stack([h, n.astype(U64)]).tobytes()
 
 
+class _Mapped:
+    """The rows of each range, whose file is mapped when the range is first met."""
+
+    def __init__(self, path: str, kind: np.dtype):
+        self.path, self.kind, self.held = path, kind, {}
+
+    def __getitem__(self, r: int) -> np.ndarray:
+        if r not in self.held:
+            path = f"{self.path}-{r}"
+            there = os.path.exists(path) and os.path.getsize(path)
+            self.held[r] = np.memmap(path, self.kind, "r") if there else np.zeros(0, self.kind)
+        return self.held[r]
+
+
 class Reader:
     """The mapped files of a model."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.words = [self._map(f"word-{r}", WORD) for r in range(model.ranges)]
-        self.pairs = [self._map(f"pair-{r}", PAIR) for r in range(model.ranges)]
-        self.at = [self._map(f"at-{r}", np.dtype("<i8")) for r in range(model.ranges)]
-        self.large = [self._map(f"large-{r}", LARGE) for r in range(model.ranges)]
+        self.words, self.pairs, self.at, self.large = (_Mapped(f"{model.path}/{name}", kind) for name, kind in (("word", WORD), ("pair", PAIR), ("at", np.dtype("<i8")), ("large", LARGE)))
         self.heavy = np.array(model.heavy, U64)
 
-    def _map(self, name: str, kind: np.dtype) -> np.ndarray:
-        path = f"{self.model.path}/{name}"
-        if not os.path.exists(path) or not os.path.getsize(path):
-            return np.zeros(0, kind)
-        return np.memmap(path, kind, "r")
-
     def _part(self, q: int) -> np.ndarray:
         """The pairs of a part, counted over all ranges."""
         r, part = divmod(q, self.model.parts)
@@ -463,5 +468,7 @@ def held_out_scores(docs: DataFrame, folds: int = 7, out: int = 2, key: str = "d
     fold = F.crc32(F.col(key).cast("string").cast("binary")) % folds
     held = F.coalesce(fold == out, F.lit(False))
     model = train(docs.filter(~held), text, part_bytes)
-    scores = scored(docs.select(F.struct(F.col(key), held.alias("held_out")).alias("id"), text), model, "id", text)
+    with Scratch(docs.sparkSession) as own:
+        scores = own.keep(own.settle(scored(docs.select(F.struct(F.col(key), held.alias("held_out")).alias("id"), text), model, "id", text), "scores"))
+        remove(docs.sparkSession, f"file://{model.path}")  # what is mapped stays readable until the last worker lets it go
     return scores.select(f"id.{key}", "id.held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

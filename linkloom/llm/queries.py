@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import audio, compression, divergence, kneser_ney, main_text, merkle, near_dup, packing, pieces, pii, quality, repeats, urls
-from linkloom.llm._run import settle
+from linkloom.llm._run import Scratch
 
 
 def vocabulary(name: str) -> bytes:
@@ -67,8 +67,9 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     prints = audio.fingerprints(vectors, audio.RATE, "vec_id", "embedding", audio.melody)
     again = audio.fingerprints(vectors.filter("vec_id % 100 = 0"), audio.RATE, "vec_id", "embedding", lambda v: audio.melody(v)[8 * audio.HOP :])
-    every = settle(prints.unionByName(again.withColumn("vec_id", F.col("vec_id") + COPIES)), "fingerprints")
-    return audio.aligned(every, every.filter((F.col("vec_id") % 50 == 0) & (F.col("vec_id") < COPIES)), "vec_id")
+    with Scratch(spark) as own:  # what aligned() returns does not read them
+        every = own.settle(prints.unionByName(again.withColumn("vec_id", F.col("vec_id") + COPIES)), "fingerprints")
+        return audio.aligned(every, every.filter((F.col("vec_id") % 50 == 0) & (F.col("vec_id") < COPIES)), "vec_id")
 
 
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
