@@ -431,7 +431,12 @@ def retry_after(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", vx.retry_after_s(_pick([x[0] for x in _AFTER], _k()), F.lit(NOW).cast("timestamp")).alias("seconds"))
 
 
-_JOINED = [("https://h.test/a/b?q", "../c", "https://h.test/c"), ("https://h.test/a/b", "//o.test/x", "https://o.test/x"), ("https://h.test/a/b", "?n", "https://h.test/a/b?n"), ("https://h.test/a/", "/r#f", "https://h.test/r#f"), ("https://h.test", "x", "https://h.test/x")]
+_B = "https://h.test/b/c/d;p?q"
+_JOINED = [
+    ("https://h.test/a/b?q", "../c", "https://h.test/c"), ("https://h.test/a/b", "//o.test/x", "https://o.test/x"), ("https://h.test/a/b", "?n", "https://h.test/a/b?n"), ("https://h.test/a/", "/r#f", "https://h.test/r#f"), ("https://h.test", "x", "https://h.test/x"),
+    (_B, "http://o.test/a/../b?x#y", "http://o.test/b?x#y"), (_B, "mailto:a@b", "mailto:a@b"), (_B, "g", "https://h.test/b/c/g"), (_B, "./g/", "https://h.test/b/c/g/"), (_B, "", _B), (_B, "#s", _B + "#s"), (_B, "g?y/./x", "https://h.test/b/c/g?y/./x"),
+    (_B, ".", "https://h.test/b/c/"), (_B, "..", "https://h.test/b/"), (_B, "../../../../g", "https://h.test/g"), (_B, "/./g/../..//x", "https://h.test//x"), (_B, "g;x=1/../y", "https://h.test/b/c/y"), (_B, "..g/.h./...", "https://h.test/b/c/..g/.h./..."), (_B, "a b%20ü", "https://h.test/b/c/a b%20ü"),
+]
 
 
 @query(f"SELECT page_id, c.c2 AS url FROM (SELECT page_id, {_cases(_JOINED, 3)}[(page_id % {len(_JOINED)})::INT + 1] AS c FROM pages)")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,16 +46,6 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s_-]", ""), r"\s", "-")
 
 
-def unique_slugs(slugs: Column) -> Column:
-    """Slugs of one document in order; a repeat gets the first free number."""
-
-    @F.pandas_udf("array<string>")
-    def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([numbered(r) for r in rows], dtype=object)
-
-    return run(slugs)
-
-
 def numbered(slugs) -> list[str]:
     taken: set[str] = set()
     out = []

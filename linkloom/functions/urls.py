@@ -1,13 +1,9 @@
-"""URL columns: parts, keys and rewrites, as built-in expressions wherever those are exact."""
+"""URL columns: parts, keys and rewrites, as built-in expressions."""
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 _SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):"
 _AUTH = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
@@ -107,10 +103,26 @@ def sibling(url: Column) -> Column:
     return F.concat(base, F.lit("missing-"), F.lower(F.hex(F.xxhash64(url))))
 
 
-@F.pandas_udf(StringType())
-def joined(base: pd.Series, target: pd.Series) -> pd.Series:
-    """A redirect's target against the URL that names it."""
-    return pd.Series([None if b is None or t is None else urljoin(b, t) for b, t in zip(base, target)], dtype=object)
+def without_dots(path: Column) -> Column:
+    """A URL's path without its ``.`` and ``..`` segments; what climbs over the top is dropped, empty segments stay."""
+    parts = F.split(path, "/")
+    up = lambda kept: F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", up(acc)).when(s == ".", acc).otherwise(F.array_append(acc, s)))
+    last = F.element_at(parts, -1)
+    return F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+
+
+def joined(base: Column, target: Column) -> Column:
+    """A redirect's target against the URL that names it, by the general rules of relative references; a null stays one."""
+    part = lambda u, i: F.regexp_extract(u, "^(?s)(([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)([?][^#]*)?(#.*)?$", i)
+    b_path, t_path, query = part(base, 4), part(target, 4), part(target, 5)
+    merged = F.when(b_path == "", F.concat(F.lit("/"), t_path)).otherwise(F.concat(F.regexp_replace(b_path, "[^/]*$", ""), t_path))
+    own = F.when(part(target, 3) != "", without_dots(t_path)).when(t_path == "", b_path).when(F.startswith(t_path, F.lit("/")), without_dots(t_path)).otherwise(without_dots(merged))
+    asked = F.when((part(target, 3) == "") & (t_path == "") & (query == ""), part(base, 5)).otherwise(query)
+    authority = F.when(part(target, 3) != "", part(target, 3)).otherwise(part(base, 3))
+    relative = F.concat(part(base, 1), authority, own, asked, part(target, 6))
+    whole = F.concat(part(target, 1), part(target, 3), F.when(part(target, 3) != "", without_dots(t_path)).otherwise(t_path), query, part(target, 6))
+    return F.when(part(target, 2) != "", whole).otherwise(relative)
 
 
 def contact_scheme(url: Column) -> Column:
