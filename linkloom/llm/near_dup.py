@@ -16,7 +16,8 @@ connected components of the links, found by label spreading over tables.
 
 Defined results: texts of one to four words have one element, the whole text; texts without
 words are each a class of their own (they say nothing to compare); null text is empty; repeated
-rows with one key are one document; rows without a key are left out, as nothing can name them; extra columns are not read or, in ``kept_rows``, kept.
+rows with one key are one document; rows without a key are left out, as nothing can name them; an empty
+table gives no rows; extra columns are not read or, in ``kept_rows``, kept.
 """
 
 from __future__ import annotations
@@ -316,4 +317,5 @@ def _classes(own: Scratch, docs: DataFrame, key: str, text: str, similar: float,
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs whose key is its class's least, and rows without a key; all columns unchanged."""
     kept = classes(docs, key, text, **options).filter(F.col(key) == F.col("class_id")).select(key)
-    return docs.join(kept, key, "left_semi").select(docs.columns).unionByName(docs.filter(F.col(key).isNull()))
+    # both sides grow with the documents: neither is ever broadcast, at any size
+    return docs.join(kept.hint("merge"), key, "left_semi").select(docs.columns).unionByName(docs.filter(F.col(key).isNull()))

@@ -347,4 +347,4 @@ def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **option
         own += "_"
     named = docs.withColumn(own, F.struct(F.col(key).alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h")))
     good = judged(named, key=own, text=text, **options).filter("kept").select(own).distinct()
-    return named.join(good, own, "left_semi").drop(own)
+    return named.join(good.hint("merge"), own, "left_semi").drop(own)  # both sides grow with the documents

@@ -244,7 +244,8 @@ def _cuts(own: Scratch, docs: DataFrame, key: str, text: str, length: int, gram:
     mixed = own.settle(kinds.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g"), "grams")
     ones = own.settle(kinds.join(mixed, "g", "left_semi").select("one.*", "c"), "suffixes")
     wanted = ones.groupBy(key, "_h").agg(F.collect_list(F.struct("place", "c")).alias("at"))
-    fetched = rows.join(wanted, F.expr("true") & rows[key].eqNullSafe(wanted[key]) & (rows["_h"] == wanted["_h"])).select(text, "at")
+    # here and in _joined both sides grow with the documents: neither is ever broadcast, at any size
+    fetched = rows.join(wanted.hint("merge"), F.expr("true") & rows[key].eqNullSafe(wanted[key]) & (rows["_h"] == wanted["_h"])).select(text, "at")
 
     def cut(batch, i: int):
         body = (batch.column(0)[i].as_py() or "").encode()
@@ -329,7 +330,7 @@ def _union(cuts, n: int) -> list[tuple[int, int]]:
 
 def _joined(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.withColumn("_h", F.xxhash64(F.coalesce(text, F.lit(""))))
-    return rows.join(found.withColumnsRenamed({key: "_k", "_h": "_g"}), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g")), "left").drop("_k", "_g", "_h")
+    return rows.join(found.withColumnsRenamed({key: "_k", "_h": "_g"}).hint("merge"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g")), "left").drop("_k", "_g", "_h")
 
 
 def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
