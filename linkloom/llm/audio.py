@@ -9,7 +9,7 @@ the bit errors over the whole overlap decide.
 
 Defined results: a null, empty or too short recording has no items and no match; silence has
 items of its own value like any sound; repeated rows match each other without error; a key that comes twice is one recording; an empty
-table gives no rows; extra columns are not read.
+table gives no rows; a recording of any length is one row's; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -17,8 +17,8 @@ except those of words with over a fixed share of all tokens, which are dealt by
 those words are at most ``HEAVY`` many, and their partial counts are summed in a second step.
 
 Defined results: a null or empty text is the end token alone; an empty training table scores
-every token by its base score; repeated rows count as often as they come; other columns are
-not read.
+every token by its base score; repeated rows count as often as they come; a text of any length is scored whole, by one task; an
+empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ blanks, whose longer pieces rank better) is finished with a heap, as it could wa
 symbol.
 
 Defined results: null and empty texts have no ids and decode to the empty text; rows stay as
-they are, repeated rows included; other columns are not read.
+they are, repeated rows included; of equally good merges the leftmost comes first, as in the
+library; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ Positions are code points. ``regexp_extract_all`` gives matches and ``split`` th
 them; their lengths add up to positions. The expressions accept what the plain patterns in
 ``SAYS`` accept, but are written without backtracking, so that long runs take linear time.
 
-Defined results: a null or empty text has no spans; repeated rows are alike; an empty table
-gives no rows; ``redacted`` returns other columns unchanged.
+Defined results: a null or empty text has no spans; repeated rows are alike; of two kinds that a
+value has in one context the greater name wins; an empty table gives no rows; other columns are not
+read by ``spans``, whatever their names, and returned unchanged by ``redacted``.
 """
 
 from __future__ import annotations

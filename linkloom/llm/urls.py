@@ -2,21 +2,24 @@
 
 Rules come as a list on the driver (a parameter, so of bounded size). Every literal token of a
 rule that a matching URL must hold whole is counted over all URLs; the rule is filed under the
-rarest. A URL's own tokens fetch the rules filed under them by a broadcast join, and only
-fetched rules are tried: host rules by comparing, patterns by regular expression. Rules
-without such a token are tried on every URL. DataFrame functions only.
+rarest, in a hash table that goes to all tasks as one constant. A URL's own tokens fetch the rules filed under them,
+and only fetched rules are tried: host rules by comparing, patterns by regular expression. Rules
+without such a token are tried on every URL. A URL is judged where it is read: nothing is joined or shuffled. DataFrame functions only.
 
 Pattern syntax: ``||`` at the start: after ``://``, at the host or a subdomain; ``|`` at the
 start or end: there the URL starts or ends; ``^``: a separator (not a letter, digit, or one of
 ``_-.%``) or the end; ``*``: anything. Letters match in either case (A-Z).
 
 Defined results: a null URL or one without ``://`` has an empty host and path; no rule fits it,
-and the verdict is allow; repeated rows are judged alike; an empty table gives no rows.
+and the verdict is allow; of rules that fit, the longest host rule wins, of equal ones the first, then an allow pattern
+over block patterns, of equal ones the first; repeated rows are judged alike, URLs of any length whole; an empty table gives no
+rows; columns that are not named are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -100,29 +103,37 @@ def index(urls: DataFrame, column: str, rules: tuple[Rule, ...]) -> list[tuple[s
     return [(min(t, key=lambda x: (n[x], -len(x), x)) if (t := tokens_of(r)) else "", r) for r in rules]
 
 
-def judged(pages: DataFrame, hosts: tuple[Rule, ...] = HOST_RULES, patterns: tuple[Rule, ...] = PATTERNS, key: str = "page_id", url: str = "url") -> DataFrame:
-    """key, host, path, rule (the longest host rule that fits), verdict, pattern (the method's deciding pattern)."""
-    spark = pages.sparkSession
-    filed = index(pages, url, hosts + patterns)
-    rows = []
+_RULE = "struct<token:string,is_host:boolean,pattern:string,action:string,r_host:string,r_path:string,regex:string,rank:int>"
+
+
+def _table(urls: DataFrame, filed: list[tuple[str, Rule]]) -> tuple[Column, int]:
+    """The rules as an array of buckets by crc32 of their token, and the number of buckets."""
+    size = max(1, 2 * len(filed))
+    buckets: list[list[tuple]] = [[] for _ in range(size)]
     for i, (token, r) in enumerate(filed):
         host, slash, path = r.pattern.partition("/") if r.host else ("", "", "")
-        rows.append((token, r.host, r.pattern, r.action, host, slash + path, "" if r.host else regex_of(r.pattern), i))
-    table = spark.createDataFrame(rows, "token string, is_host boolean, pattern string, action string, r_host string, r_path string, regex string, rank int")
+        buckets[zlib.crc32(token.encode()) % size].append((token, r.host, r.pattern, r.action, host, slash + path, "" if r.host else regex_of(r.pattern), i))
+    return urls.sparkSession.createDataFrame([(buckets,)], f"buckets array<array<{_RULE}>>").scalar(), size
+
+
+def judged(pages: DataFrame, hosts: tuple[Rule, ...] = HOST_RULES, patterns: tuple[Rule, ...] = PATTERNS, key: str = "page_id", url: str = "url") -> DataFrame:
+    """key, host, path, rule (the longest host rule that fits), verdict, pattern (the method's deciding pattern)."""
+    table, size = _table(pages, index(pages, url, hosts + patterns))
     host, path = host_path(F.col(url))
-    row = pages.select(F.monotonically_increasing_id().alias("_row"), F.col(key), F.col(url).alias("_url"), host.alias("host"), path.alias("path"))
     # the empty token fetches the rules that have none
-    each = row.select("*", F.explode(F.concat(url_tokens(F.col("_url")), F.array(F.lit("")))).alias("token"))
-    tried = each.join(F.broadcast(table), "token", "left")
-    by_host = ((F.col("host") == F.col("r_host")) | F.endswith("host", F.concat(F.lit("."), "r_host"))) & F.startswith("path", "r_path")
-    fits = F.when(F.col("is_host"), by_host).otherwise(F.instr("_url", "://").cast("boolean") & F.expr("translate(_url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') rlike regex"))
-    found = F.struct(F.length("pattern").alias("n"), (-F.col("rank")).alias("rank"), "pattern", "action")
-    best = tried.withColumn("fits", fits).groupBy("_row", key, "host", "path").agg(
-        F.max(F.when(F.col("fits") & F.col("is_host"), found)).alias("by_host"),
-        F.max(F.when(F.col("fits") & ~F.col("is_host"), F.struct((F.col("action") == "allow").alias("allows"), (-F.col("rank")).alias("rank"), "pattern", "action"))).alias("by_pattern"),
-    )
+    tokens = F.array_append(url_tokens(F.col(url)), F.lit(""))
+    rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), host.alias("host"), path.alias("path"), tokens.alias("tokens"), table.alias("table"))
+    bucket = lambda t: F.element_at("table", (F.crc32(t.cast("binary")) % size + 1).cast("int"))
+    fetched = F.flatten(F.transform("tokens", lambda t: F.filter(bucket(t), lambda r: r["token"] == t)))
+    rows = rows.select("k", "u", "host", "path", fetched.alias("fetched"))
+    on_host = lambda r: r["is_host"] & ((F.col("host") == r["r_host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["r_host"]))) & F.startswith(F.col("path"), r["r_path"])
+    low = lower(F.col("u"))
+    fits = lambda r: ~r["is_host"] & F.regexp_like(low, r["regex"])
+    by_host = F.array_max(F.transform(F.filter("fetched", on_host), lambda r: F.struct(F.length(r["pattern"]).alias("n"), (-r["rank"]).alias("rank"), r["pattern"].alias("pattern"), r["action"].alias("action"))))
+    by_pattern = F.array_max(F.transform(F.filter("fetched", fits), lambda r: F.struct((r["action"] == "allow").alias("allows"), (-r["rank"]).alias("rank"), r["pattern"].alias("pattern"), r["action"].alias("action"))))
+    rows = rows.select("k", "host", "path", by_host.alias("by_host"), F.when(F.instr("u", "://") > 0, by_pattern).alias("by_pattern"))
     verdict = F.coalesce("by_host.action", "by_pattern.action", F.lit("allow"))
-    return best.select(key, "host", "path", F.col("by_host.pattern").alias("rule"), verdict.alias("verdict"), F.when(F.col("by_host").isNull(), F.col("by_pattern.pattern")).alias("pattern"))
+    return rows.select(F.col("k").alias(key), "host", "path", F.col("by_host.pattern").alias("rule"), verdict.alias("verdict"), F.when(F.col("by_host").isNull(), F.col("by_pattern.pattern")).alias("pattern"))
 
 
 def oracle(hosts: tuple[Rule, ...] = HOST_RULES, patterns: tuple[Rule, ...] = PATTERNS) -> str:

@@ -177,6 +177,17 @@ def test_url_rules(spark):
     assert urls.judged(df.limit(0)).count() == 0
 
 
+def test_url_rules_ties_and_plan(spark):
+    rules = (urls.Rule("block", "/a^"), urls.Rule("allow", "/a^"), urls.Rule("block", "a.test/x/", True), urls.Rule("allow", "a.test/x/", True), *(urls.Rule("block", f"^word{i}^") for i in range(500)), urls.Rule("block", "*"))
+    names = ["http://h.test/a/", "http://a.test/x/1", "http://h.test/?word499=1", "http://h.test/" + "y" * 100_000, None, "word1"]
+    df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(names * 2)], "page_id long, url string, fetched string, `table` string")
+    found = urls.judged(df, tuple(r for r in rules if r.host), tuple(r for r in rules if not r.host))
+    got = [(r.verdict, r.rule, r.pattern) for r in found.orderBy("page_id").collect()]
+    assert got == [("allow", None, "/a^"), ("block", "a.test/x/", None), ("block", None, "^word499^"), ("block", None, "*"), ("allow", None, None), ("allow", None, None)] * 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Subquery")[0] and "Join" not in plan and "Python" not in plan
+
+
 def test_urls_match_sql(spark):
     import duckdb
 
@@ -624,7 +635,10 @@ def test_extra_columns_and_odd_rows_survive(odd):
 
 
 def test_queries_take_odd_rows(spark, odd):
-    assert kneser_ney.held_out_scores(odd).count() == 9
+    assert kneser_ney.held_out_scores(odd).count() == 9 and pieces.digests(odd, queries.vocabulary("piece_bpe_32k.model")).count() == 9
+    sounds = odd.selectExpr("doc_id AS id", "CASE WHEN length(text) < 20000 THEN encode(text, 'utf-8') END AS pcm", *(f"`{c}`" for c in CLASH))
+    prints = audio.fingerprints(sounds, audio.RATE)
+    assert prints.count() == 9 and {r.id for r in audio.aligned(prints, prints).collect()} == {0, 1, 2, 3, None}
     assert quality.judged(odd).count() == 9 and pii.spans(odd).count() == 9 and repeats.digests(odd).count() == 9
     assert near_dup.classes(odd).count() == 4  # different keys
     pieces_ = packing.packed(odd, queries.vocabulary("byte_bpe_50k.json")).collect()
