@@ -167,13 +167,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             rows = flat(findings)
             code = report.exit_code(rows, settings.output_fail_on).first()[0]
             shown = findings.filter(report.rank(findings["verdict.confidence"]) >= report.RANK[args.min_confidence])
-            if args.json or args.format != "table":
-                whole = report.json_document(shown, out.run.first().asDict(), int((time.time() - began) * 1000)) if args.json or args.format == "json" else report.sarif_document(shown, code)
-                whole.write(args.output) if args.output else whole.show(sys.stdout)
-            elif args.output:
-                report.save(report.table(flat(shown)), args.output)
+            if args.json or args.format == "json":
+                whole = report.json_document(shown, out.run.first().asDict(), int((time.time() - began) * 1000))
             else:
-                sys.stdout.write(report.table(flat(shown)))
+                whole = report.sarif_document(shown, code) if args.format == "sarif" else report.table_document(flat(shown))
+            whole.write(args.output) if args.output else whole.show(sys.stdout)
             return FOUND if code else CLEAN
     except Usage as e:
         print(f"error: {e}", file=sys.stderr)

@@ -1,7 +1,6 @@
 """Findings as sorted tables, JSON and SARIF.
 
-JSON and SARIF are documents whose objects are written by tasks and joined as streams; the
-aligned table, for terminals, gathers a (filtered) result that fits the driver, row by row.
+Every form is a document whose objects, or lines, are written by tasks and joined as streams.
 """
 
 from __future__ import annotations
@@ -12,9 +11,11 @@ import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from linkloom.operators.verdicts import RANK, rank
 from linkloom.tables import folder, remove
@@ -63,72 +64,20 @@ def rows(findings: DataFrame) -> DataFrame:
     return out.orderBy("order", "confidence", "url", "source", "reason")
 
 
-def width(text: str) -> int:
-    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
-
-
-def table(findings: DataFrame) -> str:
-    """The aligned text table; nothing without findings."""
-    got = [tuple(r)[1:] for r in rows(findings).toLocalIterator()]
-    if not got:
-        return ""
-    got.insert(0, HEADERS)
-    wide = [max(width(r[i] or "") for r in got) for i in range(4)]
-    return "".join("  ".join((v or "") + " " * (w - width(v or "")) for v, w in zip(r, wide)).rstrip() + "\n" for r in got)
-
-
-def _json(*columns: Column) -> Column:
-    """An object with nulls written out."""
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-
-
-def location_json(l: Column) -> Column:
-    """Only the fields of the location's own kind."""
-    fields = {"text": ("line", "column"), "pdf": ("page", "annotation"), "docx": ("paragraph",), "xlsx": ("sheet", "cell"), "pptx": ("slide",)}
-    out = None
-    for kind, names in fields.items():
-        body = _json(l["type"].alias("type"), *(l[n].alias(n) for n in names))
-        out = F.when(l["type"] == kind, body) if out is None else out.when(l["type"] == kind, body)
-    return out
-
-
-def reason_json(reason: Column) -> Column:
-    """Status as a number, a network error's kind as text, no detail for the others."""
-    kind = mapped(reason["kind"], JSON_KIND, reason["kind"])
-    status = _json(kind.alias("kind"), reason["detail"].try_cast("int").alias("detail"))
-    return F.when(reason["kind"] == "http-status", status).when(reason["kind"] == "network-error", _json(kind.alias("kind"), reason["detail"].alias("detail"))).otherwise(_json(kind.alias("kind")))
-
-
-def _time(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-
-
-def json_rows(findings: DataFrame) -> DataFrame:
-    """(path, line, column, url, json) of a scan's findings: an object each, to the schema of report version 1."""
-    v, f, l = F.col("verdict"), F.col("fix"), F.col("location")
-    inner = lambda whole: F.substring(whole, F.lit(2), F.length(whole) - 2)
-    span = F.when(F.col("start").isNotNull(), _json(F.col("start"), F.col("end"))).otherwise("null")
-    source = F.concat(F.lit("{"), inner(_json(F.col("path"), F.col("format"))), F.lit(',"location":'), location_json(l), F.lit(',"byte_span":'), span, F.lit("}"))
-    verdict = F.concat(F.lit("{"), inner(_json(v["confidence"].alias("confidence"))), F.lit(',"reason":'), reason_json(v["reason"]), F.lit(","), inner(_json(v["evidence"].alias("evidence"), _time(v["checked_at"]).alias("checked_at"), v["tier"].alias("tier"))), F.lit("}"))
-    able = F.when(f["fixable"]["kind"] == "refused", _json(f["fixable"]["kind"].alias("kind"), f["fixable"]["reason"].alias("reason"))).otherwise(_json(f["fixable"]["kind"].alias("kind")))
-    fix = F.when(f.isNull(), "null").otherwise(F.concat(F.lit("{"), inner(_json(f["replacement_url"].alias("replacement_url"), f["origin"].alias("origin"))), F.lit(',"fixable":'), able, F.lit("}")))
-    whole = F.concat(F.lit("{"), inner(_json(F.col("url"), F.col("resolved_url"))), F.lit(',"source":'), source, F.lit(',"verdict":'), verdict, F.lit(',"fix":'), fix, F.lit("}"))
-    return findings.select("path", l["line"].alias("line"), l["column"].alias("column"), "url", whole.alias("json"))
-
-
 @dataclass(frozen=True)
 class Document:
-    """A report as text: head, objects (DataFrame of ``text``, in order, to be joined by a comma and a line end), tail; ``empty`` without objects."""
+    """A report as text: head, objects (DataFrame of ``text``, in order, to be joined by ``between``), tail; ``empty`` without objects."""
 
     head: str
     objects: DataFrame
     tail: str
     empty: str
+    between: str = ",\n"
 
     def text(self) -> str:
         """The whole report, for short ones."""
-        body = ",\n".join(r.text for r in self.objects.toLocalIterator())
-        return self.head + "\n" + body + self.tail if body else self.empty
+        body = [r.text for r in self.objects.toLocalIterator()]
+        return self.head + "\n" + self.between.join(body) + self.tail if body else self.empty
 
     def write(self, path: str) -> None:
         """The whole report as a file of this machine, or the old one if writing fails.
@@ -142,7 +91,7 @@ class Document:
         at = jvm.org.apache.hadoop.fs.Path(shards)
         conf = spark._jsparkSession.sessionState().newHadoopConf()
         try:
-            self.objects.write.option("lineSep", ",\n").text(shards)
+            self.objects.write.option("lineSep", self.between).text(shards)
             fs = at.getFileSystem(conf)
             parts = sorted((x.getPath().getName(), x.getLen()) for x in fs.listStatus(at) if x.getPath().getName().startswith("part-") and x.getLen())
             out = jvm.java.io.FileOutputStream(own)
@@ -150,8 +99,8 @@ class Document:
                 out.write(bytearray((self.head + "\n" if parts else self.empty).encode()))
                 for name, size in parts:
                     shard = fs.open(jvm.org.apache.hadoop.fs.Path(at, name))
-                    # behind the last object there is no comma
-                    jvm.org.apache.commons.io.IOUtils.copyLarge(shard, out, 0, size - (2 if name == parts[-1][0] else 0))
+                    # nothing stands between the last object and the tail
+                    jvm.org.apache.commons.io.IOUtils.copyLarge(shard, out, 0, size - (len(self.between) if name == parts[-1][0] else 0))
                     shard.close()
                 if parts:
                     out.write(bytearray(self.tail.encode()))
@@ -175,6 +124,72 @@ class Document:
                 shutil.copyfileobj(f, out)
 
 
+def width(text: str) -> int:
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+@F.pandas_udf(IntegerType())
+def shown(texts: pd.Series) -> pd.Series:
+    """Columns that a terminal gives each text."""
+    return pd.Series([width(t or "") for t in texts], dtype="int32")
+
+
+def table_document(findings: DataFrame) -> Document:
+    """The aligned text table; nothing without findings. Only the four columns' widths come to the driver."""
+    names = ("confidence", "url", "source", "reason")
+    got = rows(findings)
+    wide = got.select(*(F.max(shown(F.coalesce(n, F.lit("")))).alias(n) for n in names)).first()
+    if wide["confidence"] is None:
+        return Document("", got.select(F.lit("").alias("text")).limit(0), "", "", "\n")
+    wide = [max(width(h), wide[n]) for h, n in zip(HEADERS, names)]
+    head = "  ".join(h + " " * (w - width(h)) for h, w in zip(HEADERS, wide)).rstrip()
+    cells = [F.concat(F.coalesce(n, F.lit("")), F.repeat(F.lit(" "), F.lit(w) - shown(F.coalesce(n, F.lit(""))))) for n, w in zip(names, wide)]
+    return Document(head, got.select(F.rtrim(F.concat_ws("  ", *cells)).alias("text")), "\n", "", "\n")
+
+
+def table(findings: DataFrame) -> str:
+    return table_document(findings).text()
+
+
+def _json(*columns: Column) -> Column:
+    """An object with nulls written out."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def location_json(l: Column) -> Column:
+    """Only the fields of the location's own kind."""
+    fields = {"text": ("line", "column"), "pdf": ("page", "annotation"), "docx": ("paragraph",), "xlsx": ("sheet", "cell"), "pptx": ("slide",)}
+    out = None
+    for kind, names in fields.items():
+        body = _json(l["type"].alias("type"), *(l[n].alias(n) for n in names))
+        out = F.when(l["type"] == kind, body) if out is None else out.when(l["type"] == kind, body)
+    return out
+
+
+def reason_json(reason: Column) -> Column:
+    """Status as a number, a network error's kind as text, no detail for the others."""
+    kind = mapped(reason["kind"], JSON_KIND, reason["kind"])
+    status = _json(kind.alias("kind"), reason["detail"].try_cast("int").alias("detail"))
+    return F.when(reason["kind"] == "http-status", status).when(reason["kind"] == "network-error", _json(kind.alias("kind"), reason["detail"].alias("detail"))).otherwise(_json(kind.alias("kind")))
+
+
+def _time(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def json_rows(findings: DataFrame) -> DataFrame:
+    """(path, line, column, url, json) of a scan's findings: an object each, to the schema of report version 1."""
+    v, f, l = F.col("verdict"), F.col("fix"), F.col("location")
+    inner = lambda whole: F.substring(whole, F.lit(2), F.length(whole) - 2)
+    span = F.when(F.col("start").isNotNull(), _json(F.col("start"), F.col("end"))).otherwise("null")
+    source = F.concat(F.lit("{"), inner(_json(F.col("path"), F.col("format"))), F.lit(',"location":'), location_json(l), F.lit(',"byte_span":'), span, F.lit("}"))
+    verdict = F.concat(F.lit("{"), inner(_json(v["confidence"].alias("confidence"))), F.lit(',"reason":'), reason_json(v["reason"]), F.lit(","), inner(_json(v["evidence"].alias("evidence"), _time(v["checked_at"]).alias("checked_at"), v["tier"].alias("tier"))), F.lit("}"))
+    able = F.when(f["fixable"]["kind"] == "refused", _json(f["fixable"]["kind"].alias("kind"), f["fixable"]["reason"].alias("reason"))).otherwise(_json(f["fixable"]["kind"].alias("kind")))
+    fix = F.when(f.isNull(), "null").otherwise(F.concat(F.lit("{"), inner(_json(f["replacement_url"].alias("replacement_url"), f["origin"].alias("origin"))), F.lit(',"fixable":'), able, F.lit("}")))
+    whole = F.concat(F.lit("{"), inner(_json(F.col("url"), F.col("resolved_url"))), F.lit(',"source":'), source, F.lit(',"verdict":'), verdict, F.lit(',"fix":'), fix, F.lit("}"))
+    return findings.select("path", l["line"].alias("line"), l["column"].alias("column"), "url", whole.alias("json"))
+
+
 def _document(whole: dict, found: DataFrame, depth: int) -> Document:
     """whole: the report with an empty list as its innermost last value; the objects stand ``depth`` blanks deep."""
     empty = json.dumps(whole, indent=2) + "\n"
@@ -256,14 +271,6 @@ def sarif(findings: DataFrame, code: int = 0) -> str:
     return sarif_document(findings, code).text()
 
 
-def save(text: str, path: str) -> None:
-    """A whole report file, or the old one if writing fails."""
-    own = f"{path}.{os.getpid()}.tmp"
-    with open(own, "w", encoding="utf-8") as f:
-        f.write(text)
-    os.replace(own, path)
-
-
 def use_color(choice: str, terminal: bool, env: dict | None = None) -> bool:
     """always, never, or auto: on a terminal, unless NO_COLOR is set."""
     env = os.environ if env is None else env

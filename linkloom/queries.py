@@ -6,16 +6,20 @@ key by plain arithmetic, in Spark and in SQL alike.
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as tx
 from linkloom.functions import urls as ux
 from linkloom.operators import cache as cx
-from linkloom.operators import extract, fixes, local
+from linkloom.operators import commit, extract, fixes, local
 from linkloom.operators import verdicts as vx
 from linkloom.plans import config, report
 from linkloom.sources import files
+from linkloom.tables import Scratch, folder, mounted, remove
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -409,11 +413,51 @@ def sarif_results(spark, sf_dir):
     return report.sarif_results(_findings(spark, sf_dir))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'flag' WHEN o_orderkey % 3 = 0 THEN 'env' WHEN o_orderkey % 2 = 0 THEN 'toml' ELSE 'default' END AS value FROM orders")
+_WIDE = f"SELECT upper(confidence) AS a, url AS b, CASE WHEN line IS NULL THEN path ELSE path || ':' || line || ':' || col END AS c, {_SHOWN} AS d FROM ({_FIND})"
+
+
+@query(f"""WITH r AS ({_WIDE}), w AS (SELECT greatest(10, max(length(a))) AS a, greatest(3, max(length(b))) AS b, greatest(6, max(length(c))) AS c, greatest(6, max(length(d))) AS d FROM r)
+SELECT rtrim(rpad(r.a, w.a::INT, ' ') || '  ' || rpad(r.b, w.b::INT, ' ') || '  ' || rpad(r.c, w.c::INT, ' ') || '  ' || r.d) AS line FROM r, w UNION ALL SELECT rpad('CONFIDENCE', a::INT, ' ') || '  ' || rpad('URL', b::INT, ' ') || '  ' || rpad('SOURCE', c::INT, ' ') || '  REASON' FROM w""")
+def report_table(spark, sf_dir):
+    """The lines of the aligned table, its head among them."""
+    whole = report.table_document(_findings(spark, sf_dir))
+    return whole.objects.select(F.col("text").alias("line")).unionByName(spark.createDataFrame([(whole.head,)], "line string"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 70 WHEN o_orderkey % 3 = 0 THEN 30 WHEN o_orderkey % 2 = 0 THEN 20 ELSE 4 END AS per_host, (CASE WHEN o_orderkey % 2 = 0 THEN 90 ELSE 20 END)::DOUBLE AS timeout_s,
+concat_ws(',', CASE WHEN o_orderkey % 7 = 0 THEN 'flag.test' END, CASE WHEN o_orderkey % 3 = 0 THEN 'env.test' WHEN o_orderkey % 2 = 0 THEN 'file.test,b.test' END) AS domains FROM orders""")
 def config_precedence(spark, sf_dir):
-    k = F.col("o_orderkey")
-    said = lambda n, v: F.when(k % n == 0, v)
-    return table(spark, sf_dir, "orders").select("o_orderkey", config.chosen(said(7, "flag"), said(3, "env"), said(2, "toml"), F.lit("default")).alias("value"))
+    """Settings of an order each, loaded with or without a flag, an environment and a file: the first that is there counts, lists of flags are added."""
+    at = mounted(folder(spark, "settings"))
+    for name in ("with", "without"):
+        os.makedirs(f"{at}/{name}")
+    with open(f"{at}/with/{config.FILE}", "w") as f:
+        f.write('[network]\nper-host = 20\ntimeout = "1m 30s"\n[ignore]\nexclude-domain = ["file.test", "b.test"]\n')
+    with open(f"{at}/without/{config.FILE}", "w") as f:
+        f.write("")
+
+    def load(batches):
+        for pdf in batches:
+            out = []
+            for k in pdf["o_orderkey"]:
+                flags = {"network_per_host": 70, "ignore_exclude_domain": ["flag.test"]} if k % 7 == 0 else {}
+                env = {"LINKLOOM_NETWORK_PER_HOST": "30", "LINKLOOM_IGNORE_EXCLUDE_DOMAIN": " env.test, "} if k % 3 == 0 else {}
+                found = config.load(flags, f"{at}/{'without' if k % 2 else 'with'}", env=env)
+                out.append((k, found.network_per_host, found.network_timeout, ",".join(found.ignore_exclude_domain)))
+            yield pd.DataFrame(out, columns=["o_orderkey", "per_host", "timeout_s", "domains"])
+
+    kept = Scratch(spark)
+    out = kept.keep(kept.settle(table(spark, sf_dir, "orders").select("o_orderkey").mapInPandas(load, "o_orderkey long, per_host int, timeout_s double, domains string"), "settings"))
+    remove(spark, f"file://{at}")
+    return out
+
+
+@query("SELECT count(*) FILTER (page_id % 3 = 0) AS n_written, count(*) FILTER (page_id % 3 = 1) AS n_failed, count(*) FILTER (page_id % 3 = 2) AS n_refused, (count(*) FILTER (page_id % 3 > 0) > 0)::INT AS exit_code FROM pages")
+def fix_outcome(spark, sf_dir):
+    """What a run of fixes counts: written, failed and refused, and the exit code."""
+    p = _pages(spark, sf_dir)
+    done = p.filter("page_id % 3 < 2").select(F.col("url").alias("path"), F.when(F.col("page_id") % 3 == 1, "exists").alias("error"))
+    return commit.outcome(done, p.filter("page_id % 3 = 2").select(F.col("url").alias("path"), F.lit("signed").alias("reason")))
 
 
 _SETTINGS = ["retries", "timeout", "exclude", "include", "per-host", "user-agent"]
