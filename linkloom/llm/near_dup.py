@@ -145,7 +145,7 @@ def _signed(docs: DataFrame, key: str, text: str, k: int, band: int) -> DataFram
 
     def run(batches):
         for batch in batches:
-            for at, stop, buf, offs in tx.slices(batch.column(1), 1 << 21):
+            for at, stop, buf, offs in tx.slices(batch.column(1), 1 << 20):
                 n = stop - at
                 row, element, _ = elements(buf, offs)
                 sign = signatures(row, element, np.ones(len(row)), n, k)

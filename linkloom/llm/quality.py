@@ -135,7 +135,7 @@ def measured(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame
 
     def run(batches):
         for batch in batches:
-            for row, stop, buf, offs in tx.slices(batch.column(len(carry))):
+            for row, stop, buf, offs in tx.slices(batch.column(len(carry)), 1 << 20):
                 c = counts(buf, offs)
                 columns = [batch.column(i).slice(row, stop - row) for i in range(len(carry))]
                 columns += [pa.array(c[k].astype(np.int64)) for k in BASE] + [pa.array(v) for v in vectors(c)]
