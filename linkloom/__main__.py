@@ -157,7 +157,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
                 if written is None:
                     for r in results.filter("diff is not null").orderBy("path").toLocalIterator():
                         print(r.diff, end="")
-                for r in refused.toLocalIterator():
+                for r in refused.orderBy("path").toLocalIterator():
                     print(f"refused {r.path}: {r.reason}", file=sys.stderr)
                 done = results.filter("error is not null" if written is not None else "true").select("path", "error")
                 done = done if written is None else done.unionByName(written.select("path", "error"))

@@ -282,7 +282,7 @@ def run(docs: DataFrame, replacements: DataFrame) -> DataFrame:
 
 
 def plan(findings: DataFrame, docs: DataFrame, least: str = "dead-certain", excluded: tuple = ()) -> tuple[DataFrame, DataFrame]:
-    """(replacements, refused) of a scan's findings, both by path order.
+    """(replacements, refused) of a scan's findings, in no order.
 
     replacements: path, old, new, of fixes that may be made. refused: path, reason, of PDFs that
     are never changed (all documents are looked at, findings or not) and of fixes that are not automatic.
@@ -301,7 +301,7 @@ def plan(findings: DataFrame, docs: DataFrame, least: str = "dead-certain", excl
 
     closed = none.mapInPandas(look, "path string, reason string")
     asked = rows.filter(auto).join(closed.select("path"), "path", "left_anti").select("path", F.col("url").alias("old"), F.col("replacement_url").alias("new")).distinct()
-    return asked.orderBy("path", "old"), closed.unionByName(hand).orderBy("path")
+    return asked, closed.unionByName(hand)
 
 
 def copy_name(path: Column) -> Column:
