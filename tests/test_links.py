@@ -289,6 +289,62 @@ def test_listing_honours_ignore_files(spark, tmp_path):
     assert got == [".hidden.md", ".ignore", "a-b/e.md", "a.md", "out/d.md", "x/c.md", "x/keep.log"]
 
 
+def test_many_ignore_rules_are_looked_up(spark, tmp_path):
+    import time
+
+    from linkloom.sources import listing
+
+    (tmp_path / "d").mkdir()
+    for k in range(1500):
+        (tmp_path / f"d/{k}.txt").write_text("x")
+    (tmp_path / "d/.ignore").write_text("*.txt\n" + "".join(f"!{k}.txt\n" for k in range(0, 7 * 40_000, 7)))
+    began = time.time()
+    got = {r.path.rsplit("/", 1)[1] for r in listing.listed(spark, [str(tmp_path)], exclude=[".ignore"], parts=1).collect()}
+    assert got == {f"{k}.txt" for k in range(0, 1500, 7)}
+    assert time.time() - began < 60  # every rule for every file: 60 million searches
+
+
+def test_ignore_rules_by_table_decide_as_in_turn(tmp_path):
+    import random
+    import re
+
+    from linkloom.sources import files, listing
+
+    deal = random.Random(3)
+    names = ["a", "b.md", "c d", "a/b.md", "a/c d/x", "x", "q[1"]
+    lines = [deal.choice(["", "!"]) + deal.choice(["", "/"]) + deal.choice([*names, "*.md", "**/x", "a/*", "?", "[ab]*"]) + deal.choice(["", "", "/"]) for _ in range(400)]
+    paths = [p + x for p in ("a", "b.md", "c d", "x", "q[1") for x in ("", "/a", "/b.md", "/c d", "/c d/x", "/a/b.md")]
+    for at in range(0, 400, 8):
+        (tmp_path / ".ignore").write_text("\n".join(lines[at : at + 8]) + "\n")
+        rules = listing.Rules(str(tmp_path))
+        for path in paths:
+            for is_folder in (False, True):
+                want = None
+                for line in lines[at : at + 8]:
+                    negated, line = line.startswith("!"), line.lstrip("!")
+                    only, line = line.endswith("/"), line.rstrip("/")
+                    expression = files.glob_regex(line.lstrip("/"))
+                    if "/" in line:
+                        expression = "^" + expression[7:]
+                    if (is_folder or not only) and re.search(expression, path):
+                        want = not negated
+                assert rules.said(f"{tmp_path}/{path}", is_folder) == want, (lines[at : at + 8], path)
+
+
+def test_files_of_a_large_folder_are_dealt_out(spark, tmp_path, monkeypatch):
+    import json
+
+    from linkloom.sources import listing
+
+    monkeypatch.setattr(listing, "SHARE", 10)
+    for k in range(95):
+        (tmp_path / f"{k}.md").write_text("x")
+    reader = listing.Reader({"tops": json.dumps([str(tmp_path)]), "parts": "4"})
+    parts = reader.partitions()
+    each = [[p for p, _ in reader.read(part)] for part in parts]
+    assert len(parts) == 4 and all(each) and sorted(p for x in each for p in x) == sorted(str(x) for x in tmp_path.iterdir())
+
+
 def test_html_values_and_comments():
     body = b'<a href=https://a.test/b"c>x</a><img alt="a>b" src=\'/i\'><a title=it\'s href="/t"><!-- <a href="/no">'
     assert urls("html", body) == ['https://a.test/b"c', "/i", "/t"]
