@@ -113,6 +113,43 @@ def test_reports_in_shards_equal_whole_ones(spark, tmp_path, n):
     assert os.listdir(tmp_path) == ["r.json"]
 
 
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_reports_are_read_again_by_their_objects(spark, tmp_path, n):
+    found = _found(spark, n)
+    run = dict.fromkeys(("files_scanned", "links_checked", "links_unique"), n)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        for document, name in ((report.json_document(found, run), "findings"), (report.sarif_document(found, 1), "results")):
+            document.write(str(tmp_path / "r.json"))
+            whole = json.loads((tmp_path / "r.json").read_text())
+            held = whole if name == "findings" else whole["runs"][0]
+            rows, held[name] = held[name], []
+            around, each = report.objects(spark, str(tmp_path / "r.json"), name)
+            assert around == whole
+            got = [r.text for r in each.collect()]
+            order = lambda x: json.dumps(x, sort_keys=True)
+            assert sorted(map(json.loads, got), key=order) == sorted(rows, key=order)
+            assert n < 3000 or each.rdd.getNumPartitions() > 3  # no task holds the report
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "r.json").write_text('{"findings": [{}, {}]')
+    with pytest.raises(ValueError, match="no report"):
+        report.objects(spark, str(tmp_path / "r.json"), "findings")
+
+
+def test_registered_reports_are_not_read_whole(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from linkloom import document_queries
+
+    seen, text = [], DataFrameReader.text
+    monkeypatch.setattr(DataFrameReader, "text", lambda self, *a, **b: seen.append(b) or text(self, *a, **b))
+    for name in ("json_report_file", "sarif_report_file"):
+        getattr(document_queries, name)(spark, "/root/testdata/sf0.001")
+    assert seen and not any(b.get("wholetext") for b in seen)
+
+
 def test_a_report_that_fails_leaves_the_old_one(spark, tmp_path):
     at = tmp_path / "r.json"
     at.write_text("old")
