@@ -10,10 +10,11 @@ import struct
 import zipfile
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.operators.batches import made, pieces
 from linkloom.operators.extract import EXTRACTORS, _URI, pdf_objects, pdf_string
 
 
@@ -257,28 +258,30 @@ def run(docs: DataFrame, replacements: DataFrame) -> DataFrame:
     """docs (path, format, content) and replacements (path, old, new) to (path, format, content, error, diff)."""
     asked = replacements.groupBy("path").agg(F.collect_set(F.struct("old", "new")).alias("asked"))
 
+    schema = pa.schema([("path", pa.string()), ("format", pa.string()), ("content", pa.binary()), ("error", pa.string()), ("diff", pa.string())])
+
     def work(batches):
-        for pdf in batches:
+        for part in pieces(batches):
             rows = []
-            for path, kind, body, asked in zip(pdf["path"], pdf["format"], pdf["content"], pdf["asked"]):
+            for path, kind, body, asked in zip(part["path"], part["format"], part["content"], part["asked"]):
                 wanted, error, out = {}, None, None
                 try:
                     for x in asked:
                         if wanted.setdefault(x["old"], x["new"]) != x["new"]:
                             raise ValueError(f"two replacements of {x['old']}")
-                    out = fixed(bytes(body), kind, wanted)
+                    out = fixed(body, kind, wanted)
                 except (ValueError, zipfile.BadZipFile) as e:
                     error = str(e)
                 diff = None
                 if out is not None and kind in ("markdown", "text", "html"):
-                    a, b = (x.decode("utf-8", "replace").splitlines(True) for x in (bytes(body), out))
+                    a, b = (x.decode("utf-8", "replace").splitlines(True) for x in (body, out))
                     diff = "".join(difflib.unified_diff(a, b, path, path))
                 elif out is not None:
                     diff = "".join(f"{path}: {o} -> {n}\n" for o, n in sorted(wanted.items()))
                 rows.append((path, kind, out, error, diff))
-            yield pd.DataFrame(rows, columns=["path", "format", "content", "error", "diff"])
+            yield made(rows, schema)
 
-    return docs.join(asked, "path").select("path", "format", "content", "asked").mapInPandas(work, "path string, format string, content binary, error string, diff string")
+    return docs.join(asked, "path").select("path", "format", "content", "asked").mapInArrow(work, "path string, format string, content binary, error string, diff string")
 
 
 def plan(findings: DataFrame, docs: DataFrame, least: str = "dead-certain", excluded: tuple = ()) -> tuple[DataFrame, DataFrame]:
@@ -296,10 +299,10 @@ def plan(findings: DataFrame, docs: DataFrame, least: str = "dead-certain", excl
     none = docs.filter(F.lit("pdf" not in excluded) & (F.col("format") == "pdf")).select("path", "content")
 
     def look(batches):
-        for pdf in batches:
-            yield pd.DataFrame([(p, why) for p, c in zip(pdf["path"], pdf["content"]) if (why := pdf_refusal(bytes(c)))], columns=["path", "reason"])
+        for part in pieces(batches):
+            yield made([(p, why) for p, c in zip(part["path"], part["content"]) if (why := pdf_refusal(c))], pa.schema([("path", pa.string()), ("reason", pa.string())]))
 
-    closed = none.mapInPandas(look, "path string, reason string")
+    closed = none.mapInArrow(look, "path string, reason string")
     asked = rows.filter(auto).join(closed.select("path"), "path", "left_anti").select("path", F.col("url").alias("old"), F.col("replacement_url").alias("new")).distinct()
     return asked, closed.unionByName(hand)
 

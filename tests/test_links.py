@@ -289,6 +289,28 @@ def test_listing_honours_ignore_files(spark, tmp_path):
     assert got == [".hidden.md", ".ignore", "a-b/e.md", "a.md", "out/d.md", "x/c.md", "x/keep.log"]
 
 
+def test_batches_of_documents_are_read_in_pieces():
+    import pyarrow as pa
+
+    from linkloom.operators import batches as bx
+
+    bodies = [b"see https://h.test/%d" % k for k in range(3000)] + [b"https://big.test/ " + b"x" * (bx.BYTES + 1), None, b""]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(len(bodies))]), pa.array(["text"] * len(bodies)), pa.array(bodies, pa.binary())], names=["path", "format", "content"])
+    parts = list(bx.pieces([batch, batch.slice(0, 0)]))
+    assert [c for p in parts for c in p["content"]] == bodies and max(len(p["path"]) for p in parts) == bx.ROWS
+    assert all(sum(len(c or b"") for c in p["content"]) <= bx.BYTES or len(p["content"]) == 1 for p in parts)
+    for with_anchors in (False, True):
+        out = list(ex.found([batch], "failfast", with_anchors))
+        assert max(b.num_rows for b in out) <= bx.ROWS  # one link a document
+        assert [u for b in out for u in b.column(2).to_pylist()] == [*(f"https://h.test/{k}" for k in range(3000)), "https://big.test/"]
+
+
+def test_fixes_of_many_documents(spark):
+    docs = spark.range(2000, numPartitions=1).selectExpr("concat(id, '.txt') path", "'text' format", "cast(concat('see https://o.test/', id) as binary) content")
+    asked = spark.range(2000).selectExpr("concat(id, '.txt') path", "concat('https://o.test/', id) old", "concat('https://n.test/', id) new")
+    assert {(r.path, bytes(r.content).decode()) for r in fixes.run(docs, asked).collect()} == {(f"{k}.txt", f"see https://n.test/{k}") for k in range(2000)}
+
+
 def test_many_ignore_rules_are_looked_up(spark, tmp_path):
     import time
 
