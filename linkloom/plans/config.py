@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tomllib
 from dataclasses import dataclass, fields
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.tables import Scratch
+
 FILE = "linkloom.toml"
 
 
@@ -135,3 +139,26 @@ def load(flags: dict, start: str = ".", prefix: str = "LINKLOOM_", env: dict | N
         elif flag is not None or given is not None:
             out[f.name] = _value(f.name, type(f.default), flag if flag is not None else given)
     return Settings(**out)
+
+
+_KINDS = {int: ("int", pa.int32()), float: ("double", pa.float64()), str: ("string", pa.string()), bool: ("boolean", pa.bool_()), tuple: ("array<string>", pa.list_(pa.string()))}
+
+
+def loaded(rows: DataFrame, own: Scratch, flags: str = "flags", start: str = "start", env: str = "env", prefix: str = "LINKLOOM_") -> DataFrame:
+    """rows with ``settings``: what ``load`` gives for a row's flags and environment (JSON objects as text; null: none) and path.
+
+    Rows that ask for the same are loaded once, and joined; the table of what was loaded belongs to ``own``.
+    """
+    given, of = [flags, start, env], [(f.name, _KINDS[type(f.default)]) for f in fields(Settings)]
+    kind = pa.struct([(name, arrow) for name, (_, arrow) in of])
+
+    def run(batches):
+        for batch in batches:
+            keys = [c.to_pylist() for c in batch.columns]
+            out = [vars(load(json.loads(f or "{}"), at, prefix, json.loads(e or "{}"))) for f, at, e in zip(*keys)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=["_f", "_s", "_e", "settings"])
+
+    said = ", ".join(f"{name}: {sql}" for name, (sql, _) in of)
+    once = own.settle(rows.select(*given).distinct().mapInArrow(run, f"_f string, _s string, _e string, settings struct<{said}>"), "settings")
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(given, ("_f", "_s", "_e"))]
+    return rows.join(once, same).drop("_f", "_s", "_e")

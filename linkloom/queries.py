@@ -6,9 +6,9 @@ key by plain arithmetic, in Spark and in SQL alike.
 
 from __future__ import annotations
 
+import json
 import os
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -436,18 +436,16 @@ def config_precedence(spark, sf_dir):
     with open(f"{at}/without/{config.FILE}", "w") as f:
         f.write("")
 
-    def load(batches):
-        for pdf in batches:
-            out = []
-            for k in pdf["o_orderkey"]:
-                flags = {"network_per_host": 70, "ignore_exclude_domain": ["flag.test"]} if k % 7 == 0 else {}
-                env = {"LINKLOOM_NETWORK_PER_HOST": "30", "LINKLOOM_IGNORE_EXCLUDE_DOMAIN": " env.test, "} if k % 3 == 0 else {}
-                found = config.load(flags, f"{at}/{'without' if k % 2 else 'with'}", env=env)
-                out.append((k, found.network_per_host, found.network_timeout, ",".join(found.ignore_exclude_domain)))
-            yield pd.DataFrame(out, columns=["o_orderkey", "per_host", "timeout_s", "domains"])
-
+    k = F.col("o_orderkey")
+    flags = F.when(k % 7 == 0, json.dumps({"network_per_host": 70, "ignore_exclude_domain": ["flag.test"]}))
+    env = F.when(k % 3 == 0, json.dumps({"LINKLOOM_NETWORK_PER_HOST": "30", "LINKLOOM_IGNORE_EXCLUDE_DOMAIN": " env.test, "}))
+    start = F.when(k % 2 == 0, f"{at}/with").otherwise(f"{at}/without")
     kept = Scratch(spark)
-    out = kept.keep(kept.settle(table(spark, sf_dir, "orders").select("o_orderkey").mapInPandas(load, "o_orderkey long, per_host int, timeout_s double, domains string"), "settings"))
+    found = config.loaded(table(spark, sf_dir, "orders").select("o_orderkey", flags.alias("flags"), start.alias("start"), env.alias("env")), kept)
+    of = F.col("settings")
+    out = kept.settle(found.select("o_orderkey", of["network_per_host"].alias("per_host"), of["network_timeout"].alias("timeout_s"), F.array_join(of["ignore_exclude_domain"], ",").alias("domains")), "loaded")
+    kept.keep(out)
+    kept.drop(*kept.tables())
     remove(spark, f"file://{at}")
     return out
 

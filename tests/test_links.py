@@ -289,6 +289,36 @@ def test_listing_honours_ignore_files(spark, tmp_path):
     assert got == [".hidden.md", ".ignore", "a-b/e.md", "a.md", "out/d.md", "x/c.md", "x/keep.log"]
 
 
+def test_settings_of_many_rows_are_loaded_once_each(spark, tmp_path):
+    from linkloom.tables import Scratch
+
+    (tmp_path / config.FILE).write_text("[network]\nretries = 5\n")
+    rows = spark.range(600).selectExpr("id", "if(id % 2 = 0, '{\"network_retries\": 7, \"fix_write\": true}', null) flags", f"'{tmp_path}' start", "if(id % 3 = 0, '{\"LINKLOOM_NETWORK_RETRIES\": \"6\", \"LINKLOOM_IGNORE_EXCLUDE\": \"a, b\"}', null) env")
+    with Scratch(spark) as own:
+        got = config.loaded(rows, own).collect()
+        assert own.tables()[0].count() == 4
+    assert len(got) == 600
+    for r in got:
+        want = config.load({"network_retries": 7, "fix_write": True} if r.id % 2 == 0 else {}, str(tmp_path), env={"LINKLOOM_NETWORK_RETRIES": "6", "LINKLOOM_IGNORE_EXCLUDE": "a, b"} if r.id % 3 == 0 else {})
+        assert {k: tuple(v) if isinstance(v, list) else v for k, v in r.settings.asDict().items()} == vars(want)
+
+
+def test_fixes_are_made_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    from linkloom.operators import batches as bx
+
+    docs = spark.createDataFrame([("a.txt", "text", b"")], "path string, format string, content binary")
+    asked = spark.createDataFrame([("a.txt", "x", "y")], "path string, old string, new string")
+    held = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: held.append(f))
+    fixes.run(docs, asked)
+    rows = [(f"{k}.txt", "text", b"see https://o.test/%d" % k, [{"old": f"https://o.test/{k}", "new": f"https://n.test/{k}"}]) for k in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=["path", "format", "content", "asked"])
+    out = list(held[0]([batch]))
+    assert max(b.num_rows for b in out) <= bx.ROWS and [c for b in out for c in b.column(2).to_pylist()] == [b"see https://n.test/%d" % k for k in range(1000)]
+
+
 def test_batches_of_documents_are_read_in_pieces():
     import pyarrow as pa
 
