@@ -660,12 +660,13 @@ def in_place_writes(spark, sf_dir):
                     f.write(bytes(content))
             yield pdf[["path"]]
 
-    docs.mapInPandas(put, "path string").count()
+    docs.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(put, "path string").count()
     asked = _asked(docs.filter("format = 'text'"))
     fixed = fixes.run(docs, asked).filter("content is not null").withColumn("path", F.concat(F.lit(own), "path"))
     kept = Scratch(spark)
     kept.drop(commit.write(fixed, kept, backup=True))
-    read = spark.read.format("binaryFile").load(f"file://{at}").select(F.substring_index("path", "/", -1).alias("name"), F.decode("content", "utf-8").alias("content"))
+    # listed and read by tasks: as small files of a binaryFile source they would be listed by the driver and be a task for every few
+    read = files.contents(spark, listing.listed(spark, [at], ignore=False)).select(F.substring_index("path", "/", -1).alias("name"), F.decode("content", "utf-8").alias("content"))
     out = kept.settle(read, "read")
     kept.keep(out)
     kept.drop(*kept.tables())

@@ -18,8 +18,10 @@ import re
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from linkloom.operators.batches import made, pieces
 from linkloom.tables import Scratch
 
 JOURNAL = "path string, target string, staged string, kept string, old string, new string, error string"
@@ -50,6 +52,15 @@ def _put(path: str, body: bytes, like: str | None = None) -> None:
     os.replace(own, path)
 
 
+def _linked(path: str, to: str) -> None:
+    """A second name of a file, in place of what had it; nothing is written again."""
+    own = f"{to}.{uuid.uuid4().hex}"
+    os.link(path, own)
+    os.replace(own, to)
+    if os.path.lexists(own):  # it was a name of the same file before, by another attempt
+        os.remove(own)
+
+
 def copy_of(path: str) -> str:
     """stem.fixed.ext"""
     return re.sub(r"^(.*/)?([^/]+?)(\.[^./]*)?$", r"\1\2.fixed\3", path)
@@ -59,10 +70,10 @@ def staged(files: DataFrame, run: str, copy: bool = False) -> DataFrame:
     """files (path, content) to JOURNAL: each new file beside its target, which is the path, or a new file beside it if ``copy``. run: names this update."""
 
     def work(batches):
-        for pdf in batches:
+        for part in pieces(batches):
             rows = []
-            for path, body in zip(pdf["path"], pdf["content"]):
-                body, target = bytes(body), copy_of(path) if copy else path
+            for path, body in zip(part["path"], part["content"]):
+                target = copy_of(path) if copy else path
                 own, kept = f"{target}.{run}.new", f"{target}.{run}.old"
                 old, new, error = _digest(target), hashlib.sha256(body).hexdigest(), None
                 try:
@@ -75,9 +86,9 @@ def staged(files: DataFrame, run: str, copy: bool = False) -> DataFrame:
                 except OSError as e:
                     error = str(e)
                 rows.append((path, target, own, kept, old, new, error))
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+            yield made(rows, pa.schema([(c, pa.string()) for c in _COLUMNS]))
 
-    return files.select("path", "content").mapInPandas(work, JOURNAL)
+    return files.select("path", "content").mapInArrow(work, JOURNAL)
 
 
 def _replaced(r, backup: bool) -> str | None:
@@ -89,15 +100,12 @@ def _replaced(r, backup: bool) -> str | None:
         return "changed meanwhile"
     try:
         if now is not None:
-            if backup:
-                with open(r.target, "rb") as f:
-                    body = f.read()
-                if hashlib.sha256(body).hexdigest() == r.old:  # another attempt may have replaced it
-                    _put(f"{r.target}.bak", body, r.target)
             if not os.path.exists(r.kept):
                 os.link(r.target, r.kept)  # the old file, until the update is cleared
-                if _digest(r.kept) != r.old:
+                if _digest(r.kept) != r.old:  # another attempt may have replaced it
                     os.remove(r.kept)
+            if backup and os.path.exists(r.kept):
+                _linked(r.kept, f"{r.target}.bak")
         os.replace(r.staged, r.target)
     except FileNotFoundError:  # another attempt was faster
         pass
@@ -157,12 +165,14 @@ def write(files: DataFrame, own: Scratch, copy: bool = False, backup: bool = Fal
     A file that could not be written has its old one; the others stay written.
     """
     run = uuid.uuid4().hex[:12]
-    journal = own.settle(staged(files, run, copy), "journal")
-    done = own.settle(committed(journal, backup), "written")
+    # a file's time is that of its disk, whatever its size: files are dealt out by number, as parts by size would be few
+    n = max(1, files.sparkSession.sparkContext.defaultParallelism)
+    journal = own.settle(staged(files.select("path", "content").repartition(n), run, copy), "journal")
+    done = own.settle(committed(journal.repartition(n), backup), "written")
     failed = done.filter("error = 'not as written'").select("path")
     if not failed.isEmpty():
         own.drop(own.settle(restored(journal.join(failed, "path")), "restored"))
-    own.drop(own.settle(cleared(journal), "cleared"))
+    own.drop(own.settle(cleared(journal.repartition(n)), "cleared"))
     return done
 
 

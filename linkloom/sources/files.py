@@ -6,10 +6,13 @@ import io
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from linkloom.operators.batches import BYTES, ROWS, made
+
 #: Extension to format.
 EXTENSIONS = {"md": "markdown", "markdown": "markdown", "htm": "html", "html": "html", "txt": "text", "text": "text", "pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx"}
 PROBE, UNKNOWN_LIMIT = 8 << 10, 2 << 20
@@ -52,18 +55,25 @@ IGNORE = (".gitignore", ".ignore")
 
 def contents(spark: SparkSession, walked: DataFrame) -> DataFrame:
     """(path, length, content) of listed files, read where they are needed: by a folder that all executors share."""
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+
     def read(batches):
-        for pdf in batches:
-            rows = []
-            for path, length in zip(pdf["path"], pdf["length"]):
+        rows, size = [], 0
+        for batch in batches:
+            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with open(path, "rb") as f:
                     head = f.read(PROBE)
                     known = path.rpartition(".")[2].lower() in EXTENSIONS if "." in path.rpartition("/")[2] else False
-                    whole = known or length <= UNKNOWN_LIMIT or head.startswith((b"%PDF-", b"PK\x03\x04"))
-                    rows.append((path, length, head + f.read() if whole else None))
-            yield pd.DataFrame(rows, columns=["path", "length", "content"])
-
-    return walked.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(read, "path string, length long, content binary").filter("content is not null")
+                    if known or length <= UNKNOWN_LIMIT or head.startswith((b"%PDF-", b"PK\x03\x04")):
+                        rows.append((path, length, head + f.read()))
+                        size += len(rows[-1][2])
+                if len(rows) >= ROWS or size >= BYTES:
+                    yield made(rows, schema)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows, schema)
+
+    return walked.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(read, "path string, length long, content binary")
 
 
 def walk(spark: SparkSession, folders: list[str], files: list[str] = (), include: list[str] = (), exclude: list[str] = ()) -> DataFrame:

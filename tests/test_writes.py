@@ -89,6 +89,23 @@ def test_writing_counts_what_failed(spark, tree):
     assert _texts(tree) == OLD | {"0.fixed.md": "new 0", "1.fixed.md": "new 1", "2.fixed.md": "there"}
 
 
+def test_backups_are_the_old_files_and_writes_are_dealt_out(spark, tmp_path):
+    from linkloom.operators import commit
+    from linkloom.tables import Scratch
+
+    for k in range(200):
+        (tmp_path / f"{k}.md").write_text(f"old {k}")
+    nodes = {os.stat(tmp_path / f"{k}.md").st_ino for k in range(200)}
+    new = spark.range(200, numPartitions=1).selectExpr(f"concat('{tmp_path}/', id, '.md') path", "cast(concat('new ', id) as binary) content")
+    with Scratch(spark) as own:
+        done = commit.write(new, own, backup=True)
+        assert done.filter("error is null").count() == 200
+        assert sum(name.startswith("part-") for name in os.listdir(own.held[id(done)][1])) > 1
+    assert {p.read_text() for p in tmp_path.glob("*.md")} == {f"new {k}" for k in range(200)}
+    assert {(p.name, p.read_text()) for p in tmp_path.glob("*.bak")} == {(f"{k}.md.bak", f"old {k}") for k in range(200)}
+    assert {os.stat(p).st_ino for p in tmp_path.glob("*.bak")} == nodes and len(os.listdir(tmp_path)) == 400  # not written again
+
+
 def _found(spark, n):
     k = F.col("id")
     place = F.struct(F.lit("text").alias("type"), k.alias("line"), F.lit(1).alias("column"), *(F.lit(None).cast("string").alias(c) for c in ("page", "annotation", "paragraph", "sheet", "cell", "slide")))
