@@ -25,8 +25,8 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 400 bytes that repeat are cut out of the texts."""
-    return repeats.kept_rows(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Byte strings of 400 bytes that repeat, and passages of over 50 words that do, are cut out of the texts."""
+    return repeats.kept_rows(docs, words=51).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,11 @@ and a loser tree combines a range's runs, comparing only behind prefixes known t
 The common prefixes that the merge puts out, and those of the reversed bytes before the anchors,
 tell which suffixes agree over any window that holds the gram, and so the repeated lengths.
 
+``kept_rows`` can also remove runs of so many words, of any number of bytes, that start twice
+or more, with any white space between the words. They have anchors in the same way, in words;
+where an anchor's gram has different contexts, the hashes (128 bits) of the runs that it anchors
+are counted.
+
 Defined results: null and empty texts, and those under ``LENGTH`` bytes, keep all; a repeated
 row repeats as a whole; an empty table gives no rows; extra columns are not read or, in
 ``kept_rows``, returned unchanged. Positions are bytes of UTF-8; ``kept_rows`` leaves the
@@ -32,6 +37,8 @@ from linkloom.llm._run import Scratch
 U64 = np.uint64
 LENGTH = 400
 GRAM = 32
+#: Words of a gram that anchors runs of words.
+WORD_GRAM = 8
 #: Contexts of a range, of about 0.9 KB each.
 RANGE = 1 << 16
 
@@ -48,24 +55,27 @@ def _window_min(keys: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, place, gram hash, context hash) of every anchor."""
-    w = length - gram + 1
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64))
-    if len(buf) < length:
-        return none
-    prefix = tx.byte_prefix(buf)
-    at = np.arange(len(buf) - gram + 1)
+def _windows(prefix: tx.Prefix, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and anchor of every window that stays in its row, and the hashes of all grams."""
+    n = int(offs[-1])
+    if n < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+    at = np.arange(n - gram + 1)
     h = prefix.spans(at, at + gram)
-    least = _window_min((h & U64(0xFFFFFFFF00000000)) | at.astype(U64), w)
+    least = _window_min((h & U64(0xFFFFFFFF00000000)) | at.astype(U64), length - gram + 1)
     size = np.diff(offs)
-    valid = np.zeros(len(buf) + 1, np.int32)  # window starts that stay in their row
+    valid = np.zeros(n + 1, np.int32)  # window starts that stay in their row
     long = size >= length
     np.add.at(valid, offs[:-1][long], 1)
     np.add.at(valid, offs[1:][long] - length + 1, -1)
-    found = (least[np.cumsum(valid)[: len(least)] > 0] & U64(0xFFFFFFFF)).astype(np.int64)
+    start = np.flatnonzero(np.cumsum(valid)[: len(least)] > 0)
+    return start, (least[start] & U64(0xFFFFFFFF)).astype(np.int64), h
+
+
+def _anchors(prefix: tx.Prefix, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    _, found, h = _windows(prefix, offs, length, gram)
     if not len(found):
-        return none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
     a = found[np.r_[True, found[1:] != found[:-1]]]
     row = np.searchsorted(offs, a, "right") - 1
     left = np.maximum(a - (length - gram), offs[row])
@@ -73,6 +83,17 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int =
     return row, a - offs[row], h[a], tx.pair(prefix.spans(left, a), prefix.spans(a, right))
 
 
+def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(row, place, gram hash, context hash) of every anchor."""
+    return _anchors(tx.byte_prefix(buf), offs, length, gram)
+
+
+def _word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word, and the offsets of the rows into them."""
+    start, end, row = tx.words(buf, offs)
+    return tx.byte_prefix(buf).spans(start, end), np.searchsorted(row, np.arange(len(offs)))
+
+
 def _common(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix of two strings that share ``known`` bytes at least."""
     n = min(len(a), len(b))
@@ -219,22 +240,24 @@ def repeated(shared: list[int], lefts: list[bytes], length: int = LENGTH, gram:
     return np.where(high >= 0, low, 1), np.where(high >= 0, high, 0)
 
 
-def _found(docs: DataFrame, key: str, text: str, length: int, gram: int) -> DataFrame:
+def _found(docs: DataFrame, key: str, text: str, length: int, gram: int, how=None) -> DataFrame:
     """(key, _h, cuts): the byte intervals to remove of every row that has any; _h is a hash of its text."""
-    spark = docs.sparkSession
-    with Scratch(spark) as own:
-        return own.keep(_cuts(own, docs, key, text, length, gram))
+    with Scratch(docs.sparkSession) as own:
+        return own.keep((how or _cuts)(own, docs, key, text, length, gram))
 
 
-def _cuts(own: Scratch, docs: DataFrame, key: str, text: str, length: int, gram: int) -> DataFrame:
-    spark = own.spark
+def _contexts(own: Scratch, docs: DataFrame, key: str, text: str, anchored) -> tuple[DataFrame, ...]:
+    """Anchors, their contexts and how often each occurs, one place of every context whose gram has others, and the texts of those places.
+
+    ``anchored`` gives the anchors of bytes and offsets.
+    """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"), F.col(text))
 
     def find(batches):
         for batch in batches:
             for at, stop, buf, offs in tx.slices(batch.column(2), 1 << 20):
-                row, place, g, c = anchors(buf, offs, length, gram)
+                row, place, g, c = anchored(buf, offs)
                 row = pa.array(row + at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(place), pa.array(g.view(np.int64)), pa.array(c.view(np.int64))], names=[key, "_h", "place", "g", "c"])
 
@@ -246,6 +269,22 @@ def _cuts(own: Scratch, docs: DataFrame, key: str, text: str, length: int, gram:
     wanted = ones.groupBy(key, "_h").agg(F.collect_list(F.struct("place", "c")).alias("at"))
     # here and in _joined both sides grow with the documents: neither is ever broadcast, at any size
     fetched = rows.join(wanted.hint("merge"), F.expr("true") & rows[key].eqNullSafe(wanted[key]) & (rows["_h"] == wanted["_h"])).select(text, "at")
+    own.drop(mixed)
+    return marks, kinds, ones, fetched
+
+
+def _spread(own: Scratch, marks: DataFrame, kinds: DataFrame, parts: DataFrame, key: str, length: int, gram: int, *used: DataFrame) -> DataFrame:
+    """(key, _h, cuts): the repeats found at contexts, at all places of these contexts; ``used`` are tables that ``parts`` reads."""
+    whole = kinds.filter("n > 1").select("c", F.lit(length - gram).cast("long").alias("back"), F.lit(length).cast("long").alias("ahead"))
+    cuts = own.settle(whole.unionByName(parts).groupBy("c").agg(F.max("back").alias("back"), F.max("ahead").alias("ahead")), "repeats")
+    own.drop(kinds, *used)
+    spans = marks.join(cuts, "c").select(key, "_h", F.struct((F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end")).alias("cut"))
+    return own.settle(spans.groupBy(key, "_h").agg(F.collect_set("cut").alias("cuts")), "cuts")
+
+
+def _cuts(own: Scratch, docs: DataFrame, key: str, text: str, length: int, gram: int) -> DataFrame:
+    spark = own.spark
+    marks, kinds, ones, fetched = _contexts(own, docs, key, text, lambda buf, offs: anchors(buf, offs, length, gram))
 
     def cut(batch, i: int):
         body = (batch.column(0)[i].as_py() or "").encode()
@@ -265,7 +304,7 @@ def _cuts(own: Scratch, docs: DataFrame, key: str, text: str, length: int, gram:
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], names=["first"])
 
     texts = own.settle(fetched, "fetched")
-    own.drop(ones, mixed)
+    own.drop(ones)
     seen = sorted(bytes(r.first) for r in texts.mapInArrow(sample, "first binary").collect())
     splits = sorted({seen[i * len(seen) // ranges] for i in range(1, ranges)}) if seen else []
 
@@ -310,11 +349,42 @@ def _cuts(own: Scratch, docs: DataFrame, key: str, text: str, length: int, gram:
             yield flush()
 
     parts = texts.mapInArrow(sort, "range int, run binary").groupBy("range").applyInArrow(combine, "c long, back long, ahead long")
-    whole = kinds.filter("n > 1").select("c", F.lit(length - gram).cast("long").alias("back"), F.lit(length).cast("long").alias("ahead"))
-    cuts = own.settle(whole.unionByName(parts).groupBy("c").agg(F.max("back").alias("back"), F.max("ahead").alias("ahead")), "repeats")
-    own.drop(texts, kinds)
-    spans = marks.join(cuts, "c").select(key, "_h", F.struct((F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end")).alias("cut"))
-    return own.settle(spans.groupBy(key, "_h").agg(F.collect_set("cut").alias("cuts")), "cuts")
+    return _spread(own, marks, kinds, parts, key, length, gram, texts)
+
+
+def _runs(own: Scratch, docs: DataFrame, key: str, text: str, words: int, gram: int) -> DataFrame:
+    """Like ``_cuts``, of runs of words; intervals count words."""
+
+    def anchored(buf, offs):
+        h, rows = _word_hashes(buf, offs)
+        return _anchors(tx.Prefix(h), rows, words, gram)
+
+    marks, kinds, ones, fetched = _contexts(own, docs, key, text, anchored)
+
+    def hashes(batches):
+        for batch in batches:
+            at = batch.column(1)
+            for first, stop, buf, offs in tx.slices(batch.column(0), 1 << 20):
+                h, rows = _word_hashes(buf, offs)
+                prefix = tx.Prefix(h)
+                start, anchor, _ = _windows(prefix, rows, words, gram)
+                some = at.slice(first, stop - first)
+                flat = some.flatten()
+                row = np.repeat(np.arange(stop - first), some.value_lengths().to_numpy())
+                place = rows[row] + flat.field("place").to_numpy()
+                order = np.argsort(place, kind="stable")
+                i = np.searchsorted(place[order], anchor)
+                i[i == len(order)] = 0
+                hit = place[order][i] == anchor
+                start, anchor, c = start[hit], anchor[hit], flat.field("c").to_numpy()[order][i[hit]]
+                both = (prefix.spans(start, start + words), tx.Prefix(tx.mix(~h)).spans(start, start + words))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in both), pa.array(c), pa.array(anchor - start)], names=["a", "b", "c", "back"])
+
+    held = own.settle(fetched.mapInArrow(hashes, "a long, b long, c long, back long"), "runs")
+    own.drop(ones)
+    twice = own.settle(held.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b"), "twice")
+    parts = held.join(twice.hint("merge"), ["a", "b"], "left_semi").select("c", "back", (words - F.col("back")).alias("ahead"))
+    return _spread(own, marks, kinds, parts, key, words, gram, held, twice)
 
 
 def _union(cuts, n: int) -> list[tuple[int, int]]:
@@ -356,21 +426,33 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
     return _joined(docs, _found(docs, key, text, length, gram), key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def kept_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the repeats cut out of the text; bytes of a character that is not cut whole stay."""
+def kept_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+    """docs with the repeats cut out of the text; bytes of a character that is not cut whole stay.
+
+    With ``words``, runs of that many words that start twice or more go too, from the first
+    byte of the first word to the last of the last; both kinds are judged on the input.
+    """
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     k, t = f"c{names.index(key)}", f"c{names.index(text)}"
-    both = _joined(plain, _found(plain, k, t, length, gram), k, t)
+    found = _found(plain, k, t, length, gram).withColumn("runs", F.lit(False))
+    if words is not None:
+        found = found.unionByName(_found(plain, k, t, words, WORD_GRAM, _runs).withColumn("runs", F.lit(True)))
+    cuts_of = lambda kind: F.flatten(F.collect_list(F.when(F.col("runs") == kind, F.col("cuts"))))
+    both = _joined(plain, found.groupBy(k, "_h").agg(cuts_of(False).alias("cuts"), cuts_of(True).alias("runs")), k, t)
 
     @F.pandas_udf("string")
-    def cut(texts, cuts):
+    def cut(texts, cuts, runs):
         out = []
-        for x, c in zip(texts, cuts):
-            if x is not None and c is not None and len(c):
+        for x, c, r in zip(texts, cuts, runs):
+            if x is not None and c is not None:
                 body = x.encode()
+                spans = list(c)
+                if len(r):
+                    start, end, _ = tx.words(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
+                    spans += [{"start": int(start[a]), "end": int(end[b - 1])} for a, b in _union(list(r), len(start))]
                 keep, at = [], 0
-                for a, b in _union(list(c), len(body)):
+                for a, b in _union(spans, len(body)):
                     while a < b and body[a] & 0xC0 == 0x80:
                         a += 1
                     while b > a and b < len(body) and body[b] & 0xC0 == 0x80:
@@ -383,4 +465,4 @@ def kept_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str
 
         return pd.Series(out, dtype=object)
 
-    return both.withColumn(t, cut(F.col(t), F.col("cuts"))).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+    return both.withColumn(t, cut(F.col(t), F.col("cuts"), F.col("runs"))).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

@@ -337,6 +337,48 @@ def test_repeats_equal_brute_force(spark, nothing):
     assert repeats.kept_rows(df).count() == len(rows)
 
 
+def test_repeated_runs_of_words_equal_brute_force(spark, nothing):
+    r = random.Random(21)
+    words = lambda k: r.choices(VOCAB, k=k)
+    passage, long_ = words(58), words(130)
+    rows = [" ".join([*words(r.randint(0, 60)), *passage, *words(r.randint(0, 60))]) for _ in range(6)]
+    rows += [" ".join(words(40)) + "\n" + "\t ".join(passage[: 49 + k]) + "  " + " ".join(words(40)) for k in range(5)]  # 49 to 53 words, other white space
+    rows += [" ".join(words(30) + long_[k : k + 70] + words(30)) for k in range(0, 60, 7)]
+    rows += [" ".join(words(20) + ["on"] * n + words(20)) for n in (40, 51, 52, 90)] + ["é ß " * 60, None, "", " ", "x" * 3000, " ".join(words(50)), " ".join(words(300))]
+    rows += [" ".join(long_[40:91]), rows[-1]]
+    rows = [(i, t) for i, t in enumerate(rows)] + [(0, " ".join(passage[3:54])), (None, " ".join(passage[:51]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [[m.span() for m in re.finditer(WORD, t or "")] for _, t in rows]
+    runs = [[tuple(t[a:b] for a, b in w[k : k + 51]) for k in range(len(w) - 50)] for (_, t), w in zip(rows, found)]
+    seen = Counter(x for v in runs for x in v)
+    want = []
+    for (i, t), w, v in zip(rows, found, runs):
+        gone = set()
+        for k, x in enumerate(v):
+            if seen[x] > 1:
+                gone.update(range(w[k][0], w[k + 50][1]))
+        want.append((i or 0, t if t is None else "".join(c for at, c in enumerate(t) if at not in gone)))
+    got = repeats.kept_rows(df, length=10**6, words=51).collect()
+    assert sorted((x.doc_id or 0, x.text or "") for x in got) == sorted((i, t or "") for i, t in want)
+    assert sum(t != u for (_, t), (_, u) in zip(rows, want)) > 20
+    assert repeats.kept_rows(nothing, words=51).count() == 0
+
+
+def test_pipeline_cuts_short_passages_of_many_words(spark):
+    import corpus_pipeline as cp
+
+    words = lambda k: " ".join(R.choices(VOCAB, k=k))
+    passage, bytes_ = " ".join(x[:4] for x in words(55).split()), "y" * 450
+    assert len(passage) < 400
+    rows = [(i, f"{words(90)} {passage} {words(60)}", "en", "s", 1) for i in range(3)] + [(9, words(150), "en", "s", 1)] + [(20 + i, f"{words(30)} {bytes_} {words(30)}", "en", "s", 1) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x for x in cp.repeats_stage(spark, df, "").collect()}
+    for i, t, *_ in rows:
+        left = t.replace(passage, "").replace(f" {bytes_} ", "")
+        assert got[i].n_chars == len(got[i].text) and abs(len(got[i].text) - len(left)) <= 8 and passage not in got[i].text and bytes_ not in got[i].text
+    assert got[9].text == rows[3][1]
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     g = np.random.default_rng(1)
     for n in (5, 60, 2000):
