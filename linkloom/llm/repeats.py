@@ -9,15 +9,15 @@ and a loser tree combines a range's runs, comparing only behind prefixes known t
 The common prefixes that the merge puts out, and those of the reversed bytes before the anchors,
 tell which suffixes agree over any window that holds the gram, and so the repeated lengths.
 
-``kept_rows`` can also remove runs of so many words, of any number of bytes, that start twice
-or more, with any white space between the words. They have anchors in the same way, in words;
-where an anchor's gram has different contexts, the hashes (128 bits) of the runs that it anchors
-are counted.
+With ``words``, runs of so many words, of any number of bytes, that start twice or more are
+passages, which go too, with any white space between the words. They have anchors in the same
+way, in words; where an anchor's gram has different contexts, the hashes (128 bits) of the runs
+that it anchors are counted.
 
 Defined results: null and empty texts, and those under ``LENGTH`` bytes, keep all; a repeated
 row repeats as a whole; an empty table gives no rows; extra columns are not read or, in
-``kept_rows``, returned unchanged. Positions are bytes of UTF-8; ``kept_rows`` leaves the
-bytes of a character that is cut, so that the text stays valid.
+``kept_rows``, returned unchanged. Positions are bytes of UTF-8; texts keep the bytes of a
+character that is not cut whole, so that they stay valid.
 """
 
 from __future__ import annotations
@@ -403,27 +403,70 @@ def _joined(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame
     return rows.join(found.withColumnsRenamed({key: "_k", "_h": "_g"}).hint("merge"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g")), "left").drop("_k", "_g", "_h")
 
 
-def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+def _both(docs: DataFrame, key: str, text: str, length: int, gram: int, words: int | None) -> DataFrame:
+    """(key, _h, cuts, runs): byte intervals and, with ``words``, intervals of words to remove of every row that has any."""
+    found = _found(docs, key, text, length, gram).withColumn("runs", F.lit(False))
+    if words is not None:
+        found = found.unionByName(_found(docs, key, text, words, WORD_GRAM, _runs).withColumn("runs", F.lit(True)))
+    cuts_of = lambda kind: F.flatten(F.collect_list(F.when(F.col("runs") == kind, F.col("cuts"))))
+    return found.groupBy(key, "_h").agg(cuts_of(False).alias("cuts"), cuts_of(True).alias("runs"))
+
+
+def _passages(body: bytes, runs) -> list[tuple[int, int]]:
+    """Bytes, from the first of the first word to the last of the last, of intervals of words."""
+    if runs is None or not len(runs):
+        return []
+    start, end, _ = tx.words(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
+    return [(int(start[a]), int(end[b - 1])) for a, b in _union(list(runs), len(start))]
+
+
+def _left(body: bytes, cuts, passages: list[tuple[int, int]]) -> str:
+    """What is left without both; bytes of a character that is not cut whole stay."""
+    keep, at = [], 0
+    for a, b in _union([*(() if cuts is None else cuts), *({"start": a, "end": b} for a, b in passages)], len(body)):
+        while a < b and body[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(body) and body[b] & 0xC0 == 0x80:
+            b -= 1
+        keep.append(body[at:a])
+        at = b
+    return b"".join([*keep, body[at:]]).decode()
+
+
+def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+
+    With ``words``, which changes none of these, also n_passages and n_passage_bytes (maximal
+    runs of repeated passages), and the text that ``kept_rows`` leaves: without both kinds.
+    """
     docs = docs.select(key, text)
     kind = docs.schema[key].dataType.simpleString()
+    more = {} if words is None else {"n_passages": pa.int64(), "n_passage_bytes": pa.int64(), text: pa.string()}
+    types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | more
 
     def run(batches):
         for batch in batches:
-            out = []
-            for t, cuts in zip(batch.column(1), batch.column(2)):
-                body = (t.as_py() or "").encode()
-                spans = _union(cuts.as_py(), len(body))
-                sha, at = hashlib.sha256(), 0
-                for a, b in spans:
-                    sha.update(body[at:a])
-                    at = b
-                sha.update(body[at:])
-                out.append((len(body), sum(b - a for a, b in spans), len(spans), sha.hexdigest()))
-            c = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return _joined(docs, _found(docs, key, text, length, gram), key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+            for first, stop, *_ in tx.slices(batch.column(1), 1 << 22):
+                part, out = batch.slice(first, stop - first), []
+                for t, *found in zip(*part.columns[1:]):
+                    t, (cuts, *runs) = t.as_py(), (x.as_py() for x in found)
+                    body = (t or "").encode()
+                    spans = _union(cuts, len(body))
+                    sha, at = hashlib.sha256(), 0
+                    for a, b in spans:
+                        sha.update(body[at:a])
+                        at = b
+                    sha.update(body[at:])
+                    row = [len(body), sum(b - a for a, b in spans), len(spans), sha.hexdigest()]
+                    if more:
+                        passages = _passages(body, runs[0])
+                        row += [len(passages), sum(b - a for a, b in passages), _left(body, cuts, passages) if cuts or passages else t]
+                    out.append(row)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, kind) for x, kind in zip(zip(*out), types.values()))], names=[key, *types])
+
+    found = _found(docs, key, text, length, gram) if words is None else _both(docs, key, text, length, gram, words)
+    says = ", ".join(f"`{name}` {'string' if x == pa.string() else 'long'}" for name, x in types.items())
+    return _joined(docs, found, key, text).mapInArrow(run, f"`{key}` {kind}, {says}")
 
 
 def kept_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
@@ -435,11 +478,7 @@ def kept_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     k, t = f"c{names.index(key)}", f"c{names.index(text)}"
-    found = _found(plain, k, t, length, gram).withColumn("runs", F.lit(False))
-    if words is not None:
-        found = found.unionByName(_found(plain, k, t, words, WORD_GRAM, _runs).withColumn("runs", F.lit(True)))
-    cuts_of = lambda kind: F.flatten(F.collect_list(F.when(F.col("runs") == kind, F.col("cuts"))))
-    both = _joined(plain, found.groupBy(k, "_h").agg(cuts_of(False).alias("cuts"), cuts_of(True).alias("runs")), k, t)
+    both = _joined(plain, _both(plain, k, t, length, gram, words), k, t)
 
     @F.pandas_udf("string")
     def cut(texts, cuts, runs):
@@ -447,19 +486,7 @@ def kept_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str
         for x, c, r in zip(texts, cuts, runs):
             if x is not None and c is not None:
                 body = x.encode()
-                spans = list(c)
-                if len(r):
-                    start, end, _ = tx.words(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
-                    spans += [{"start": int(start[a]), "end": int(end[b - 1])} for a, b in _union(list(r), len(start))]
-                keep, at = [], 0
-                for a, b in _union(spans, len(body)):
-                    while a < b and body[a] & 0xC0 == 0x80:
-                        a += 1
-                    while b > a and b < len(body) and body[b] & 0xC0 == 0x80:
-                        b -= 1
-                    keep.append(body[at:a])
-                    at = b
-                x = b"".join([*keep, body[at:]]).decode()
+                x = _left(body, c, _passages(body, r))
             out.append(x)
         import pandas as pd
 

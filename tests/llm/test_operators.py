@@ -364,6 +364,28 @@ def test_repeated_runs_of_words_equal_brute_force(spark, nothing):
     assert repeats.kept_rows(nothing, words=51).count() == 0
 
 
+def test_repeats_query_shows_short_passages_of_many_words(spark, tmp_path):
+    r = random.Random(22)
+    words = lambda k: " ".join(r.choices(VOCAB, k=k))
+    passage, bytes_ = " ".join(x[:4] for x in words(55).split()), "yé" * 150
+    assert len(passage) < 399
+    rows = [(i, f"{words(90)} {passage} {words(60)}") for i in range(3)] + [(3, f"{words(9)}\n{passage}\n{words(9)} {passage.upper()}"), (4, words(150)), (5, None), (6, "")]
+    rows += [(20 + i, f"{words(30)} {bytes_} {words(30)}") for i in range(2)] + [(30, passage + " " + bytes_), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in queries.op7_repeats(spark, str(tmp_path)).collect()}
+    plain = {x.doc_id: x for x in repeats.digests(df).collect()}
+    cut = {x.doc_id: x.text for x in repeats.kept_rows(df, words=51).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert tuple(got[i])[:5] == tuple(plain[i]) and got[i].text == cut[i]
+        has = passage in (t or "")
+        assert (got[i].n_passages, got[i].n_passage_bytes > 0) == (int(has), has) and passage not in (got[i].text or "")
+        assert got[i].n_removed == (0 if bytes_ not in (t or "") else got[i].n_removed) and (bytes_ in (t or "")) == (got[i].n_removed >= 450)
+    assert all(len(passage) <= got[i].n_passage_bytes < len(passage) + 40 for i in (0, 1, 2, 3, 30, None))
+    assert got[4].text == rows[4][1] and got[5].text is None and got[6].text == ""
+
+
 def test_pipeline_cuts_short_passages_of_many_words(spark):
     import corpus_pipeline as cp
 
