@@ -262,10 +262,11 @@ def _contexts(own: Scratch, docs: DataFrame, key: str, text: str, anchored) -> t
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(place), pa.array(g.view(np.int64)), pa.array(c.view(np.int64))], names=[key, "_h", "place", "g", "c"])
 
     marks = own.settle(rows.mapInArrow(find, f"`{key}` {kind}, _h long, place long, g long, c long"), "anchors")
-    kinds = own.settle(marks.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("_h", "place", key)).alias("one")), "contexts")
+    # any place of a context will do; the three are of one row, and numbers need no sort, as a struct's least value would
+    kinds = own.settle(marks.groupBy("g", "c").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in ("_h", "place", key))), "contexts")
     # settled, so that the join below reads plain rows by gram and a gram of very many contexts is split at run time
     mixed = own.settle(kinds.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g"), "grams")
-    ones = own.settle(kinds.join(mixed, "g", "left_semi").select("one.*", "c"), "suffixes")
+    ones = own.settle(kinds.join(mixed, "g", "left_semi").select("_h", "place", key, "c"), "suffixes")
     wanted = ones.groupBy(key, "_h").agg(F.collect_list(F.struct("place", "c")).alias("at"))
     # here and in _joined both sides grow with the documents: neither is ever broadcast, at any size
     fetched = rows.join(wanted.hint("merge"), F.expr("true") & rows[key].eqNullSafe(wanted[key]) & (rows["_h"] == wanted["_h"])).select(text, "at")
@@ -387,17 +388,6 @@ def _runs(own: Scratch, docs: DataFrame, key: str, text: str, words: int, gram:
     return _spread(own, marks, kinds, parts, key, words, gram, held, twice)
 
 
-def _union(cuts, n: int) -> list[tuple[int, int]]:
-    """Sorted disjoint intervals within [0, n)."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((max(0, x["start"]), min(n, x["end"])) for x in cuts or ()):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
-
-
 def _joined(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.withColumn("_h", F.xxhash64(F.coalesce(text, F.lit(""))))
     return rows.join(found.withColumnsRenamed({key: "_k", "_h": "_g"}).hint("merge"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g")), "left").drop("_k", "_g", "_h")
@@ -412,18 +402,51 @@ def _both(docs: DataFrame, key: str, text: str, length: int, gram: int, words: i
     return found.groupBy(key, "_h").agg(cuts_of(False).alias("cuts"), cuts_of(True).alias("runs"))
 
 
-def _passages(body: bytes, runs) -> list[tuple[int, int]]:
-    """Bytes, from the first of the first word to the last of the last, of intervals of words."""
-    if runs is None or not len(runs):
-        return []
-    start, end, _ = tx.words(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
-    return [(int(start[a]), int(end[b - 1])) for a, b in _union(list(runs), len(start))]
+def _flat(cuts: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Row, start and end of all intervals."""
+    flat = cuts.flatten()
+    row = np.repeat(np.arange(len(cuts)), cuts.value_lengths().fill_null(0).to_numpy())
+    return row, flat.field("start").to_numpy(), flat.field("end").to_numpy()
+
+
+def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row, start and end of sorted disjoint intervals within [0, size) of each row."""
+    base = np.cumsum(size + 1) - (size + 1)  # rows lie one after the other, with a gap
+    a, b = base[row] + np.maximum(start, 0), base[row] + np.minimum(end, size[row])
+    order = np.argsort(a, kind="stable")
+    a, row, reach = a[order], row[order], np.maximum.accumulate(b[order])
+    new = np.flatnonzero(np.r_[True, a[1:] > reach[:-1]][: len(a)])
+    row = row[new]
+    return row, a[new] - base[row], reach[np.r_[new[1:], len(a)][: len(new)] - 1] - base[row]
+
+
+def _of_words(buf: np.ndarray, offs: np.ndarray, runs: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Row, first byte and end of the runs of words that the merged intervals of words are."""
+    row, first, last = _flat(runs)
+    if not len(row):
+        return row, first, last
+    start, end, of = tx.words(buf, offs)
+    at = np.searchsorted(of, np.arange(len(offs)))
+    row, first, last = _merged(row, first, last, np.diff(at))
+    return row, start[at[row] + first] - offs[row], end[at[row] + last - 1] - offs[row]
+
+
+def _by_row(intervals: tuple[np.ndarray, ...], n: int) -> Iterator[list[tuple[int, int]]]:
+    row, start, end = intervals
+    both, at = list(zip(start.tolist(), end.tolist())), np.searchsorted(row, np.arange(n + 1)).tolist()
+    return (both[a:b] for a, b in zip(at, at[1:]))
+
+
+def _bodies(texts: pa.Array) -> Iterator[tuple[str | None, bytes]]:
+    for t in texts:
+        t = t.as_py()
+        yield t, (t or "").encode()
 
 
-def _left(body: bytes, cuts, passages: list[tuple[int, int]]) -> str:
-    """What is left without both; bytes of a character that is not cut whole stay."""
+def _left(body: bytes, spans: list[tuple[int, int]]) -> str:
+    """What is left without sorted disjoint intervals; bytes of a character that is not cut whole stay."""
     keep, at = [], 0
-    for a, b in _union([*(() if cuts is None else cuts), *({"start": a, "end": b} for a, b in passages)], len(body)):
+    for a, b in spans:
         while a < b and body[a] & 0xC0 == 0x80:
             a += 1
         while b > a and b < len(body) and body[b] & 0xC0 == 0x80:
@@ -446,21 +469,20 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
 
     def run(batches):
         for batch in batches:
-            for first, stop, *_ in tx.slices(batch.column(1), 1 << 22):
+            for first, stop, buf, offs in tx.slices(batch.column(1), 1 << 22):
                 part, out = batch.slice(first, stop - first), []
-                for t, *found in zip(*part.columns[1:]):
-                    t, (cuts, *runs) = t.as_py(), (x.as_py() for x in found)
-                    body = (t or "").encode()
-                    spans = _union(cuts, len(body))
+                cuts = _merged(*_flat(part.column(2)), np.diff(offs))
+                passages = _of_words(buf, offs, part.column(3)) if more else None
+                both = _merged(*(np.concatenate(x) for x in zip(cuts, passages)), np.diff(offs)) if more else None
+                for (t, body), own, *other in zip(_bodies(part.column(1)), _by_row(cuts, len(part)), *(_by_row(x, len(part)) for x in (passages, both) if more)):
                     sha, at = hashlib.sha256(), 0
-                    for a, b in spans:
+                    for a, b in own:
                         sha.update(body[at:a])
                         at = b
                     sha.update(body[at:])
-                    row = [len(body), sum(b - a for a, b in spans), len(spans), sha.hexdigest()]
+                    row = [len(body), sum(b - a for a, b in own), len(own), sha.hexdigest()]
                     if more:
-                        passages = _passages(body, runs[0])
-                        row += [len(passages), sum(b - a for a, b in passages), _left(body, cuts, passages) if cuts or passages else t]
+                        row += [len(other[0]), sum(b - a for a, b in other[0]), _left(body, other[1]) if other[1] else t]
                     out.append(row)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, kind) for x, kind in zip(zip(*out), types.values()))], names=[key, *types])
 
@@ -480,16 +502,14 @@ def kept_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str
     k, t = f"c{names.index(key)}", f"c{names.index(text)}"
     both = _joined(plain, _both(plain, k, t, length, gram, words), k, t)
 
-    @F.pandas_udf("string")
-    def cut(texts, cuts, runs):
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, cuts: pa.Array, runs: pa.Array) -> pa.Array:
         out = []
-        for x, c, r in zip(texts, cuts, runs):
-            if x is not None and c is not None:
-                body = x.encode()
-                x = _left(body, c, _passages(body, r))
-            out.append(x)
-        import pandas as pd
-
-        return pd.Series(out, dtype=object)
+        for first, stop, buf, offs in tx.slices(texts, 1 << 22):
+            part = slice(first, stop)
+            found = _flat(cuts[part]), _of_words(buf, offs, runs[part])
+            both = _merged(*(np.concatenate(x) for x in zip(*found)), np.diff(offs))
+            out += [_left(body, own) if own else t for (t, body), own in zip(_bodies(texts[part]), _by_row(both, stop - first))]
+        return pa.array(out, pa.string())
 
     return both.withColumn(t, cut(F.col(t), F.col("cuts"), F.col("runs"))).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
