@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections import defaultdict
+from functools import cached_property
 from math import ceil
-from typing import Iterator
+from typing import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,9 @@ PIECE = "piece int, start long, length long, ids_crc32 long"
 
 #: Fixed value: how the byte-level vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of the pattern's white space that are encoded by themselves; only texts of more characters are looked through.
+LEAST = 100_000
+LONG = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LEAST},}}")
 
 
 def _letters() -> dict[int, str]:
@@ -46,16 +49,16 @@ def _letters() -> dict[int, str]:
 
 
 class Ids:
-    """Token ids of texts, by chunks that start at single blanks.
+    """Token ids of texts, each encoded whole.
 
-    The byte-level pattern never joins a character with a later blank, so a blank between two
-    other characters always begins a token. Chunks are encoded once and kept, in two
-    generations of ``most`` chunks each. Special tokens of the vocabulary (its JSON form) that
-    stand in a text are cut out first and have their own ids. A token's id is its merge rank, so
-    that ranks encode the chunks, which is several times as fast as the JSON form's library.
+    A token's id is its merge rank, so that ranks encode the texts, which is several times as
+    fast as the JSON form's library. Special tokens of the vocabulary (its JSON form) that stand
+    in a text are cut out first and have their own ids. The encoder keeps a place for every
+    character of a run of white space, so that long runs are cut out too: but for its last
+    character, which may begin the next token, such a run is one piece of the pattern.
     """
 
-    def __init__(self, vocabulary: bytes, most: int = 400_000):
+    def __init__(self, vocabulary: bytes):
         import json
 
         import tiktoken
@@ -65,64 +68,40 @@ class Ids:
         own = {x["content"]: x for x in said["added_tokens"]}
         if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in own.values()):
             raise ValueError("only special tokens that match as they stand are supported")
-        table = {b"".join(spelt[c] for c in t): i for t, i in said["model"]["vocab"].items() if t not in own}
-        self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.special = {t: np.array([x["id"]], "<u4").tobytes() for t, x in own.items()}
+        self.table = {b"".join(spelt[c] for c in t): i for t, i in said["model"]["vocab"].items() if t not in own}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=self.table, special_tokens={t: x["id"] for t, x in own.items()})
+        self.special = {t: np.array([x["id"]], "<u4") for t, x in own.items()}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(own, key=len, reverse=True)) + ")") if own else None
-        self.most = most
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def parts(self, text: str) -> list[str]:
-        """Chunks, and special tokens as they stand in the text."""
-        if self.cut is None or not self.cut.search(text):
-            return self.chunks(text)
-        return [x for k, part in enumerate(self.cut.split(text)) if part for x in ([part] if k % 2 else self.chunks(part))]
-
-    def chunks(self, text: str) -> list[str]:
-        head, *rest = text.split(" ")
-        plain = head != "" and not head[-1].isspace()
-        for x in rest:
-            if not x or x[0].isspace() or x[-1].isspace():
-                plain = False
-                break
-        if plain:
-            return [head, *[" " + x for x in rest]]
-        out, begin, at = [], 0, text.find(" ")  # other blanks next to blanks: cut at single ones only
-        while at >= 0:
-            if 0 < at < len(text) - 1 and not text[at - 1].isspace() and not text[at + 1].isspace():
-                out.append(text[begin:at])
-                begin = at
-            at = text.find(" ", at + 1)
-        return [*out, text[begin:]]
-
-    def _ids(self, chunk: str) -> bytes:
-        """The ids of a chunk that is not kept yet."""
-        if chunk in self.special:
-            return self.special[chunk]
-        if (ids := self.young.get(chunk)) is not None:
-            return ids
-        if (ids := self.old.get(chunk)) is None:
-            at = chunk.find("\n")
-            if 0 < at < len(chunk) - 1 and not chunk[at - 1].isspace() and not chunk[at + 1].isspace():
-                ids = self._ids(chunk[:at]) + self._ids("\n") + self._ids(chunk[at + 1 :])  # a single line feed is a token
-            elif len(chunk) > 2 and chunk[-1] in ",." and chunk[-2].isalpha():
-                ids = self._ids(chunk[:-1]) + self._ids(chunk[-1])  # a run of letters ends before it
-            else:
-                ids = array("I", self.encode(chunk)).tobytes()
-        self.young[chunk] = ids
-        return ids
 
-    def of(self, texts: list[str | None]) -> list[bytes]:
+    @cached_property
+    def single(self):
+        """An encoder that takes its text for one piece."""
+        import tiktoken
+
+        return tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=self.table, special_tokens={})
+
+    def _plain(self, text: str) -> list[np.ndarray]:
+        """Ids of a text without special tokens."""
+        out, at = [], 0
+        for run in LONG.finditer(text) if len(text) > LEAST else ():
+            end = run.end() - (run.end() < len(text))
+            out += [self._ids(self.encoding, text[at : run.start()]), self._ids(self.single, text[run.start() : end])]
+            at = end
+        return [*out, self._ids(self.encoding, text[at:])]
+
+    @staticmethod
+    def _ids(encoding, text: str) -> np.ndarray:
+        return encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+
+    def of(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [self.parts(t) if t else [] for t in texts]
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        young, sizes = self.young, self._ids
-        for x in set().union(*cut):
-            if x not in young:
-                young[x] = sizes(x)
-        return [b"".join([young[x] for x in c]) for c in cut]
+        for text in texts:
+            text = text or ""
+            if self.cut is None or not self.cut.search(text):
+                found = self._plain(text)
+            else:
+                found = [x for k, part in enumerate(self.cut.split(text)) if part for x in ([self.special[part]] if k % 2 else self._plain(part))]
+            yield b"".join([x.astype("<u4", copy=False).tobytes() for x in found])
 
 
 _loaded: dict[int, Ids] = {}
@@ -140,23 +119,16 @@ def pieces(docs: DataFrame, vocabulary: bytes, size: int = 2048, end: int = 0, k
             _loaded.clear()
             _loaded[own] = Ids(vocabulary)
         for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
             rows, which = [], []
-            while at < len(texts):
-                some, chars = [], 0
-                while at < len(texts) and chars < 4_000_000:
-                    some.append(texts[at])
-                    chars += len(texts[at] or "")
-                    at += 1
-                for i, ids in enumerate(_loaded[own].of(some), at - len(some)):
-                    ids += close
-                    n = len(ids) // 4
-                    first = (n - 1) % size + 1
-                    begin = 0
-                    for p, stop in enumerate(range(first, n + 1, size)):
-                        which.append(i)
-                        rows.append((p, begin, stop - begin, crc(ids[4 * begin : 4 * stop])))
-                        begin = stop
+            for i, ids in enumerate(_loaded[own].of(batch.column(1).to_pylist())):
+                ids += close
+                n = len(ids) // 4
+                first = (n - 1) % size + 1
+                begin = 0
+                for p, stop in enumerate(range(first, n + 1, size)):
+                    which.append(i)
+                    rows.append((p, begin, stop - begin, crc(ids[4 * begin : 4 * stop])))
+                    begin = stop
             c = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), pa.array(c[0], pa.int32()), *[pa.array(x, pa.int64()) for x in c[1:]]], names=[key, "piece", "start", "length", "ids_crc32"])
 
@@ -193,6 +165,7 @@ class Search:
         self.holders: dict[int, dict[int, set[int]]] = defaultdict(dict)  # length -> gap -> open bins that hold such an item
         self.most = np.zeros(size + 1, np.int64)  # the largest gap of those bins
         self.open: set[int] = set()
+        self.rising: dict[int, tuple[list[int], list[int]]] = {}  # bin -> its items, shortest first, and their lengths; until the bin changes
         self.moves = self.swaps = self.twos = self.splits = 0
         for b, g in enumerate(self.gap):
             if g > 0:
@@ -225,6 +198,8 @@ class Search:
     def _give(self, a: int, b: int, out: list[int], back: list[int]) -> None:
         """Items ``out`` of a go to b, items ``back`` of b to a."""
         self._leave(b)
+        self.rising.pop(a, None)
+        self.rising.pop(b, None)
         for x, y, items in ((a, b, out), (b, a, back)):
             n = sum(self.lengths[i] for i in items)
             self.gap[x] += n
@@ -299,10 +274,15 @@ class Search:
             left &= ~(1 << g)
             for b in sorted(self.by_gap[g]):
                 looked -= 1
-                items = sorted(self.bins[b], key=self.lengths.__getitem__)
+                if (known := self.rising.get(b)) is None:
+                    items = sorted(self.bins[b], key=self.lengths.__getitem__)
+                    known = self.rising[b] = items, [self.lengths[x] for x in items]
+                items, lengths = known
                 p, q = 0, len(items) - 1
+                if q < 1 or lengths[q - 1] + lengths[q] < total - g:
+                    continue  # even the longest two are too short
                 while p < q:
-                    two = self.lengths[items[p]] + self.lengths[items[q]]
+                    two = lengths[p] + lengths[q]
                     if two >= total:
                         q -= 1
                     elif two < total - g:

@@ -285,6 +285,53 @@ def test_packing(spark, docs, nothing):
     assert packing.packed(nothing, ranks).count() == 0
 
 
+def test_packing_costs_no_more_than_encoding():
+    import json
+    import time
+
+    import tiktoken
+
+    vocabulary = queries.vocabulary("byte_bpe_50k.json")
+    spelt = {c: bytes([b]) for b, c in packing._letters().items()}
+    ranks = {b"".join(spelt[c] for c in t): i for t, i in json.loads(vocabulary)["model"]["vocab"].items() if t != "<|endoftext|>"}
+    plain = tiktoken.Encoding("plain", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = packing.Ids(vocabulary)
+    r = random.Random(8)
+    took = {"plain": [], "own": []}
+    for _ in range(4):  # new texts each time
+        texts = [" ".join("".join(r.choices("aeinorst", k=r.randint(5, 12))) for _ in range(300)) for _ in range(1000)]
+        began = time.process_time()
+        want = [plain.encode_ordinary(x) for x in texts]
+        took["plain"].append(time.process_time() - began)
+        began = time.process_time()
+        got = list(own.of(texts))
+        took["own"].append(time.process_time() - began)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert min(took["own"]) < 2 * min(took["plain"]), took
+
+
+def test_packing_encodes_long_white_space():
+    from tokenizers import Tokenizer
+
+    vocabulary = queries.vocabulary("byte_bpe_50k.json")
+    t = Tokenizer.from_str(vocabulary.decode())
+    own, n = packing.Ids(vocabulary), 100_000
+    odd = [" " * n, " " * (n + 3) + "x", "a" + "\n" * n + " y", "\t" * (n - 1) + " b" + " " * n + "<|endoftext|>" + "\u3000" * n + "'s", "z" * n + "\x1f" * n + "z"]
+    odd.append(" " * 1_500_000 + "x")  # more than the encoder takes at once
+    for x, ids in zip(odd, own.of(odd)):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_local_search_knows_its_bins():
+    r = random.Random(4)
+    lengths = [r.choice([5, 100, 700, 1024, 1025, 1300]) for _ in range(600)]
+    search = packing.Search(packing.arrival(lengths, 2048), lengths, 2048)
+    search.run(math.ceil(sum(lengths) / 2048))
+    assert search.splits and search.rising
+    for b, (items, own) in search.rising.items():
+        assert sorted(items) == sorted(search.bins[b]) and own == sorted(own) == [lengths[i] for i in items]
+
+
 def test_local_search_decides():
     r = random.Random(2)
     for n in (1, 40, 400, 3000):
